@@ -7,6 +7,7 @@ import importlib
 #: query -> (module, name of its SQL there or None)
 _QUERIES = {
     "op10_warc_revisits": ("warc", "ORACLE_SQL"),
+    "op2_quality_rules": ("quality_rules", "ORACLE_SQL"),
     "op7_secret_scans": ("secrets", None),
 }
 

@@ -8,6 +8,8 @@ import importlib
 _QUERIES = {
     "op10_warc_revisits": ("warc", "ORACLE_SQL"),
     "op2_quality_rules": ("quality_rules", "ORACLE_SQL"),
+    "op3_quality_classifier": ("quality_knn", None),
+    "op9_toxicity": ("toxicity", None),
     "op7_secret_scans": ("secrets", None),
 }
 

@@ -61,21 +61,21 @@ def learn_lexicon(texts: DataFrame, max_entries: int = 400, least: int = 3) -> d
     An entry needs ``least`` toxic texts and a log odds ratio of 2; the ``max_entries`` best are kept.
     """
 
+    import pyarrow as pa
+
     def count(batches):
         toxic, every = Counter(), Counter()
         for b in batches:
-            for text, y in zip(b["text"].tolist(), b["y"].tolist(), strict=True):
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = {k for t in set(_WORD.findall((text or "").lower())) for k in keys(t)}
                 every.update(found)
                 if y:
                     toxic.update(found)
                 every[""] += 1
                 toxic[""] += bool(y)
-        import pandas as pd
-
-        yield pd.DataFrame({"key": list(every), "n": list(every.values()), "t": [toxic[k] for k in every]})
+        yield pa.RecordBatch.from_pydict({"key": list(every), "n": list(every.values()), "t": [toxic[k] for k in every]}, pa.schema({"key": pa.string(), "n": pa.int64(), "t": pa.int64()}))
 
-    counts = texts.mapInPandas(count, "key string, n long, t long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    counts = texts.select("text", "y").mapInArrow(count, "key string, n long, t long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     counts = materialize(counts.where(f"t >= {least} OR key = ''"), "lexicon_counts")
     total = counts.where("key = ''").first()
     if not total or not 0 < total["t"] < total["n"]:

@@ -10,6 +10,7 @@ _QUERIES = {
     "op2_quality_rules": ("quality_rules", "ORACLE_SQL"),
     "op3_quality_classifier": ("quality_knn", None),
     "op9_toxicity": ("toxicity", None),
+    "op6_jaccard_join": ("jaccard", "ORACLE_SQL"),
     "op7_secret_scans": ("secrets", None),
 }
 

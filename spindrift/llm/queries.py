@@ -11,6 +11,8 @@ _QUERIES = {
     "op3_quality_classifier": ("quality_knn", None),
     "op9_toxicity": ("toxicity", None),
     "op6_jaccard_join": ("jaccard", "ORACLE_SQL"),
+    "op1_mixing": ("mixing", "ORACLE_SQL"),
+    "op8_line_dedup": ("line_dedup", "ORACLE_SQL"),
     "op7_secret_scans": ("secrets", None),
 }
 

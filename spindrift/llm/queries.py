@@ -13,6 +13,7 @@ _QUERIES = {
     "op6_jaccard_join": ("jaccard", "ORACLE_SQL"),
     "op1_mixing": ("mixing", "ORACLE_SQL"),
     "op8_line_dedup": ("line_dedup", "ORACLE_SQL"),
+    "op5_packing": ("packing", None),
     "op7_secret_scans": ("secrets", None),
 }
 

@@ -101,15 +101,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+    """base to the powers 0 to n - 1; the longest run so far is kept."""
+    out = _POWERS.get(int(base))
+    if out is None or len(out) < n:
+        out = np.full(n, base, np.uint64)
+        if n:
+            out[0] = 1
+        out = _POWERS[int(base)] = np.multiply.accumulate(out)
+    return out[:n]
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of many texts at once, and how many words each text has.
+    """Hashes of the words of many texts at once, and how many words each text has."""
+    return word_spans(data, offsets, lower)[:2]
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``word_hashes``, and each word's first byte and end, counted from the first text's start. Texts are taken in
+    blocks of about BLOCK bytes, so working memory doesn't grow with the batch."""
+    cuts = np.unique(np.searchsorted(offsets, np.arange(offsets[0], offsets[-1] + BLOCK, BLOCK)).clip(0, len(offsets) - 1))
+    if len(cuts) <= 2:
+        return _word_spans(data, offsets, lower)
+    parts = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        h, counts, start, end = _word_spans(data, offsets[a : b + 1], lower)
+        shift = int(offsets[a] - offsets[0])
+        parts.append((h, counts, start + shift, end + shift))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+#: Bytes of text hashed at a time (a longer text is hashed whole).
+BLOCK = 1 << 20
+
+
+def _word_spans(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One block of ``word_spans``.
 
     ``data`` holds the texts' UTF-8 bytes, ``offsets`` (n + 1) their bounds. A word is a maximal run without
     the six space bytes; ``lower`` maps A-Z to a-z. Everything is array arithmetic: no Python per word.
@@ -119,7 +149,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     n = len(data)
     counts = np.zeros(len(offsets) - 1, np.int64)
     if not n:
-        return np.zeros(0, np.uint64), counts
+        return np.zeros(0, np.uint64), counts, np.zeros(0, np.int64), np.zeros(0, np.int64)
     space = (data == 32) | ((data >= 9) & (data <= 13))
     inner = np.zeros(n + 1, bool)
     inner[offsets[offsets <= n]] = True  # a text's bound also ends a word
@@ -133,7 +163,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     h = (sums[end] - sums[start]) * _powers(_INV, n)[start]
     h = mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     counts = np.diff(np.searchsorted(start, offsets))
-    return h, counts
+    return h, counts, start, end
 
 
 _BYTE = None
@@ -146,6 +176,9 @@ def mix_bytes(b: np.ndarray) -> np.ndarray:
     return _BYTE[b]
 
 
+_STEP = np.uint64(0xFF51AFD7ED558CCD)
+
+
 def shingles(h: np.ndarray, counts: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-word shingles of each text in turn (with repeats), and how many each text has.
 
@@ -154,15 +187,19 @@ def shingles(h: np.ndarray, counts: np.ndarray, k: int = 5) -> tuple[np.ndarray,
     sizes = np.where(counts >= k, counts - k + 1, (counts > 0).astype(np.int64))
     first = np.concatenate(([0], np.cumsum(counts)))[:-1]
     into = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+    every = np.zeros(len(h), np.uint64)  # the shingle that starts at each word, across texts too
+    for j in range(k):
+        every = every * _STEP
+        every[: len(h) - j] += h[j:]
     at = np.arange(int(sizes.sum()), dtype=np.int64)
     at += np.repeat(first - into, sizes)
-    span = np.repeat(np.minimum(counts, k), sizes)
-    out = np.zeros(len(at), np.uint64)
-    padded = np.concatenate((h, np.zeros(k, np.uint64)))
-    for j in range(k):
-        term = mix(padded[at + j] + np.uint64((j + 1) * 0x2545F4914F6CDD1D % (1 << 64)))
-        out = out * np.uint64(0xFF51AFD7ED558CCD) + np.where(j < span, term, np.uint64(0))
-    return mix(out + span.astype(np.uint64)), sizes
+    out = every[at]
+    for i in np.flatnonzero((counts > 0) & (counts < k)).tolist():
+        whole = int(counts[i])
+        for x in h[first[i] : first[i] + counts[i]].tolist():
+            whole = (whole * int(_STEP) + x) % (1 << 64)
+        out[into[i]] = whole
+    return mix(out), sizes
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:

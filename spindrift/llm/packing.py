@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import split_batches, table
+from .common import split_batches, table, text_bytes, word_spans
 
 LENGTH, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 K1, B = 1.2, 0.75
@@ -23,10 +23,35 @@ _PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e¡-įĲ-ɏ‐-‧€]")
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: Bytes that send a text to the exact test below: controls, and what begins characters beyond U+0240 or C2, C4.
+_RARE = np.zeros(256, bool)
+_RARE[[*range(9), *range(14, 32), 127, 0xC2, 0xC4, *range(0xC9, 256)]] = True
+
+
+class _Table:
+    """Growing runs of ids, by number."""
+
+    def __init__(self):
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.sizes, self.ids = np.concatenate((self.sizes, sizes)), np.concatenate((self.ids, ids))
+
+    def get(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the runs ``at`` one after another, and where each run begins (and the last ends)."""
+        size = self.sizes[at]
+        bounds = np.concatenate(([0], np.cumsum(size)))
+        where = np.repeat(self.starts[at] - bounds[:-1], size)
+        where += np.arange(len(where))
+        return self.ids[where], bounds
+
+
 class Tokens:
-    """Ids of many texts: words are looked up, only new ones are encoded, and texts with rare characters whole."""
+    """Ids of many texts at once. Words are told apart by 64-bit hashes, looked up, and encoded when they are new;
+    texts with characters that the tokenizer's normalizer changes beyond lower-casing are encoded whole."""
 
-    def __init__(self, path: str, capacity: int = 700_000):
+    def __init__(self, path: str, capacity: int = 1_200_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,54 +70,66 @@ class Tokens:
         self.reset()
 
     def reset(self):
-        self.index: dict[str, int] = {}
-        self.pieces: dict[str, np.ndarray] = {}
-        self.sizes, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
-
-    def _learn(self, words: list[str]) -> None:
-        parts = [self.split(w.lower()) for w in words]
-        new = [p for p in dict.fromkeys(itertools.chain.from_iterable(parts)) if p not in self.pieces]
+        self.words: dict[int, int] = {}
+        self.pieces: dict[str, int] = {}
+        self.word_ids, self.piece_ids = _Table(), _Table()
+
+    def _cut(self, word: str) -> list[str]:
+        low = word.lower()
+        if low.isalpha():
+            return [low]
+        if low[-1] in ".,;:!?" and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        return self.split(low)
+
+    def _learn(self, hashes: list[int], words: list[str]) -> None:
+        parts = [self._cut(w) for w in words]
+        flat = list(itertools.chain.from_iterable(parts))
+        new = [p for p in dict.fromkeys(flat) if p not in self.pieces]
         if new:
             ids = np.array(self.fast.encode(" ".join(new), add_special_tokens=False).ids, np.int32)
-            self.pieces.update(zip(new, np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1), strict=True))
-        flat = [self.pieces[p] for x in parts for p in x]
-        lens = np.fromiter(map(len, flat), np.int64, len(flat))
-        per = np.fromiter(map(len, parts), np.int64, len(parts))
-        sums = np.concatenate(([0], np.cumsum(lens)))
-        ends = np.cumsum(per)
-        sizes = sums[ends] - sums[ends - per]
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
-        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
-        self.sizes = np.concatenate((self.sizes, sizes))
-        self.ids = np.concatenate((self.ids, *flat))
-
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """(ids with the end id, word numbers) of each text; word numbers hold within this call only."""
-        if len(self.index) > self.capacity:
+            ends = np.flatnonzero(self.ends[ids]) + 1  # each piece ends with one such token
+            self.pieces.update(zip(new, range(len(self.pieces), len(self.pieces) + len(new)), strict=True))
+            self.piece_ids.add(np.diff(ends, prepend=0), ids)
+        at = np.fromiter(map(self.pieces.__getitem__, flat), np.int64, len(flat))
+        ids, bounds = self.piece_ids.get(at)
+        cut = bounds[np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))))]
+        self.words.update(zip(hashes, range(len(self.words), len(self.words) + len(words)), strict=True))
+        self.word_ids.add(np.diff(cut), ids)
+
+    def encode(self, column) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(ids with the end id, word numbers) of each text of an Arrow column; numbers hold within this call."""
+        if len(self.words) > self.capacity:
             self.reset()
-        words = [t.split() for t in texts]
-        flat = list(itertools.chain.from_iterable(words))
-        at = np.fromiter(map(self.index.get, flat, itertools.repeat(-1)), np.int32, len(flat))
+        data, offsets = text_bytes(column)
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        h, counts, start, end = word_spans(data, offsets, lower=False)
+        order = np.argsort(h)
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = h[order][1:] != h[order][:-1]
+        some = order[fresh]
+        keys = h[some].tolist()
+        at = np.fromiter(map(self.words.get, keys, itertools.repeat(-1)), np.int64, len(keys))
         if len(missing := np.flatnonzero(at < 0)):
-            self._learn(list(dict.fromkeys(map(flat.__getitem__, missing.tolist()))))
-            at[missing] = np.fromiter((self.index[flat[i]] for i in missing.tolist()), np.int32, len(missing))
-        per = np.fromiter(map(len, words), np.int64, len(words))
-        bounds = np.concatenate(([0], np.cumsum(per)))
-        size = self.sizes[at]
-        sums = np.concatenate(([0], np.cumsum(size)))
-        where = np.repeat(self.starts[at] - sums[:-1], size)
-        where += np.arange(len(where))
-        ids = self.ids[where]
-        cut = sums[bounds]
+            body = data.tobytes()
+            spans = zip(start[some[missing]].tolist(), end[some[missing]].tolist(), strict=True)
+            at[missing] = len(self.words) + np.arange(len(missing))
+            self._learn([keys[i] for i in missing.tolist()], [body[a:b].decode("utf-8", "replace") for a, b in spans])
+        word = np.empty(len(h), np.int64)
+        word[order] = at[np.cumsum(fresh) - 1]
+        ids, bounds = self.word_ids.get(word)
+        first = np.concatenate(([0], np.cumsum(counts)))
+        cut = bounds[first]
+        signs = np.flatnonzero(_RARE[data])
+        marks = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # may begin a special token
+        odd = set((np.searchsorted(offsets, np.concatenate((signs, marks)), "right") - 1).tolist())
         out = []
-        for i, t in enumerate(texts):
-            if _PLAIN.search(t) or "<|" in t:
+        for i in range(len(counts)):
+            own = ids[cut[i] : cut[i + 1]]
+            if i in odd and (_PLAIN.search(t := column[i].as_py()) or "<|" in t):
                 own = np.array(self.whole.encode(t, add_special_tokens=False).ids, np.int32)
-            else:
-                own = ids[cut[i] : cut[i + 1]]
             out.append(np.append(own, np.int32(END_ID)))
-        return out, [at[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
+        return out, [word[first[i] : first[i + 1]] for i in range(len(counts))]
 
 
 class Shard:
@@ -186,12 +223,13 @@ def pack(sizes: list[int], shard: Shard | None, length: int = LENGTH) -> list[tu
     return out
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str | None = None, cache_words: int = 300_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are the end id alone; repeated rows and null ids are packed like others; an empty table
     gives no pieces. Shards are runs of rows where they lie (SHARD_BYTES of text each), so nothing is shuffled and
-    memory stays bounded; a text longer than that is a shard of its own. Sequence numbers hold the partition's
+    memory stays bounded; a text longer than that is a shard of its own. A task remembers the ids of ``cache_words``
+    words (about 250 bytes each), which only saves time. Sequence numbers hold the partition's
     number in their upper bits and count within it.
     """
     import pyarrow as pa
@@ -203,11 +241,11 @@ def packed(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
         import public_tokenizers
 
-        tokens = Tokens(tokenizer or public_tokenizers.path(TOKENIZER))
+        tokens = Tokens(tokenizer or public_tokenizers.path(TOKENIZER), cache_words)
         base = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in split_batches(batch, "text", SHARD_BYTES):
-                ids, terms = tokens.encode([t or "" for t in part.column(1).to_pylist()])
+                ids, terms = tokens.encode(part.column(1))
                 sizes = [len(x) for x in ids]
                 pieces = pack(sizes, Shard(terms))
                 if not pieces:
@@ -223,7 +261,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(table(spark, sf_dir, "documents"), cache_words=1_200_000)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

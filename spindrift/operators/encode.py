@@ -12,16 +12,30 @@ START, SIZE, WINDOW, STRIDE = 76, 64, 4, 2
 HEADER, PAYLOAD, PACKETS, SIDE = 80, 240, 5, 40
 
 
-def sliding_tokens(hexed: Column, window: int = WINDOW, stride: int = STRIDE, limit: int = 0) -> Column:
-    """Substrings of ``window`` hex digits every ``stride`` digits; at most ``limit`` (0: all)."""
-    n = F.floor((F.length(hexed) - window) / stride).cast("int") + 1
-    n = F.least(n, F.lit(limit)) if limit else n
-    return F.when(F.length(hexed) >= window, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(hexed, i * stride + 1, F.lit(window)))).otherwise(F.array().cast("array<string>"))
+def sliding_tokens(data: Column, window: int = WINDOW, stride: int = STRIDE, limit: int = 0) -> Column:
+    """Substrings of ``window`` hex digits of binary ``data`` every ``stride`` digits; at most ``limit`` (0: all).
+
+    Windows of whole bytes are cut from the bytes, which takes constant time each. ``data`` is bound once: a
+    lambda would evaluate it again for every token.
+    """
+    whole = window % 2 == 0 and stride % 2 == 0
+
+    def cut(d):
+        size = F.octet_length(d) * 2 if whole else F.length(d)
+        n = F.floor((size - window) / stride).cast("int") + 1
+        n = F.least(n, F.lit(limit)) if limit else n
+        if whole:
+            piece = lambda i: F.lower(F.hex(F.substring(d, i * (stride // 2) + 1, F.lit(window // 2))))
+        else:
+            piece = lambda i: F.substring(d, i * stride + 1, F.lit(window))
+        return F.when(size >= window, F.transform(F.sequence(F.lit(0), n - 1), piece)).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(data if whole else hex_lower(data)), cut)[0]
 
 
 def packet_tokens(packets: DataFrame, start: int = START, size: int = SIZE) -> DataFrame:
     """packets (flow, idx, data) with their slice's tokens."""
-    return packets.withColumn("tokens", sliding_tokens(hex_lower(slice_bytes(F.col("data"), start, size))))
+    return packets.withColumn("tokens", sliding_tokens(slice_bytes(F.col("data"), start, size)))
 
 
 def flow_tokens(packets: DataFrame, limit: int) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import sampling_queries
+from . import encode_queries, fidelity_queries, sampling_queries, score_queries, stream_queries, traffic_queries
 from .registry import Registry, Task
 
-GROUPS = {"sampling": sampling_queries}
+GROUPS = {"encode": encode_queries, "fidelity": fidelity_queries, "sampling": sampling_queries, "score": score_queries, "stream": stream_queries, "traffic": traffic_queries}
 
 
 def registry() -> Registry:

@@ -15,6 +15,8 @@ BINS, LEAST_SIMILARITY, LEAST_ENTROPY = 99, 5, 2
 
 def long_form(df: DataFrame, side: str, features: list[str], kind: str) -> DataFrame:
     """(side, feature, value): one row per feature and row, nulls and NaNs dropped."""
+    if not features:
+        return df.sparkSession.createDataFrame([], f"side string, feature string, value {kind}")
     cols = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast(kind).alias("value")) for f in features])
     out = df.select(F.col(side).alias("side"), F.explode(cols).alias("x")).select("side", "x.feature", "x.value").where("value IS NOT NULL")
     return out.where(~F.isnan("value")) if kind == "double" else out

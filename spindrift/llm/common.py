@@ -57,33 +57,39 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     neighbours are never gathered, only their minimum is taken, so a third of all nodes may share one hub.
     Nodes without an edge (or with a loop only) don't appear.
     """
-    spark = edges.sparkSession
-    oriented = lambda d: d.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    now = materialize(oriented(edges).where("u <> v").distinct(), "edges")
-    state = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-    before = state(now)
+    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    before = _state(now)
     for _ in range(rounds):
         if not before[0]:
             break
+        few = max(1, int(2 * before[0]) // ROWS_A_TASK + 1)  # small graphs don't need a task for each shuffle partition
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large_star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = materialize(moved.union(low.select("u", F.col("m").alias("v"))).distinct(), "small_star")
-        after = state(now)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(few)
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(few).distinct()
+        large = materialize(large.coalesce(few), "large_star")
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(few)
+        moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(few)
+        now = materialize(moved.union(low.select("u", F.col("m").alias("v"))).coalesce(few).distinct().coalesce(few), "small_star")
+        after = _state(now)
         if after == before:
             break
         before = after
     else:
         raise RuntimeError("components did not settle")
-    del spark
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
 
 
+#: Rows of a small graph that one task of ``components`` takes.
+ROWS_A_TASK = 200_000
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Number and checksum of a graph's edges: equal after a round that changed nothing."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
+
 # --- word hashes over whole Arrow batches -------------------------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

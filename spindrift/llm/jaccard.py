@@ -22,7 +22,7 @@ WORDS = 5
 LARGEST_LIGHT = 12
 #: Rows shuffled for a posting whatever its list holds.
 POSTING_COST = 2.0
-CHUNK = 6 << 20
+CHUNK = 2 << 20
 
 
 def required(a, b):
@@ -60,9 +60,13 @@ def shingle_sets(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     """Of an Arrow text column: the distinct shingles by text, the text of each, set sizes, set hashes."""
     h, counts = word_hashes(*text_bytes(column))
     s, sizes = shingles(h, counts, WORDS)
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((s, of))
-    s, of = s[order], of[order]
+    of = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    key = (of << np.uint64(44)) | (s >> np.uint64(20))
+    order = np.argsort(key)
+    s, key = s[order], key[order]
+    if ((key[1:] == key[:-1]) & (s[1:] != s[:-1])).any():  # hashes that agree in 44 bits: order them in full
+        s = s[np.lexsort((s, key >> np.uint64(44)))]
+    of = of.astype(np.int64)
     first = np.ones(len(s), bool)
     first[1:] = (s[1:] != s[:-1]) | (of[1:] != of[:-1])
     s, of = s[first], of[first]
@@ -129,16 +133,46 @@ def _sets(docs: DataFrame, hot: np.ndarray, hot_n: np.ndarray, light: int) -> Da
                 subs = [[] for _ in range(len(n))]
                 for i in light_at.tolist():
                     subs[i] = _subset_keys(s[starts[i] : starts[i] + n[i]])
-                if rank.any():
-                    s = s[np.lexsort((s, rank, of))]
+                again = np.zeros(len(n), bool)
+                again[of[rank > 0]] = True
+                if again.any():  # texts with frequent shingles: these go last
+                    mine = again[of]
+                    s[mine] = s[mine][np.lexsort((s[mine], rank[mine], of[mine]))]
                 take = np.where(n >= listed, prefix_size(n), 0) * (n > 0)
                 pos = np.arange(int(take.sum())) + np.repeat(starts - np.concatenate(([0], np.cumsum(take)))[:-1], take)
                 offsets = np.concatenate(([0], np.cumsum(take))).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(s[pos].view(np.int64)))
                 keys = pa.array([[{"key": k, "side": e} for k, e in x] for x in subs], pa.list_(pa.struct([("key", pa.int64()), ("side", pa.int32())])))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int64)), prefix, keys], names=["doc_id", "cls", "n", "prefix", "subs"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, cls long, n long, prefix array<long>, subs array<struct<key: long, side: int>>")
+                sketch = pa.array(bitmaps(s, of, n), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int64)), prefix, keys, sketch], names=["doc_id", "cls", "n", "prefix", "subs", "sketch"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, cls long, n long, prefix array<long>, subs array<struct<key: long, side: int>>, sketch binary")
+
+
+def bitmaps(s: np.ndarray, of: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """A set's bitmap of 2 to 4 bits a shingle: each bit is the parity of the shingles that fall on it, so two
+    bitmaps differ in no more bits than the sets in shingles."""
+    width = np.int64(1) << np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64)
+    ends = np.cumsum(width)
+    bit = (ends - width)[of] + (s & (width[of] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(bit, minlength=int(ends[-1]) if len(ends) else 0) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [packed[(b - w) // 8 : b // 8] for b, w in zip(ends.tolist(), width.tolist(), strict=True)]
+
+
+def may_be_similar(sa: list[bytes], sb: list[bytes], na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether bitmaps leave it open that two sets reach the threshold (never false for those that do)."""
+    la, lb = np.fromiter(map(len, sa), np.int64, len(sa)), np.fromiter(map(len, sb), np.int64, len(sb))
+    apart = np.zeros(len(sa), np.int64)
+    for x, y in {*zip(la.tolist(), lb.tolist(), strict=True)}:
+        rows = np.flatnonzero((la == x) & (lb == y))
+        a, b = (np.frombuffer(b"".join(t[r] for r in rows.tolist()), np.uint8).reshape(len(rows), w) for t, w in ((sa, x), (sb, y)))
+        while a.shape[1] != b.shape[1]:  # fold the wider one: parities add up
+            if a.shape[1] < b.shape[1]:
+                a, b = b, a
+            half = a.shape[1] // 2
+            a = a[:, :half] ^ a[:, half:]
+        apart[rows] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+    return 9 * apart <= na + nb
 
 
 def _light_edges(sets: DataFrame) -> DataFrame:
@@ -150,10 +184,27 @@ def _light_edges(sets: DataFrame) -> DataFrame:
     return rows.join(group, "key").where("cls <> low").select(F.col("cls").alias("a"), F.col("low").alias("b")).distinct()
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the threshold; both whole texts are shingled again."""
+def _open_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their bitmaps don't rule out."""
+    import pyarrow as pa
+
+    a = sketches.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = sketches.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+
+    def run(batches):
+        for t in batches:
+            good = pa.array(may_be_similar(t.column(2).to_pylist(), t.column(3).to_pylist(), np.asarray(t.column(4)), np.asarray(t.column(5))))
+            yield pa.RecordBatch.from_arrays([t.column(0).filter(good), t.column(1).filter(good)], names=["a", "b"])
+
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
+
+
+def _verify(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sets reach the threshold: those that their bitmaps leave open are decided
+    on both whole texts."""
     import pyarrow as pa
 
+    pairs = materialize(_open_pairs(pairs, sketches), "open_pairs")
     a = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
 
@@ -179,20 +230,43 @@ def _fits(n1: str, p1: str, n2: str, p2: str) -> str:
     return f"5 * least({n1}, {n2}) >= 4 * greatest({n1}, {n2}) AND 9 * (1 + least({n1} - {p1} - 1, {n2} - {p2} - 1)) >= 4 * ({n1} + {n2})"
 
 
+def _near_pairs(postings: DataFrame, light: int, size: int = 8) -> DataFrame:
+    """One pair per posting: the classes of a list and size band are dealt into buckets of about ``size``, anew for
+    every list, and paired with their bucket's smallest. Classes that share many rare shingles so meet many
+    different partners, which connects large groups of copies without looking at all their pairs."""
+    banded = postings.withColumn("band", F.floor(F.log("n") / float(np.log(1.25))))
+    lengths = banded.groupBy("shingle", "band").agg(F.count("*").alias("len")).where("len > 1")
+    dealt = banded.join(lengths, ["shingle", "band"]).withColumn("bucket", F.expr(f"pmod(xxhash64(shingle, cls), ceil(len / {size}))"))
+    lead = dealt.groupBy("shingle", "band", "bucket").agg(F.min(F.struct("n", "cls", "pos")).alias("l"))
+    pairs = dealt.join(lead, ["shingle", "band", "bucket"]).where(f"cls <> l.cls AND greatest(n, l.n) > {light} AND {_fits('n', 'pos', 'l.n', 'l.pos')}")
+    return pairs.select(F.least("cls", "l.cls").alias("a"), F.greatest("cls", "l.cls").alias("b")).distinct()
+
+
 def _list_pairs(postings: DataFrame, light: int, block: int) -> DataFrame:
-    """Pairs of a list's classes that lie in different components and may be similar.
+    """All pairs of a list's classes that lie in different components and may be similar.
 
-    A list longer than ``block`` is cut into blocks; each block meets the whole list in a task of its own.
+    Each such pair has a class outside the list's most frequent component, so only these are held against the whole
+    list. Where they are more than ``block``, they are cut into blocks, each of which meets the list in a task of its
+    own.
     """
-    lists = postings.groupBy("shingle").agg(F.count("*").alias("len"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").drop("lo", "hi")
-    rows = postings.join(lists, "shingle").withColumn("blocks", F.ceil(F.col("len") / block).cast("int"))
-    left = rows.select("shingle", F.expr("cast(pmod(xxhash64(cls), blocks) as int)").alias("part"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-    right = rows.select("shingle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
-    same = left.join(right, ["shingle", "part"]).where(f"a < b AND ca <> cb AND greatest(na, nb) > {light} AND {_fits('na', 'pa', 'nb', 'pb')}")
-    return same.select("a", "b").distinct()
+    parts = postings.groupBy("shingle", "comp").agg(F.count("*").alias("k"))
+    lists = parts.groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), (F.sum("k") - F.max("k")).alias("others")).where("others > 0")
+    rows = postings.join(lists, "shingle").withColumn("blocks", F.ceil(F.col("others") / block).cast("int"))
+    left = rows.where("comp <> top").select("shingle", F.expr("cast(pmod(xxhash64(cls), blocks) as int)").alias("part"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
+    right = rows.select("shingle", "top", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
+    same = left.join(right, ["shingle", "part"]).where(f"ca <> cb AND (cb = top OR a < b) AND greatest(na, nb) > {light} AND {_fits('na', 'pa', 'nb', 'pb')}")
+    return same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _labelled(postings: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The postings of lists that hold more than one component, with their component; and the components."""
+    comp = components(links)
+    x = postings.select("shingle", "cls", "n", "pos").join(comp, postings.cls == comp.node, "left").select("shingle", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp"))
+    mixed = x.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle")
+    return materialize(x.join(mixed, "shingle"), "labelled_postings"), comp
 
 
-def similar_documents(docs: DataFrame, max_hot: int = 200_000, block: int = 256, broadcast_ids: int = 1_000_000) -> DataFrame:
+def similar_documents(docs: DataFrame, max_hot: int = 200_000, block: int = 256, broadcast_ids: int = 500_000) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
     Null texts, empty ones and those without words have no shingles and are linked with nothing. Repeated rows
@@ -219,21 +293,16 @@ def similar_documents(docs: DataFrame, max_hot: int = 200_000, block: int = 256,
     reps = materialize(reps, "representatives")
     reps = F.broadcast(reps) if reps.count() <= broadcast_ids else reps
     texts = materialize(docs.join(reps, "doc_id").dropDuplicates(["cls"]).select("cls", "text"), "texts")
+    sketches = materialize(sets.select("doc_id", "n", "sketch").join(reps, "doc_id").dropDuplicates(["cls"]).select("cls", "n", "sketch"), "sketches")
 
-    # first each class against the smallest of its size band on each list: links most of a large group
-    banded = postings.withColumn("band", F.floor(F.log("n") / float(np.log(1.25))))
-    lead = banded.groupBy("shingle", "band").agg(F.min(F.struct("n", "cls", "pos")).alias("l"))
-    first = banded.join(lead, ["shingle", "band"]).where(f"cls <> l.cls AND greatest(n, l.n) > {light} AND {_fits('n', 'pos', 'l.n', 'l.pos')}")
-    first = first.select(F.least("cls", "l.cls").alias("a"), F.greatest("cls", "l.cls").alias("b")).distinct()
-    links = materialize(_light_edges(sets).union(_verify(first, texts)), "links")
+    # first a few pairs of each list: they connect most of a large group
+    links = materialize(_light_edges(sets).union(_verify(_near_pairs(postings, light), sketches, texts)), "links")
 
     # then all pairs of each list that are still in different components
-    comp = components(links)
-    now = postings.join(comp, postings.cls == comp.node, "left").select("shingle", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp"))
-    more = _verify(_list_pairs(materialize(now, "labelled_postings"), light, block), texts)
-    more = materialize(more, "more_links")
-    if not more.isEmpty():
-        comp = components(links.union(more))
+    now, comp = _labelled(postings, links)
+    rest = materialize(_verify(_list_pairs(now, light, block), sketches, texts), "last_links")
+    if not rest.isEmpty():
+        comp = components(links.union(rest))
 
     grouped = materialize(sets.join(comp, sets.cls == comp.node, "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("grp")), "grouped")
     least = grouped.where("grp IS NOT NULL").groupBy("grp").agg(F.min("doc_id").alias("least"))

@@ -132,6 +132,17 @@ class Tokens:
         return out, [word[first[i] : first[i + 1]] for i in range(len(counts))]
 
 
+_OPEN: dict[tuple[str, int], Tokens] = {}
+
+
+def open_tokens(path: str, capacity: int) -> Tokens:
+    """The tokenizer with the words that earlier tasks of this worker have met."""
+    if (path, capacity) not in _OPEN:
+        _OPEN.clear()
+        _OPEN[path, capacity] = Tokens(path, capacity)
+    return _OPEN[path, capacity]
+
+
 class Shard:
     """BM25 over the documents of one shard: posting lists in array form."""
 
@@ -228,7 +239,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, cache_words: int = 300
 
     Null and empty texts are the end id alone; repeated rows and null ids are packed like others; an empty table
     gives no pieces. Shards are runs of rows where they lie (SHARD_BYTES of text each), so nothing is shuffled and
-    memory stays bounded; a text longer than that is a shard of its own. A task remembers the ids of ``cache_words``
+    memory stays bounded; a text longer than that is a shard of its own. A worker remembers the ids of ``cache_words``
     words (about 250 bytes each), which only saves time. Sequence numbers hold the partition's
     number in their upper bits and count within it.
     """
@@ -241,7 +252,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, cache_words: int = 300
 
         import public_tokenizers
 
-        tokens = Tokens(tokenizer or public_tokenizers.path(TOKENIZER), cache_words)
+        tokens = open_tokens(tokenizer or public_tokenizers.path(TOKENIZER), cache_words)
         base = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in split_batches(batch, "text", SHARD_BYTES):

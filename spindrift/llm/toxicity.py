@@ -63,8 +63,11 @@ def learn_lexicon(texts: DataFrame, max_entries: int = 400, least: int = 3) -> d
 
     import pyarrow as pa
 
+    schema = pa.schema({"key": pa.string(), "n": pa.int64(), "t": pa.int64()})
+
     def count(batches):
         toxic, every = Counter(), Counter()
+        table = lambda: pa.RecordBatch.from_pydict({"key": list(every), "n": list(every.values()), "t": [toxic[k] for k in every]}, schema)
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = {k for t in set(_WORD.findall((text or "").lower())) for k in keys(t)}
@@ -73,7 +76,10 @@ def learn_lexicon(texts: DataFrame, max_entries: int = 400, least: int = 3) -> d
                     toxic.update(found)
                 every[""] += 1
                 toxic[""] += bool(y)
-        yield pa.RecordBatch.from_pydict({"key": list(every), "n": list(every.values()), "t": [toxic[k] for k in every]}, pa.schema({"key": pa.string(), "n": pa.int64(), "t": pa.int64()}))
+                if len(every) > 100_000:  # hand over what is counted so far
+                    yield table()
+                    toxic, every = Counter(), Counter()
+        yield table()
 
     counts = texts.select("text", "y").mapInArrow(count, "key string, n long, t long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     counts = materialize(counts.where(f"t >= {least} OR key = ''"), "lexicon_counts")

@@ -230,3 +230,22 @@ def split_batches(batch, column: str, limit: int = 16 << 20):
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a)
+
+
+def small_parts(batches, column: str, limit: int = 4 << 20):
+    """Parts of about ``limit`` bytes of text of a task's batches. At the task's end freed memory goes back to the
+    system: Spark uses the same workers for later stages, beside the executor's own heap."""
+    for batch in batches:
+        yield from split_batches(batch, column, limit)
+    release_memory()
+
+
+def release_memory() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix, shingles, split_batches, table, text_bytes, word_hashes
+from .common import components, materialize, mix, release_memory, shingles, small_parts, split_batches, table, text_bytes, word_hashes
 
 WORDS = 5
 #: 100 * intersection >= 80 * union, in whole numbers.
@@ -82,18 +82,17 @@ def _survey(docs: DataFrame, local: int = 4) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
-            for part in split_batches(batch, "text", CHUNK):
-                s, of, n, cls = shingle_sets(part.column(0))
-                fresh = np.zeros(len(n), bool)
-                fresh[np.unique(cls, return_index=True)[1]] = True
-                small = np.bincount(n[(n > 0) & (n <= LARGEST_LIGHT) & fresh], minlength=LARGEST_LIGHT + 1)
-                key, df = np.unique(s[fresh[of]], return_counts=True)
-                often = df >= local
-                cost = [int((df * df).sum()), int(df.sum())]
-                kind = np.concatenate((np.zeros(often.sum(), np.int32), np.ones(len(small), np.int32), np.full(2, 2, np.int32)))
-                keys = np.concatenate((key[often].view(np.int64), np.arange(len(small)), np.arange(2)))
-                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(keys), pa.array(np.concatenate((df[often], small, cost)))], names=["kind", "key", "n"])
+        for part in small_parts(batches, "text", CHUNK):
+            s, of, n, cls = shingle_sets(part.column(0))
+            fresh = np.zeros(len(n), bool)
+            fresh[np.unique(cls, return_index=True)[1]] = True
+            small = np.bincount(n[(n > 0) & (n <= LARGEST_LIGHT) & fresh], minlength=LARGEST_LIGHT + 1)
+            key, df = np.unique(s[fresh[of]], return_counts=True)
+            often = df >= local
+            cost = [int((df * df).sum()), int(df.sum())]
+            kind = np.concatenate((np.zeros(often.sum(), np.int32), np.ones(len(small), np.int32), np.full(2, 2, np.int32)))
+            keys = np.concatenate((key[often].view(np.int64), np.arange(len(small)), np.arange(2)))
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(keys), pa.array(np.concatenate((df[often], small, cost)))], names=["kind", "key", "n"])
 
     return docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
@@ -120,31 +119,30 @@ def _sets(docs: DataFrame, hot: np.ndarray, hot_n: np.ndarray, light: int) -> Da
         often, often_n = shared.value
         maybe = np.zeros(1 << 20, bool)
         maybe[(often >> np.uint64(44)).astype(np.int64)] = True
-        for batch in batches:
-            for part in split_batches(batch, "text", CHUNK):
-                s, of, n, cls = shingle_sets(part.column(1))
-                rank = np.zeros(len(s), np.int64)
-                at = np.flatnonzero(maybe[(s >> np.uint64(44)).astype(np.int64)])
-                where = np.minimum(np.searchsorted(often, s[at]), max(len(often) - 1, 0))
-                if len(often):
-                    rank[at] = np.where(often[where] == s[at], often_n[where], 0)
-                starts = np.concatenate(([0], np.cumsum(n)))[:-1]
-                light_at = np.flatnonzero((n > 0) & (n <= light))
-                subs = [[] for _ in range(len(n))]
-                for i in light_at.tolist():
-                    subs[i] = _subset_keys(s[starts[i] : starts[i] + n[i]])
-                again = np.zeros(len(n), bool)
-                again[of[rank > 0]] = True
-                if again.any():  # texts with frequent shingles: these go last
-                    mine = again[of]
-                    s[mine] = s[mine][np.lexsort((s[mine], rank[mine], of[mine]))]
-                take = np.where(n >= listed, prefix_size(n), 0) * (n > 0)
-                pos = np.arange(int(take.sum())) + np.repeat(starts - np.concatenate(([0], np.cumsum(take)))[:-1], take)
-                offsets = np.concatenate(([0], np.cumsum(take))).astype(np.int32)
-                prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(s[pos].view(np.int64)))
-                keys = pa.array([[{"key": k, "side": e} for k, e in x] for x in subs], pa.list_(pa.struct([("key", pa.int64()), ("side", pa.int32())])))
-                sketch = pa.array(bitmaps(s, of, n), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int64)), prefix, keys, sketch], names=["doc_id", "cls", "n", "prefix", "subs", "sketch"])
+        for part in small_parts(batches, "text", CHUNK):
+            s, of, n, cls = shingle_sets(part.column(1))
+            rank = np.zeros(len(s), np.int64)
+            at = np.flatnonzero(maybe[(s >> np.uint64(44)).astype(np.int64)])
+            where = np.minimum(np.searchsorted(often, s[at]), max(len(often) - 1, 0))
+            if len(often):
+                rank[at] = np.where(often[where] == s[at], often_n[where], 0)
+            starts = np.concatenate(([0], np.cumsum(n)))[:-1]
+            light_at = np.flatnonzero((n > 0) & (n <= light))
+            subs = [[] for _ in range(len(n))]
+            for i in light_at.tolist():
+                subs[i] = _subset_keys(s[starts[i] : starts[i] + n[i]])
+            again = np.zeros(len(n), bool)
+            again[of[rank > 0]] = True
+            if again.any():  # texts with frequent shingles: these go last
+                mine = again[of]
+                s[mine] = s[mine][np.lexsort((s[mine], rank[mine], of[mine]))]
+            take = np.where(n >= listed, prefix_size(n), 0) * (n > 0)
+            pos = np.arange(int(take.sum())) + np.repeat(starts - np.concatenate(([0], np.cumsum(take)))[:-1], take)
+            offsets = np.concatenate(([0], np.cumsum(take))).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(s[pos].view(np.int64)))
+            keys = pa.array([[{"key": k, "side": e} for k, e in x] for x in subs], pa.list_(pa.struct([("key", pa.int64()), ("side", pa.int32())])))
+            sketch = pa.array(bitmaps(s, of, n), pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int64)), prefix, keys, sketch], names=["doc_id", "cls", "n", "prefix", "subs", "sketch"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, cls long, n long, prefix array<long>, subs array<struct<key: long, side: int>>, sketch binary")
 
@@ -221,6 +219,7 @@ def _verify(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFram
                     both = np.bincount(o[1:][(s[1:] == s[:-1]) & (o[1:] == o[:-1])], minlength=len(na))
                     good = pa.array(100 * both >= 80 * (na + nb - both))
                     yield pa.RecordBatch.from_arrays([at["a"].filter(good), at["b"].filter(good)], names=["a", "b"])
+        release_memory()
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, small_parts, table
 
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
 MIN_WORDS = 50
@@ -61,7 +61,7 @@ def _all_windows(rows: DataFrame, min_words: int) -> DataFrame:
     names = ["rk", "id", "start", "end", "fp", "fp_at", "win"]
 
     def run(batches):
-        for b in batches:
+        for b in small_parts(batches, "text"):
             got = [(k, i, *w) for k, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) for w in windows(t, min_words)]
             cols = list(zip(*got, strict=True)) or [()] * 7
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64())

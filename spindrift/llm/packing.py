@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import split_batches, table, text_bytes, word_spans
+from .common import small_parts, table, text_bytes, word_spans
 
 LENGTH, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 K1, B = 1.2, 0.75
@@ -254,18 +254,17 @@ def packed(docs: DataFrame, tokenizer: str | None = None, cache_words: int = 300
 
         tokens = open_tokens(tokenizer or public_tokenizers.path(TOKENIZER), cache_words)
         base = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            for part in split_batches(batch, "text", SHARD_BYTES):
-                ids, terms = tokens.encode(part.column(1))
-                sizes = [len(x) for x in ids]
-                pieces = pack(sizes, Shard(terms))
-                if not pieces:
-                    continue
-                doc, start, size, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
-                crc = [zlib.crc32(ids[d][a : a + n].astype("<u4").tobytes()) for d, a, n, _, _ in pieces]
-                arrays = [part.column(0).take(pa.array(doc)), start, size, crc, np.array(sizes, np.int64)[doc], sequence + base, offset]
-                base += int(sequence[-1]) + 1
-                yield pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, pa.int64()) for a in arrays], names=names)
+        for part in small_parts(batches, "text", SHARD_BYTES):
+            ids, terms = tokens.encode(part.column(1))
+            sizes = [len(x) for x in ids]
+            pieces = pack(sizes, Shard(terms))
+            if not pieces:
+                continue
+            doc, start, size, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
+            crc = [zlib.crc32(ids[d][a : a + n].astype("<u4").tobytes()) for d, a, n, _, _ in pieces]
+            arrays = [part.column(0).take(pa.array(doc)), start, size, crc, np.array(sizes, np.int64)[doc], sequence + base, offset]
+            base += int(sequence[-1]) + 1
+            yield pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, pa.int64()) for a in arrays], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, shingles, split_batches, table, text_bytes, word_hashes
+from .common import mix, shingles, small_parts, table, text_bytes, word_hashes
 from .labelled import held_out, sample_labels
 
 DIM, RANK, NEIGHBOURS = 1024, 48, 25
@@ -99,8 +99,8 @@ class NeighbourModel:
         return np.clip(out, 0, 1)
 
 
-def _matrices(batch):
-    for part in split_batches(batch, "text", 4 << 20):
+def _matrices(batches):
+    for part in small_parts(batches, "text"):
         for a in range(0, part.num_rows, 2048):
             piece = part.slice(a, 2048)
             yield piece, term_matrix(*text_bytes(piece.column(piece.schema.get_field_index("text"))))
@@ -117,9 +117,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
     def run(batches):
-        for b in batches:
-            for piece, x in _matrices(b):
-                yield pa.RecordBatch.from_arrays([piece.column(piece.schema.get_field_index("y")), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["y", "x"])
+        for piece, x in _matrices(batches):
+            yield pa.RecordBatch.from_arrays([piece.column(piece.schema.get_field_index("y")), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["y", "x"])
 
     got = rows.select("text", "y").mapInArrow(run, "y int, x binary").collect()
     x = np.frombuffer(b"".join(r["x"] for r in got), np.float16).reshape(-1, DIM).astype(np.float32)
@@ -138,9 +137,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000)
     model = spark.sparkContext.broadcast(fit_quality(docs, labels, max_labelled))
 
     def run(batches):
-        for b in batches:
-            for piece, x in _matrices(b):
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(model.value.score(x), pa.float64())], names=["doc_id", "score"])
+        for piece, x in _matrices(batches):
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(model.value.score(x), pa.float64())], names=["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -9,7 +9,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, small_parts, table
 from .labelled import held_out, sample_labels, share
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -68,7 +68,7 @@ def learn_lexicon(texts: DataFrame, max_entries: int = 400, least: int = 3) -> d
     def count(batches):
         toxic, every = Counter(), Counter()
         table = lambda: pa.RecordBatch.from_pydict({"key": list(every), "n": list(every.values()), "t": [toxic[k] for k in every]}, schema)
-        for b in batches:
+        for b in small_parts(batches, "text"):
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = {k for t in set(_WORD.findall((text or "").lower())) for k in keys(t)}
                 every.update(found)
@@ -96,7 +96,7 @@ def feature_rows(rows: DataFrame, lexicon: dict[str, float], keep: tuple[str, ..
     import pyarrow as pa
 
     def run(batches):
-        for b in batches:
+        for b in small_parts(batches, "text"):
             got = [features(x, lexicon) for x in b.column(b.schema.get_field_index("text")).to_pylist()]
             cols = list(zip(*got, strict=True)) or [()] * len(FEATURES)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in keep), *(pa.array(c, pa.float64()) for c in cols)], names=[*keep, *FEATURES])

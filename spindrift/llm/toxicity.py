@@ -45,7 +45,8 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
         while j < len(you) and you[j] < i - NEAR:
             j += 1
         near += j < len(you) and you[j] <= i + NEAR
-    odd = [m[0].lower().translate(_LEET) for r in (_MIXED, _SPACED) for m in r.finditer(text)]
+    written = {m.start(): m[0] for r in (_MIXED, _SPACED) for m in r.finditer(text)}  # both may match at one place
+    odd = [x.lower().translate(_LEET) for x in written.values()]
     odd_hits = sum(any(k in lexicon for k in keys(t)) for t in odd)
     upper, letters, size = sum(map(str.isupper, text.split())), sum(map(len, tokens)), max(n, 1)
     weights = [w for _, w in hits]

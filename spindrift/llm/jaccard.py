@@ -23,6 +23,8 @@ LARGEST_LIGHT = 12
 #: Rows shuffled for a posting whatever its list holds.
 POSTING_COST = 2.0
 CHUNK = 2 << 20
+#: The first pairs come from one list in so many; the other lists follow for what these have not connected.
+FIRST_LISTS = 4
 
 
 def required(a, b):
@@ -230,14 +232,15 @@ def _fits(n1: str, p1: str, n2: str, p2: str) -> str:
 
 
 def _near_pairs(postings: DataFrame, light: int, size: int = 8) -> DataFrame:
-    """One pair per posting: the classes of a list and size band are dealt into buckets of about ``size``, anew for
-    every list, and paired with their bucket's smallest. Classes that share many rare shingles so meet many
-    different partners, which connects large groups of copies without looking at all their pairs."""
+    """At most one pair per posting: the classes of a list and size band are dealt into buckets of about ``size``, anew
+    for every list, and paired with their bucket's smallest if that has another component. Classes that share many
+    rare shingles so meet many different partners, which connects large groups of copies without looking at all
+    their pairs."""
     banded = postings.withColumn("band", F.floor(F.log("n") / float(np.log(1.25))))
     lengths = banded.groupBy("shingle", "band").agg(F.count("*").alias("len")).where("len > 1")
     dealt = banded.join(lengths, ["shingle", "band"]).withColumn("bucket", F.expr(f"pmod(xxhash64(shingle, cls), ceil(len / {size}))"))
-    lead = dealt.groupBy("shingle", "band", "bucket").agg(F.min(F.struct("n", "cls", "pos")).alias("l"))
-    pairs = dealt.join(lead, ["shingle", "band", "bucket"]).where(f"cls <> l.cls AND greatest(n, l.n) > {light} AND {_fits('n', 'pos', 'l.n', 'l.pos')}")
+    lead = dealt.groupBy("shingle", "band", "bucket").agg(F.min(F.struct("n", "cls", "pos", "comp")).alias("l"))
+    pairs = dealt.join(lead, ["shingle", "band", "bucket"]).where(f"comp <> l.comp AND greatest(n, l.n) > {light} AND {_fits('n', 'pos', 'l.n', 'l.pos')}")
     return pairs.select(F.least("cls", "l.cls").alias("a"), F.greatest("cls", "l.cls").alias("b")).distinct()
 
 
@@ -294,11 +297,15 @@ def similar_documents(docs: DataFrame, max_hot: int = 200_000, block: int = 256,
     texts = materialize(docs.join(reps, "doc_id").dropDuplicates(["cls"]).select("cls", "text"), "texts")
     sketches = materialize(sets.select("doc_id", "n", "sketch").join(reps, "doc_id").dropDuplicates(["cls"]).select("cls", "n", "sketch"), "sketches")
 
-    # first a few pairs of each list: they connect most of a large group
-    links = materialize(_light_edges(sets).union(_verify(_near_pairs(postings, light), sketches, texts)), "links")
+    # first a few pairs of some lists, then of every list that still has several components: they connect most of a
+    # large group
+    first = postings.where(F.pmod(F.xxhash64("shingle"), F.lit(FIRST_LISTS)) == 0).withColumn("comp", F.col("cls"))
+    links = materialize(_light_edges(sets).union(_verify(_near_pairs(first, light), sketches, texts)), "links")
+    now, _ = _labelled(postings, links)
+    links = links.union(materialize(_verify(_near_pairs(now, light), sketches, texts), "more_links"))
 
     # then all pairs of each list that are still in different components
-    now, comp = _labelled(postings, links)
+    now, comp = _labelled(now, links)
     rest = materialize(_verify(_list_pairs(now, light, block), sketches, texts), "last_links")
     if not rest.isEmpty():
         comp = components(links.union(rest))

@@ -196,7 +196,7 @@ def shingles(h: np.ndarray, counts: np.ndarray, k: int = 5) -> tuple[np.ndarray,
     every = np.zeros(len(h), np.uint64)  # the shingle that starts at each word, across texts too
     for j in range(k):
         every = every * _STEP
-        every[: len(h) - j] += h[j:]
+        every[: max(len(h) - j, 0)] += h[j:]
     at = np.arange(int(sizes.sum()), dtype=np.int64)
     at += np.repeat(first - into, sizes)
     out = every[at]

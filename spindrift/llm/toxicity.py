@@ -177,6 +177,6 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.5) -> DataFrame:
     """Pipeline stage: documents scored below ``threshold`` stay, with the columns they came with."""
-    names = docs.columns
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return model.score(docs, tuple(names)).where(F.col("score") < threshold).select(*names)
+    rows = docs.select("text", F.struct(*docs.columns).alias("__row"))  # so that no name clashes with the model's
+    return model.score(rows, ("__row",)).where(F.col("score") < threshold).select("__row.*")

@@ -1,21 +1,24 @@
-"""Operator 5: lexical retrieval packing with a sharded BM25 index."""
+"""Operator 5: lexical retrieval packing with a BM25 index in shards of related documents."""
 
 from __future__ import annotations
 
 import itertools
+import os
 import re
+import tempfile
+import uuid
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_parts, table, text_bytes, word_spans
+from .common import materialize, small_parts, table, text_bytes, word_spans
 
 LENGTH, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 K1, B = 1.2, 0.75
-#: Terms of a seed that query the index, and bytes of text in a shard.
-QUERY_TERMS, SHARD_BYTES = 16, 4 << 20
+#: Bytes of text in a shard, and terms that a task counts before it hands them on.
+SHARD_BYTES, COUNTED_TERMS = 4 << 20, 2_000_000
 
 #: Characters for which the tokenizer's normalizer is lower-casing alone; texts with others are encoded whole.
 _PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e¡-įĲ-ɏ‐-‧€]")
@@ -52,8 +55,6 @@ class Tokens:
     texts with characters that the tokenizer's normalizer changes beyond lower-casing are encoded whole."""
 
     def __init__(self, path: str, capacity: int = 1_200_000):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -72,6 +73,7 @@ class Tokens:
     def reset(self):
         self.words: dict[int, int] = {}
         self.pieces: dict[str, int] = {}
+        self.hashes = np.zeros(0, np.uint64)
         self.word_ids, self.piece_ids = _Table(), _Table()
 
     def _cut(self, word: str) -> list[str]:
@@ -95,6 +97,7 @@ class Tokens:
         ids, bounds = self.piece_ids.get(at)
         cut = bounds[np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))))]
         self.words.update(zip(hashes, range(len(self.words), len(self.words) + len(words)), strict=True))
+        self.hashes = np.concatenate((self.hashes, np.array(hashes, np.uint64)))
         self.word_ids.add(np.diff(cut), ids)
 
     def encode(self, column) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -143,35 +146,142 @@ def open_tokens(path: str, capacity: int) -> Tokens:
     return _OPEN[path, capacity]
 
 
+def term_counts(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of an Arrow column of texts: hashes of its words, then text, number and count of each word of each text, and
+    the texts' lengths in words."""
+    h, sizes, _, _ = word_spans(*text_bytes(column), lower=False)
+    words, slot = np.unique(h, return_inverse=True)
+    key, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(len(words), 1) + slot, return_counts=True)
+    return words, key // max(len(words), 1), key % max(len(words), 1), tf, sizes
+
+
+def _weights(df, tf, sizes, n, mean):
+    """BM25 of each posting: document frequency, count and length of the document; n and mean are of all documents."""
+    return np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes / max(mean, 1)))
+
+
+class Corpus:
+    """Number, mean length and document frequencies of all documents. The frequencies above 1 lie in two files,
+    sorted by hash, that Spark brings to each executor once; its workers map them, so they share the memory."""
+
+    def __init__(self, n: int, words: int, chars: int, names: tuple[str, str], terms: int):
+        self.n, self.mean, self.names, self.terms = n, words / max(n, 1), names, terms
+        self.shard_docs = max(2, n * SHARD_BYTES // max(chars, 1))
+
+    def frequencies(self, hashes: np.ndarray) -> np.ndarray:
+        """In how many documents each word occurs, 1 for words that are not in the files."""
+        from pyspark import SparkFiles
+
+        out = np.ones(len(hashes), np.int64)
+        if self.terms and len(hashes):
+            if self.names not in _MAPPED:
+                _MAPPED.clear()
+                _MAPPED[self.names] = [np.memmap(SparkFiles.get(x), kind, "r") for x, kind in zip(self.names, (np.int64, np.uint32), strict=True)]
+            keys, counts = _MAPPED[self.names]
+            hashes = hashes.view(np.int64)
+            at = np.searchsorted(keys, hashes).clip(0, self.terms - 1)
+            out = np.where(keys[at] == hashes, counts[at], 1).astype(np.int64)
+        return out
+
+
+_MAPPED: dict[tuple[str, str], list[np.ndarray]] = {}
+
+
+def corpus_of(docs: DataFrame) -> Corpus:
+    """The statistics of ``docs``, by one aggregate over all its rows."""
+    import pyarrow as pa
+
+    def count(batches):
+        held, total = [], np.zeros(3, np.int64)
+
+        def merged():
+            words, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+            return words, np.bincount(at, np.concatenate([n for _, n in held]), len(words)).astype(np.int64)
+
+        def rows(words, df):
+            none = pa.nulls(len(words), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(df), none, none], names=["h", "df", "words", "chars"])
+
+        for part in small_parts(batches, "text", SHARD_BYTES):
+            words, _, slot, _, sizes = term_counts(part.column(0))
+            held.append((words, np.bincount(slot, minlength=len(words))))
+            total += (len(sizes), sizes.sum(), np.diff(text_bytes(part.column(0))[1]).sum())
+            if len(held) > 7:
+                held = [merged()]
+                if len(held[0][0]) > COUNTED_TERMS:
+                    yield rows(*held.pop())
+        if held:
+            yield rows(*merged())
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.array([int(x)]) for x in total)], names=["h", "df", "words", "chars"])
+
+    def as_bytes(batches):
+        for b in batches:
+            h, df = (np.asarray(b.column(k)) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array([h.astype("<i8").tobytes()]), pa.array([df.astype("<u4").tobytes()])], names=["h", "df"])
+
+    spark = docs.sparkSession
+    found = docs.select("text").mapInArrow(count, "h long, df long, words long, chars long").groupBy("h").agg(*(F.sum(c).alias(c) for c in ("df", "words", "chars")))
+    found = materialize(found.where("h IS NULL OR df > 1"), "frequencies")
+    n, words, chars = next((tuple(x or 0 for x in r) for r in found.where("h IS NULL").select("df", "words", "chars").collect()), (0, 0, 0))
+    folder, tag, terms = tempfile.mkdtemp(prefix="spindrift-"), uuid.uuid4().hex[:12], 0
+    names = (f"hashes-{tag}", f"counts-{tag}")
+    with open(f"{folder}/{names[0]}", "wb") as keys, open(f"{folder}/{names[1]}", "wb") as counts:
+        for r in found.where("h IS NOT NULL").select("h", "df").orderBy("h").mapInArrow(as_bytes, "h binary, df binary").toLocalIterator():
+            keys.write(r["h"])
+            counts.write(r["df"])
+            terms += len(r["h"]) // 8
+    if terms:
+        for x in names:
+            spark.sparkContext.addFile(f"{folder}/{x}")
+    return Corpus(n, words, chars, names, terms)
+
+
+def shelf_marks(column, corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
+    """Two words of each text, as hashes, by which related texts come to lie together: its heaviest of those that
+    would fill a shard, and its heaviest that any other text has. 0 where there is none."""
+    words, doc, slot, tf, sizes = term_counts(column)
+    df = corpus.frequencies(words)
+    weight = _weights(df[slot], tf, sizes[doc], corpus.n, corpus.mean)
+    out = []
+    for least in (corpus.shard_docs, 2):
+        use = np.flatnonzero(df[slot] >= least)
+        use = use[np.lexsort((slot[use], -weight[use], doc[use]))]
+        first = use[np.concatenate(([True], doc[use][1:] != doc[use][:-1]))[: len(use)]]
+        mark = np.zeros(len(sizes), np.int64)
+        mark[doc[first]] = words[slot[first]].view(np.int64)
+        out.append(mark)
+    return out[0], out[1]
+
+
 class Shard:
-    """BM25 over the documents of one shard: posting lists in array form."""
-
-    def __init__(self, terms: list[np.ndarray]):
-        n = len(terms)
-        sizes = np.fromiter(map(len, terms), np.int64, n)
-        flat = np.concatenate(terms).astype(np.int64) if n else np.zeros(0, np.int64)
-        key, tf = np.unique(flat * n + np.repeat(np.arange(n), sizes), return_counts=True)
-        term, self.doc = key // max(n, 1), key % max(n, 1)
-        self.terms, df = np.unique(term, return_counts=True)
-        self.ends = np.cumsum(df)
-        self.begins = self.ends - df
-        slot = np.repeat(np.arange(len(df)), df)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * sizes / max(sizes.mean() if n else 1, 1))
-        self.weight = idf[slot] * tf * (K1 + 1) / (tf + norm[self.doc])
-        # by document: its terms that others have too, best first
-        use = np.flatnonzero(df[slot] > 1)
-        order = use[np.lexsort((slot[use], -self.weight[use], self.doc[use]))]
-        self.own, self.own_ends = slot[order], np.cumsum(np.bincount(self.doc[order], minlength=n))
-        self.n = n
+    """BM25 over the documents of one shard: posting lists in array form. ``frequencies`` gives the document
+    frequency in the whole corpus of each term, ``n`` and ``mean`` are the corpus's; else they are the shard's own."""
+
+    def __init__(self, terms: list[np.ndarray], frequencies=None, n: int | None = None, mean: float | None = None):
+        self.n = len(terms)
+        sizes = np.fromiter(map(len, terms), np.int64, self.n)
+        flat = np.concatenate(terms).astype(np.int64) if self.n else np.zeros(0, np.int64)
+        key, tf = np.unique(flat * self.n + np.repeat(np.arange(self.n), sizes), return_counts=True)
+        term, self.doc = key // max(self.n, 1), key % max(self.n, 1)
+        self.terms, here = np.unique(term, return_counts=True)
+        self.ends = np.cumsum(here)
+        self.begins = self.ends - here
+        slot = np.repeat(np.arange(len(here)), here)
+        df = frequencies(self.terms) if frequencies else here
+        self.weight = _weights(df[slot], tf, sizes[self.doc], self.n if n is None else n, (sizes.mean() if self.n else 1) if mean is None else mean)
+        # by document: its terms that others of the shard have too
+        use = np.flatnonzero(here[slot] > 1)
+        use = use[np.argsort(self.doc[use], kind="stable")]
+        self.own, self.own_ends = slot[use], np.cumsum(np.bincount(self.doc[use], minlength=self.n))
 
     def neighbours(self, d: int) -> np.ndarray:
-        """Documents that share terms with d, best BM25 score first."""
-        begin = self.own_ends[d - 1] if d else 0
-        slots = self.own[begin : min(self.own_ends[d], begin + QUERY_TERMS)]
+        """Documents that share terms with d, best BM25 score first; all terms of d count."""
+        slots = self.own[self.own_ends[d - 1] if d else 0 : self.own_ends[d]]
         if not len(slots):
             return slots
-        at = np.concatenate([np.arange(self.begins[s], self.ends[s]) for s in slots])
+        size = self.ends[slots] - self.begins[slots]
+        at = np.repeat(self.ends[slots] - np.cumsum(size), size)
+        at += np.arange(len(at))
         score = np.bincount(self.doc[at], self.weight[at], self.n)
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
@@ -238,10 +348,12 @@ def packed(docs: DataFrame, tokenizer: str | None = None, cache_words: int = 300
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are the end id alone; repeated rows and null ids are packed like others; an empty table
-    gives no pieces. Shards are runs of rows where they lie (SHARD_BYTES of text each), so nothing is shuffled and
-    memory stays bounded; a text longer than that is a shard of its own. A worker remembers the ids of ``cache_words``
-    words (about 250 bytes each), which only saves time. Sequence numbers hold the partition's
-    number in their upper bits and count within it.
+    gives no pieces. Document frequencies and mean length are those of all documents. Rows are dealt by range of two
+    of their heavy words (``shelf_marks``) and a hash, so related documents lie together and a large group of copies
+    spreads over tasks; shards are runs of SHARD_BYTES of text in that order (a longer text is a shard of its own),
+    within which all terms are scored. Neighbours on other shards are not found: README.md says how many. A worker
+    remembers the ids of ``cache_words`` words (about 250 bytes each), which only saves time. Sequence numbers hold
+    the partition's number in their upper bits and count within it.
     """
     import pyarrow as pa
 
@@ -257,7 +369,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, cache_words: int = 300
         for part in small_parts(batches, "text", SHARD_BYTES):
             ids, terms = tokens.encode(part.column(1))
             sizes = [len(x) for x in ids]
-            pieces = pack(sizes, Shard(terms))
+            pieces = pack(sizes, Shard(terms, lambda x: corpus.frequencies(tokens.hashes[x]), corpus.n, corpus.mean))
             if not pieces:
                 continue
             doc, start, size, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
@@ -266,7 +378,16 @@ def packed(docs: DataFrame, tokenizer: str | None = None, cache_words: int = 300
             base += int(sequence[-1]) + 1
             yield pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, pa.int64()) for a in arrays], names=names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    def marked(batches):
+        for part in small_parts(batches, "text", SHARD_BYTES):
+            marks = [pa.array(x) for x in shelf_marks(part.column(1), corpus)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *marks], names=["doc_id", "text", "shelf", "mark"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    corpus = corpus_of(rows)
+    order = ["shelf", "mark", "salt"]
+    rows = rows.mapInArrow(marked, "doc_id long, text string, shelf long, mark long").withColumn("salt", F.xxhash64("doc_id", "text"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from spindrift.llm.packing import LENGTH, Shard, Tokens, pack, packed
+from spindrift.llm.packing import LENGTH, Shard, Tokens, corpus_of, pack, packed
 from tokenizers import Tokenizer
 
 ODD = [None, "", "   ", "it's THE end, I'm 42 years.\n\nÀ côté", "naïve 日本語 テスト", "a b", "x<|endoftext|>y", "Σίσυφος ΣΑΣ", "été", "\x1cab\x1d", "İstanbul", "ſ K Å ﬁ", "..!!'s 's don't WE'LL", "word " * 5000]
@@ -76,3 +76,38 @@ def test_edges(spark):
     df = spark.createDataFrame([(None, None, "a"), (1, "", "b"), (1, "x y", "c"), (1, "x y", "c")], "doc_id long, text string, offset string")
     rows = packed(df).collect()
     assert sum(r["length"] for r in rows) == 8 and packed(df.limit(0)).count() == 0
+
+
+def test_all_terms_of_a_seed_query():
+    shared = np.array([500] * 3)
+    shard = Shard([np.concatenate((np.repeat(np.arange(40), 4), shared[:1])), np.repeat(np.arange(40), 4), shared])
+    assert 2 in shard.neighbours(0)
+
+
+def test_statistics_are_of_all_documents(spark):
+    rows = [(i, f"common w{i % 7} w{i % 7} only{i}") for i in range(70)] + [(70, None), (71, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    corpus = corpus_of(df)
+    t = Tokens(public_tokenizers.path("word_bpe_49k.json"))
+    t.encode(pa.array(["common w3 only5 absent"]))
+    assert corpus.frequencies(t.hashes).tolist() == [{"common": 70, "w3": 10}.get(w, 1) for w in sorted("common w3 only5 absent".split(), key=lambda w: t.hashes.tolist().index(hash_of(w)))]
+    assert (corpus.n, corpus.mean) == (72, 280 / 72)
+
+
+def hash_of(word):
+    from spindrift.llm.common import text_bytes, word_spans
+
+    return int(word_spans(*text_bytes(pa.array([word])), lower=False)[0][0])
+
+
+def test_related_documents_meet_across_storage(spark):
+    """Pairs that lie in different partitions of the input share a window, though each partition has enough of its own."""
+    rng = np.random.default_rng(3)
+    noise = lambda: " ".join(f"n{k}" for k in rng.integers(0, 400, 300))
+    topic = [" ".join(f"topic{p}x{k}" for k in range(60)) for p in range(40)]
+    rows = [(p, f"{topic[p]} {noise()}") for p in range(40)] + [(1000 + i, noise()) for i in range(400)] + [(100 + p, f"{topic[p]} {noise()}") for p in range(40)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")
+    at = defaultdict(set)
+    for r in packed(df).collect():
+        at[r["doc_id"]].add(r["sequence_id"])
+    assert sum(bool(at[p] & at[100 + p]) for p in range(40)) >= 30

@@ -27,9 +27,12 @@ SENSITIVE = {
 }
 
 #: One assignment: a dotted or dashed name, an operator, then terms joined by + (quoted literals, names, bare words).
-_TERM = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[A-Za-z0-9_+/.=-]+"
-_LEX = re.compile(rf"(?<![\w$.-])([A-Za-z_$][\w$.-]*)[\"']?[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*((?:{_TERM})(?:[ \t]*\+[ \t]*(?:{_TERM}))*)", re.A)
-_ONE = re.compile(_TERM, re.A)
+_QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
+_TERM = rf"{_QUOTED}|[A-Za-z0-9_/.=-]+"
+_LEX = re.compile(rf"(?<![\w$.-])([A-Za-z_$][\w$.-]*)[\"']?[ \t]*(\+=|:=|=>|=(?!=)|:(?!:))[ \t]*(\+*(?:{_TERM})(?:[ \t]*\++[ \t]*(?:{_TERM}))*\+*)", re.A)
+_RUN = re.compile(rf"{_QUOTED}|[A-Za-z0-9_+/.=-]+", re.A)
+#: A bare run that is one base64 literal, whose + are its own digits.
+_BASE64 = re.compile(r"(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])(?=.{16})[A-Za-z0-9+/]+={0,2}\Z")
 _IDENT = re.compile(r"[A-Za-z_$][\w$.-]*\Z", re.A)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
@@ -49,37 +52,88 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """How much a literal looks like a credential: length, mixed character classes and entropy, 0 to 1."""
-    if len(value) < 8 or " " in value:
+    return counted_score(Counter(value))
+
+
+def counted_score(counts: Counter) -> float:
+    """``literal_score`` of a value of which the number of each character is known."""
+    n = sum(counts.values())
+    if n < 8 or " " in counts:
         return 0.0
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+    classes = sum(any(map(re.compile(p).match, counts)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
     return min(1.0, 0.15 * classes + 0.15 * entropy)
 
 
+def _terms(body: str, bound: dict) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the joined terms: + joins, but within a base64 literal it is a digit. A run of bare
+    words is such a literal if it looks like one and holds no bound name of three characters (or only bound names)."""
+    out = []
+    for t in _RUN.finditer(body):
+        run, at = t[0], t.start()
+        if run[0] in "\"'":
+            out.append((run, at, t.end()))
+            continue
+        if at:
+            run = run.lstrip("+")
+            at = t.end() - len(run)
+        if t.end() < len(body):
+            run = run.rstrip("+")
+        parts = run.split("+")
+        names = [x in bound for x in parts]
+        if _BASE64.match(run) and not all(names) and not any(k and len(x) > 2 for k, x in zip(names, parts, strict=True)):
+            out.append((run, at, at + len(run)))
+            continue
+        for x in parts:
+            if x:
+                out.append((x, at, at + len(x)))
+            at += len(x) + 1
+    return out
+
+
 def flow_spans(text: str, threshold: float = 0.75) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive target, directly or through names assigned before.
 
     Assignments are read in order: ``name op terms``. A literal term is itself; a name term stands for the literals
-    last bound to it (constants are propagated, also through + joins). A literal is reported when the product of
-    its target's name score and its own score reaches ``threshold`` squared, with a name score of 0.5 at least.
+    last bound to it (constants are propagated, also through + joins), ``+=`` adds to what its target is bound to. A
+    literal is reported when the product of its target's name score and its own score reaches ``threshold`` squared,
+    with a name score of 0.5 at least. A binding refers to those that it is made of and counts its characters, so
+    all spans and whole values are carried, and names doubled again and again cost no more than others.
     """
-    bound: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    bound: dict[str, tuple[Counter, tuple]] = {}
     out: set[tuple[int, int]] = set()
+    told: set[int] = set()
+    every = []  # keeps bindings alive, for told
     for m in _LEX.finditer(text):
-        value, spans = "", []
-        for t in _ONE.finditer(m[2]):
-            term, at = t[0], m.start(2) + t.start()
+        parts, counts = [], Counter()
+        terms = _terms(m[3], bound)
+        if m[2] == "+=" and m[1] in bound:
+            terms.insert(0, (m[1], 0, 0))
+        for term, a, b in terms:
             if term[0] in "\"'":
-                value, spans = value + term[1:-1], [*spans, (at + 1, at + len(term) - 1)]
+                counts.update(term[1:-1])
+                parts.append((m.start(3) + a + 1, m.start(3) + b - 1))
             elif _IDENT.match(term) and term in bound:
-                value, spans = value + bound[term][0][:4096], [*spans, *bound[term][1][:64]]
+                for c, n in bound[term][0].items():
+                    counts[c] += n
+                parts.append(bound[term][1])
             else:
-                value, spans = value + term, [*spans, (at, at + len(term))]
-        bound[m[1]] = value, spans
+                counts.update(term)
+                parts.append((m.start(3) + a, m.start(3) + b))
+        made = ("made of", parts)
+        every.append(made)
+        bound[m[1]] = counts, made
         score = name_score(m[1])
-        if score >= 0.5 and score * literal_score(value[:4096]) >= threshold * threshold:
-            out.update(s for s in spans if s[1] > s[0])
+        if score >= 0.5 and score * counted_score(counts) >= threshold * threshold:
+            todo = [made]
+            while todo:
+                x = todo.pop()
+                if x[0] != "made of":
+                    if x[1] > x[0]:
+                        out.add(x)
+                elif id(x) not in told:
+                    told.add(id(x))
+                    todo.extend(x[1])
     return sorted(out)
 
 

@@ -197,6 +197,26 @@ def test_constants_are_propagated():
     assert secrets.flow_spans('title = "q9Zx7Lk2Wm"') == [] and secrets.name_score("dbPassword") == 1.0 and secrets.literal_score("aaaaaaaa") < 0.3
 
 
+def test_names_join_without_blanks_and_by_addition():
+    head = 'base = "q9Zx7Lk2"\ntail = "Wm4Rt8Vb"\n'
+    for line in ("db_pass = base+tail", "db_pass = base +tail", "db_pass=base+ tail", 'db_pass = "q9Zx"+tail+base', "db_pass = base\ndb_pass += tail", "db_pass += base+tail"):
+        text = head + line
+        found = {text[a:b] for a, b in secrets.flow_spans(text)}
+        assert {"q9Zx7Lk2", "Wm4Rt8Vb"} <= found <= {"q9Zx7Lk2", "Wm4Rt8Vb", "q9Zx"}, line
+    for value in ("aB3+dE6/gH9+kL2/", "+aB3dE6/gH9kL2/mN5==", "aB3dE6/gH9kL2/mN5+"):
+        text = f"{head}secret: {value}\n"
+        assert [text[a:b] for a, b in secrets.flow_spans(text)] == [value]
+
+
+def test_every_span_of_a_long_join_is_carried():
+    text = "".join(f'p{i} = "k{i}Zx"\n' for i in range(300)) + "joined = " + " + ".join(f"p{i}" for i in range(300)) + "\ndb_pass = joined"
+    assert len(secrets.flow_spans(text)) == 300
+    late = f'pad = "{"a" * 5000}"\nend = "q9Zx7Lk2Wm4Rt8Vb{"".join(map(chr, range(48, 91))) * 90}"\ndb_pass = pad + end'
+    assert len(secrets.flow_spans(late)) == 2
+    doubled = 'x = "q9Zx7Lk2"\n' + "x = x + x\n" * 3000 + "db_pass = x"
+    assert [doubled[a:b] for a, b in secrets.flow_spans(doubled)] == ["q9Zx7Lk2"]
+
+
 # --- lines ---
 
 

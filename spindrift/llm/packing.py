@@ -244,9 +244,11 @@ def shelf_marks(column, corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
     weight = _weights(df[slot], tf, sizes[doc], corpus.n, corpus.mean)
     out = []
     for least in (corpus.shard_docs, 2):
-        use = np.flatnonzero(df[slot] >= least)
-        use = use[np.lexsort((slot[use], -weight[use], doc[use]))]
-        first = use[np.concatenate(([True], doc[use][1:] != doc[use][:-1]))[: len(use)]]
+        use = np.flatnonzero(df[slot] >= least)  # by document, then word
+        begins = np.flatnonzero(np.diff(doc[use], prepend=-1))
+        best = np.maximum.reduceat(weight[use], begins) if len(use) else weight[use]
+        use = use[weight[use] == np.repeat(best, np.diff(begins, append=len(use)))]
+        first = use[np.diff(doc[use], prepend=-1) > 0]
         mark = np.zeros(len(sizes), np.int64)
         mark[doc[first]] = words[slot[first]].view(np.int64)
         out.append(mark)

@@ -14,6 +14,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -55,9 +56,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     ``edges`` has two long columns a and b. Large-star and small-star rounds, each written out; a hub's
     neighbours are never gathered, only their minimum is taken, so a third of all nodes may share one hub.
-    Nodes without an edge (or with a loop only) don't appear.
+    Nodes without an edge (or with a loop only) don't appear. Before each round a task replaces the edges that it has,
+    whichever they are, by links to the roots that they give, so few rounds are left.
     """
-    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    now = materialize(_contracted(now), "edges")
     before = _state(now)
     for _ in range(rounds):
         if not before[0]:
@@ -69,7 +72,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = materialize(large.coalesce(few), "large_star")
         low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(few)
         moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(few)
-        now = materialize(moved.union(low.select("u", F.col("m").alias("v"))).coalesce(few).distinct().coalesce(few), "small_star")
+        now = moved.union(low.select("u", F.col("m").alias("v"))).coalesce(few).distinct().coalesce(few)
+        now = materialize(_contracted(now), "small_star")
         after = _state(now)
         if after == before:
             break
@@ -81,10 +85,48 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     )
 
 
-#: Rows of a small graph that one task of ``components`` takes.
+#: Rows of a small graph that one task of ``components`` takes, and edges that a task contracts at a time.
 ROWS_A_TASK = 200_000
 
 
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of each of n items' component under the links a[i] - b[i]."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u > v) with the same components: within each run of a partition every node is linked to its root."""
+    import pyarrow as pa
+
+    def stars(held):
+        u, v = (np.concatenate([np.asarray(b.column(k)) for b in held]) for k in (0, 1))
+        nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+        root = local_roots(len(nodes), at[: len(u)], at[len(u) :])
+        some = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[root[some]])], names=["u", "v"])
+
+    def run(batches):
+        held = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= ROWS_A_TASK:
+                yield stars(held)
+                held = []
+        if held:
+            yield stars(held)
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def _state(edges: DataFrame) -> tuple:
     """Number and checksum of a graph's edges: equal after a round that changed nothing."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
@@ -111,7 +153,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    """base to the powers 0 to n - 1; the longest run so far is kept."""
+    """base to the powers 0 to n - 1; the longest run so far is kept until ``release_memory``."""
     out = _POWERS.get(int(base))
     if out is None or len(out) < n:
         out = np.full(n, base, np.uint64)
@@ -126,50 +168,58 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     return word_spans(data, offsets, lower)[:2]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``word_hashes``, and each word's first byte and end, counted from the first text's start. Texts are taken in
-    blocks of about BLOCK bytes, so working memory doesn't grow with the batch."""
-    cuts = np.unique(np.searchsorted(offsets, np.arange(offsets[0], offsets[-1] + BLOCK, BLOCK)).clip(0, len(offsets) - 1))
-    if len(cuts) <= 2:
-        return _word_spans(data, offsets, lower)
-    parts = []
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        h, counts, start, end = _word_spans(data, offsets[a : b + 1], lower)
-        shift = int(offsets[a] - offsets[0])
-        parts.append((h, counts, start + shift, end + shift))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
-#: Bytes of text hashed at a time (a longer text is hashed whole).
-BLOCK = 1 << 20
+#: Bytes of text hashed at a time (a longer word is hashed whole).
+BLOCK = 1 << 19
 
 
-def _word_spans(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One block of ``word_spans``.
+def word_spans(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``word_hashes``, and each word's first byte and end, counted from the first text's start.
 
     ``data`` holds the texts' UTF-8 bytes, ``offsets`` (n + 1) their bounds. A word is a maximal run without
-    the six space bytes; ``lower`` maps A-Z to a-z. Everything is array arithmetic: no Python per word.
+    the six space bytes; ``lower`` maps A-Z to a-z. Bytes are taken in blocks of about BLOCK that end at a space or a
+    text's bound, so working memory grows neither with the batch nor with a text.
     """
     data = data[offsets[0] : offsets[-1]]
     offsets = (offsets - offsets[0]).astype(np.int64)
+    a, parts = 0, [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    while a < len(data):
+        b = _block_end(data, offsets, a + BLOCK)
+        bounds = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, "right")] - a
+        h, start, end = _word_spans(data[a:b], bounds, lower)
+        parts.append((h, start + a, end + a))
+        a = b
+    h, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return h, np.diff(np.searchsorted(start, offsets)), start, end
+
+
+def _block_end(data: np.ndarray, offsets: np.ndarray, at: int) -> int:
+    """The first space or text's bound at ``at`` or after it."""
+    if at >= len(data):
+        return len(data)
+    bound = int(offsets[np.searchsorted(offsets, at)])
+    while at < bound:
+        piece = data[at : min(at + 4096, bound)]
+        found = np.flatnonzero((piece == 32) | ((piece >= 9) & (piece <= 13)))
+        if len(found):
+            return at + int(found[0])
+        at += len(piece)
+    return bound
+
+
+def _word_spans(data: np.ndarray, bounds: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of a block's words; ``bounds`` are those of texts. Everything is array arithmetic."""
     n = len(data)
-    counts = np.zeros(len(offsets) - 1, np.int64)
-    if not n:
-        return np.zeros(0, np.uint64), counts, np.zeros(0, np.int64), np.zeros(0, np.int64)
     space = (data == 32) | ((data >= 9) & (data <= 13))
     inner = np.zeros(n + 1, bool)
-    inner[offsets[offsets <= n]] = True  # a text's bound also ends a word
+    inner[bounds] = True  # a text's bound also ends a word
     word = ~space
     start = np.flatnonzero(word & (np.concatenate(([True], space[:-1])) | inner[:n]))
     end = np.flatnonzero(word & (np.concatenate((space[1:], [True])) | inner[1:])) + 1
     low = data + (((data >= 65) & (data <= 90)).astype(np.uint8) << 5) if lower else data
-    powers = _powers(_BASE, n)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix_bytes(low) * powers, out=sums[1:])
+    np.cumsum(mix_bytes(low) * _powers(_BASE, n), out=sums[1:])
     h = (sums[end] - sums[start]) * _powers(_INV, n)[start]
-    h = mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    counts = np.diff(np.searchsorted(start, offsets))
-    return h, counts, start, end
+    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start, end
 
 
 _BYTE = None
@@ -233,18 +283,55 @@ def split_batches(batch, column: str, limit: int = 16 << 20):
 
 
 def small_parts(batches, column: str, limit: int = 4 << 20):
-    """Parts of about ``limit`` bytes of text of a task's batches. At the task's end freed memory goes back to the
-    system: Spark uses the same workers for later stages, beside the executor's own heap."""
+    """A task's rows in parts of about ``limit`` bytes of text, whatever batches they come in. At the task's end freed
+    memory goes back to the system: Spark uses the same workers for later stages, beside the executor's own heap."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held, filled = [], 0
+
+    def whole():
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
     for batch in batches:
-        yield from split_batches(batch, column, limit)
+        if not batch.num_rows:
+            continue
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0), np.int64)
+        part = (filled + np.cumsum(sizes) - sizes) // limit
+        fresh = np.flatnonzero(np.diff(part, prepend=0)).tolist()
+        for a, b in zip([0, *fresh], [*fresh, batch.num_rows], strict=True):
+            if a in fresh and held:
+                yield whole()
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+        filled += int(sizes.sum()) - int(part[-1]) * limit
+    if held:
+        yield whole()
+    held = []
     release_memory()
 
 
+#: Rows of an Arrow batch where the session sets none: texts come to the workers some megabytes at a time.
+BATCH_ROWS = 1000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Lower the session's rows a batch from Spark's own default; a value that the user has set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def release_memory() -> None:
+    """Drop what outgrew its use and hand freed memory back to the system."""
     import ctypes
 
     import pyarrow as pa
 
+    for base, kept in list(_POWERS.items()):
+        if len(kept) > 2 * BLOCK:
+            del _POWERS[base]
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim:

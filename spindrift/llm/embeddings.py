@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialize, table
+from .common import components, local_roots, materialize, table
 
 THRESHOLD, TREES, LEAF, SPILL = 0.98, 6, 512, 0.015
 #: A leaf's number among all trees' leaves: tree * LEAVES + leaf.
@@ -62,20 +62,6 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least member of each of n items' component under the links a[i] - b[i]."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def first_meetings(la: np.ndarray, lb: np.ndarray, leaf: int) -> np.ndarray:
     """Of pairs' padded leaf lists: whether ``leaf`` is the first that both lists hold."""
     same = (la[:, :, None] == lb[:, None, :]) & (la[:, :, None] >= 0)

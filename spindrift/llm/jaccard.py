@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix, release_memory, shingles, small_parts, split_batches, table, text_bytes, word_hashes
+from .common import components, materialize, mix, modest_batches, release_memory, shingles, small_parts, split_batches, table, text_bytes, word_hashes
 
 WORDS = 5
 #: 100 * intersection >= 80 * union, in whole numbers.
@@ -23,8 +23,12 @@ LARGEST_LIGHT = 12
 #: Rows shuffled for a posting whatever its list holds.
 POSTING_COST = 2.0
 CHUNK = 2 << 20
-#: The first pairs come from one list in so many; the other lists follow for what these have not connected.
-FIRST_LISTS = 4
+#: The first pairs come from one list in so many; later rounds take every list that is still apart.
+FIRST_LISTS, ROUNDS = 4, 3
+#: Bits of the bitmaps that travel with postings: narrow ones up to a set size, wide ones beyond it.
+NARROW, WIDE, NARROW_SETS = 1024, 4096, 448
+#: Pairs of a list from which on bitmaps travel with its postings.
+CROWDED = 256
 
 
 def required(a, b):
@@ -111,7 +115,8 @@ def _subset_keys(s: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _sets(docs: DataFrame, hot: np.ndarray, hot_n: np.ndarray, light: int) -> DataFrame:
-    """A row per document: doc_id, cls, n, its prefix (rarest first) if it scans lists, its subset keys if light."""
+    """A row per document: doc_id, th (its text's hash), cls, n, its prefix (rarest first) if it scans lists, its subset
+    keys if light, and its bitmaps: one as wide as its size asks, one NARROW and, for large sets, one WIDE."""
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast((hot, hot_n))
@@ -122,7 +127,7 @@ def _sets(docs: DataFrame, hot: np.ndarray, hot_n: np.ndarray, light: int) -> Da
         maybe = np.zeros(1 << 20, bool)
         maybe[(often >> np.uint64(44)).astype(np.int64)] = True
         for part in small_parts(batches, "text", CHUNK):
-            s, of, n, cls = shingle_sets(part.column(1))
+            s, of, n, cls = shingle_sets(part.column(2))
             rank = np.zeros(len(s), np.int64)
             at = np.flatnonzero(maybe[(s >> np.uint64(44)).astype(np.int64)])
             where = np.minimum(np.searchsorted(often, s[at]), max(len(often) - 1, 0))
@@ -144,9 +149,25 @@ def _sets(docs: DataFrame, hot: np.ndarray, hot_n: np.ndarray, light: int) -> Da
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(s[pos].view(np.int64)))
             keys = pa.array([[{"key": k, "side": e} for k, e in x] for x in subs], pa.list_(pa.struct([("key", pa.int64()), ("side", pa.int32())])))
             sketch = pa.array(bitmaps(s, of, n), pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int64)), prefix, keys, sketch], names=["doc_id", "cls", "n", "prefix", "subs", "sketch"])
+            flat = [parities(s, of, n, n <= NARROW_SETS, NARROW), parities(s, of, n, 5 * n > 4 * NARROW_SETS, WIDE)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(cls.view(np.int64)), pa.array(n.astype(np.int64)), prefix, keys, sketch, *flat], names=["doc_id", "th", "cls", "n", "prefix", "subs", "sketch", "narrow", "wide"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, cls long, n long, prefix array<long>, subs array<struct<key: long, side: int>>, sketch binary")
+    kinds = "doc_id long, th long, cls long, n long, prefix array<long>, subs array<struct<key: long, side: int>>, sketch binary, narrow array<long>, wide array<long>"
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, kinds)
+
+
+def parities(s: np.ndarray, of: np.ndarray, n: np.ndarray, which: np.ndarray, bits: int):
+    """Arrow lists with a bitmap of ``bits`` bits, as longs, of the sets in ``which``; null for the others. Like
+    ``bitmaps``: two differ in no more bits than their sets in shingles."""
+    import pyarrow as pa
+
+    number = np.cumsum(which) - 1
+    mine = which[of]
+    at = number[of[mine]] * bits + (s[mine] & np.uint64(bits - 1)).astype(np.int64)
+    longs = np.packbits((np.bincount(at, minlength=int(which.sum()) * bits) & 1).astype(np.uint8), bitorder="little").view("<i8")
+    ends = np.cumsum(which * (bits // 64)).astype(np.int32)
+    offsets = pa.array(np.concatenate(([0], ends)), pa.int32(), mask=np.concatenate((~which, [False])))
+    return pa.ListArray.from_arrays(offsets, pa.array(longs))
 
 
 def bitmaps(s: np.ndarray, of: np.ndarray, n: np.ndarray) -> list[bytes]:
@@ -231,51 +252,77 @@ def _fits(n1: str, p1: str, n2: str, p2: str) -> str:
     return f"5 * least({n1}, {n2}) >= 4 * greatest({n1}, {n2}) AND 9 * (1 + least({n1} - {p1} - 1, {n2} - {p2} - 1)) >= 4 * ({n1} + {n2})"
 
 
-def _near_pairs(postings: DataFrame, light: int, size: int = 8) -> DataFrame:
+def _near_pairs(postings: DataFrame, light: int, salt: int, size: int = 8) -> DataFrame:
     """At most one pair per posting: the classes of a list and size band are dealt into buckets of about ``size``, anew
-    for every list, and paired with their bucket's smallest if that has another component. Classes that share many
-    rare shingles so meet many different partners, which connects large groups of copies without looking at all
-    their pairs."""
+    for every list and ``salt``, and paired with one of their bucket, of the largest component there if possible. Classes
+    that share many rare shingles so meet many different partners, which connects large groups of copies without
+    looking at all their pairs."""
     banded = postings.withColumn("band", F.floor(F.log("n") / float(np.log(1.25))))
     lengths = banded.groupBy("shingle", "band").agg(F.count("*").alias("len")).where("len > 1")
-    dealt = banded.join(lengths, ["shingle", "band"]).withColumn("bucket", F.expr(f"pmod(xxhash64(shingle, cls), ceil(len / {size}))"))
-    lead = dealt.groupBy("shingle", "band", "bucket").agg(F.min(F.struct("n", "cls", "pos", "comp")).alias("l"))
+    dealt = banded.join(lengths, ["shingle", "band"]).withColumn("bucket", F.expr(f"pmod(xxhash64(shingle, cls, {salt}), ceil(len / {size}))"))
+    lead = dealt.groupBy("shingle", "band", "bucket").agg(F.min(F.struct((-F.col("weight")).alias("o"), "n", "cls", "pos", "comp")).alias("l"))
     pairs = dealt.join(lead, ["shingle", "band", "bucket"]).where(f"comp <> l.comp AND greatest(n, l.n) > {light} AND {_fits('n', 'pos', 'l.n', 'l.pos')}")
     return pairs.select(F.least("cls", "l.cls").alias("a"), F.greatest("cls", "l.cls").alias("b")).distinct()
 
 
-def _list_pairs(postings: DataFrame, light: int, block: int) -> DataFrame:
+def _list_pairs(postings: DataFrame, folds: DataFrame, light: int, block: int) -> DataFrame:
     """All pairs of a list's classes that lie in different components and may be similar.
 
     Each such pair has a class outside the list's most frequent component, so only these are held against the whole
-    list. Where they are more than ``block``, they are cut into blocks, each of which meets the list in a task of its
-    own.
+    list. In lists of more than CROWDED such pairs bitmaps travel with the postings, so that a pair which they rule out
+    is never a row; and where the classes outside are more than ``block``, they are cut into blocks, each of which meets
+    the list in a task of its own.
     """
     parts = postings.groupBy("shingle", "comp").agg(F.count("*").alias("k"))
-    lists = parts.groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), (F.sum("k") - F.max("k")).alias("others")).where("others > 0")
-    rows = postings.join(lists, "shingle").withColumn("blocks", F.ceil(F.col("others") / block).cast("int"))
-    left = rows.where("comp <> top").select("shingle", F.expr("cast(pmod(xxhash64(cls), blocks) as int)").alias("part"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-    right = rows.select("shingle", "top", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
-    same = left.join(right, ["shingle", "part"]).where(f"ca <> cb AND (cb = top OR a < b) AND greatest(na, nb) > {light} AND {_fits('na', 'pa', 'nb', 'pb')}")
-    return same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    lists = parts.groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), (F.sum("k") - F.max("k")).alias("others"), F.sum("k").alias("len")).where("others > 0")
+    rows = postings.select("shingle", "cls", "n", "pos", "comp").join(lists, "shingle")
+    small = rows.where(f"others * len <= {CROWDED}").withColumn("blocks", F.lit(1))
+    crowded = rows.where(f"others * len > {CROWDED}").withColumn("blocks", F.ceil(F.col("others") / block).cast("int")).join(folds, "cls")
+    crowded = materialize(crowded, "crowded_postings")
+    narrow = " + ".join(f"bit_count(fa[{i}] ^ fb[{i}])" for i in range(NARROW // 64))
+    wide = "aggregate(zip_with(fa, fb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    found = []
+    for some, fold, more in (
+        (small, F.lit(None), "true"),
+        (crowded.where("narrow IS NOT NULL"), F.col("narrow"), f"greatest(na, nb) <= {NARROW_SETS} AND 9 * ({narrow}) <= na + nb"),
+        (crowded.where("wide IS NOT NULL"), F.col("wide"), f"greatest(na, nb) > {NARROW_SETS} AND 9 * ({wide}) <= na + nb"),
+    ):
+        side = lambda part, x: [F.col("shingle").alias(f"s{x}"), part.alias(f"p{x}"), F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p_{x}"), F.col("comp").alias(f"c{x}"), fold.alias(f"f{x}")]  # noqa: E731, B023
+        left = some.where("comp <> top").select(*side(F.expr("cast(pmod(xxhash64(cls), blocks) as int)"), "a"))
+        right = some.select(*side(F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "b"), "top")
+        fits = f"sa = sb AND pa = pb AND ca <> cb AND (cb = top OR a < b) AND greatest(na, nb) > {light} AND {_fits('na', 'p_a', 'nb', 'p_b')} AND {more}"
+        found.append(left.join(right, F.expr(fits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return found[0].union(found[1]).union(found[2]).distinct()
 
 
 def _labelled(postings: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The postings of lists that hold more than one component, with their component; and the components."""
+    """The postings of lists that hold more than one component, with their component and its share of the list; and the
+    components."""
     comp = components(links)
     x = postings.select("shingle", "cls", "n", "pos").join(comp, postings.cls == comp.node, "left").select("shingle", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp"))
     mixed = x.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle")
-    return materialize(x.join(mixed, "shingle"), "labelled_postings"), comp
+    x = materialize(x.join(mixed, "shingle"), "mixed_postings")
+    parts = x.groupBy("shingle", "comp").agg(F.count("*").alias("weight"))
+    return materialize(x.join(parts, ["shingle", "comp"]), "labelled_postings"), comp
 
 
-def similar_documents(docs: DataFrame, max_hot: int = 200_000, block: int = 256, broadcast_ids: int = 500_000) -> DataFrame:
+def _apart(postings: DataFrame) -> int:
+    """In how many list places a class lies outside its list's largest component."""
+    parts = postings.groupBy("shingle", "comp").agg(F.count("*").alias("k"))
+    lists = parts.groupBy("shingle").agg((F.sum("k") - F.max("k")).alias("others"))
+    return lists.agg(F.sum("others")).first()[0] or 0
+
+
+def similar_documents(docs: DataFrame, max_hot: int = 200_000, block: int = 1024, broadcast_ids: int = 500_000) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
-    Null texts, empty ones and those without words have no shingles and are linked with nothing. Repeated rows
-    are links like others; rows with a null id take part but can't name a component. An empty table gives an
-    empty result. Shingles are compared by 64-bit hashes. ``max_hot`` bounds the list of frequent shingles that
-    is broadcast: these come last in the order of prefixes, which changes the cost but never the result.
+    Null texts, empty ones and those without words have no shingles and are linked with nothing. Repeated rows, and
+    rows of one id with different texts, are links like others (each row's component is that of its own text); rows with
+    a null id take part, also as bridges, but can't name a component: one of null ids only has the component null. An
+    empty table gives an empty result. Shingles are compared by 64-bit hashes. ``max_hot`` bounds the list of frequent
+    shingles that is broadcast: these come last in the order of prefixes, which changes the cost but never the result.
     """
+    modest_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = materialize(_survey(docs), "survey")
     hot = found.where("kind = 0 AND n >= 8").orderBy(F.col("n").desc(), "key").limit(max_hot).select("key", "n").toArrow()
@@ -290,28 +337,39 @@ def similar_documents(docs: DataFrame, max_hot: int = 200_000, block: int = 256,
     shared = flat.groupBy("shingle").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("shingle")
     postings = materialize(flat.join(shared, "shingle").select("shingle", "cls", "n", "pos").distinct(), "postings")
 
-    # one text per class that is on such a list
-    reps = sets.join(postings.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL")
+    # one text and set of bitmaps per class that is on such a list: of one of its rows, known by id and text
+    first = sets.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("r"))
+    reps = first.join(postings.select("cls").distinct(), "cls").select("cls", F.col("r.doc_id").alias("r_id"), F.col("r.th").alias("r_th"))
     reps = materialize(reps, "representatives")
     reps = F.broadcast(reps) if reps.count() <= broadcast_ids else reps
-    texts = materialize(docs.join(reps, "doc_id").dropDuplicates(["cls"]).select("cls", "text"), "texts")
-    sketches = materialize(sets.select("doc_id", "n", "sketch").join(reps, "doc_id").dropDuplicates(["cls"]).select("cls", "n", "sketch"), "sketches")
-
-    # first a few pairs of some lists, then of every list that still has several components: they connect most of a
-    # large group
-    first = postings.where(F.pmod(F.xxhash64("shingle"), F.lit(FIRST_LISTS)) == 0).withColumn("comp", F.col("cls"))
-    links = materialize(_light_edges(sets).union(_verify(_near_pairs(first, light), sketches, texts)), "links")
-    now, _ = _labelled(postings, links)
-    links = links.union(materialize(_verify(_near_pairs(now, light), sketches, texts), "more_links"))
+    own = lambda d, th: d.join(reps.withColumnRenamed("cls", "r_cls"), F.col("doc_id").eqNullSafe(F.col("r_id")) & (th == F.col("r_th"))).dropDuplicates(["r_cls"])
+    texts = materialize(own(docs, F.xxhash64("text")).select(F.col("r_cls").alias("cls"), "text"), "texts")
+    sketches = materialize(own(sets, F.col("th")).select("cls", "n", "sketch", "narrow", "wide"), "sketches")
+    folds, sketches = sketches.select("cls", "narrow", "wide"), sketches.select("cls", "n", "sketch")
+
+    # rounds of few pairs, first of some lists, then of all that hold several components: they connect most of large groups
+    now = postings.where(F.pmod(F.xxhash64("shingle"), F.lit(FIRST_LISTS)) == 0).withColumn("comp", F.col("cls")).withColumn("weight", F.lit(1))
+    links = materialize(_light_edges(sets).union(_verify(_near_pairs(now, light, 0), sketches, texts)), "links")
+    now, comp = _labelled(postings, links)
+    before = _apart(now)
+    for k in range(1, ROUNDS):
+        if not before:
+            break
+        more = materialize(_verify(_near_pairs(now, light, k), sketches, texts), "more_links")
+        links = links.union(more)
+        now, comp = _labelled(now, links)
+        after = _apart(now)
+        if before - after < 0.02 * before:
+            break
+        before = after
 
     # then all pairs of each list that are still in different components
-    now, comp = _labelled(now, links)
-    rest = materialize(_verify(_list_pairs(now, light, block), sketches, texts), "last_links")
+    rest = materialize(_verify(_list_pairs(now, folds, light, block), sketches, texts), "last_links")
     if not rest.isEmpty():
         comp = components(links.union(rest))
 
     grouped = materialize(sets.join(comp, sets.cls == comp.node, "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("grp")), "grouped")
-    least = grouped.where("grp IS NOT NULL").groupBy("grp").agg(F.min("doc_id").alias("least"))
+    least = materialize(grouped.where("grp IS NOT NULL").groupBy("grp").agg(F.min("doc_id").alias("least")), "least_ids")
     out = grouped.join(least, "grp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("grp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 

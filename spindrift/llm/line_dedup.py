@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_parts, table
+from .common import materialize, modest_batches, small_parts, table
 
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
 MIN_WORDS = 50
@@ -78,6 +78,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     overlap their own first occurrence lose only the lines beyond it. Everything is grouped by hashes with
     partial minima, so a passage that a third of all documents share costs rows, not pairs.
     """
+    modest_batches(docs.sparkSession)
     rows = docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
     found = materialize(_all_windows(rows, min_words), "windows")
     place = F.struct("id", "rk", "fp_at")

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_parts, table, text_bytes, word_spans
+from .common import materialize, modest_batches, small_parts, table, text_bytes, word_spans
 
 LENGTH, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 K1, B = 1.2, 0.75
@@ -385,6 +385,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, cache_words: int = 300
             marks = [pa.array(x) for x in shelf_marks(part.column(1), corpus)]
             yield pa.RecordBatch.from_arrays([*part.columns, *marks], names=["doc_id", "text", "shelf", "mark"])
 
+    modest_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     corpus = corpus_of(rows)
     order = ["shelf", "mark", "salt"]

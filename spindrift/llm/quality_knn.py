@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, shingles, small_parts, table, text_bytes, word_hashes
+from .common import mix, modest_batches, shingles, small_parts, table, text_bytes, word_hashes
 from .labelled import held_out, sample_labels
 
 DIM, RANK, NEIGHBOURS = 1024, 48, 25
@@ -134,6 +134,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000)
     import pyarrow as pa
 
     spark = docs.sparkSession
+    modest_batches(spark)
     model = spark.sparkContext.broadcast(fit_quality(docs, labels, max_labelled))
 
     def run(batches):

@@ -9,11 +9,12 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_parts, table
+from .common import materialize, modest_batches, small_parts, table
 from .labelled import held_out, sample_labels, share
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MIXED = re.compile(r"[^\W\d_]+(?:[0-9@$!|*._-]+[^\W\d_]+)+")
+_SIGNS = re.compile(r"(?<=[^\W\d_])[0-9@$!|*._-]+(?=[^\W\d_])")
 _SPACED = re.compile(r"\b[^\W\d_](?:[ .*_-][^\W\d_]\b){3,}")
 _LEET = str.maketrans("013457@$!|", "oieastasil", "*._- ")
 #: Second-person words of the four languages.
@@ -21,6 +22,8 @@ YOU = frozenset(("you", "your", "yours", "yourself", "u", "ur", "du", "dich", "d
 #: Word beginnings that the lexicon may hold beside whole words, so that inflected forms count.
 STEMS = (4, 5)
 NEAR = 5
+#: Share of the raw score in a calibrated one: it only orders documents that the calibration scores alike.
+TIE = 1e-6
 FEATURES = ("log_words", "hit_rate", "log_hits", "max_weight", "weight_rate", "near_you_rate", "you_rate", "capital_rate", "shout_rate", "punct_rate", "obfuscated_rate", "obfuscated_hits")
 
 
@@ -29,24 +32,54 @@ def keys(token: str) -> list[str]:
     return [token, *(f"{n}:{token[:n]}" for n in STEMS if len(token) > n - 1)]
 
 
-def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
+def disguised(text: str) -> list[str]:
+    """Words written with signs or digits within, or letter by letter; one that is both at one place counts once.
+
+    Matches of _MIXED are looked for where signs stand between letters only, which few places are.
+    """
+    written, end = {}, 0
+    for m in _SIGNS.finditer(text):
+        at = m.start()
+        if at < end:
+            continue
+        while at > end and text[at - 1].isalnum() and not text[at - 1].isdecimal():
+            at -= 1
+        if found := _MIXED.match(text, at):
+            written[at], end = found[0], found.end()
+    for m in _SPACED.finditer(text):
+        written[m.start()] = m[0]
+    return list(written.values())
+
+
+class Weights(dict):
+    """Token -> weight (0 for most), looked up in a lexicon once; MEMO tokens are remembered at a time."""
+
+    MEMO = 100_000
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon = lexicon
+
+    def __missing__(self, t: str) -> float:
+        found = self.lexicon.get
+        if len(self) >= self.MEMO:
+            self.clear()
+        w = self[t] = found(t) or (found("4:" + t[:4]) or found("5:" + t[:5]) if len(t) > 3 else None) or 0.0
+        return w
+
+
+def features(text: str | None, lexicon: dict[str, float], weigh: Weights | None = None) -> list[float]:
     """The dense features of a whole text; null and empty texts have zeros."""
-    text = text or ""
+    text, weigh = text or "", Weights(lexicon) if weigh is None else weigh
     tokens = _WORD.findall(text.lower())
     n = len(tokens)
-    hits = []
-    for i, t in enumerate(tokens):
-        w = lexicon.get(t) or (lexicon.get("4:" + t[:4]) or lexicon.get("5:" + t[:5]) if len(t) > 3 else None)
-        if w:
-            hits.append((i, w))
+    hits = [(i, w) for i, t in enumerate(tokens) if (w := weigh[t])]
     you = [i for i, t in enumerate(tokens) if t in YOU]
     near, j = 0, 0
     for i, _ in hits:
         while j < len(you) and you[j] < i - NEAR:
             j += 1
         near += j < len(you) and you[j] <= i + NEAR
-    written = {m.start(): m[0] for r in (_MIXED, _SPACED) for m in r.finditer(text)}  # both may match at one place
-    odd = [x.lower().translate(_LEET) for x in written.values()]
+    odd = [x.lower().translate(_LEET) for x in disguised(text)]
     odd_hits = sum(any(k in lexicon for k in keys(t)) for t in odd)
     upper, letters, size = sum(map(str.isupper, text.split())), sum(map(len, tokens)), max(n, 1)
     weights = [w for _, w in hits]
@@ -97,8 +130,9 @@ def feature_rows(rows: DataFrame, lexicon: dict[str, float], keep: tuple[str, ..
     import pyarrow as pa
 
     def run(batches):
+        weigh = Weights(lexicon)
         for b in small_parts(batches, "text"):
-            got = [features(x, lexicon) for x in b.column(b.schema.get_field_index("text")).to_pylist()]
+            got = [features(x, lexicon, weigh) for x in b.column(b.schema.get_field_index("text")).to_pylist()]
             cols = list(zip(*got, strict=True)) or [()] * len(FEATURES)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in keep), *(pa.array(c, pa.float64()) for c in cols)], names=[*keep, *FEATURES])
 
@@ -129,8 +163,8 @@ class ToxicityModel:
         x = self._raw(x)
         if self.calibration is None:
             return x.withColumn("score", F.col("margin"))
-        # the calibration is a step function; a tenth of the raw score keeps ranks apart within its steps
-        return self.calibration.transform(x).withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.9 * F.col("prediction_iso") + 0.1 * F.col("margin"))))
+        # the calibration is a step function; a millionth of the raw score keeps ranks apart within its steps
+        return self.calibration.transform(x).withColumn("score", (1 - TIE) * F.col("prediction_iso") + TIE * F.col("margin"))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> ToxicityModel:
@@ -142,6 +176,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000)
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import IsotonicRegression
 
+    modest_batches(docs.sparkSession)
     chosen = sample_labels(labels, "toxic", 5, 0, max_labelled)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").withColumn("part", share("doc_id", "part"))
     rows = materialize(rows, "toxic_sample")
@@ -163,8 +198,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000)
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
-    Null and empty texts are scored by their (zero) features; repeated rows get equal scores; null ids are scored
-    but never learnt from; an empty table gives an empty result.
+    Null and empty texts are scored by their (zero) features, very long ones whole (rates don't depend on length);
+    repeated rows get equal scores; null ids are scored but never learnt from; an empty table gives an empty result.
     """
     model = fit_toxicity(docs, labels, max_labelled)
     out = model.score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ("doc_id",))
@@ -176,7 +211,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.5) -> DataFrame:
-    """Pipeline stage: documents scored below ``threshold`` stay, with the columns they came with."""
+    """Pipeline stage: documents scored below ``threshold`` stay, with the columns they came with.
+
+    Other columns travel beside the text in one struct, so that no name clashes with the model's and no text is sent
+    to the workers twice.
+    """
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select("text", F.struct(*docs.columns).alias("__row"))  # so that no name clashes with the model's
-    return model.score(rows, ("__row",)).where(F.col("score") < threshold).select("__row.*")
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select("text", F.struct(*rest).alias("__rest"))
+    kept = model.score(rows, ("text", "__rest")).where(F.col("score") < threshold)
+    return kept.select(*("text" if c == "text" else F.col("__rest")[c].alias(c) for c in docs.columns))

@@ -96,3 +96,41 @@ def test_bitmaps_never_rule_out_similar_sets(a, extra):
     x, y = bitmaps(s, of, n)
     if 100 * len(a & b) >= 80 * len(a | b):
         assert may_be_similar([x], [y], n[:1], n[1:])[0]
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(6):
+        for part in (0, 1):
+            w = [f"d{i}_{part}_{k}" for k in range(60)]
+            rows.append((i, " ".join(w)))
+            w[int(rng.integers(60))] = "changed"
+            rows.append((100 + 10 * i + part, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {(r["doc_id"], r["component_id"]) for r in similar_documents(df).collect()}
+    assert out == {(i, i) for i in range(6)} | {(100 + 10 * i + part, i) for i in range(6) for part in (0, 1)}
+
+
+def test_null_ids_bridge(spark):
+    base = [f"w{k}" for k in range(104)]
+    near = lambda at: " ".join(f"x{k}" if k in at else w for k, w in enumerate(base))
+    rows = [(5, near({10, 40})), (None, near({})), (6, near({60, 90})), (None, "other words of nobody at all"), (7, "nothing like it in here at all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = sets_of([t for _, t in rows])
+    assert 100 * len(sets[0] & sets[2]) < 80 * len(sets[0] | sets[2])
+    got = sorted(((r["doc_id"], r["component_id"]) for r in similar_documents(df).collect()), key=str)
+    assert got == sorted([(5, 5), (None, 5), (6, 5), (None, None), (7, 7)], key=str)
+
+
+@pytest.mark.parametrize("size", [30, 470])
+def test_narrow_and_wide_bitmaps_agree_with_brute_force(spark, size):
+    rng = np.random.default_rng(size)
+    base = [f"v{i}" for i in range(size)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for at in rng.integers(0, size, rng.integers(0, 2 + size // 25)):
+            w[at] = f"t{i}_{at}"
+        rows.append((i, " ".join(w[: size - int(rng.integers(0, size // 8))])))
+    assert got(spark, rows, block=7) == brute(rows)

@@ -14,13 +14,14 @@ _SPACES = re.compile(r"[\x20\x09-\x0D]+")
 MIN_WORDS = 50
 
 
-def windows(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int, int]]:
-    """(start line, end line, fingerprint, fingerprint's line, window hash) of every shortest run of lines with
-    ``min_words`` words or more.
-
-    Lines are numbered as they stand, those without words don't count, and lines compare by their words. A
-    window is shortest from its first line on, or back from its last; the fingerprint is its least line hash, so
-    any repeated run of ``min_words`` words has a window whose fingerprint is selected in both places.
+def places(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
+    """(fingerprint, its line, the windows that selected it) of every selected fingerprint; a window is (start line, end
+    line, hash of its lines).
+
+    Lines are numbered as they stand, those without words don't count, and lines compare by their words. Windows are the
+    shortest runs of lines with ``min_words`` words or more, from their first line on or back from their last; each
+    selects its least line hash (the first of equal ones), so any repeated run of ``min_words`` words has a window that
+    selects the same line in both places.
     """
     at, count, marks = [], [], []
     for i, line in enumerate((text or "").split("\n")):
@@ -47,53 +48,64 @@ def windows(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int
             break
         found.add((start, end))
         total -= count[end]
-    out = []
+    selected: dict[int, list[tuple[int, int, int]]] = {}
     for a, b in sorted(found):
         low = min(range(a, b + 1), key=lambda k: (marks[k], k))
         body = b"".join(m.to_bytes(8, "little", signed=True) for m in marks[a : b + 1])
-        out.append((at[a], at[b], marks[low], at[low], int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True)))
-    return out
+        selected.setdefault(low, []).append((at[a], at[b], int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True)))
+    return [(marks[k], at[k], runs) for k, runs in selected.items()]
 
 
-def _all_windows(rows: DataFrame, min_words: int) -> DataFrame:
+def _all_places(rows: DataFrame, min_words: int) -> DataFrame:
     import pyarrow as pa
 
-    names = ["rk", "id", "start", "end", "fp", "fp_at", "win"]
+    window = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("win", pa.int64())]))
 
     def run(batches):
         for b in small_parts(batches, "text"):
-            got = [(k, i, *w) for k, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) for w in windows(t, min_words)]
-            cols = list(zip(*got, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+            got = [(k, i, *p) for k, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) for p in places(t, min_words)]
+            cols = list(zip(*got, strict=True)) or [()] * 5
+            runs = pa.array([[{"start": s, "end": e, "win": w} for s, e, w in x] for x in cols[4]], window)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=False)), runs], names=["rk", "id", "fp", "fp_at", "windows"])
 
-    return rows.mapInArrow(run, "rk long, id long, start int, end int, fp long, fp_at int, win long")
+    return rows.mapInArrow(run, "rk long, id long, fp long, fp_at int, windows array<struct<start: int, end: int, win: long>>")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(rk, runs): the line ranges to delete of each row that has some; rk is xxhash64(doc_id, text).
+    """(rk, runs): the disjoint line ranges to delete of each row that has some; rk is xxhash64(doc_id, text).
 
-    Fingerprints found at two places or more are joined with their windows, which extend matches to both sides;
-    of windows with equal lines the first by (doc_id, line) stays and the later ones are deleted. Runs that
-    overlap their own first occurrence lose only the lines beyond it. Everything is grouped by hashes with
-    partial minima, so a passage that a third of all documents share costs rows, not pairs.
+    Selected fingerprints are joined by their hash; only those at two places or more bring their windows along. From a
+    shared fingerprint the match is extended to both sides as far as windows agree: of windows with equal lines the
+    first by (doc_id, line) stays and the later ones are deleted, and overlapping ones make one run. Runs that overlap
+    their own first occurrence lose only the lines beyond it. Everything is grouped by hashes with partial minima, so a
+    passage that a third of all documents share costs rows, not pairs.
     """
     modest_batches(docs.sparkSession)
     rows = docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
-    found = materialize(_all_windows(rows, min_words), "windows")
+    found = materialize(_all_places(rows, min_words), "places")
     place = F.struct("id", "rk", "fp_at")
-    marks = found.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select("fp")
-    seen = found.join(marks, "fp").select("rk", "id", "start", "end", "win")
-    first = found.groupBy("win").agg(F.min(F.struct("id", "rk", "start", "end")).alias("f"), F.max(F.struct("id", "rk", "start", "end")).alias("l")).where("f < l").drop("l")
-    later = seen.join(first, "win").where("struct(id, rk, start, end) > f")
+    shared = found.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select("fp")
+    near = materialize(found.join(shared, "fp").select("rk", "id", F.explode("windows").alias("w")).select("rk", "id", "w.*"), "shared_windows")
+    run = F.struct("id", "rk", "start", "end")
+    first = near.groupBy("win").agg(F.min(run).alias("f"), F.max(run).alias("l")).where("f < l").drop("l")
+    later = near.join(first, "win").where("struct(id, rk, start, end) > f")
     start = F.when(F.col("rk") == F.col("f.rk"), F.greatest(F.col("start"), F.col("f.end") + 1)).otherwise(F.col("start"))
-    return later.select("rk", F.struct(start.alias("a"), F.col("end").alias("b")).alias("run")).where("run.a <= run.b").groupBy("rk").agg(F.collect_set("run").alias("runs"))
+    runs = later.select("rk", F.struct(start.alias("a"), F.col("end").alias("b")).alias("run")).where("run.a <= run.b").groupBy("rk").agg(F.array_sort(F.collect_set("run")).alias("runs"))
+    return runs.select("rk", F.expr(_MERGED).alias("runs"))
+
+
+#: Sorted line ranges that touch or overlap, made into one.
+_MERGED = """aggregate(runs, cast(array() AS array<struct<a: int, b: int>>), (m, r) ->
+  CASE WHEN size(m) > 0 AND r.a <= element_at(m, -1).b + 1
+  THEN concat(slice(m, 1, size(m) - 1), array(named_struct('a', element_at(m, -1).a, 'b', greatest(element_at(m, -1).b, r.b))))
+  ELSE concat(m, array(r)) END)"""
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated runs deleted from text, all other columns as they were, plus __lines and __deleted.
 
-    Null and empty texts stay as they are; a text whose lines are all repeated becomes empty but its row stays.
+    Null and empty texts stay as they are; a text whose lines are all repeated becomes empty but its row stays; a text
+    of one line, however long, can only repeat as a whole.
     Rows equal in doc_id and text are one document, so neither repeats the other.
     """
     runs = repeated_runs(docs, min_words).withColumnRenamed("rk", "__rk").withColumnRenamed("runs", "__runs")

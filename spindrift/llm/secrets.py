@@ -34,6 +34,8 @@ _RUN = re.compile(rf"{_QUOTED}|[A-Za-z0-9_+/.=-]+", re.A)
 #: A bare run that is one base64 literal, whose + are its own digits.
 _BASE64 = re.compile(r"(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])(?=.{16})[A-Za-z0-9+/]+={0,2}\Z")
 _IDENT = re.compile(r"[A-Za-z_$][\w$.-]*\Z", re.A)
+#: Names as code writes them: an unbound one is a reference to something else, no literal.
+_NAME_ONLY = re.compile(r"[A-Za-z_$][A-Za-z_$]*(?:\.[A-Za-z_$][A-Za-z_$]*)*\Z")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
@@ -94,9 +96,10 @@ def _terms(body: str, bound: dict) -> list[tuple[str, int, int]]:
 def flow_spans(text: str, threshold: float = 0.75) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive target, directly or through names assigned before.
 
-    Assignments are read in order: ``name op terms``. A literal term is itself; a name term stands for the literals
-    last bound to it (constants are propagated, also through + joins), ``+=`` adds to what its target is bound to. A
-    literal is reported when the product of its target's name score and its own score reaches ``threshold`` squared,
+    Assignments are read in order: ``name op terms``. A quoted term is a literal; a name term stands for the literals
+    last bound to it (constants are propagated, also through + joins), ``+=`` adds to what its target is bound to. Other
+    bare terms are literals (of env, ini and yaml files) only if they stand alone, aren't called or indexed and aren't
+    mere names. A literal is reported when the product of its target's name score and its own score reaches ``threshold`` squared,
     with a name score of 0.5 at least. A binding refers to those that it is made of and counts its characters, so
     all spans and whole values are carried, and names doubled again and again cost no more than others.
     """
@@ -117,7 +120,7 @@ def flow_spans(text: str, threshold: float = 0.75) -> list[tuple[int, int]]:
                 for c, n in bound[term][0].items():
                     counts[c] += n
                 parts.append(bound[term][1])
-            else:
+            elif len(terms) == 1 and text[m.end() : m.end() + 1] not in ("(", "[") and not _NAME_ONLY.match(term):
                 counts.update(term)
                 parts.append((m.start(3) + a, m.start(3) + b))
         made = ("made of", parts)

@@ -208,6 +208,74 @@ def test_names_join_without_blanks_and_by_addition():
         assert [text[a:b] for a, b in secrets.flow_spans(text)] == [value]
 
 
+def test_code_is_no_literal():
+    for text in ('db_pass = base + tail', 'secret = os.environ["X"]', "password = get_password_from_vault()", "api_key = config.keys.primary", "token = load2tokens(path)", 'auth_token = "ab" + reader'):
+        assert secrets.flow_spans(text) == [], text
+    for text, value in (("DB_PASSWORD=q9Zx7Lk2Wm4R", "q9Zx7Lk2Wm4R"), ("db_password: q9Zx7-Lk2Wm4R", "q9Zx7-Lk2Wm4R"), ("[db]\npassword = q9Zx7Lk2/Wm4R", "q9Zx7Lk2/Wm4R"), ('{"client_secret": "q9Zx7Lk2Wm4R"}', "q9Zx7Lk2Wm4R")):
+        assert [text[a:b] for a, b in secrets.flow_spans(text)] == [value], text
+
+
+def scanned(text):
+    """The base spans by walking over the characters, without the operator's patterns."""
+    out, low = [], "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    value, upper, digits = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), set("0123456789abcdef")
+
+    def run(at, kind):
+        while at < len(text) and text[at] in kind:
+            at += 1
+        return at
+
+    def assignment(at):
+        for name in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if low.startswith(name, at):
+                k = at + len(name)
+                k += text[k : k + 1] in ("'", '"') and k < len(text)
+                k = run(k, {" "})
+                if text[k : k + 1] in (":", "=") and k < len(text):
+                    k = run(k + 1, {" "})
+                    k += text[k : k + 1] in ("'", '"') and k < len(text)
+                    if (end := run(k, value)) > k:
+                        return k, end
+        return None
+
+    at = 0
+    while at < len(text):
+        if got := assignment(at):
+            if got[1] - got[0] >= 8:
+                out.append((at, 0, got[1]))
+            at = got[1]
+        else:
+            at += 1
+    at = 0
+    while at < len(text):
+        end = run(at + 4, upper) if text.startswith("AKIA", at) else at
+        if end > at + 4:
+            if end - at >= 16:
+                out.append((at, 1, end))
+            at = end
+        else:
+            at += 1
+    at = 0
+    while at < len(text):
+        if (end := run(at, digits)) > at:
+            if end - at >= 32:
+                out.append((at, 2, end))
+            at = end
+        else:
+            at += 1
+    return sorted(out)
+
+
+def test_base_spans_against_a_plain_scan():
+    texts = [r[0] for r in __import__("pyarrow.parquet", fromlist=["x"]).read_table(f"{SF}/documents.parquet", columns=["text"]).to_pandas().itertuples(index=False)]
+    rng = np.random.default_rng(7)
+    bits = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", "apI_", '"', "'", " ", "  ", ":", "=", "abcd1234", "x/+=-_.", "AKIA", "ABCDEFGHIJKL", "0123456789abcdef", "\n", "é", "ſecret", "="]
+    texts += ["".join(bits[k] for k in rng.integers(0, len(bits), rng.integers(1, 30))) for _ in range(3000)]
+    assert sum(len(scanned(t or "")) for t in texts) > 100
+    for t in texts:
+        assert secrets.base_spans(t or "") == scanned(t or ""), t
+
+
 def test_every_span_of_a_long_join_is_carried():
     text = "".join(f'p{i} = "k{i}Zx"\n' for i in range(300)) + "joined = " + " + ".join(f"p{i}" for i in range(300)) + "\ndb_pass = joined"
     assert len(secrets.flow_spans(text)) == 300
@@ -259,6 +327,16 @@ def test_lines(spark):
     assert sum(n for _, n in want.values()) > 100 and line_dedup.without_repeats(df.limit(0)).count() == 0
 
 
+def test_matches_are_extended_beyond_their_fingerprints():
+    """A repeated run longer than a window: every line of it lies in a shared window, few of them are fingerprints."""
+    lines = [f"line {k} has exactly six words" for k in range(40)]
+    a, b = (line_dedup.places("\n".join([head, *lines, tail])) for head, tail in (("one head", "one tail"), ("two heads", "two tails")))
+    shared = {fp for fp, *_ in a} & {fp for fp, *_ in b}
+    wins = {w[2] for fp, _, ws in a if fp in shared for w in ws}
+    covered = {k for fp, _, ws in b if fp in shared for s, e, w in ws if w in wins for k in range(s, e + 1)}
+    assert covered == set(range(1, 41)) and len(shared) < 20
+
+
 # --- mixing ---
 
 

@@ -101,9 +101,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, leaf: int
     """One row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero or hold null or non-finite numbers, have no label or no id, are linked with
-    nothing. Vectors of different lengths aren't compared. Exact copies are one class and are counted, not paired.
-    The forest is fitted on about ``max_sample`` vectors at most (a bound on what the driver gathers and broadcasts)
-    and indexes every row; its depth follows the number of classes. In a leaf all vectors of one label are
+    nothing. Vectors of different lengths aren't compared. Exact copies are one class, known by a 64-bit hash of label
+    and vector, and are counted, not paired; one id may have several vectors, each row being linked by its own. The
+    forest is fitted on about ``max_sample`` vectors at most (a bound on what the driver gathers and broadcasts) and
+    indexes every row; its depth follows the number of classes as far as the sample has 32 vectors for a node, beyond
+    which leaves grow with the table. In a leaf all vectors of one label are
     compared exactly, larger leaves in blocks of ``leaf`` by ``leaf``, and a pair counts in the first leaf that both
     lie in, so pairs are never shuffled: a leaf returns sums and one link to its component's root per vector.
     """
@@ -115,17 +117,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, leaf: int
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{wide}>").alias("e"), F.col("label").cast("string").alias("label"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("e") > 0) & finite & F.exists("e", lambda x: x != 0), F.lit(False))
-    key = F.when(usable, F.struct(F.xxhash64("label", "e").alias("x"), F.xxhash64(F.lit(1), "e", "label").alias("y")))
-    keyed = rows.select("vec_id", key.alias("k"))
-    classes = keyed.where("k IS NOT NULL").groupBy("k").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
-    members = materialize(keyed.join(classes, "k", "left").select("vec_id", "rep", "m"), "members")
-    reps = members.where("rep = vec_id").select("rep", "m").dropDuplicates(["rep"])
-    unique = rows.where(usable).join(reps, rows.vec_id == reps.rep).dropDuplicates(["rep"])
-    unique = materialize(unique.select("rep", "m", "label", F.size("e").alias("dim"), "e"), "classes")
+    key = F.when(usable, F.struct(F.xxhash64("label", "e").alias("x")))
+    # a class is known by a hash of label and vector, so that one vec_id may have several vectors
+    keyed = materialize(rows.select("vec_id", key.alias("k")), "members")
+    classes = keyed.where("k IS NOT NULL").groupBy("k").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"))
+    classes = materialize(classes.select(F.col("k.x").alias("rep"), "least", "m"), "class_sizes")
+    one = rows.where(usable).withColumn("rep", F.xxhash64("label", "e")).join(classes.select(F.col("rep").alias("c_rep"), F.col("least"), "m"), (F.col("rep") == F.col("c_rep")) & (F.col("vec_id") == F.col("least")))
+    unique = materialize(one.dropDuplicates(["rep"]).select("rep", "m", "label", F.size("e").alias("dim"), "e"), "classes")
 
     n = unique.count()
     share = int(1_000_000 * min(1.0, max_sample / max(n, 1)))
-    depth = min(max(0, math.ceil(math.log2(max(n, 1) / leaf))), 12)
+    depth = max(0, math.ceil(math.log2(max(n, 1) / leaf)))
     forests = {}
     if n:
         got = unique.where(F.pmod(F.xxhash64(F.lit("forest"), "rep"), F.lit(1_000_000)) < share).select("dim", "e").toArrow()
@@ -159,12 +161,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, leaf: int
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).where("a <> b").distinct())
-    per_class = reps.join(links, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
-    out = members.join(per_class.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"), "left")
+    # a component is named by its smallest vec_id
+    per_class = classes.select("rep", "least", "m").join(links, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    per_class = per_class.select("rep", "least", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("grp"))
+    per_class = materialize(per_class, "class_links")
+    names = per_class.groupBy("grp").agg(F.min("least").alias("component"))
+    per_class = materialize(per_class.join(names, "grp").select(F.col("rep").alias("r"), "n", "component"), "class_components")
+    out = keyed.select("vec_id", F.col("k.x").alias("rep")).join(per_class, F.col("rep") == F.col("r"), "left")
     component = F.coalesce("component", "vec_id")
-    return out.select(
-        "vec_id", F.coalesce(F.col("m") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"),
-    )
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
 
@@ -164,12 +165,38 @@ def test_embeddings(spark):
     assert sorted(embeddings.near_duplicates(nulls).collect(), key=str) == sorted([(None, 0, None, None), (3, 0, 3, True)], key=str)
 
 
-def test_recall_of_the_forest(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in df.collect()]
-    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df, leaf=64).collect()}
-    want = {int(i): n for i, n, _ in brute_links(rows)}
-    assert sum(got.values()) >= 0.99 * sum(want.values()) > 0 and all(got[i] <= n for i, n in want.items())
+def test_one_id_with_several_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(12):
+        for part in (0, 1):
+            v = rng.standard_normal(24)
+            rows.append((i, [float(x) for x in v], 1))
+            rows.append((100 + 10 * i + part, [float(x) for x in v + 0.02 * rng.standard_normal(24)], 1))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in embeddings.near_duplicates(df, leaf=8).collect())
+    assert got == brute_links(rows) and sum(n for _, n, _ in got) == 48
+
+
+@pytest.mark.parametrize(("n", "dim", "leaf"), [(3000, 32, 64), (6000, 64, 512)])
+def test_recall_of_the_forest(spark, n, dim, leaf):
+    """Pairs planted just above the threshold among unrelated vectors, found by blocked brute force and by the forest."""
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, n // 2, 2):  # the second of a pair at a cosine between 0.98 and 0.99
+        u = rng.standard_normal(dim)
+        u -= (u @ x[i]) * x[i]
+        c = rng.uniform(0.9801, 0.99)
+        x[i + 1] = c * x[i] + math.sqrt(1 - c * c) * u / np.linalg.norm(u)
+    df = spark.createDataFrame([(i, [float(v) for v in row], 1) for i, row in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df, leaf=leaf).collect()}
+    want = {}
+    for a in range(0, n, 1000):
+        near = (x[a : a + 1000] @ x.T >= embeddings.THRESHOLD).sum(1) - 1
+        want |= dict(zip(range(a, a + 1000), near.tolist(), strict=True))
+    assert sum(want.values()) >= n // 2 and sum(got.values()) >= 0.97 * sum(want.values())
+    assert all(got[i] <= k for i, k in want.items())
 
 
 # --- secrets ---

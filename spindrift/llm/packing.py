@@ -17,8 +17,8 @@ from .common import materialize, modest_batches, small_parts, table, text_bytes,
 
 LENGTH, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 K1, B = 1.2, 0.75
-#: Bytes of text in a shard, and terms that a task counts before it hands them on.
-SHARD_BYTES, COUNTED_TERMS = 4 << 20, 2_000_000
+#: Bytes of text in a shard, and words of documents that a task counts before it hands them on.
+SHARD_BYTES, COUNTED_TERMS = 4 << 20, 4_000_000
 
 #: Characters for which the tokenizer's normalizer is lower-casing alone; texts with others are encoded whole.
 _PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e¡-įĲ-ɏ‐-‧€]")
@@ -50,6 +50,41 @@ class _Table:
         return self.ids[where], bounds
 
 
+class _Numbers:
+    """The number of each 64-bit hash met so far, in one open-addressed array: no Python object per word."""
+
+    def __init__(self, capacity: int):
+        self.bits = max(10, int(2 * capacity).bit_length())
+        self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.size = 0
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of the hashes, -1 for new ones."""
+        out = np.full(len(h), -1, np.int64)
+        slot, left = self._slots(h), np.arange(len(h))
+        while len(left):
+            there = self.keys[slot]
+            same = there == h[left]
+            out[left[same]] = self.values[slot[same]]
+            on = ~same & (there != 0)
+            left, slot = left[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Number distinct new hashes in turn."""
+        slot, left, value = self._slots(h), h, self.size + np.arange(len(h), dtype=np.int32)
+        while len(left):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = left[free]
+            won = free & (self.keys[slot] == left)
+            self.values[slot[won]] = value[won]
+            left, value, slot = left[~won], value[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
+        self.size += len(h)
+
+
 class Tokens:
     """Ids of many texts at once. Words are told apart by 64-bit hashes, looked up, and encoded when they are new;
     texts with characters that the tokenizer's normalizer changes beyond lower-casing are encoded whole."""
@@ -71,7 +106,7 @@ class Tokens:
         self.reset()
 
     def reset(self):
-        self.words: dict[int, int] = {}
+        self.numbers = _Numbers(self.capacity)
         self.pieces: dict[str, int] = {}
         self.hashes = np.zeros(0, np.uint64)
         self.word_ids, self.piece_ids = _Table(), _Table()
@@ -84,7 +119,7 @@ class Tokens:
             return [low[:-1], low[-1]]
         return self.split(low)
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         parts = [self._cut(w) for w in words]
         flat = list(itertools.chain.from_iterable(parts))
         new = [p for p in dict.fromkeys(flat) if p not in self.pieces]
@@ -96,30 +131,29 @@ class Tokens:
         at = np.fromiter(map(self.pieces.__getitem__, flat), np.int64, len(flat))
         ids, bounds = self.piece_ids.get(at)
         cut = bounds[np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))))]
-        self.words.update(zip(hashes, range(len(self.words), len(self.words) + len(words)), strict=True))
-        self.hashes = np.concatenate((self.hashes, np.array(hashes, np.uint64)))
+        self.numbers.add(hashes)
+        self.hashes = np.concatenate((self.hashes, hashes))
         self.word_ids.add(np.diff(cut), ids)
 
     def encode(self, column) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """(ids with the end id, word numbers) of each text of an Arrow column; numbers hold within this call."""
-        if len(self.words) > self.capacity:
-            self.reset()
         data, offsets = text_bytes(column)
         data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
         h, counts, start, end = word_spans(data, offsets, lower=False)
-        order = np.argsort(h)
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = h[order][1:] != h[order][:-1]
-        some = order[fresh]
-        keys = h[some].tolist()
-        at = np.fromiter(map(self.words.get, keys, itertools.repeat(-1)), np.int64, len(keys))
-        if len(missing := np.flatnonzero(at < 0)):
+        h += h == 0  # 0 marks a free place
+        word = self.numbers.find(h)
+        if len(missing := np.flatnonzero(word < 0)):
+            fresh, first = np.unique(h[missing], return_index=True)
+            if self.numbers.size + len(fresh) > self.capacity:
+                self.reset()
+                word[:] = -1
+                missing = np.arange(len(h))
+                fresh, first = np.unique(h, return_index=True)
+                self.numbers = _Numbers(max(self.capacity, len(fresh)))
             body = data.tobytes()
-            spans = zip(start[some[missing]].tolist(), end[some[missing]].tolist(), strict=True)
-            at[missing] = len(self.words) + np.arange(len(missing))
-            self._learn([keys[i] for i in missing.tolist()], [body[a:b].decode("utf-8", "replace") for a, b in spans])
-        word = np.empty(len(h), np.int64)
-        word[order] = at[np.cumsum(fresh) - 1]
+            spans = zip(start[missing[first]].tolist(), end[missing[first]].tolist(), strict=True)
+            self._learn(fresh, [body[a:b].decode("utf-8", "replace") for a, b in spans])
+            word[missing] = self.numbers.find(h[missing])
         ids, bounds = self.word_ids.get(word)
         first = np.concatenate(([0], np.cumsum(counts)))
         cut = bounds[first]
@@ -146,13 +180,19 @@ def open_tokens(path: str, capacity: int) -> Tokens:
     return _OPEN[path, capacity]
 
 
-def term_counts(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of an Arrow column of texts: hashes of its words, then text, number and count of each word of each text, and
-    the texts' lengths in words."""
+def term_counts(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of an Arrow column of texts: text, hash and count of each word of each text, text by text, and the texts'
+    lengths in words."""
     h, sizes, _, _ = word_spans(*text_bytes(column), lower=False)
-    words, slot = np.unique(h, return_inverse=True)
-    key, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(len(words), 1) + slot, return_counts=True)
-    return words, key // max(len(words), 1), key % max(len(words), 1), tf, sizes
+    h += h == 0
+    ends = np.cumsum(sizes)
+    for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+        h[a:b].sort()
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = h[1:] != h[:-1]
+    fresh[(ends - sizes)[sizes > 0]] = True
+    at = np.flatnonzero(fresh)
+    return np.repeat(np.arange(len(sizes)), sizes)[at], h[at], np.diff(at, append=len(h)), sizes
 
 
 def _weights(df, tf, sizes, n, mean):
@@ -178,9 +218,9 @@ class Corpus:
                 _MAPPED.clear()
                 _MAPPED[self.names] = [np.memmap(SparkFiles.get(x), kind, "r") for x, kind in zip(self.names, (np.int64, np.uint32), strict=True)]
             keys, counts = _MAPPED[self.names]
-            hashes = hashes.view(np.int64)
-            at = np.searchsorted(keys, hashes).clip(0, self.terms - 1)
-            out = np.where(keys[at] == hashes, counts[at], 1).astype(np.int64)
+            some, back = np.unique(hashes.view(np.int64), return_inverse=True)  # ascending: neighbours in the file too
+            at = np.searchsorted(keys, some).clip(0, self.terms - 1)
+            out = np.where(keys[at] == some, counts[at], 1).astype(np.int64)[back]
         return out
 
 
@@ -192,26 +232,25 @@ def corpus_of(docs: DataFrame) -> Corpus:
     import pyarrow as pa
 
     def count(batches):
-        held, total = [], np.zeros(3, np.int64)
+        held, most, total = [], 0, np.zeros(3, np.int64)
 
         def merged():
-            words, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-            return words, np.bincount(at, np.concatenate([n for _, n in held]), len(words)).astype(np.int64)
-
-        def rows(words, df):
-            none = pa.nulls(len(words), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(df), none, none], names=["h", "df", "words", "chars"])
+            words = np.concatenate(held)
+            words.sort()
+            at = np.flatnonzero(np.concatenate((np.ones(min(len(words), 1), bool), words[1:] != words[:-1])))
+            none = pa.nulls(len(at), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(words[at].view(np.int64)), pa.array(np.diff(at, append=len(words))), none, none], names=["h", "df", "words", "chars"])
 
         for part in small_parts(batches, "text", SHARD_BYTES):
-            words, _, slot, _, sizes = term_counts(part.column(0))
-            held.append((words, np.bincount(slot, minlength=len(words))))
+            _, words, _, sizes = term_counts(part.column(0))
+            held.append(words)
+            most += len(words)
             total += (len(sizes), sizes.sum(), np.diff(text_bytes(part.column(0))[1]).sum())
-            if len(held) > 7:
-                held = [merged()]
-                if len(held[0][0]) > COUNTED_TERMS:
-                    yield rows(*held.pop())
+            if most > COUNTED_TERMS:
+                yield merged()
+                held, most = [], 0
         if held:
-            yield rows(*merged())
+            yield merged()
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.array([int(x)]) for x in total)], names=["h", "df", "words", "chars"])
 
     def as_bytes(batches):
@@ -239,18 +278,18 @@ def corpus_of(docs: DataFrame) -> Corpus:
 def shelf_marks(column, corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
     """Two words of each text, as hashes, by which related texts come to lie together: its heaviest of those that
     would fill a shard, and its heaviest that any other text has. 0 where there is none."""
-    words, doc, slot, tf, sizes = term_counts(column)
+    doc, words, tf, sizes = term_counts(column)
     df = corpus.frequencies(words)
-    weight = _weights(df[slot], tf, sizes[doc], corpus.n, corpus.mean)
+    weight = _weights(df, tf, sizes[doc], corpus.n, corpus.mean)
     out = []
     for least in (corpus.shard_docs, 2):
-        use = np.flatnonzero(df[slot] >= least)  # by document, then word
+        use = np.flatnonzero(df >= least)  # by document, then word
         begins = np.flatnonzero(np.diff(doc[use], prepend=-1))
         best = np.maximum.reduceat(weight[use], begins) if len(use) else weight[use]
         use = use[weight[use] == np.repeat(best, np.diff(begins, append=len(use)))]
         first = use[np.diff(doc[use], prepend=-1) > 0]
         mark = np.zeros(len(sizes), np.int64)
-        mark[doc[first]] = words[slot[first]].view(np.int64)
+        mark[doc[first]] = words[first].view(np.int64)
         out.append(mark)
     return out[0], out[1]
 
@@ -276,17 +315,20 @@ class Shard:
         use = use[np.argsort(self.doc[use], kind="stable")]
         self.own, self.own_ends = slot[use], np.cumsum(np.bincount(self.doc[use], minlength=self.n))
 
-    def neighbours(self, d: int) -> np.ndarray:
-        """Documents that share terms with d, best BM25 score first; all terms of d count."""
+    def neighbours(self, d: int, first: int = 64):
+        """Documents that share terms with d, best BM25 score first; all terms of d count. The ``first`` best are put in
+        order at once, the others when they are asked for."""
         slots = self.own[self.own_ends[d - 1] if d else 0 : self.own_ends[d]]
         if not len(slots):
-            return slots
+            return
         size = self.ends[slots] - self.begins[slots]
         at = np.repeat(self.ends[slots] - np.cumsum(size), size)
         at += np.arange(len(at))
         score = np.bincount(self.doc[at], self.weight[at], self.n)
         found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        least = np.partition(score[found], -first)[-first] if len(found) > first else 0.0
+        for some in (found[score[found] >= least], found[score[found] < least]):
+            yield from some[np.argsort(-score[some], kind="stable")].tolist()
 
 
 def pack(sizes: list[int], shard: Shard | None, length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
@@ -312,7 +354,7 @@ def pack(sizes: list[int], shard: Shard | None, length: int = LENGTH) -> list[tu
             continue
         seed, room, window = pool[at], length, []
         ahead = at
-        candidates = itertools.chain([seed], shard.neighbours(seed).tolist() if shard else ())
+        candidates = itertools.chain([seed], shard.neighbours(seed) if shard else ())
         while room:
             d = next(candidates, None)
             if d is None:  # the neighbours are used up

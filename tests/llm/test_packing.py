@@ -69,7 +69,8 @@ def test_round_trip(spark, docs001):
 
 def test_neighbours_share_rare_terms():
     shard = Shard([np.array([1, 2, 3]), np.array([9, 8]), np.array([3, 2, 7]), np.array([3, 6])])
-    assert shard.neighbours(0).tolist()[:2] == [0, 2] and 1 not in shard.neighbours(0)
+    assert list(shard.neighbours(0))[:2] == [0, 2] and 1 not in list(shard.neighbours(0))
+    assert list(shard.neighbours(0)) == list(shard.neighbours(0, first=1)) == list(shard.neighbours(0, first=2))
 
 
 def test_edges(spark):
@@ -81,7 +82,7 @@ def test_edges(spark):
 def test_all_terms_of_a_seed_query():
     shared = np.array([500] * 3)
     shard = Shard([np.concatenate((np.repeat(np.arange(40), 4), shared[:1])), np.repeat(np.arange(40), 4), shared])
-    assert 2 in shard.neighbours(0)
+    assert 2 in list(shard.neighbours(0))
 
 
 def test_statistics_are_of_all_documents(spark):
@@ -111,3 +112,48 @@ def test_related_documents_meet_across_storage(spark):
     for r in packed(df).collect():
         at[r["doc_id"]].add(r["sequence_id"])
     assert sum(bool(at[p] & at[100 + p]) for p in range(40)) >= 30
+
+
+def test_scores_and_order_against_plain_bm25():
+    """Neighbours come in the order of BM25 sums over all terms of the seed that are worked out word by word."""
+    rng = np.random.default_rng(9)
+    terms = [rng.integers(0, 60, rng.integers(1, 50)) for _ in range(80)]
+    df = {t: sum(t in set(x.tolist()) for x in terms) for t in range(60)}
+    mean = sum(map(len, terms)) / len(terms)
+    shard = Shard(terms)
+    for d in (0, 7, 79):
+        want = {}
+        for k, x in enumerate(terms):
+            score = 0.0
+            for t in set(terms[d].tolist()):
+                if df[t] > 1 and (tf := int((x == t).sum())):
+                    score += np.log(1 + (len(terms) - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / mean))
+            if score:
+                want[k] = score
+        got = list(shard.neighbours(d, first=5))
+        assert set(got) == set(want) and all(want[a] >= want[b] - 1e-9 for a, b in zip(got, got[1:]))
+
+
+def test_greedy_filling_against_a_plain_loop():
+    rng = np.random.default_rng(10)
+    sizes = rng.integers(1, 900, 40).tolist()
+    shard = Shard([rng.integers(0, 40, 20) for _ in sizes])
+    order = {d: list(shard.neighbours(d)) for d in range(40)}
+    left, want = dict(enumerate(sizes)), []
+    while left:
+        seed = min(left, key=lambda d: (-sizes[d], d))
+        room, line = LENGTH, []
+        for d in [seed, *order[seed], *sorted(range(40), key=lambda d: (-sizes[d], d))]:
+            if room and d in left:
+                take = min(room, left[d])
+                line.append((d, sizes[d] - left[d], take))
+                room -= take
+                left[d] -= take
+                if not left[d]:
+                    del left[d]
+        want.append(line)
+    got = defaultdict(list)
+    for d, a, n, s, o in pack(sizes, shard):
+        got[s].append((o, d, a, n))
+    full = [[(d, a, n) for _, d, a, n in sorted(x)] for _, x in sorted(got.items()) if sum(k[3] for k in x) == LENGTH]
+    assert full == [x for x in want if sum(n for *_, n in x) == LENGTH]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,17 +18,16 @@ RULES = (
     ("ip", "multicast source", "src_ip >= 3758096384 AND src_ip < 4026531840"),
     ("ip", "unspecified source", "src_ip = 0"),
     ("ip", "unspecified destination", "dst_ip = 0"),
-    ("tcp", "zero source port", "proto = 6 AND sport = 0"),
-    ("tcp", "zero destination port", "proto = 6 AND dport = 0"),
+    ("ip", "bad address", "ip_version = 4 AND (src_ip IS NULL OR dst_ip IS NULL)"),
+    ("tcp", "zero port", "proto = 6 AND (sport = 0 OR dport = 0)"),
     ("tcp", "fin with rst", "proto = 6 AND (flags & 5) = 5"),
     ("tcp", "syn-ack without ack number", "proto = 6 AND (flags & 18) = 18 AND tcp_ack = 0"),
     ("tcp", "zero window", "proto = 6 AND tcp_window = 0"),
-    ("udp", "zero source port", "proto = 17 AND sport = 0"),
-    ("udp", "zero destination port", "proto = 17 AND dport = 0"),
+    ("udp", "zero port", "proto = 17 AND (sport = 0 OR dport = 0)"),
     ("udp", "short length", "proto = 17 AND udp_len < 8"),
     ("http", "bad method", "http_version IS NOT NULL AND http_method <> '' AND http_method NOT IN (" + ", ".join(f"'{m}'" for m in METHODS) + ")"),
-    ("http", "bad version", "http_version IS NOT NULL AND NOT (http_version LIKE 'HTTP/_._%' AND substring(http_version, 6, 1) BETWEEN '0' AND '9' AND substring(http_version, 8, 1) BETWEEN '0' AND '9')"),
-    ("http", "no host", "http_version IS NOT NULL AND http_host IS NULL"),
+    ("http", "bad version", "http_version <> '' AND NOT (http_version LIKE 'HTTP/_._%' AND substring(http_version, 6, 1) BETWEEN '0' AND '9' AND substring(http_version, 8, 1) BETWEEN '0' AND '9')"),
+    ("http", "no host", "http_version IS NOT NULL AND coalesce(http_host, '') = ''"),
     ("dns", "zero id", "dns_id = 0"),
     ("dns", "bad qr", "dns_qr NOT IN (0, 1)"),
     ("dns", "bad rcode", "dns_qr = 1 AND dns_rcode > 5"),
@@ -81,17 +80,26 @@ def address_filter(packets: DataFrame, src: list[str] | None = None, dst: list[s
     return packets.where(keep)
 
 
-def address_join(packets: DataFrame, ranges: DataFrame, col: str = "src_ip", bits: int = 8) -> DataFrame:
-    """Packets whose address lies in one of many ranges (column cidr), as an equi-join on address blocks.
+def address_join(packets: DataFrame, ranges: DataFrame, col: str = "src_ip") -> DataFrame:
+    """Packets whose address lies in one of many ranges (column cidr), as an equi-join on (prefix length, network).
 
-    Each range is listed under the blocks of 2 ** (32 - bits) addresses that it touches, so long lists need neither a
-    nested loop nor a broadcast; a packet has one block and is matched once (semi-join).
+    The prefix lengths that occur are 33 at most; a packet is looked up once for each of them, so neither a nested loop
+    nor one hot block arises, and only distinct addresses are joined and then kept by a semi-join.
     """
     low, high = cidr_bounds(F.col("cidr"))
-    size = 1 << (32 - bits)
-    r = ranges.select(low.alias("lo"), high.alias("hi")).where("lo IS NOT NULL").withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size))))
-    p = packets.withColumn("__block", F.floor(F.col(col) / size))
-    return p.join(r, (F.col("__block") == F.col("block")) & F.col(col).between(F.col("lo"), F.col("hi")), "left_semi").drop("__block")
+    r = ranges.select(low.alias("net"), (high - low + 1).alias("size")).where("net IS NOT NULL").distinct()
+    sizes = r.select(F.col("size").alias("s")).distinct()  # 33 rows at most
+    a = packets.select(F.col(col).alias("a")).where("a IS NOT NULL").distinct().crossJoin(F.broadcast(sizes))
+    hit = a.join(r, (F.col("s") == F.col("size")) & ((F.col("a") - F.col("a") % F.col("s")) == F.col("net")), "left_semi").select("a").distinct()
+    return packets.join(hit, packets[col] == hit["a"], "left_semi")
+
+
+def pair_spec(text: Column) -> Column:
+    """A struct (src, dst) from 'src=..,dst=..' text: keys in either case and order, blanks trimmed; null if malformed."""
+    parts = F.transform(F.split(text, ","), lambda p: F.trim(p))
+    value = lambda k: F.try_element_at(F.transform(F.filter(parts, lambda p: F.lower(F.trim(F.substring_index(p, "=", 1))) == k), lambda p: F.trim(F.regexp_extract(p, "=(.*)$", 1))), F.lit(1))
+    src, dst = F.nullif(value("src"), F.lit("")), F.nullif(value("dst"), F.lit(""))
+    return F.when(src.isNotNull() & dst.isNotNull(), F.struct(src.alias("src"), dst.alias("dst")))
 
 
 def match_rate(packets: DataFrame, matched: DataFrame) -> DataFrame:

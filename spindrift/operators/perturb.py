@@ -1,14 +1,12 @@
 """Perturbations of packet flows: (flow, idx, ts_us, ...) in, the same columns out.
 
-Time scaling, jitter, tail shift and label noise are windows and expressions. Reordering, retransmission and
-fragmentation depend on earlier choices within a flow and run per flow on Arrow tables; a flow is the unit that one
-task handles there. Randomness comes from hashes of seed, flow and packet, so runs repeat whatever the partitions.
+All are windows, joins and expressions: choices that depend on earlier ones in a flow (swaps under a budget, merges of
+neighbours) are settled by running sums over places, so no flow is gathered. Randomness comes from hashes of seed, flow
+and place, so runs repeat whatever the partitions.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,89 +83,98 @@ def label_noise(flows: DataFrame, eps: float, seed: int = 42) -> DataFrame:
     return x.withColumn("new_class", F.coalesce("__other", "class")).select(*flows.columns, "new_class")
 
 
-def _draw(seed: object, *parts: object) -> float:
-    digest = hashlib.md5("|".join(map(str, (seed, *parts))).encode()).digest()
-    return int.from_bytes(digest[:8], "big") / 2**64
-
+def _ranked(packets: DataFrame, needs: tuple[str, ...] = ()) -> DataFrame:
+    """Packets with r (0-based place by time), n (packets of the flow) and bad: the first of ``needs`` and ts_us that is
+    null somewhere in the flow, if any. Such flows are handed on as they are, with an error."""
+    names = ("ts_us", *needs)
+    holes = [F.when(F.max(F.col(c).isNull()), F.lit(f"null {c}")) for c in names]
+    sizes = packets.groupBy(F.col("flow").alias("s_flow")).agg(F.count("*").alias("n"), F.coalesce(*holes).alias("bad"))
+    x = packets.withColumn("r", (F.row_number().over(W.partitionBy("flow").orderBy("ts_us", "idx")) - 1).cast("long"))
+    return x.join(sizes, F.col("flow").eqNullSafe(F.col("s_flow"))).drop("s_flow")
 
-def _per_flow(packets: DataFrame, change) -> DataFrame:
-    """Apply ``change`` to each flow's rows (dicts in time order); a flow that fails keeps its rows and its error."""
-    import pyarrow as pa
-    from pyspark.sql import types as T
 
-    schema = T.StructType([*packets.schema.fields, T.StructField("ok", T.BooleanType()), T.StructField("error", T.StringType())])
+def _with_outcome(x: DataFrame, columns: list[str]) -> DataFrame:
+    return x.select(*columns, F.col("bad").isNull().alias("ok"), F.col("bad").alias("error"))
 
-    def run(t):
-        rows = sorted(t.to_pylist(), key=lambda r: (r["ts_us"], r["idx"]))
-        try:
-            out, ok, error = change([dict(r) for r in rows]), True, None
-        except Exception as e:  # the flow is reported, the job goes on
-            out, ok, error = rows, False, f"{type(e).__name__}: {e}"
-        return pa.Table.from_pylist([r | {"ok": ok, "error": error} for r in out], t.schema.append(pa.field("ok", pa.bool_())).append(pa.field("error", pa.string())))
 
-    return packets.groupBy("flow").applyInArrow(run, schema)
+def _renumbered(x: DataFrame, columns: list[str], *order: str) -> DataFrame:
+    """Places anew by time, ties by ``order``; flows with an error keep theirs."""
+    place = (F.row_number().over(W.partitionBy("flow").orderBy("ts_us", *order)) - 1).cast("long")
+    return _with_outcome(x.withColumn("idx", F.when(F.col("bad").isNull(), place).otherwise(F.col("idx"))), columns)
 
 
 def reorder(packets: DataFrame, window: int, p: float, ratio: float, seed: int = 42) -> DataFrame:
     """Packets swap places with one up to ``window`` - 1 later, with probability ``p`` and at most ratio * n times.
 
-    ``idx`` is the place; times travel with their packets.
+    ``idx`` is the place; times travel with their packets. The swaps are known from draws alone; a flow is cut where no
+    swap reaches across, and each stretch's swaps are applied in order. Stretches are short for p < 1, whatever the
+    flow's length, so a flow spreads over many rows.
     """
-
-    def change(rows):
-        n, swaps = len(rows), 0
-        places = [r["idx"] for r in rows]
-        for i in range(n - 1):
-            if swaps >= int(ratio * n):
-                break
-            if _draw(seed, "swap", rows[0]["flow"], i) < p:
-                j = min(n - 1, i + 1 + int(_draw(seed, "far", rows[0]["flow"], i) * (window - 1)))
-                rows[i], rows[j] = rows[j], rows[i]
-                swaps += 1
-        for r, idx in zip(rows, places, strict=True):
-            r["idx"] = idx
-        return rows
-
-    return _per_flow(packets, change)
+    x = _ranked(packets)
+    seen = W.partitionBy("flow").orderBy("r").rowsBetween(W.unboundedPreceding, 0)
+    x = x.withColumn("hit", (uniform(f"swap{seed}", "flow", "r") < p) & F.col("bad").isNull())
+    x = x.withColumn("hit", F.col("hit") & (F.sum(F.col("hit").cast("long")).over(seen) <= F.floor(F.col("n") * ratio)))
+    far = F.col("r") + 1 + F.floor(uniform(f"far{seed}", "flow", "r") * (window - 1)).cast("long")
+    x = x.withColumn("j", F.when(F.col("hit"), F.least(F.col("n") - 1, far)))
+    reach = F.max("j").over(W.partitionBy("flow").orderBy("r").rowsBetween(W.unboundedPreceding, -1))
+    x = x.withColumn("fresh", F.coalesce(reach < F.col("r"), F.lit(True)).cast("long")).withColumn("stretch", F.sum("fresh").over(seen))
+    one = F.struct("r", "j", F.struct(*packets.columns, "bad").alias("row"))
+    x = x.groupBy("flow", "stretch").agg(F.array_sort(F.collect_list(one)).alias("s"))
+    swapped = """aggregate(s, sequence(0, size(s) - 1), (acc, it) -> CASE WHEN it.j IS NULL THEN acc ELSE
+      transform(acc, (v, t) -> CASE WHEN t = it.r - s[0].r THEN acc[int(it.j - s[0].r)] WHEN t = it.j - s[0].r THEN acc[int(it.r - s[0].r)] ELSE v END) END)"""
+    x = x.select("s", F.posexplode(F.expr(swapped)).alias("at", "source"))
+    x = x.select(F.expr("s[source].row").alias("row"), F.expr("s[at].row.idx").alias("place")).select("row.*", "place").withColumn("idx", F.col("place"))
+    return _with_outcome(x, packets.columns)
 
 
 def retransmit(packets: DataFrame, ratio: float, span: int, seed: int = 42) -> DataFrame:
-    """round(ratio * n) packets appear again up to ``span`` places later, halfway between their new neighbours."""
-
-    def change(rows):
-        n = len(rows)
-        extra = []
-        for k in range(round(ratio * n)):
-            i = int(_draw(seed, "which", rows[0]["flow"], k) * n)
-            j = min(n - 1, i + 1 + int(_draw(seed, "where", rows[0]["flow"], k) * span))
-            after = rows[j + 1]["ts_us"] if j + 1 < n else rows[j]["ts_us"] + 2
-            extra.append(rows[i] | {"ts_us": (rows[j]["ts_us"] + after) // 2})
-        return [r | {"idx": k} for k, r in enumerate(sorted(rows + extra, key=lambda r: r["ts_us"]))]
-
-    return _per_flow(packets, change)
+    """round(ratio * n) packets appear again up to ``span`` places before or after, halfway between their new
+    neighbours (a microsecond outside at the ends); places are counted in the flow as it came."""
+    x = _ranked(packets)
+    mean = F.expr("(ts_us + lag(ts_us) OVER (PARTITION BY flow ORDER BY r)) div 2")
+    x = x.withColumn("between", F.when(F.col("r") == 0, F.col("ts_us") - 1).otherwise(mean))
+    times = x.select(F.col("flow").alias("t_flow"), F.col("r").alias("t_r"), F.col("ts_us").alias("t_us"), "between")
+    extra = x.where(f"r = 0 AND bad IS NULL AND rint(n * {ratio}D) >= 1").select("flow", "n", F.explode(F.expr(f"sequence(1L, cast(rint(n * {ratio}D) as bigint))")).alias("k"))
+    extra = extra.withColumn("i", F.floor(uniform(f"which{seed}", "flow", "k") * F.col("n")).cast("long"))
+    step = F.floor(uniform(f"where{seed}", "flow", "k") * (2 * span + 1)).cast("long") - span
+    extra = extra.withColumn("at", F.least("n", F.greatest(F.lit(0), F.col("i") + step))).select(F.col("flow").alias("e_flow"), "k", "i", "at", "n")
+    extra = extra.join(times, (F.col("e_flow") == F.col("t_flow")) & (F.least(F.col("at"), F.col("n") - 1) == F.col("t_r")))
+    extra = extra.select("e_flow", "k", "i", F.when(F.col("at") == F.col("n"), F.col("t_us") + 1).otherwise(F.col("between")).alias("new_us"))
+    copies = x.join(extra, (F.col("flow") == F.col("e_flow")) & (F.col("r") == F.col("i"))).withColumn("ts_us", F.col("new_us"))
+    every = x.withColumn("k", F.lit(0).cast("long")).select(*packets.columns, "bad", "r", "k").unionByName(copies.select(*packets.columns, "bad", F.col("i").alias("r"), "k"))
+    return _renumbered(every, packets.columns, "k", "r")
 
 
 def frag_merge(packets: DataFrame, frag: float, merge: float, merge_max: int, min_frag: int, seed: int = 42) -> DataFrame:
-    """Neighbours with equal ``tuple`` merge their payload lengths ``len``, or a packet is cut in two."""
-
-    def change(rows):
-        out, i = [], 0
-        while i < len(rows):
-            r, flow = rows[i], rows[i]["flow"]
-            nxt = rows[i + 1] if i + 1 < len(rows) else None
-            if nxt and r["tuple"] is not None and r["tuple"] == nxt["tuple"] and r["len"] + nxt["len"] <= merge_max and _draw(seed, "merge", flow, i) < merge:
-                out.append(r | {"len": r["len"] + nxt["len"]})
-                i += 2
-                continue
-            if r["len"] >= 2 * min_frag and _draw(seed, "frag", flow, i) < frag:
-                cut = min_frag + int(_draw(seed, "cut", flow, i) * (r["len"] - 2 * min_frag + 1))
-                out += [r | {"len": cut}, r | {"len": r["len"] - cut, "ts_us": r["ts_us"] + 1}]
-            else:
-                out.append(r)
-            i += 1
-        return [r | {"idx": k} for k, r in enumerate(sorted(out, key=lambda r: r["ts_us"]))]
-
-    return _per_flow(packets, change)
+    """Neighbours with equal ``tuple`` merge, at the mean of their times, or a packet is cut in two.
+
+    ``len`` is the payload's length; a ``payload`` (binary) is joined or cut along, and the second part's ``seq`` is
+    shifted by the first part's length, modulo 2 ** 32. Which packets merge is decided pair by pair from left to right:
+    in a run of packets that would merge with their next, every second one does.
+    """
+    names, x = packets.columns, _ranked(packets, ("len",))
+    by = W.partitionBy("flow").orderBy("r")
+    after = {c: F.lead(c).over(by) for c in ("tuple", "len", "ts_us", *[c for c in ("payload",) if c in names])}
+    x = x.withColumns({f"next_{c}": e for c, e in after.items()})
+    wish = (uniform(f"merge{seed}", "flow", "r") < merge) & (F.col("tuple") == F.col("next_tuple")) & (F.col("len") + F.col("next_len") <= merge_max) & F.col("bad").isNull()
+    x = x.withColumn("wish", F.coalesce(wish, F.lit(False)))
+    x = x.withColumn("run", F.sum(F.when(F.col("wish"), 0).otherwise(1)).over(by.rowsBetween(W.unboundedPreceding, -1)))
+    x = x.withColumn("nth", F.row_number().over(W.partitionBy("flow", "run").orderBy("r"))).withColumn("leads", F.col("wish") & (F.col("nth") % 2 == 1))
+    x = x.withColumn("taken", F.coalesce(F.lag("leads").over(by), F.lit(False))).where("NOT taken")
+    cuts = ~F.col("leads") & (F.col("len") >= 2 * min_frag) & (uniform(f"frag{seed}", "flow", "r") < frag) & F.col("bad").isNull()
+    cut = min_frag + F.floor(uniform(f"cut{seed}", "flow", "r") * (F.col("len") - 2 * min_frag + 1)).cast("long")
+    x = x.withColumn("cut", F.when(F.coalesce(cuts, F.lit(False)), cut))
+    x = x.withColumn("part", F.explode(F.when(F.col("cut").isNotNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    new = {
+        "len": F.when(F.col("leads"), F.col("len") + F.col("next_len")).when(F.col("cut").isNull(), F.col("len")).when(F.col("part") == 0, F.col("cut")).otherwise(F.col("len") - F.col("cut")),
+        "ts_us": F.when(F.col("leads"), F.expr("(ts_us + next_ts_us) div 2")).otherwise(F.col("ts_us") + F.col("part")),
+    }
+    if "payload" in names:
+        whole = F.when(F.col("leads"), F.concat("payload", "next_payload")).otherwise(F.col("payload"))
+        new["payload"] = F.when(F.col("cut").isNull(), whole).when(F.col("part") == 0, F.expr("substring(payload, 1, int(cut))")).otherwise(F.expr("substring(payload, int(cut) + 1)"))
+    if "seq" in names:
+        new["seq"] = F.when((F.col("cut").isNotNull()) & (F.col("part") == 1), (F.col("seq") + F.col("cut")) % (1 << 32)).otherwise(F.col("seq"))
+    return _renumbered(x.withColumns(new), names, "r", "part")
 
 
 #: Code -> (name, how it is applied with a level's parameters).
@@ -180,11 +187,39 @@ CHAIN = {
 }
 
 
-def chain(packets: DataFrame, codes: list[int], level: str = "medium", seed: int = 42) -> DataFrame:
-    """Perturbations one after another; repeated codes count once."""
-    for code in dict.fromkeys(codes):
-        packets = packets.transform(CHAIN[code][1], LEVELS[level], seed + code)
-    return packets
+def split_by_scope(packets: DataFrame, target: str = "all", n: int = 0) -> DataFrame:
+    """``in_scope``: whether a packet is perturbed: each, or with ``first_n`` its flow's first ``n``; n of 0 or less, or
+    another target, means all."""
+    if target.lower() != "first_n" or n <= 0:
+        return packets.withColumn("in_scope", F.lit(True))
+    return packets.withColumn("in_scope", F.row_number().over(_order()) <= n)
+
+
+def chain(packets: DataFrame, codes: list[int], level: str = "medium", seed: int = 42, target: str = "all", n: int = 0) -> DataFrame:
+    """Perturbations one after another; repeated codes count once. Code 6 (label noise over flows) comes last.
+
+    With ``first_n`` only each flow's first ``n`` packets are perturbed; the others follow at the old gap (a microsecond
+    at least) and are numbered after them. Flows that are no longer than ``n`` are perturbed whole.
+    """
+    codes = list(dict.fromkeys(codes))
+    scoped = split_by_scope(packets, target, n)
+    head, tail = scoped.where("in_scope").drop("in_scope"), scoped.where("NOT in_scope").drop("in_scope")
+    new = head
+    for code in codes:
+        if code != 6:
+            new = new.transform(CHAIN[code][1], LEVELS[level], seed + code)
+    if target.lower() == "first_n" and n > 0:
+        ends = new.groupBy("flow").agg(F.max("ts_us").alias("new_last"), F.count("*").alias("new_n"))
+        ends = ends.join(head.groupBy("flow").agg(F.max_by("ts_us", "idx").alias("old_last")), "flow").join(tail.groupBy("flow").agg(F.min_by("ts_us", "idx").alias("tail_first")), "flow")
+        shift = F.col("new_last") + F.greatest(F.lit(1), F.col("tail_first") - F.col("old_last")) - F.col("tail_first")
+        place = (F.row_number().over(_order()) - 1).cast("long")
+        moved = tail.withColumn("place", place).join(ends, "flow").withColumn("ts_us", F.col("ts_us") + shift).withColumn("idx", F.col("new_n") + F.col("place"))
+        new = new.withColumn("idx", place).unionByName(moved.select(*packets.columns))
+    if 6 in codes:
+        flows = packets.groupBy(F.col("flow").alias("flow_id")).agg(F.min("class").alias("class"))
+        noisy = label_noise(flows, LEVELS[level]["noise"], seed + 6).select(F.col("flow_id").alias("l_flow"), "new_class")
+        new = new.join(noisy, F.col("flow").eqNullSafe(F.col("l_flow"))).withColumn("class", F.col("new_class")).select(*packets.columns)
+    return new
 
 
 def run_id(codes: list[int], level: str, target: str = "all", n: int = 0) -> str:

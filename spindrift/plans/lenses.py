@@ -47,8 +47,8 @@ _HEADERS = {
     "flags": f"case when {_TCP} then (event_id * 7) % 64 end", "tcp_ack": f"case when {_TCP} then (case when event_id % 3 = 0 then 0 else event_id end) end",
     "tcp_window": f"case when {_TCP} then event_id % 50 end", "udp_len": "case when event_id % 10 between 5 and 8 then 6 + event_id % 20 end",
     "http_method": f"case when {_WEB} then (case event_id % 7 when 0 then 'GET' when 1 then 'POST' when 2 then 'FETCH' when 3 then '' else 'PUT' end) end",
-    "http_version": f"case when {_WEB} then (case event_id % 3 when 0 then 'HTTP/1.1' when 1 then 'HTTP/2' else 'HTTP/1.0x' end) end",
-    "http_host": f"case when {_WEB} and event_id % 4 <> 0 then 'host' end",
+    "http_version": f"case when {_WEB} then (case event_id % 3 when 0 then 'HTTP/1.1' when 1 then 'HTTP/2' else (case when event_id % 2 = 0 then '' else 'HTTP/1.0x' end) end) end",
+    "http_host": f"case when {_WEB} and event_id % 4 <> 0 then (case when event_id % 4 = 1 then '' else 'host' end) end",
     "dns_id": f"case when {_DNS} then event_id % 7 end", "dns_qr": f"case when {_DNS} then event_id % 3 end", "dns_rcode": f"case when {_DNS} then event_id % 9 end",
     "l3_len": "case when event_id % 10 = 9 then 0 else 40 + event_id % 200 end",
 }

@@ -55,6 +55,18 @@ def error_counts(checked: DataFrame) -> DataFrame:
     return checked.groupBy(F.coalesce("error", F.lit("OK")).alias("outcome")).agg(F.count("*").alias("rows"))
 
 
+def outcome_report(checked: DataFrame) -> DataFrame:
+    """(outcome, rows): every known error class that occurs and OK, errors of no known class as OTHER (maybe 0), and how
+    many rows were ATTEMPTED and PRODUCED."""
+    known = F.when(F.col("error").isNull(), "OK").when(F.col("error").isin("INVALID_IP", "INVALID_PORT"), F.col("error")).otherwise("OTHER")
+    n = checked.agg(
+        *[F.sum(F.when(known == k, 1).otherwise(0)).alias(k) for k in ("OK", "INVALID_IP", "INVALID_PORT", "OTHER")], F.count("*").alias("ATTEMPTED"),
+        F.sum(F.when(F.col("error").isNull(), 1).otherwise(0)).alias("PRODUCED"),
+    )
+    pairs = F.array(*[F.struct(F.lit(k).alias("outcome"), F.coalesce(F.col(k), F.lit(0)).alias("rows")) for k in n.columns])
+    return n.select(F.explode(pairs).alias("x")).select("x.outcome", "x.rows").where("rows > 0 OR outcome IN ('OTHER', 'ATTEMPTED', 'PRODUCED')")
+
+
 def clock(rows: DataFrame, by: str, order: str, start: float, step: float, good: str = "true") -> DataFrame:
     """Times of the good rows of each group: start + step * (ordinal among the good rows), to microseconds."""
     x = rows.where(good)

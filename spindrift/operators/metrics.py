@@ -112,3 +112,15 @@ def per_class_share(df: DataFrame, by: str) -> DataFrame:
     """Rows of each class and their share of all."""
     n = F.count("*")
     return df.groupBy(by).agg(n.alias("rows")).withColumn("share", F.col("rows") / F.sum("rows").over(W.partitionBy()))
+
+
+def diversity_means(df: DataFrame, side: str, features: list[str]) -> DataFrame:
+    """One row: the means of entropies, coverage and novelty over the features that have them."""
+    e, o = entropy(df, side, features), overlap(df, side, features)
+    means = e.agg(F.avg("entropy_real").alias("entropy_real"), F.avg("entropy_gen").alias("entropy_gen"))
+    return means.crossJoin(o.agg(F.avg("coverage").alias("coverage"), F.avg("novelty").alias("novelty")))  # one row each
+
+
+def percent_strings(shares: DataFrame) -> DataFrame:
+    """``percent``: a share as text with two decimals."""
+    return shares.withColumn("percent", F.format_string("%.2f%%", F.round(100.0 * F.col("share"), 6)))

@@ -1,12 +1,13 @@
 """Packet captures as a Spark data source: ``spark.read.format("pcap")`` and ``df.write.format("pcap")``.
 
 Classic captures of either byte order, in microseconds or nanoseconds, with raw IP, Ethernet or other link types, and
-pcapng captures. Files are opened by Spark's own binary reader on the way in, so any store that Spark reads works;
-each file is decoded by one task and packets are yielded one at a time.
+pcapng captures. Files are opened by Spark's own binary reader on the way in, so any store that Spark reads works; each
+file (2 GB at most, that reader's bound) is decoded by one task, which hands packets on in batches.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -18,6 +19,8 @@ from ..functions.binary import flag_names, ipv4_text, unsigned
 
 SCHEMA = "path string, idx long, ts_us long, link int, orig_len long, data binary"
 RAW, ETHERNET = 101, 1
+#: Packets that a reader hands on at a time.
+BATCH = 4096
 
 #: First four bytes -> (byte order, sub-second units per second).
 MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 10**6), b"\xa1\xb2\xc3\xd4": (">", 10**6), b"\x4d\x3c\xb2\xa1": ("<", 10**9), b"\xa1\xb2\x3c\x4d": (">", 10**9)}
@@ -93,15 +96,29 @@ def read_captures(spark: SparkSession, path: str, max_packets: int | None = None
     def run(batches):
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = [(name, *p) for p in decode(content, max_packets)]
-                if rows:
-                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "idx", "ts_us", "link", "orig_len", "data"])
+                found = decode(content, max_packets)
+                while rows := list(itertools.islice(found, BATCH)):
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), *columns], names=["path", "idx", "ts_us", "link", "orig_len", "data"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
+def count_packets(spark: SparkSession, path: str, pattern: str = "*.{pcap,pcapng,cap}") -> DataFrame:
+    """(path, packets): records of every capture, counted from their headers alone; 0 for files that are none."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            n = [sum(1 for _ in decode(c)) for c in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["path", "packets"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInArrow(run, "path string, packets long")
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)

@@ -29,6 +29,8 @@ FIRST_LISTS, ROUNDS = 4, 3
 NARROW, WIDE, NARROW_SETS = 1024, 4096, 448
 #: Pairs of a list from which on bitmaps travel with its postings.
 CROWDED = 256
+#: Pairs a posting up to which no further round of few pairs is worth while.
+EASY = 16
 
 
 def required(a, b):
@@ -254,13 +256,13 @@ def _fits(n1: str, p1: str, n2: str, p2: str) -> str:
 
 def _near_pairs(postings: DataFrame, light: int, salt: int, size: int = 8) -> DataFrame:
     """At most one pair per posting: the classes of a list and size band are dealt into buckets of about ``size``, anew
-    for every list and ``salt``, and paired with one of their bucket, of the largest component there if possible. Classes
-    that share many rare shingles so meet many different partners, which connects large groups of copies without
-    looking at all their pairs."""
+    for every list and ``salt``, and paired with one of their bucket, of the component with the smallest name there: names
+    are the least of members' hashes, so that is mostly the largest one. Classes that share many rare shingles so meet
+    many different partners, which connects large groups of copies without looking at all their pairs."""
     banded = postings.withColumn("band", F.floor(F.log("n") / float(np.log(1.25))))
     lengths = banded.groupBy("shingle", "band").agg(F.count("*").alias("len")).where("len > 1")
     dealt = banded.join(lengths, ["shingle", "band"]).withColumn("bucket", F.expr(f"pmod(xxhash64(shingle, cls, {salt}), ceil(len / {size}))"))
-    lead = dealt.groupBy("shingle", "band", "bucket").agg(F.min(F.struct((-F.col("weight")).alias("o"), "n", "cls", "pos", "comp")).alias("l"))
+    lead = dealt.groupBy("shingle", "band", "bucket").agg(F.min(F.struct("comp", F.xxhash64("shingle", "cls", F.lit(salt)).alias("o"), "n", "cls", "pos")).alias("l"))
     pairs = dealt.join(lead, ["shingle", "band", "bucket"]).where(f"comp <> l.comp AND greatest(n, l.n) > {light} AND {_fits('n', 'pos', 'l.n', 'l.pos')}")
     return pairs.select(F.least("cls", "l.cls").alias("a"), F.greatest("cls", "l.cls").alias("b")).distinct()
 
@@ -296,21 +298,20 @@ def _list_pairs(postings: DataFrame, folds: DataFrame, light: int, block: int) -
 
 
 def _labelled(postings: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The postings of lists that hold more than one component, with their component and its share of the list; and the
-    components."""
+    """The postings of lists that hold more than one component, with their component; and the components."""
     comp = components(links)
     x = postings.select("shingle", "cls", "n", "pos").join(comp, postings.cls == comp.node, "left").select("shingle", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp"))
     mixed = x.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle")
-    x = materialize(x.join(mixed, "shingle"), "mixed_postings")
-    parts = x.groupBy("shingle", "comp").agg(F.count("*").alias("weight"))
-    return materialize(x.join(parts, ["shingle", "comp"]), "labelled_postings"), comp
+    return materialize(x.join(mixed, "shingle"), "mixed_postings"), comp
 
 
-def _apart(postings: DataFrame) -> int:
-    """In how many list places a class lies outside its list's largest component."""
+def _apart(postings: DataFrame) -> tuple[int, bool]:
+    """In how many list places a class lies outside its list's largest component, and whether all pairs of these with
+    their lists are few: EASY a posting at most."""
     parts = postings.groupBy("shingle", "comp").agg(F.count("*").alias("k"))
-    lists = parts.groupBy("shingle").agg((F.sum("k") - F.max("k")).alias("others"))
-    return lists.agg(F.sum("others")).first()[0] or 0
+    lists = parts.groupBy("shingle").agg((F.sum("k") - F.max("k")).alias("others"), F.sum("k").alias("len"))
+    others, pairs, places = lists.agg(F.sum("others"), F.sum(F.col("others") * F.col("len")), F.sum("len")).first()
+    return others or 0, (pairs or 0) <= EASY * (places or 0)
 
 
 def similar_documents(docs: DataFrame, max_hot: int = 200_000, block: int = 1024, broadcast_ids: int = 500_000) -> DataFrame:
@@ -348,18 +349,18 @@ def similar_documents(docs: DataFrame, max_hot: int = 200_000, block: int = 1024
     folds, sketches = sketches.select("cls", "narrow", "wide"), sketches.select("cls", "n", "sketch")
 
     # rounds of few pairs, first of some lists, then of all that hold several components: they connect most of large groups
-    now = postings.where(F.pmod(F.xxhash64("shingle"), F.lit(FIRST_LISTS)) == 0).withColumn("comp", F.col("cls")).withColumn("weight", F.lit(1))
+    now = postings.where(F.pmod(F.xxhash64("shingle"), F.lit(FIRST_LISTS)) == 0).withColumn("comp", F.col("cls"))
     links = materialize(_light_edges(sets).union(_verify(_near_pairs(now, light, 0), sketches, texts)), "links")
     now, comp = _labelled(postings, links)
-    before = _apart(now)
+    before, easy = _apart(now)
     for k in range(1, ROUNDS):
-        if not before:
+        if easy:
             break
         more = materialize(_verify(_near_pairs(now, light, k), sketches, texts), "more_links")
         links = links.union(more)
         now, comp = _labelled(now, links)
-        after = _apart(now)
-        if before - after < 0.02 * before:
+        after, easy = _apart(now)
+        if before - after < 0.2 * before:
             break
         before = after
 

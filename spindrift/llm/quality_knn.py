@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from .common import mix, modest_batches, shingles, small_parts, table, text_bytes, word_hashes
 from .labelled import held_out, sample_labels
 
-DIM, RANK, NEIGHBOURS = 1024, 48, 25
-#: Terms beyond the hashed character-class trigrams: how a text repeats itself.
-EXTRA = 8
+#: Hashed dimensions of character-class trigrams, of words and as many of word pairs; terms that say how a text repeats
+#: itself and how short it is, and their weight.
+TRIGRAMS, WORDS, EXTRA, EXTRA_WEIGHT = 1016, 512, 4, 0.3
+DIM, RANK, NEIGHBOURS = TRIGRAMS + 2 * WORDS + EXTRA, 48, 25
 
 
 def _classes() -> np.ndarray:
@@ -27,37 +28,38 @@ CLASS = _classes()
 
 
 def term_matrix(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Term frequencies (texts x DIM, float32): character-class trigrams in hashed dimensions, and EXTRA repeat terms."""
+    """Term frequencies (texts x DIM, float32) of whole texts: what words and word pairs there are, how characters follow
+    each other, and how much repeats. Texts without words or characters have zeros there."""
     n = len(offsets) - 1
-    base = DIM - EXTRA
     data, offsets = data[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
     lengths = np.diff(offsets)
     out = np.zeros((n, DIM), np.float32)
+    count = lambda row, dim, size: np.bincount(row * size + dim, minlength=n * size).reshape(n, size)
     if len(data) >= 3:
         c = CLASS[data]
         code = (c[:-2] * 64 + c[1:-1]) * 64 + c[2:]
-        dim = (mix(np.arange(64**3, dtype=np.uint64)) % np.uint64(base)).astype(np.int64)
-        row = np.repeat(np.arange(n), lengths)[:-2]
-        same = row == np.repeat(np.arange(n), lengths)[2:]  # no trigram across texts
-        out[:, :base] = np.bincount(row[same] * base + dim[code[same]], minlength=n * base).reshape(n, base)
+        dim = (mix(np.arange(64**3, dtype=np.uint64)) % np.uint64(TRIGRAMS)).astype(np.int64)
+        row = np.repeat(np.arange(n), lengths)
+        same = row[:-2] == row[2:]  # no trigram across texts
+        out[:, :TRIGRAMS] = count(row[:-2][same], dim[code[same]], TRIGRAMS)
     h, counts = word_hashes(data, offsets)
     of = np.repeat(np.arange(n), counts)
     size = np.maximum(counts, 1)
+    next_to = of[1:] == of[:-1]
+    bucket = lambda x: ((x >> np.uint64(20)) % np.uint64(WORDS)).astype(np.int64)
+    out[:, TRIGRAMS : TRIGRAMS + WORDS] = count(of, bucket(h), WORDS)
+    out[:, TRIGRAMS + WORDS : TRIGRAMS + 2 * WORDS] = count(of[1:][next_to], bucket(mix(h[:-1] * np.uint64(3) + h[1:])[next_to]), WORDS)
 
-    def dup(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    def again(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Per text, how many hashes repeat an earlier one."""
-        if not len(hashes):
-            return np.zeros(n)
         order = np.lexsort((hashes, owner))
         a, b = hashes[order], owner[order]
         return np.bincount(b[1:][(a[1:] == a[:-1]) & (b[1:] == b[:-1])], minlength=n)
 
-    follows = np.bincount(of[1:][(h[1:] == h[:-1]) & (of[1:] == of[:-1])], minlength=n) if len(h) > 1 else np.zeros(n)
+    follows = np.bincount(of[1:][next_to & (h[1:] == h[:-1])], minlength=n)
     s, sizes = shingles(h, counts, 4)
-    repeats = dup(s, np.repeat(np.arange(n), sizes)) / size
-    levels = [follows / size, repeats, np.minimum(dup(h, of) / size, 0.9), counts < 20, counts < 60, counts == 0, repeats > 0.2, repeats > 0.03]
-    scale = np.maximum(lengths, 1)[:, None]
-    out[:, base:] = np.stack(levels, 1) * scale * 0.1
+    levels = [follows / size, again(s, np.repeat(np.arange(n), sizes)) / size, np.minimum(again(h, of) / size, 0.9), 30 / (30 + counts)]
+    out[:, TRIGRAMS + 2 * WORDS :] = np.stack(levels, 1) * np.maximum(lengths, 1)[:, None] * EXTRA_WEIGHT
     return out
 
 
@@ -101,8 +103,8 @@ class NeighbourModel:
 
 def _matrices(batches):
     for part in small_parts(batches, "text"):
-        for a in range(0, part.num_rows, 2048):
-            piece = part.slice(a, 2048)
+        for a in range(0, part.num_rows, 1024):
+            piece = part.slice(a, 1024)
             yield piece, term_matrix(*text_bytes(piece.column(piece.schema.get_field_index("text"))))
 
 
@@ -113,23 +115,26 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000) ->
     """
     import pyarrow as pa
 
+    modest_batches(docs.sparkSession)
     chosen = sample_labels(labels, "quality", 3, 1, max_labelled)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # one text an id, so the bound holds
 
     def run(batches):
         for piece, x in _matrices(batches):
-            yield pa.RecordBatch.from_arrays([piece.column(piece.schema.get_field_index("y")), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
 
-    got = rows.select("text", "y").mapInArrow(run, "y int, x binary").collect()
-    x = np.frombuffer(b"".join(r["x"] for r in got), np.float16).reshape(-1, DIM).astype(np.float32)
-    return NeighbourModel(np.minimum(x, 60000), np.array([r["y"] > 0 for r in got], np.float32))
+    got = sorted(rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x binary").collect(), key=lambda r: r["doc_id"])
+    x = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(-1, DIM)
+    return NeighbourModel(x, np.array([r["y"] > 0 for r in got], np.float32))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     Every document is compared with all labelled vectors, in blocks. Null and empty texts are scored as texts
-    without terms; repeated rows get equal scores; with no labels the score is 0.5; an empty table gives none.
+    without terms, very long ones whole; repeated rows get equal scores; of neighbours at equal distance those that are
+    taken depend on the order of their ids alone; with no labels the score is 0.5; an empty table gives none.
     """
     import pyarrow as pa
 

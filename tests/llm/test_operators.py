@@ -89,6 +89,41 @@ def test_quality_classifier(spark, odd, labels):
     assert {r["score"] for r in quality_knn.score_quality(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def brute_terms(text):
+    """The terms of one text, counted one by one."""
+    from spindrift.llm.common import text_bytes, word_hashes
+
+    import pyarrow as pa
+
+    q, data = quality_knn, (text or "").encode()
+    out = np.zeros(q.DIM)
+    dims = q.mix(np.arange(64**3, dtype=np.uint64)) % np.uint64(q.TRIGRAMS)
+    c = [int(q.CLASS[b]) for b in data]
+    for a, b, d in zip(c, c[1:], c[2:]):
+        out[int(dims[(a * 64 + b) * 64 + d])] += 1
+    h = word_hashes(*text_bytes(pa.array([text])))[0].tolist()
+    for x in h:
+        out[q.TRIGRAMS + (x >> 20) % q.WORDS] += 1
+    for a, b in zip(h, h[1:]):
+        pair = int(q.mix(np.array([(a * 3 + b) % 2**64], np.uint64))[0])
+        out[q.TRIGRAMS + q.WORDS + (pair >> 20) % q.WORDS] += 1
+    n = max(len(h), 1)
+    four = [tuple(h[i : i + 4]) for i in range(len(h) - 3)] if len(h) >= 4 else [tuple(h)] * bool(h)
+    levels = [sum(a == b for a, b in zip(h, h[1:])) / n, (len(four) - len(set(four))) / n, min((len(h) - len(set(h))) / n, 0.9), 30 / (30 + len(h))]
+    out[-q.EXTRA :] = np.array(levels) * max(len(data), 1) * q.EXTRA_WEIGHT
+    return out
+
+
+def test_terms_against_a_plain_count():
+    import pyarrow as pa
+    from spindrift.llm.common import text_bytes
+
+    texts = ["The cat sat here, on 12 mats.", "Xqz vwk pjh mnbv, zz 99 kkkk.", None, "", "a", "a b c", "x y z w x y z w x y z w", "é\n\n!! ?"]
+    got = quality_knn.term_matrix(*text_bytes(pa.array(texts)))
+    assert np.allclose(got, np.stack([brute_terms(t) for t in texts]), rtol=1e-5)
+    assert not np.allclose(got[0], got[1])  # same case, signs and spacing, other words
+
+
 def test_neighbour_votes_are_exact():
     rng = np.random.default_rng(5)
     x, y = rng.random((40, quality_knn.DIM)).astype(np.float32), (rng.random(40) > 0.5).astype(np.float32)

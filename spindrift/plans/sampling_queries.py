@@ -102,8 +102,10 @@ def quota_largest_remainder(spark, sf):
 
 
 def quota_with_donors(spark, sf):
-    """The same with 3 to give: segments left without one take it from the largest."""
-    return S.quotas(_segments(spark, sf), 3)
+    """Quotas of 10 over classes of very different sizes: those left without one take it from the largest."""
+    k = F.col("o_orderkey") % 97
+    name = F.when(k == 0, "a").when(k == 1, "b").when(k < 6, "c").when(k < 30, "e").otherwise("d")
+    return S.quotas(load(spark, sf, "orders").groupBy(name.alias("class")).agg(F.count("*").alias("n")), 10)
 
 
 def take_until_target(spark, sf):
@@ -193,6 +195,12 @@ SELECT class, split, packet_id FROM (SELECT *, row_number() OVER (PARTITION BY c
     "low_label_subsets": f"""SELECT flow_id, class, pct FROM (SELECT flow_id, class, pct, count(*) OVER (PARTITION BY class, pct) AS n, row_number() OVER (PARTITION BY class, pct ORDER BY md5('42|' || pct || '|' || flow_id), pct || '|' || flow_id) AS rk
 FROM ({FLOWS_SQL}), unnest([1, 5, 10, 20, 50, 75]) u(pct)) WHERE rk <= greatest(1, round_even(n * pct / 100.0::DOUBLE, 0))""",
     "quota_largest_remainder": f"WITH {_quota(f'({_SEG})', 1003)} SELECT class, n::BIGINT AS n, quota FROM q",
+    "quota_with_donors": f"""WITH RECURSIVE o AS (SELECT CASE WHEN o_orderkey % 97 = 0 THEN 'a' WHEN o_orderkey % 97 = 1 THEN 'b' WHEN o_orderkey % 97 < 6 THEN 'c' WHEN o_orderkey % 97 < 30 THEN 'e' ELSE 'd' END AS class, count(*) AS n FROM orders GROUP BY 1),
+{_quota('o', 10)}, z AS (SELECT class AS poor, row_number() OVER (ORDER BY class) AS k FROM q WHERE quota = 0 AND n > 0),
+s(i, l) AS (SELECT 0::BIGINT, list({{'q': quota, 'c': class, 'n': n::BIGINT}} ORDER BY class) FROM q UNION ALL
+ SELECT i + 1, CASE WHEN rich IS NULL THEN l ELSE list_transform(l, lambda x: {{'q': CASE WHEN x.c = poor THEN 1 WHEN x.c = rich THEN x.q - 1 ELSE x.q END, 'c': x.c, 'n': x.n}}) END
+ FROM (SELECT i, l, poor, list_reverse_sort(list_filter(l, lambda x: x.q > 1))[1].c AS rich FROM s JOIN z ON z.k = s.i + 1))
+SELECT x.c AS class, x.n AS n, x.q AS quota FROM (SELECT unnest(l) AS x FROM s WHERE i = (SELECT max(i) FROM s))""",
     "take_until_target": f"""SELECT flow_id, class, rank, before FROM (SELECT flow_id, class, row_number() OVER w AS rank, coalesce(sum(pkts) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
 FROM ({FLOWS_SQL}) WHERE pkts > 0 WINDOW w AS (PARTITION BY class ORDER BY md5('take42|' || flow_id), flow_id)) WHERE before < 500""",
     "quota_merge_one": f"WITH {_F}, {_quota('(SELECT class, sum(pkts) AS n FROM f GROUP BY class)', 2000)}, {_take('f', 'q', 't')} SELECT flow_id, class, target, written FROM t",

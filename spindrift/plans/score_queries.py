@@ -143,7 +143,8 @@ def class_intersection(spark, sf):
 def class_difference(spark, sf):
     """Flow ids of valid flows without those of the largest source."""
     x = flows(spark, sf)
-    return x.where("pkts >= 3").select("flow_id").exceptAll(x.where("source_tag = 'src0'").select("flow_id"))
+    largest = x.groupBy("source_tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_tag").limit(1)
+    return x.where("pkts >= 3").select("flow_id").exceptAll(x.join(F.broadcast(largest), "source_tag", "left_semi").select("flow_id"))
 
 
 def tagged_union(spark, sf):
@@ -204,6 +205,9 @@ SELECT class, byte, round(sum(score) / any_value(n.n), 6) AS mean FROM b JOIN n
     "token_score_join": "SELECT vec_id AS sample, g, round(embedding[g + 2]::DOUBLE, 6) AS score FROM embeddings, range(10) u(g) WHERE g + 2 <= len(embedding)",
     "softmax_argmax": f"SELECT vec_id, {_PRED} AS pred FROM embeddings",
     "accuracy": f"SELECT count(*) AS rows, count(*) FILTER ({_PRED} = label) AS correct, round(count(*) FILTER ({_PRED} = label) / count(*), 8) AS accuracy FROM embeddings",
+    "linear_scores": """WITH w AS MATERIALIZED (SELECT f, c, cos(10 * f + c) AS w FROM range(64) a(f), range(10) b(c)), e AS MATERIALIZED (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64),
+s AS (SELECT vec_id, c, sum(embedding[f + 1]::DOUBLE * w) AS score FROM e, w GROUP BY vec_id, c), p AS (SELECT vec_id, arg_max(c, score) AS pred FROM s GROUP BY vec_id)
+SELECT vec_id, pred, round(t, 6) AS saliency FROM p JOIN (SELECT c, sum(abs(w)) AS t FROM w GROUP BY c) ON c = pred""",
     "timing_summary": "SELECT round(avg(o_totalprice), 4) AS total_s, round(avg(o_totalprice / 4), 4) AS prep_s, round(avg(o_totalprice * 0.75::DOUBLE), 4) AS infer_s, 1000 AS flows, round(avg(o_totalprice) / 1000 * 1000, 4) AS ms_per_flow, round(1000 / avg(o_totalprice), 4) AS flows_per_sec FROM orders",
     "distinct_labels": "SELECT count(DISTINCT label) AS labels FROM embeddings",
     "zip_header_payload": """WITH c AS (SELECT conv_id AS key, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS pos FROM conversations)
@@ -215,7 +219,7 @@ SELECT h.key, h.pos, md5(h.text) AS header_md5, md5(p.text) AS payload_md5 FROM
 WHEN 3 THEN CASE WHEN regexp_full_match(b, '[0-9a-fA-F]*') AND length(b) % 2 = 0 THEN lower(b) ELSE lower(hex(encode(text))) END ELSE '' END AS payload_hex FROM (SELECT *, replace(replace(replace(trim(text), ' ', ''), ':', ''), '0x', '') AS b FROM conversations)""",
     "merged_lists": "SELECT conv_id AS key, string_agg(md5(text), ',' ORDER BY role, turn, md5(text)) AS items FROM conversations GROUP BY conv_id",
     "class_intersection": f"SELECT source_tag FROM ({FLOWS_SQL}) WHERE flow_id % 3 = 0 INTERSECT SELECT source_tag FROM ({FLOWS_SQL}) WHERE flow_id % 3 = 1",
-    "class_difference": f"SELECT flow_id FROM ({FLOWS_SQL}) WHERE pkts >= 3 EXCEPT ALL SELECT flow_id FROM ({FLOWS_SQL}) WHERE source_tag = 'src0'",
+    "class_difference": f"SELECT flow_id FROM ({FLOWS_SQL}) WHERE pkts >= 3 EXCEPT ALL SELECT flow_id FROM ({FLOWS_SQL}) WHERE source_tag = (SELECT source_tag FROM ({FLOWS_SQL}) GROUP BY source_tag ORDER BY count(*) DESC, source_tag LIMIT 1)",
     "tagged_union": "SELECT doc_id AS flow_id, CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS split FROM documents",
     "packets_per_capture": f"SELECT class, source_tag, coalesce(sum(pkts) FILTER (bytes >= 2048), 0)::BIGINT AS n FROM ({FLOWS_SQL}) GROUP BY ALL",
     "top_sources": f"SELECT source_tag, sum(pkts)::BIGINT AS packets FROM ({FLOWS_SQL}) GROUP BY 1 ORDER BY packets DESC, source_tag LIMIT 5",

@@ -29,9 +29,8 @@ def flow_sessions(events: DataFrame, gap: str = "12 hours", late: str = "2 hours
 
 
 def run_once(stream: DataFrame, path: str) -> DataFrame:
-    """All that is there now, through the streaming engine. Each batch replaces the whole result at ``path``, so it is
-    written by the executors and never gathered."""
-    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")
-    q = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    """All that is there now, through the streaming engine, in append mode: a window or session is written once, when the
+    watermark has passed its end, and its state is dropped; those still open at the end are not written."""
+    q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")

@@ -20,6 +20,9 @@ K1, B = 1.2, 0.75
 #: Bytes of text in a shard, and words of documents that a task counts before it hands them on.
 SHARD_BYTES, COUNTED_TERMS = 4 << 20, 4_000_000
 
+#: Ranges of related documents at most, and documents sampled for each to find its bounds: what the driver gathers.
+MOST_RANGES, SAMPLED = 20_000, 64
+
 #: Characters for which the tokenizer's normalizer is lower-casing alone; texts with others are encoded whole.
 _PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e¡-įĲ-ɏ‐-‧€]")
 #: The tokenizer's own split into pieces, fixed by its file.
@@ -205,7 +208,7 @@ class Corpus:
     sorted by hash, that Spark brings to each executor once; its workers map them, so they share the memory."""
 
     def __init__(self, n: int, words: int, chars: int, names: tuple[str, str], terms: int):
-        self.n, self.mean, self.names, self.terms = n, words / max(n, 1), names, terms
+        self.n, self.mean, self.names, self.terms, self.chars = n, words / max(n, 1), names, terms, chars
         self.shard_docs = max(2, n * SHARD_BYTES // max(chars, 1))
 
     def frequencies(self, hashes: np.ndarray) -> np.ndarray:
@@ -294,6 +297,15 @@ def shelf_marks(column, corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def ranges_of(keys: tuple[np.ndarray, ...], bounds: tuple[np.ndarray, ...]) -> np.ndarray:
+    """How many of the bounds are at or before each key; keys and bounds are compared column by column."""
+    at = np.lexsort(tuple(np.concatenate((b, k)) for k, b in zip(keys, bounds, strict=True))[::-1])
+    known = len(bounds[0])
+    out = np.empty(known + len(keys[0]), np.int64)
+    out[at] = np.cumsum(at < known)
+    return out[known:]
+
+
 class Shard:
     """BM25 over the documents of one shard: posting lists in array form. ``frequencies`` gives the document
     frequency in the whole corpus of each term, ``n`` and ``mean`` are the corpus's; else they are the shard's own."""
@@ -392,12 +404,12 @@ def packed(docs: DataFrame, tokenizer: str | None = None, cache_words: int = 300
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are the end id alone; repeated rows and null ids are packed like others; an empty table
-    gives no pieces. Document frequencies and mean length are those of all documents. Rows are dealt by range of two
-    of their heavy words (``shelf_marks``) and a hash, so related documents lie together and a large group of copies
-    spreads over tasks; shards are runs of SHARD_BYTES of text in that order (a longer text is a shard of its own),
-    within which all terms are scored. Neighbours on other shards are not found: README.md says how many. A worker
-    remembers the ids of ``cache_words`` words (about 250 bytes each), which only saves time. Sequence numbers hold
-    the partition's number in their upper bits and count within it.
+    gives no pieces. Document frequencies and mean length are those of all documents. Rows are dealt by ranges of two
+    of their heavy words (``shelf_marks``) and a hash, with bounds from a sample, so related documents lie together and
+    a large group of copies spreads over tasks; shards are runs of SHARD_BYTES of text in that order (a longer text is a
+    shard of its own), within which all terms are scored. Neighbours on other shards are not found: README.md says how
+    many. A worker remembers the ids of ``cache_words`` words (about 250 bytes each), which only saves time. Sequence
+    numbers hold the partition's number in their upper bits and count within it.
     """
     import pyarrow as pa
 
@@ -422,18 +434,28 @@ def packed(docs: DataFrame, tokenizer: str | None = None, cache_words: int = 300
             base += int(sequence[-1]) + 1
             yield pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, pa.int64()) for a in arrays], names=names)
 
-    def marked(batches):
+    def marks(batches, bounds):
         for part in small_parts(batches, "text", SHARD_BYTES):
-            marks = [pa.array(x) for x in shelf_marks(part.column(1), corpus)]
-            yield pa.RecordBatch.from_arrays([*part.columns, *marks], names=["doc_id", "text", "shelf", "mark"])
+            own = [*shelf_marks(part.column(1), corpus), np.asarray(part.column(2), np.int64)]
+            columns = part.columns[:2] if bounds else []
+            at = [ranges_of(tuple(own), bounds)] if bounds else []
+            arrays = [*columns, *map(pa.array, own), *(pa.array(x.astype(np.int32)) for x in at)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text", *order, "range"] if bounds else order)
 
     modest_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     corpus = corpus_of(rows)
-    order = ["shelf", "mark", "salt"]
-    rows = rows.mapInArrow(marked, "doc_id long, text string, shelf long, mark long").withColumn("salt", F.xxhash64("doc_id", "text"))
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    order, longs = ["shelf", "mark", "salt"], "shelf long, mark long, salt long"
+    rows = rows.withColumn("salt", F.xxhash64("doc_id", "text"))
+    # ranges of about two shards, between quantiles of a sample of marks
+    parallel = min(docs.sparkSession.sparkContext.defaultParallelism, -(-corpus.chars // SHARD_BYTES))
+    parts = min(MOST_RANGES, max(1, parallel, corpus.chars // (2 * SHARD_BYTES)))
+    some = rows.sample(min(1.0, SAMPLED * parts / max(corpus.n, 1)), seed=5).mapInArrow(lambda b: marks(b, None), longs).toArrow()
+    some = [np.asarray(some.column(c), np.int64) for c in order]
+    at = np.lexsort(some[::-1])[np.arange(1, parts) * len(some[0]) // parts] if len(some[0]) else np.zeros(0, np.int64)
+    bounds = tuple(x[at] for x in some)
+    ranged = rows.mapInArrow(lambda b: marks(b, bounds), f"doc_id long, text string, {longs}, range int")
+    return ranged.repartitionById(parts, F.col("range")).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

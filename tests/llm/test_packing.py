@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from spindrift.llm.packing import LENGTH, Shard, Tokens, corpus_of, pack, packed
+from spindrift.llm.packing import LENGTH, Shard, Tokens, corpus_of, pack, packed, ranges_of
 from tokenizers import Tokenizer
 
 ODD = [None, "", "   ", "it's THE end, I'm 42 years.\n\nÀ côté", "naïve 日本語 テスト", "a b", "x<|endoftext|>y", "Σίσυφος ΣΑΣ", "été", "\x1cab\x1d", "İstanbul", "ſ K Å ﬁ", "..!!'s 's don't WE'LL", "word " * 5000]
@@ -157,3 +157,12 @@ def test_greedy_filling_against_a_plain_loop():
         got[s].append((o, d, a, n))
     full = [[(d, a, n) for _, d, a, n in sorted(x)] for _, x in sorted(got.items()) if sum(k[3] for k in x) == LENGTH]
     assert full == [x for x in want if sum(n for *_, n in x) == LENGTH]
+
+
+def test_ranges_against_a_plain_count():
+    rng = np.random.default_rng(2)
+    keys = tuple(rng.integers(-3, 3, 200) for _ in range(3))
+    bounds = [tuple(x) for x in sorted(rng.integers(-3, 3, (7, 3)).tolist())]
+    got = ranges_of(keys, tuple(np.array(c) for c in zip(*bounds, strict=True)))
+    assert got.tolist() == [sum(b <= k for b in bounds) for k in zip(*(x.tolist() for x in keys), strict=True)]
+    assert ranges_of(keys, (np.zeros(0, np.int64),) * 3).tolist() == [0] * 200

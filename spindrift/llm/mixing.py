@@ -14,6 +14,8 @@ TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.8}
 SWEEPS, KEEP = 20, 0.75
 #: Cells up to this number are raked in one task, without a shuffle, and broadcast to the documents.
 SMALL_CELLS = 50_000
+#: Bands of weights an octave that many cells are summed by.
+BANDS = 64
 LICENCE = "(?i)licen[sc]e|all rights reserved"
 CONTACT = "@|https?://"
 
@@ -33,20 +35,28 @@ def uniform(id_col: str) -> Column:
     return F.conv(digits, 16, 10).cast("double") / float(1 << 52)
 
 
-def _targets(cells: DataFrame, targets: dict[str, dict[str, float]] | None) -> DataFrame:
-    """Each cell with its marginals' target tokens g_<dim>; stated shares are rescaled to the categories present."""
-    total = F.sum("tokens").over(W.partitionBy("one"))
-    cells = cells.withColumn("one", F.lit(1)).withColumn("total", total)
+def _targets(cells: DataFrame, targets: dict[str, dict[str, float]] | None, one_task: bool) -> DataFrame:
+    """Each cell with its marginals' target tokens g_<dim>; stated shares are rescaled to the categories present.
+
+    The few cells of ``one_task`` are summed by windows; many are summed by their marginal's key and joined back.
+    """
+    if one_task:
+        cells = cells.withColumn("one", F.lit(1)).withColumn("total", F.sum("tokens").over(W.partitionBy("one")))
+    else:
+        cells = cells.withColumn("one", F.lit(1)).crossJoin(cells.agg(F.sum("tokens").alias("total")))  # one row
     for d in DIMS:
-        mass = F.sum("tokens").over(W.partitionBy("one", d))
+        share = lambda mass, d=d: F.pow(mass / F.col("total"), TEMPER[d])
         if stated := (targets or {}).get(d):
-            share = F.coalesce(*[F.when(F.col(d) == k, F.lit(float(v))) for k, v in stated.items()], F.lit(0.0))
+            share = lambda mass, d=d, s=stated: F.coalesce(*[F.when(F.col(d) == k, F.lit(float(v))) for k, v in s.items()], F.lit(0.0))  # noqa: E731, ARG005
+        if one_task:
+            first = F.row_number().over(W.partitionBy("one", d).orderBy(*DIMS)) == 1
+            cells = cells.withColumn("share", share(F.sum("tokens").over(W.partitionBy("one", d)))).withColumn("once", F.when(first, F.col("share")).otherwise(0.0))
+            cells = cells.withColumn(f"g_{d}", F.col("total") * F.col("share") / F.sum("once").over(W.partitionBy("one"))).drop("share", "once")
         else:
-            share = F.pow(mass / F.col("total"), TEMPER[d])
-        first = F.row_number().over(W.partitionBy("one", d).orderBy(*DIMS)) == 1
-        cells = cells.withColumn("share", share).withColumn("once", F.when(first, F.col("share")).otherwise(0.0))
-        cells = cells.withColumn(f"g_{d}", F.col("total") * F.col("share") / F.sum("once").over(W.partitionBy("one")))
-    return cells.drop("share", "once")
+            each = cells.groupBy(d, "total").agg(F.sum("tokens").alias("mass")).withColumn("share", share(F.col("mass")))
+            each = each.crossJoin(each.agg(F.sum("share").alias("shares")))  # one row
+            cells = cells.join(each.select(d, (F.col("total") * F.col("share") / F.col("shares")).alias(f"g_{d}")), d)
+    return cells
 
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS, one_task: bool = True) -> DataFrame:
@@ -56,7 +66,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, s
     larger one (very many sources; ``one_task`` false) is shuffled by the marginal's key, its rows being sums.
     """
     pack = (lambda d: d.coalesce(1)) if one_task else (lambda d: d)
-    now = _targets(pack(cells), targets).withColumn("w", F.col("tokens"))
+    now = _targets(pack(cells), targets, one_task).withColumn("w", F.col("tokens"))
     for i in range(sweeps):
         for d in DIMS:
             s = F.sum("w").over(W.partitionBy(d))
@@ -66,17 +76,32 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, s
     return now
 
 
-def calibrate(raked: DataFrame, keep: float = KEEP) -> DataFrame:
+def calibrate(raked: DataFrame, keep: float = KEEP, one_task: bool = True) -> DataFrame:
     """Cells with weight (w per token) and probability: min(1, c * weight), c such that a share ``keep`` of all
-    tokens is expected. Cells are taken by falling weight until the rest needs no more than certainty."""
-    order = W.partitionBy("one").orderBy(F.col("weight").desc(), *DIMS)
-    upto = order.rowsBetween(W.unboundedPreceding, -1)
-    rest = order.rowsBetween(W.currentRow, W.unboundedFollowing)
+    tokens is expected. Cells are taken by falling weight until the rest needs no more than certainty.
+
+    Where cells are many (``one_task`` false) the running sums are taken in two steps: over the cells' weights in
+    BANDS bands an octave, of which there are few, then within each band.
+    """
     x = raked.withColumn("weight", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0))
-    x = x.withColumn("before", F.coalesce(F.sum("tokens").over(upto), F.lit(0.0))).withColumn("after", F.sum(F.col("tokens") * F.col("weight")).over(rest))
+    x = x.withColumn("pull", F.col("tokens") * F.col("weight"))
+    x = x.withColumn("band", F.lit(0) if one_task else F.coalesce(F.floor(F.log2(F.when(F.col("weight") > 0, F.col("weight"))) * BANDS), F.lit(-(1 << 40))))
+    order = W.partitionBy("one", "band").orderBy(F.col("weight").desc(), *DIMS)
+    upto, rest = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.currentRow, W.unboundedFollowing)
+    x = x.withColumn("before", F.coalesce(F.sum("tokens").over(upto), F.lit(0.0))).withColumn("after", F.sum("pull").over(rest))
+    if not one_task:
+        bands = x.groupBy("band").agg(F.sum("tokens").alias("b_tokens"), F.sum("pull").alias("b_pull")).coalesce(1)
+        down = W.orderBy(F.col("band").desc())
+        ahead, behind = F.sum("b_tokens").over(down.rowsBetween(W.unboundedPreceding, -1)), F.sum("b_pull").over(down.rowsBetween(1, W.unboundedFollowing))
+        bands = bands.select("band", F.coalesce(ahead, F.lit(0.0)).alias("ahead"), F.coalesce(behind, F.lit(0.0)).alias("behind"))
+        x = x.join(bands, "band").withColumn("before", F.col("before") + F.col("ahead")).withColumn("after", F.col("after") + F.col("behind"))
     x = x.withColumn("c", F.when(F.col("after") > 0, (keep * F.col("total") - F.col("before")) / F.col("after")))
     good = F.when((F.col("c") * F.col("weight") <= 1) & (F.col("c") > 0), F.struct((-F.col("weight")).alias("o"), *DIMS, "c"))
-    c = F.min(good).over(W.partitionBy("one"))["c"]
+    if one_task:
+        x = x.withColumn("best", F.min(good).over(W.partitionBy("one"))["c"])
+    else:
+        x = x.crossJoin(x.agg(F.min(good)["c"].alias("best")))  # one row
+    c = F.col("best")
     p = F.when(F.col("tokens") <= 0, F.lit(keep)).when(c.isNull(), F.lit(1.0)).otherwise(F.least(F.lit(1.0), c * F.col("weight")))
     return x.select(*DIMS, "tokens", "weight", p.alias("probability"))
 
@@ -95,7 +120,7 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, k
     counted = keyed.groupBy(*(F.col(f"__{d}").alias(d) for d in DIMS)).agg(F.sum("__tokens").cast("double").alias("tokens"))
     counted = materialize(counted, "cells")
     few = counted.count() <= SMALL_CELLS
-    rates = materialize(calibrate(rake(counted, targets, sweeps, few), keep), "rates")
+    rates = materialize(calibrate(rake(counted, targets, sweeps, few), keep, few), "rates")
     rates = rates.select(*(F.col(d).alias(f"r_{d}") for d in DIMS), F.col("weight").alias("__weight"), F.col("probability").alias("__probability"))
     on = [F.col(f"__{d}") == F.col(f"r_{d}") for d in DIMS]
     out = keyed.join(F.broadcast(rates) if few else rates, on, "left").drop(*(f"r_{d}" for d in DIMS))

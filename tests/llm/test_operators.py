@@ -415,6 +415,15 @@ def test_rake_meets_its_targets(spark, docs001):
     assert abs(sum(x["tokens"] * x["probability"] for x in mixing.calibrate(mixing.rake(cells), 1.0).collect()) - 100) < 1e-6
 
 
+def test_many_cells_are_raked_like_few(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"s{i % 40}", f"g{i % 7}", f"t{i % 3}", float(rng.integers(0, 500))) for i in range(400)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double").groupBy(*mixing.DIMS).agg(F.sum("tokens").alias("tokens"))
+    for keep in (0.3, 0.9):
+        a, b = (sorted((tuple(r[d] for d in mixing.DIMS), r["weight"], r["probability"]) for r in mixing.calibrate(mixing.rake(cells, None, 5, one), keep, one).collect()) for one in (True, False))
+        assert len(a) == len(b) > 200 and all(x[0] == y[0] and abs(x[1] - y[1]) < 1e-9 and abs(x[2] - y[2]) < 1e-9 for x, y in zip(a, b, strict=True))
+
+
 def test_mixing_edges(spark, odd):
     r = mixing.mixed(odd).collect()
     assert len(r) == len(ROWS) and len({(x["__sampled"], x["__weight"]) for x in r if x["doc_id"] == 1}) == 1

@@ -33,6 +33,15 @@ def sliding_tokens(data: Column, window: int = WINDOW, stride: int = STRIDE, lim
     return F.transform(F.array(data if whole else hex_lower(data)), cut)[0]
 
 
+def joined_tokens(data: Column) -> tuple[Column, Column]:
+    """How many sliding tokens of two bytes, one byte apart, binary ``data`` has, and all of them joined by blanks: one
+    pass over its hex digits, without an array."""
+    digits = hex_lower(data)
+    every = F.regexp_replace(digits, "(?=(....))..", "$1 ")  # leaves the last byte after the last blank
+    n = F.floor((F.octet_length(data) * 2 - WINDOW) / STRIDE) + 1
+    return F.greatest(F.lit(0), F.coalesce(n, F.lit(0))).cast("long"), F.when(n > 0, F.regexp_replace(every, " ..$", "")).otherwise(F.lit(""))
+
+
 def packet_tokens(packets: DataFrame, start: int = START, size: int = SIZE) -> DataFrame:
     """packets (flow, idx, data) with their slice's tokens."""
     return packets.withColumn("tokens", sliding_tokens(slice_bytes(F.col("data"), start, size)))

@@ -74,12 +74,12 @@ def label_noise(flows: DataFrame, eps: float, seed: int = 42) -> DataFrame:
     labels = flows.select("class").distinct().coalesce(1)
     labels = labels.withColumn("__i", (F.row_number().over(W.orderBy("class")) - 1).cast("long"))
     labels = labels.withColumn("__k", F.count("*").over(W.partitionBy()).cast("long"))
-    x = hash_order(flows, ["class"], f"noise{seed}", ["flow_id"]).join(F.broadcast(labels), "class")
+    x = hash_order(flows, ["class"], f"noise{seed}", ["flow_id"]).join(labels, "class")
     step = F.conv(F.substring(hash_key(f"move{seed}", "flow_id"), 1, 8), 16, 10).cast("long") % F.greatest(F.lit(1), F.col("__k") - 1)
     moved = (F.col("__k") > 1) & (F.col("rank") <= F.rint(F.col("n") * eps))
     target = labels.select(F.col("class").alias("__other"), F.col("__i").alias("__j"))
     x = x.withColumn("__t", F.when(moved, (F.col("__i") + 1 + step) % F.col("__k")))
-    x = x.join(F.broadcast(target), F.col("__t") == F.col("__j"), "left")
+    x = x.join(target, F.col("__t") == F.col("__j"), "left")
     return x.withColumn("new_class", F.coalesce("__other", "class")).select(*flows.columns, "new_class")
 
 

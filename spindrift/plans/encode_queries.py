@@ -24,9 +24,8 @@ def _pages(spark, sf):
 
 def hex_tokens(spark, sf):
     """Sliding hex tokens of whole documents: how many, and their md5."""
-    tokens = E.sliding_tokens(F.col("data"))
-    x = _docs(spark, sf).select("packet_id", tokens.alias("t"))
-    return x.select("packet_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
+    n, tokens = E.joined_tokens(F.col("data"))
+    return _docs(spark, sf).select("packet_id", n.alias("n_tokens"), F.md5(tokens).alias("tokens_md5"))
 
 
 def token_byte_index(spark, sf):

@@ -8,6 +8,7 @@ file (2 GB at most, that reader's bound) is decoded by one task, which hands pac
 from __future__ import annotations
 
 import itertools
+import re
 import struct
 from collections.abc import Iterator
 
@@ -124,47 +125,57 @@ class _File(InputPartition):
         super().__init__(path)
 
 
+def store(path: str):
+    """(file system, path in it) of a local path or of a URI that pyarrow opens (file, hdfs, s3, gs)."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+:/", path) else (fs.LocalFileSystem(), path)
+
+
 class CaptureReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.limit = options["path"], options.get("maxPackets")
 
     def partitions(self):
-        import glob
-        import os
-
-        root = self.path.removeprefix("file://").removeprefix("file:")
-        found = [root] if os.path.isfile(root) else [p for p in glob.glob(f"{root}/**/*", recursive=True) if p.lower().endswith((".pcap", ".pcapng", ".cap"))]
+        from pyarrow import fs
+
+        files, root = store(self.path)
+        if files.get_file_info(root).type == fs.FileType.File:
+            found = [root]
+        else:
+            every = files.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
+            found = [f.path for f in every if f.path.lower().endswith((".pcap", ".pcapng", ".cap"))]
         return [_File(p) for p in sorted(found)] or [_File("")]
 
     def read(self, partition):
         if partition.value:
-            with open(partition.value, "rb") as f:
+            files, _ = store(self.path)
+            with files.open_input_stream(partition.value) as f:
                 for p in decode(f.read(), int(self.limit) if self.limit else None):
                     yield (partition.value, *p)
 
 
 class CaptureWriter(DataSourceWriter):
-    """One capture per value of ``file`` (rows come sorted by file and idx); a task writes whole files."""
+    """One capture per value of ``file`` (rows come sorted by file and idx); a task writes whole files, packet by packet."""
 
     def __init__(self, schema, options, overwrite: bool):
-        self.names, self.root, self.link = schema.names, options["path"].removeprefix("file://").removeprefix("file:"), int(options.get("link", RAW))
+        self.names, self.root, self.link = schema.names, options["path"].rstrip("/"), int(options.get("link", RAW))
 
     def write(self, rows):
-        import itertools
-        import os
-
         at = {n: i for i, n in enumerate(self.names)}
+        files, root = store(self.root)
         for name, group in itertools.groupby(rows, key=lambda r: r[at["file"]]):
-            target = os.path.join(self.root, name)
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(target + ".part", "wb") as f:
-                f.writelines(encode(((r[at["ts_us"]], bytes(r[at["data"]])) for r in group), self.link))
-            os.replace(target + ".part", target)  # a retried task writes the same file again
+            target = f"{root}/{name}"
+            files.create_dir(target.rpartition("/")[0], recursive=True)
+            with files.open_output_stream(target + ".part") as f:
+                for piece in encode(((r[at["ts_us"]], bytes(r[at["data"]])) for r in group), self.link):
+                    f.write(piece)
+            files.move(target + ".part", target)  # a retried task writes the same file again
         return WriterCommitMessage()
 
 
 class CaptureSource(DataSource):
-    """``format("pcap")`` for folders that the driver and all executors mount; else use ``read_captures``."""
+    """``format("pcap")`` for folders and stores that pyarrow opens; ``read_captures`` reads from any that Spark does."""
 
     @classmethod
     def name(cls):

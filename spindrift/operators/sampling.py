@@ -103,6 +103,13 @@ def sample_to_target(packets: DataFrame, targets: DataFrame, seed: int = 42) ->
     return hash_order(packets, ["class", "split"], f"packets{seed}", ["packet_id"]).join(wants, ["class", "split"]).where("rank <= want").select(*packets.columns)
 
 
+def target_overflow(packets: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
+    """Test packets of sampled classes that their sample left out: what the test split can be widened by."""
+    kept = sample_to_target(packets, targets, seed).where("split = 'test'")
+    classes = kept.select("class").distinct()
+    return packets.where("split = 'test'").join(classes, "class", "left_semi").join(kept.select("packet_id"), "packet_id", "left_anti").select(*packets.columns)
+
+
 def low_label_subsets(flows: DataFrame, percents: tuple[int, ...] = PERCENTS, seed: int = 42) -> DataFrame:
     """max(1, round(n * p / 100)) flows of each class for every percentage; subsets of different p are independent."""
     each = flows.withColumn("pct", F.explode(F.array(*map(F.lit, percents))))

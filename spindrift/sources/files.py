@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def list_files(spark: SparkSession, root: str, pattern: str = "*", levels: tuple[str, ...] = ("class",), endings: tuple[str, ...] = ()) -> DataFrame:
+def list_files(spark: SparkSession, root: str, pattern: str = "*", levels: tuple[str, ...] = ("class",), endings: tuple[str, ...] = (), must_have: bool = False) -> DataFrame:
     """(path, bytes, <levels>): files under ``root``; the last directories name the levels. Sizes are read without
-    the contents. ``endings`` keeps names that end so, in either case; a missing root gives no rows."""
+    the contents. ``endings`` keeps names that end so, in either case; a missing root gives no rows, unless there
+    ``must_have`` been some."""
     from pyspark.errors import AnalysisException
 
     try:
@@ -28,17 +29,19 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*", levels: tuple
         for e in for_any[1:]:
             keep = keep | e
         out = out.where(keep)
+    if must_have and out.isEmpty():
+        raise ValueError(f"no class has a file under {root}")
     return out
 
 
 def read_json_lists(spark: SparkSession, path: str) -> DataFrame:
-    """(file, key, items) of JSON files that hold one object of lists each; a value that is no list is a list of
+    """(file, folder, key, items) of JSON files that hold one object of lists each; a value that is no list is a list of
     one. A file that isn't an object raises."""
     x = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
     kind = F.when(F.startswith(F.trim("value"), F.lit("{")), F.from_json("value", "map<string,string>"))
-    x = x.select("file", F.explode(F.when(kind.isNotNull(), kind).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.col("file"))))).alias("key", "text"))
+    x = x.withColumn("folder", F.try_element_at(F.split("file", "/"), F.lit(-2))).select("file", "folder", F.explode(F.when(kind.isNotNull(), kind).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.col("file"))))).alias("key", "text"))
     items = F.coalesce(F.when(F.startswith(F.trim("text"), F.lit("[")), F.from_json("text", "array<string>")), F.array("text"))
-    return x.select("file", "key", items.alias("items"))
+    return x.select("file", "folder", "key", items.alias("items"))
 
 
 def literal_dicts(column: Column) -> Column:

@@ -27,7 +27,11 @@ RULES = {
     "dup_lines": ("n_lines >= 3 AND n_dup_lines = 0", "n_dup_lines >= 0.3D * n_lines AND n_lines > 0"),
     "repeats": ("n_words >= 50 AND n_repeat_words <= 0.02D * n_words", "n_repeat_words >= 0.15D * n_words"),
     "capitals": ("n_upper <= 0.12D * n_letters", "n_upper >= 0.3D * n_letters"),
-    "variety": ("n_words < 2000 AND n_distinct >= 0.4D * n_words", "n_words < 2000 AND n_distinct < 0.25D * n_words"),
+    # the vocabulary of a long text grows with the root of its length: from 2000 words on that is what is asked for
+    "variety": (
+        "n_distinct >= 0.4D * n_words OR CAST(n_distinct AS BIGINT) * n_distinct >= 320 * n_words",
+        "n_distinct < 0.25D * n_words AND CAST(n_distinct AS BIGINT) * n_distinct < 125 * n_words",
+    ),
     "letters": ("n_letters >= 0.85D * word_chars", "n_letters < 0.7D * word_chars"),
     "common": ("n_common >= 3", "n_words >= 20 AND n_common < 2"),
 }

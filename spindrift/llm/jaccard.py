@@ -25,8 +25,9 @@ POSTING_COST = 2.0
 CHUNK = 2 << 20
 #: The first pairs come from one list in so many; later rounds take every list that is still apart.
 FIRST_LISTS, ROUNDS = 4, 3
-#: Bits of the bitmaps that travel with postings: narrow ones up to a set size, wide ones beyond it.
-NARROW, WIDE, NARROW_SETS = 1024, 4096, 448
+#: Bits of the bitmaps that travel with postings. They tell sets of a few hundred shingles apart; for larger ones the
+#: wider bitmaps of ``_open_pairs`` do.
+NARROW = 512
 #: Pairs of a list from which on bitmaps travel with its postings.
 CROWDED = 256
 #: Pairs a posting up to which no further round of few pairs is worth while.
@@ -118,7 +119,7 @@ def _subset_keys(s: np.ndarray) -> list[tuple[int, int]]:
 
 def _sets(docs: DataFrame, hot: np.ndarray, hot_n: np.ndarray, light: int) -> DataFrame:
     """A row per document: doc_id, th (its text's hash), cls, n, its prefix (rarest first) if it scans lists, its subset
-    keys if light, and its bitmaps: one as wide as its size asks, one NARROW and, for large sets, one WIDE."""
+    keys if light, and its bitmaps: one as wide as its size asks and one of NARROW bits."""
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast((hot, hot_n))
@@ -151,25 +152,20 @@ def _sets(docs: DataFrame, hot: np.ndarray, hot_n: np.ndarray, light: int) -> Da
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(s[pos].view(np.int64)))
             keys = pa.array([[{"key": k, "side": e} for k, e in x] for x in subs], pa.list_(pa.struct([("key", pa.int64()), ("side", pa.int32())])))
             sketch = pa.array(bitmaps(s, of, n), pa.binary())
-            flat = [parities(s, of, n, n <= NARROW_SETS, NARROW), parities(s, of, n, 5 * n > 4 * NARROW_SETS, WIDE)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(cls.view(np.int64)), pa.array(n.astype(np.int64)), prefix, keys, sketch, *flat], names=["doc_id", "th", "cls", "n", "prefix", "subs", "sketch", "narrow", "wide"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(cls.view(np.int64)), pa.array(n.astype(np.int64)), prefix, keys, sketch, parities(s, of, len(n))], names=["doc_id", "th", "cls", "n", "prefix", "subs", "sketch", "narrow"])
 
-    kinds = "doc_id long, th long, cls long, n long, prefix array<long>, subs array<struct<key: long, side: int>>, sketch binary, narrow array<long>, wide array<long>"
+    kinds = "doc_id long, th long, cls long, n long, prefix array<long>, subs array<struct<key: long, side: int>>, sketch binary, narrow array<long>"
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, kinds)
 
 
-def parities(s: np.ndarray, of: np.ndarray, n: np.ndarray, which: np.ndarray, bits: int):
-    """Arrow lists with a bitmap of ``bits`` bits, as longs, of the sets in ``which``; null for the others. Like
-    ``bitmaps``: two differ in no more bits than their sets in shingles."""
+def parities(s: np.ndarray, of: np.ndarray, sets: int):
+    """Arrow lists with each set's bitmap of NARROW bits, as longs. Like ``bitmaps``: two differ in no more bits than
+    their sets in shingles."""
     import pyarrow as pa
 
-    number = np.cumsum(which) - 1
-    mine = which[of]
-    at = number[of[mine]] * bits + (s[mine] & np.uint64(bits - 1)).astype(np.int64)
-    longs = np.packbits((np.bincount(at, minlength=int(which.sum()) * bits) & 1).astype(np.uint8), bitorder="little").view("<i8")
-    ends = np.cumsum(which * (bits // 64)).astype(np.int32)
-    offsets = pa.array(np.concatenate(([0], ends)), pa.int32(), mask=np.concatenate((~which, [False])))
-    return pa.ListArray.from_arrays(offsets, pa.array(longs))
+    at = of * NARROW + (s & np.uint64(NARROW - 1)).astype(np.int64)
+    longs = np.packbits((np.bincount(at, minlength=sets * NARROW) & 1).astype(np.uint8), bitorder="little").view("<i8")
+    return pa.ListArray.from_arrays(pa.array(np.arange(sets + 1, dtype=np.int32) * (NARROW // 64)), pa.array(longs))
 
 
 def bitmaps(s: np.ndarray, of: np.ndarray, n: np.ndarray) -> list[bytes]:
@@ -281,20 +277,15 @@ def _list_pairs(postings: DataFrame, folds: DataFrame, light: int, block: int) -
     small = rows.where(f"others * len <= {CROWDED}").withColumn("blocks", F.lit(1))
     crowded = rows.where(f"others * len > {CROWDED}").withColumn("blocks", F.ceil(F.col("others") / block).cast("int")).join(folds, "cls")
     crowded = materialize(crowded, "crowded_postings")
-    narrow = " + ".join(f"bit_count(fa[{i}] ^ fb[{i}])" for i in range(NARROW // 64))
-    wide = "aggregate(zip_with(fa, fb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    apart = " + ".join(f"bit_count(fa[{i}] ^ fb[{i}])" for i in range(NARROW // 64))
     found = []
-    for some, fold, more in (
-        (small, F.lit(None), "true"),
-        (crowded.where("narrow IS NOT NULL"), F.col("narrow"), f"greatest(na, nb) <= {NARROW_SETS} AND 9 * ({narrow}) <= na + nb"),
-        (crowded.where("wide IS NOT NULL"), F.col("wide"), f"greatest(na, nb) > {NARROW_SETS} AND 9 * ({wide}) <= na + nb"),
-    ):
+    for some, fold, more in ((small, F.lit(None), "true"), (crowded, F.col("narrow"), f"9 * ({apart}) <= na + nb")):
         side = lambda part, x: [F.col("shingle").alias(f"s{x}"), part.alias(f"p{x}"), F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p_{x}"), F.col("comp").alias(f"c{x}"), fold.alias(f"f{x}")]  # noqa: E731, B023
         left = some.where("comp <> top").select(*side(F.expr("cast(pmod(xxhash64(cls), blocks) as int)"), "a"))
         right = some.select(*side(F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "b"), "top")
         fits = f"sa = sb AND pa = pb AND ca <> cb AND (cb = top OR a < b) AND greatest(na, nb) > {light} AND {_fits('na', 'p_a', 'nb', 'p_b')} AND {more}"
         found.append(left.join(right, F.expr(fits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    return found[0].union(found[1]).union(found[2]).distinct()
+    return found[0].union(found[1]).distinct()
 
 
 def _labelled(postings: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -345,8 +336,8 @@ def similar_documents(docs: DataFrame, max_hot: int = 200_000, block: int = 1024
     reps = F.broadcast(reps) if reps.count() <= broadcast_ids else reps
     own = lambda d, th: d.join(reps.withColumnRenamed("cls", "r_cls"), F.col("doc_id").eqNullSafe(F.col("r_id")) & (th == F.col("r_th"))).dropDuplicates(["r_cls"])
     texts = materialize(own(docs, F.xxhash64("text")).select(F.col("r_cls").alias("cls"), "text"), "texts")
-    sketches = materialize(own(sets, F.col("th")).select("cls", "n", "sketch", "narrow", "wide"), "sketches")
-    folds, sketches = sketches.select("cls", "narrow", "wide"), sketches.select("cls", "n", "sketch")
+    sketches = materialize(own(sets, F.col("th")).select("cls", "n", "sketch", "narrow"), "sketches")
+    folds, sketches = sketches.select("cls", "narrow"), sketches.select("cls", "n", "sketch")
 
     # rounds of few pairs, first of some lists, then of all that hold several components: they connect most of large groups
     now = postings.where(F.pmod(F.xxhash64("shingle"), F.lit(FIRST_LISTS)) == 0).withColumn("comp", F.col("cls"))

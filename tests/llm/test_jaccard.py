@@ -124,7 +124,7 @@ def test_null_ids_bridge(spark):
 
 
 @pytest.mark.parametrize("size", [30, 470])
-def test_narrow_and_wide_bitmaps_agree_with_brute_force(spark, size):
+def test_bitmaps_on_postings_agree_with_brute_force(spark, size):
     rng = np.random.default_rng(size)
     base = [f"v{i}" for i in range(size)]
     rows = []

@@ -158,7 +158,8 @@ def frag_merge(packets: DataFrame, frag: float, merge: float, merge_max: int, mi
     x = x.withColumns({f"next_{c}": e for c, e in after.items()})
     wish = (uniform(f"merge{seed}", "flow", "r") < merge) & (F.col("tuple") == F.col("next_tuple")) & (F.col("len") + F.col("next_len") <= merge_max) & F.col("bad").isNull()
     x = x.withColumn("wish", F.coalesce(wish, F.lit(False)))
-    x = x.withColumn("run", F.sum(F.when(F.col("wish"), 0).otherwise(1)).over(by.rowsBetween(W.unboundedPreceding, -1)))
+    ahead = F.sum(F.when(F.col("wish"), 0).otherwise(1)).over(by.rowsBetween(W.unboundedPreceding, -1))
+    x = x.withColumn("run", F.coalesce(ahead, F.lit(0)))
     x = x.withColumn("nth", F.row_number().over(W.partitionBy("flow", "run").orderBy("r"))).withColumn("leads", F.col("wish") & (F.col("nth") % 2 == 1))
     x = x.withColumn("taken", F.coalesce(F.lag("leads").over(by), F.lit(False))).where("NOT taken")
     cuts = ~F.col("leads") & (F.col("len") >= 2 * min_frag) & (uniform(f"frag{seed}", "flow", "r") < frag) & F.col("bad").isNull()

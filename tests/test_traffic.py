@@ -215,3 +215,9 @@ def test_registry(spark):
     assert r.run_group("g", spark, "", keep_going=True)["a"] == 3
     with pytest.raises(RuntimeError):
         r.run_group("g", spark, "")
+
+
+def test_merges_go_pair_by_pair_from_the_first_packet(spark):
+    x = packets(spark, [10, 20, 30, 40, 50])
+    f = P.frag_merge(x, 0.0, 1.1, 400, 20).orderBy("idx").collect()
+    assert [(r["ts_us"], r["len"]) for r in f] == [(15, 200), (35, 200), (50, 100)]

@@ -172,44 +172,50 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
 BLOCK = 1 << 19
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: By byte: whether it parts words, in the contracts that split at the six spaces.
+SPACES = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+#: The same where words are runs of ASCII letters, digits and other than ASCII characters.
+SIGNS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, lower: bool = True, gaps: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``word_hashes``, and each word's first byte and end, counted from the first text's start.
 
     ``data`` holds the texts' UTF-8 bytes, ``offsets`` (n + 1) their bounds. A word is a maximal run without
-    the six space bytes; ``lower`` maps A-Z to a-z. Bytes are taken in blocks of about BLOCK that end at a space or a
+    the bytes of ``gaps`` (the six spaces); ``lower`` maps A-Z to a-z. Bytes are taken in blocks of about BLOCK that end at a space or a
     text's bound, so working memory grows neither with the batch nor with a text.
     """
     data = data[offsets[0] : offsets[-1]]
     offsets = (offsets - offsets[0]).astype(np.int64)
     a, parts = 0, [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     while a < len(data):
-        b = _block_end(data, offsets, a + BLOCK)
+        b = _block_end(data, offsets, a + BLOCK, gaps)
         bounds = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, "right")] - a
-        h, start, end = _word_spans(data[a:b], bounds, lower)
+        h, start, end = _word_spans(data[a:b], bounds, lower, gaps)
         parts.append((h, start + a, end + a))
         a = b
     h, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
     return h, np.diff(np.searchsorted(start, offsets)), start, end
 
 
-def _block_end(data: np.ndarray, offsets: np.ndarray, at: int) -> int:
-    """The first space or text's bound at ``at`` or after it."""
+def _block_end(data: np.ndarray, offsets: np.ndarray, at: int, gaps: np.ndarray) -> int:
+    """The first gap or text's bound at ``at`` or after it."""
     if at >= len(data):
         return len(data)
     bound = int(offsets[np.searchsorted(offsets, at)])
     while at < bound:
         piece = data[at : min(at + 4096, bound)]
-        found = np.flatnonzero((piece == 32) | ((piece >= 9) & (piece <= 13)))
+        found = np.flatnonzero(gaps[piece])
         if len(found):
             return at + int(found[0])
         at += len(piece)
     return bound
 
 
-def _word_spans(data: np.ndarray, bounds: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _word_spans(data: np.ndarray, bounds: np.ndarray, lower: bool, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of a block's words; ``bounds`` are those of texts. Everything is array arithmetic."""
     n = len(data)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
+    space = gaps[data]
     inner = np.zeros(n + 1, bool)
     inner[bounds] = True  # a text's bound also ends a word
     word = ~space

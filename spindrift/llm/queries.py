@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, jaccard, line_dedup, mixing, packing, quality_knn, quality_rules, secrets, toxicity, warc
+from . import embeddings, jaccard, licenses, line_dedup, merkle, mixing, packing, periodic, quality_knn, quality_rules, secrets, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,11 +17,14 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_warc_revisits": warc.op10_warc_revisits,
+        "op11_periodic_runs": periodic.op11_periodic_runs,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_license_scans": licenses.op13_license_scans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """Operators 3, 5, 7 and 9 can't be told in SQL; tests hold them against brute force or held-out labels."""
+    """Operators 3, 5, 7, 9 and 11 to 13 have no SQL; tests hold them against brute force or held-out labels."""
     return {
         "op1_mixing": mixing.ORACLE_SQL,
         "op2_quality_rules": quality_rules.ORACLE_SQL,

@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.paths import work_path
+from ..operators import compliance as C
 from ..operators import datasets as D
 from ..operators import frames as R
 from ..operators import metrics as M
 from ..operators import sampling as S
 from ..operators.encode import byte_matrix
-from ..sources import files, pcap
+from ..sources import containers, files, pcap
 from .lenses import CATEGORICAL, FEATURES_SQL, FLOWS_SQL, PACKETS_SQL, features, flows, load, packets
 from .sampling_queries import _F, _split
 from .score_queries import _CHK
 
 
-def _frames(spark, sf):
+#: Bytes of the pieces in which queries write captures.
+ROLL = 64 << 20
+
+
+def _frames(spark, sf, hosts=65536):
     """Packets as Ethernet frames: IPv4 with TCP or UDP, every eleventh an ARP frame of 28 zero bytes."""
-    x = packets(spark, sf).withColumn("src", F.lit(167772160) + F.col("flow")).withColumn("dst", F.lit(3232235520) + F.col("idx") % 65536)
+    x = packets(spark, sf).withColumn("src", F.lit(167772160) + F.col("flow")).withColumn("dst", F.lit(3232235520) + F.col("idx") % hosts)
     x = x.withColumn("sport", 1024 + F.col("flow") % 5000).withColumn("dport", F.lit(443)).withColumn("proto", F.when(F.col("idx") % 2 == 0, 6).otherwise(17))
     x = x.withColumn("payload", F.encode(F.concat("class", F.lit("-"), F.col("idx").cast("string")), "UTF-8"))
     macs = F.concat(R.number(F.col("idx") % 65536 + 0x020000000000, 6), R.number(F.col("flow") % 65536 + 0x020000000000, 6))
@@ -31,7 +36,7 @@ def packet_checksums(spark, sf):
     """Frames with checksums, written as captures and read back: their IPv4 and TCP or UDP checksums."""
     path = work_path(spark, "frames")
     x = R.with_checksums(_frames(spark, sf)).withColumn("file", F.concat(F.lit("g"), (F.col("flow") % 16).cast("string"), F.lit("/"), F.col("class"), F.lit(".pcap")))
-    pcap.write_captures(x, path, pcap.ETHERNET)
+    pcap.write_captures(x, path, pcap.ETHERNET, ROLL)
     y = pcap.layers(pcap.read_captures(spark, path))
     u = lambda at: F.conv(F.hex(F.substring("data", (at + 1).cast("int"), F.lit(2))), 16, 10).cast("long")
     at = F.when(F.col("proto") == 6, F.col("l4_at") + 16).when(F.col("proto") == 17, F.col("l4_at") + 6)
@@ -108,25 +113,46 @@ def capture_merge_cap(spark, sf):
     return y.groupBy(F.regexp_extract("path", r"([^/]+)\.pcap$", 1).alias("class")).agg(F.count("*").alias("packets"), F.sum("ts_us").cast("decimal(38,0)").cast("string").alias("times"))
 
 
+def capture_ranges(spark, sf):
+    """Frames of each class, in rolled captures that are read back by ranges of 100,000 bytes: every packet."""
+    path = work_path(spark, "ranges")
+    x = R.with_checksums(_frames(spark, sf)).withColumn("file", F.concat("class", F.lit("/all.pcap")))
+    pcap.write_captures(x, path, pcap.ETHERNET, ROLL)
+    y = pcap.read_captures(spark, path, range_bytes=100_000)
+    return y.select(_class_folder(), "ts_us", "orig_len", F.md5("data").alias("frame_md5"))
+
+
+def session_containers(spark, sf):
+    """Sessions written into containers; those of every twentieth packet are looked up by their key: their packets."""
+    path = work_path(spark, "containers")
+    x = C.header_features(pcap.layers(R.ip_only(_frames(spark, sf, 7)))).select("session", "idx", "ts_us", "data")
+    containers.write_sessions(x, path, pcap.ETHERNET)
+    keys = x.where("idx % 20 = 0").select("session")
+    return containers.read_sessions(spark, path, keys).select("session", "packet", "ts_us", F.md5(F.substring("data", 35, 4)).alias("ports_md5"))
+
+
+def _class_folder():
+    return F.element_at(F.split("path", "/"), -2).alias("class")
+
+
 def captures_if_any(spark, sf):
     """Captures are written only for classes that have packets left: which there are, and their packets."""
     path = work_path(spark, "some")
     x = _frames(spark, sf)
     x = x.where("class <> 'click' AND idx % 7 = 0").withColumn("file", F.concat("class", F.lit("/left.pcap")))
-    pcap.write_captures(x, path, pcap.ETHERNET)
+    pcap.write_captures(x, path, pcap.ETHERNET, ROLL)
     there = files.list_files(spark, path, "*.pcap", ("class",))
     n = pcap.read_captures(spark, path).groupBy(F.col("path").alias("p")).agg(F.count("*").alias("packets"))
-    return there.join(n, there["path"] == n["p"]).select("class", "packets")
+    return there.join(n, there["path"] == n["p"]).groupBy("class").agg(F.sum("packets").alias("packets"))
 
 
 def raw_packet_counts(spark, sf):
-    """Records of each capture counted from headers; files that are none count 0."""
+    """Records of each class's captures counted from headers; files that are none count 0."""
     path = work_path(spark, "counted")
-    x = _frames(spark, sf).withColumn("file", F.concat("class", F.lit(".pcap")))
-    pcap.write_captures(x, path, pcap.ETHERNET)
-    load(spark, sf, "region").select(F.col("r_name").alias("value")).coalesce(1).write.text(f"{path}/broken.pcap")
-    n = pcap.count_packets(spark, path, "*")
-    return n.select(F.when(F.contains("path", F.lit("broken.pcap")), "broken").otherwise(F.regexp_extract("path", r"([^/]+)\.pcap$", 1)).alias("name"), "packets").groupBy("name").agg(F.sum("packets").alias("packets"))
+    x = _frames(spark, sf).withColumn("file", F.concat("class", F.lit("/all.pcap")))
+    pcap.write_captures(x, path, pcap.ETHERNET, ROLL)
+    load(spark, sf, "region").select(F.col("r_name").alias("value")).coalesce(1).write.text(f"{path}/broken")
+    return pcap.count_packets(spark, path, "*").select(_class_folder().alias("name"), "packets").groupBy("name").agg(F.sum("packets").alias("packets"))
 
 
 def class_listing(spark, sf):
@@ -282,6 +308,9 @@ FROM ({FLOWS_SQL}), unnest([1, 5, 10, 20, 50, 75]) u(pct)) WHERE rk <= greatest(
     "capture_merge_cap": f"""WITH p AS (SELECT *, count(*) OVER (PARTITION BY class, flow) AS pkts, row_number() OVER (PARTITION BY class, flow ORDER BY idx) AS place FROM ({PACKETS_SQL})),
 f AS (SELECT class, flow, coalesce(sum(pkts) OVER (PARTITION BY class ORDER BY md5('merge42|' || flow), flow ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT DISTINCT class, flow, pkts FROM p))
 SELECT class, count(*) AS packets, sum(ts_us)::VARCHAR AS times FROM p JOIN f USING (class, flow) WHERE before + place <= 300 GROUP BY class""",
+    "capture_ranges": f"WITH {_PLAIN} SELECT class, ts_us, length(head || load) // 2 AS orig_len, md5(unhex(head || load)) AS frame_md5 FROM w",
+    "session_containers": f"""WITH p AS (SELECT idx, ts_us, (1024 + flow % 5000) AS sport, concat_ws('-', CASE WHEN idx % 2 = 0 THEN 'tcp' ELSE 'udp' END, (167772160 + flow) || ':' || (1024 + flow % 5000), (3232235520 + idx % 7) || ':443') AS session FROM ({PACKETS_SQL}) WHERE idx % 11 <> 0)
+SELECT session, row_number() OVER (PARTITION BY session ORDER BY idx) - 1 AS packet, ts_us, md5(unhex({_h('sport', 2)} || '01bb')) AS ports_md5 FROM p WHERE session IN (SELECT session FROM p WHERE idx % 20 = 0)""",
     "captures_if_any": f"SELECT class, count(*) AS packets FROM ({PACKETS_SQL}) WHERE class <> 'click' AND idx % 7 = 0 GROUP BY class",
     "raw_packet_counts": f"SELECT class AS name, count(*) AS packets FROM ({PACKETS_SQL}) GROUP BY class UNION ALL SELECT 'broken', 0",
     "class_listing": f"SELECT 'split' || flow % 2 AS split, class, count(DISTINCT flow % 3 = 0) AS captures FROM ({PACKETS_SQL}) GROUP BY 1, 2",
@@ -307,7 +336,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         packet_checksums, zeroize_fields, randomize_fields, frame_matrix, ip_frames, png_roundtrip, pixel_integrity, flow_materialize, packet_materialize, subset_write_roundtrip,
-        capture_merge_cap, captures_if_any, raw_packet_counts, class_listing, tsv_roundtrip, jsonl_roundtrip, json_lists, index_join_by_row, index_join_by_name, png_index_join,
+        capture_merge_cap, capture_ranges, session_containers, captures_if_any, raw_packet_counts, class_listing, tsv_roundtrip, jsonl_roundtrip, json_lists, index_join_by_row, index_join_by_name, png_index_join,
         png_source_lookup, random_packets, random_ids, dataset_roots, column_intersection, diversity_means, outcome_report, percent_strings,
     )
 }

@@ -1,8 +1,8 @@
 """Packet captures as a Spark data source: ``spark.read.format("pcap")`` and ``df.write.format("pcap")``.
 
 Classic captures of either byte order, in microseconds or nanoseconds, with raw IP, Ethernet or other link types, and
-pcapng captures. Files are opened by Spark's own binary reader on the way in, so any store that Spark reads works; each
-file (2 GB at most, that reader's bound) is decoded by one task, which hands packets on in batches.
+pcapng captures. Captures of any size are read by byte ranges (``ranges``) where executors can open their store; in
+others Spark's own binary reader opens them, each whole (2 GB at most, that reader's bound).
 """
 
 from __future__ import annotations
@@ -90,10 +90,16 @@ def encode(packets, link: int = RAW, snaplen: int = 262144) -> Iterator[bytes]:
         yield struct.pack("<IIII", ts // 10**6, ts % 10**6, len(data), len(data)) + data
 
 
-def read_captures(spark: SparkSession, path: str, max_packets: int | None = None, pattern: str = "*.{pcap,pcapng,cap}") -> DataFrame:
-    """Packets of all captures under ``path`` in any store that Spark reads; ``max_packets`` a file stops early."""
+def read_captures(spark: SparkSession, path: str, max_packets: int | None = None, pattern: str = "*.{pcap,pcapng,cap}", range_bytes: int | None = None) -> DataFrame:
+    """Packets of all captures under ``path``; ``max_packets`` a file stops early. A capture is cut into ranges that many
+    tasks read, see ``ranges``; where only Spark reads the store, a file is one task's."""
     import pyarrow as pa
 
+    from . import ranges
+
+    if ranges.by_ranges(path):
+        return ranges.read_ranges(ranges.capture_index(spark, path, pattern, range_bytes or ranges.RANGE), max_packets)
+
     def run(batches):
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -111,6 +117,11 @@ def count_packets(spark: SparkSession, path: str, pattern: str = "*.{pcap,pcapng
     """(path, packets): records of every capture, counted from their headers alone; 0 for files that are none."""
     import pyarrow as pa
 
+    from . import ranges
+
+    if ranges.by_ranges(path):
+        return ranges.capture_index(spark, path, pattern).groupBy("path").agg(F.sum("packets").alias("packets"))
+
     def run(batches):
         for b in batches:
             n = [sum(1 for _ in decode(c)) for c in b.column(1).to_pylist()]
@@ -148,31 +159,60 @@ class CaptureReader(DataSourceReader):
         return [_File(p) for p in sorted(found)] or [_File("")]
 
     def read(self, partition):
+        from .ranges import Header, Window, blocks, packets_of
+
         if partition.value:
-            files, _ = store(self.path)
-            with files.open_input_stream(partition.value) as f:
-                for p in decode(f.read(), int(self.limit) if self.limit else None):
-                    yield (partition.value, *p)
+            file = store(self.path)[0].open_input_file(partition.value)
+            w = Window(file, file.size())
+            with file:
+                head = Header(w.take(0, 24))
+                found = packets_of(w, head) if head.good else blocks(w) if w.take(0, 4) == NG else ()
+                for idx, p in enumerate(itertools.islice(found, int(self.limit) if self.limit else None)):
+                    yield (partition.value, idx, *p)
 
 
 class CaptureWriter(DataSourceWriter):
-    """One capture per value of ``file`` (rows come sorted by file and idx); a task writes whole files, packet by packet."""
+    """One capture per value of ``file`` (rows come sorted by file and idx); a task writes whole files, packet by packet.
+
+    With ``rollBytes``, a file's packets may come to several tasks, and each writes pieces of about so many bytes, named
+    by its number and theirs: x.pcap gives x-00003-0000.pcap and so on, in order of the packets.
+    """
 
     def __init__(self, schema, options, overwrite: bool):
         self.names, self.root, self.link = schema.names, options["path"].rstrip("/"), int(options.get("link", RAW))
+        self.roll = int(options.get("rollBytes", 0))
 
     def write(self, rows):
+        from pyspark import TaskContext
+
         at = {n: i for i, n in enumerate(self.names)}
         files, root = store(self.root)
+        part = TaskContext.get().partitionId()
         for name, group in itertools.groupby(rows, key=lambda r: r[at["file"]]):
-            target = f"{root}/{name}"
-            files.create_dir(target.rpartition("/")[0], recursive=True)
-            with files.open_output_stream(target + ".part") as f:
-                for piece in encode(((r[at["ts_us"]], bytes(r[at["data"]])) for r in group), self.link):
-                    f.write(piece)
-            files.move(target + ".part", target)  # a retried task writes the same file again
+            packets = ((r[at["ts_us"]], bytes(r[at["data"]])) for r in group)
+            stem, dot, ending = name.rpartition(".")
+            for k in itertools.count():
+                first = next(packets, None)
+                if first is None:
+                    break
+                target = f"{root}/{f'{stem}-{part:05d}-{k:04d}{dot}{ending}' if self.roll else name}"
+                files.create_dir(target.rpartition("/")[0], recursive=True)
+                with files.open_output_stream(target + ".part") as f:
+                    written = 0
+                    for piece in encode(itertools.chain([first], self._until(packets, lambda: written)), self.link):  # noqa: B023
+                        f.write(piece)
+                        written += len(piece)
+                files.move(target + ".part", target)  # a retried task writes the same file again
         return WriterCommitMessage()
 
+    def _until(self, packets, written):
+        """Packets until the piece that is being written is full."""
+        while not self.roll or written() < self.roll:
+            p = next(packets, None)
+            if p is None:
+                return
+            yield p
+
 
 class CaptureSource(DataSource):
     """``format("pcap")`` for folders and stores that pyarrow opens; ``read_captures`` reads from any that Spark does."""
@@ -195,11 +235,14 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(CaptureSource)
 
 
-def write_captures(packets: DataFrame, path: str, link: int = RAW) -> None:
-    """Rows (file, idx, ts_us, data) as captures under ``path``: each file whole in one task, in packet order."""
+def write_captures(packets: DataFrame, path: str, link: int = RAW, roll_bytes: int | None = None) -> None:
+    """Rows (file, idx, ts_us, data) as captures under ``path``: each file whole in one task, in packet order; or, with
+    ``roll_bytes``, in pieces of about that size that many tasks write, however many packets one file has."""
     register(packets.sparkSession)
-    rows = packets.select("file", "idx", "ts_us", "data").repartition("file").sortWithinPartitions("file", "idx")
-    rows.write.format("pcap").option("link", link).mode("append").save(path)
+    rows = packets.select("file", "idx", "ts_us", "data")
+    rows = rows.repartitionByRange("file", "idx") if roll_bytes else rows.repartition("file")
+    out = rows.sortWithinPartitions("file", "idx").write.format("pcap").option("link", link)
+    (out.option("rollBytes", roll_bytes) if roll_bytes else out).mode("append").save(path)
 
 
 def layers(packets: DataFrame) -> DataFrame:

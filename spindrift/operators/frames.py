@@ -11,9 +11,6 @@ from ..functions.ordering import hash_key
 from ..sources.pcap import ETHERNET, layers
 from .encode import HEADER, PACKETS, PAYLOAD, packet_bytes
 
-#: Extensions of a TLS hello that are looked through for its server name.
-EXTENSIONS = 40
-
 
 def number(value: Column | int, size: int) -> Column:
     """A big-endian number of ``size`` bytes."""
@@ -51,38 +48,51 @@ def internet_checksum(total: Column) -> Column:
 
 
 def with_checksums(packets: DataFrame) -> DataFrame:
-    """``packets`` (link, data) with IPv4, TCP and UDP checksums worked out anew; other packets stay as they are."""
+    """``packets`` (link, data) with IPv4, TCP, UDP and (over IPv6) ICMPv6 checksums worked out anew; other packets stay as
+    they are. Over IPv6, so do fragments and packets that a routing header still sends elsewhere: what their checksum
+    covers isn't in the packet."""
     x = layers(packets.withColumn("before", F.struct(*packets.columns)))
     v4 = F.col("ip_version") == 4
+    v6 = (F.col("ip_version") == 6) & F.col("chain.whole") & ~F.col("chain.rerouted") & F.col("proto").isin(6, 17, 58)
     zeros = F.lit(bytes(2))
-    l4 = F.when(F.col("proto") == 6, F.col("l4_at") + 16).when(F.col("proto") == 17, F.col("l4_at") + 6)
-    x = x.withColumn("data", F.when(v4, splice(splice(F.col("data"), F.col("l3_at") + 10, zeros), l4, zeros)).otherwise(F.col("data")))
+    l4 = F.col("l4_at") + F.when(F.col("proto") == 6, 16).when(F.col("proto") == 17, 6).when(v6, 2)
+    l3 = F.when(v4, F.col("l3_at") + 10)
+    x = x.withColumn("data", F.when(v4 | v6, splice(splice(F.col("data"), l3, zeros), l4, zeros)).otherwise(F.col("data")))
     part = lambda at, size: F.substring(F.col("data"), (at + 1).cast("int"), size.cast("int"))
     head = internet_checksum(word_sum(part(F.col("l3_at"), F.col("ip_ihl") * 4)))
-    size = F.col("l3_len") - F.col("ip_ihl") * 4
-    body = word_sum(part(F.col("l4_at"), size)) + word_sum(part(F.col("l3_at") + 12, F.lit(8))) + F.col("proto") + size
+    size = F.col("l3_at") + F.col("l3_len") - F.col("l4_at")
+    ends = F.when(v4, part(F.col("l3_at") + 12, F.lit(8))).otherwise(part(F.col("l3_at") + 8, F.lit(32)))
+    body = word_sum(part(F.col("l4_at"), size)) + word_sum(ends) + F.col("proto") + size
     whole = internet_checksum(body)
     whole = F.when((F.col("proto") == 17) & (whole == 0), 65535).otherwise(whole)  # 0 would mean none
-    x = x.withColumn("ip_sum", head).withColumn("l4_sum", whole)
-    data = F.when(v4, splice(splice(F.col("data"), F.col("l3_at") + 10, number(F.col("ip_sum"), 2)), l4, number(F.col("l4_sum"), 2))).otherwise(F.col("data"))
+    x = x.withColumn("ip_sum", F.when(v4, head)).withColumn("l4_sum", F.when(v4 | v6, whole))
+    data = F.when(v4 | v6, splice(splice(F.col("data"), l3, number(F.col("ip_sum"), 2)), l4, number(F.col("l4_sum"), 2))).otherwise(F.col("data"))
     return x.select(*[data.alias(c) if c == "data" else F.col("before")[c].alias(c) for c in packets.columns])
 
 
 def server_name(data: Column, payload_at: Column) -> Column:
-    """A struct (at, size) of the server name in a TLS client hello, null elsewhere."""
+    """A struct (at, size) of the server name in a TLS client hello, null elsewhere; all extensions are looked through."""
+
+    def look(x):
+        u = lambda at, size: unsigned(x["d"], at, size)
+        end = x["at"] + x["size"]
+        start = F.struct(x["at"].alias("at"), F.lit(None).cast("long").alias("found"))
+
+        def step(s, _):
+            here = (u(s["at"], 2) == 0) & s["found"].isNull() & (s["at"] + 9 <= end)
+            return F.struct((s["at"] + 4 + u(s["at"] + 2, 2)).cast("long").alias("at"), F.when(here, s["at"]).otherwise(s["found"]).cast("long").alias("found"))
+
+        each = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(x["size"] / 4)).cast("int"))  # an extension has 4 bytes or more
+        found = F.aggregate(each, start, step, lambda s: s["found"])
+        return F.transform(F.array(found), lambda f: F.when(f.isNotNull(), F.struct((f + 9).alias("at"), u(f + 7, 2).alias("size"))))[0]
+
     u = lambda at, size: unsigned(data, at, size)
     hello = (u(payload_at, 1) == 0x16) & (u(payload_at + 5, 1) == 1)
     after = payload_at + 44 + u(payload_at + 43, 1)
     after = after + 2 + u(after, 2)
     after = after + 3 + u(after, 1)
-    start = F.struct(after.cast("long").alias("at"), F.lit(None).cast("long").alias("found"))
-
-    def step(s, _):
-        here = (u(s["at"], 2) == 0) & s["found"].isNull()
-        return F.struct((s["at"] + 4 + u(s["at"] + 2, 2)).cast("long").alias("at"), F.when(here, s["at"]).otherwise(s["found"]).cast("long").alias("found"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(EXTENSIONS)), start, step, lambda s: s["found"])
-    return F.when(hello, F.transform(F.array(found), lambda f: F.when(f.isNotNull(), F.struct((f + 9).alias("at"), u(f + 7, 2).alias("size"))))[0])
+    place = F.when(hello, F.struct(data.alias("d"), after.cast("long").alias("at"), u(after - 2, 2).alias("size")))
+    return F.transform(F.array(place), lambda x: F.when(x["size"].isNotNull(), look(x)))[0]
 
 
 def _over_fields(packets: DataFrame, fill, name: Column) -> DataFrame:

@@ -21,11 +21,11 @@ from .score_queries import _CHK
 ROLL = 64 << 20
 
 
-def _frames(spark, sf, hosts=65536):
+def _frames(spark, sf, hosts=65536, payload=None):
     """Packets as Ethernet frames: IPv4 with TCP or UDP, every eleventh an ARP frame of 28 zero bytes."""
     x = packets(spark, sf).withColumn("src", F.lit(167772160) + F.col("flow")).withColumn("dst", F.lit(3232235520) + F.col("idx") % hosts)
     x = x.withColumn("sport", 1024 + F.col("flow") % 5000).withColumn("dport", F.lit(443)).withColumn("proto", F.when(F.col("idx") % 2 == 0, 6).otherwise(17))
-    x = x.withColumn("payload", F.encode(F.concat("class", F.lit("-"), F.col("idx").cast("string")), "UTF-8"))
+    x = x.withColumn("payload", F.encode(F.concat("class", F.lit("-"), F.col("idx").cast("string")), "UTF-8") if payload is None else payload)
     macs = F.concat(R.number(F.col("idx") % 65536 + 0x020000000000, 6), R.number(F.col("flow") % 65536 + 0x020000000000, 6))
     ip = F.concat(macs, R.number(0x0800, 2), pcap.build_packet("src", "dst", "sport", "dport", "payload"))
     data = F.when(F.col("idx") % 11 == 0, F.concat(macs, R.number(0x0806, 2), F.lit(bytes(28)))).otherwise(ip)
@@ -276,9 +276,9 @@ def _fold(e):
     return f"(65535 - ({t} % 65536 + {t} // 65536))"
 
 
-def _framed(mac, src, dst, ident, sport, dport, seq, ack):
+def _framed(mac, src, dst, ident, sport, dport, seq, ack, body="lower(hex(encode(class || '-' || idx)))"):
     """CTEs g (fields as hex) and w (frames with checksums): flow, idx, ts_us, class, eth, ip, l4, body, is_ip."""
-    return f"""g AS MATERIALIZED (SELECT *, idx % 11 <> 0 AS is_ip, idx % 2 = 0 AS tcp, lower(hex(encode(class || '-' || idx))) AS body, {mac[0]} || {mac[1]} AS macs, {src} AS sip, {dst} AS dip, {ident} AS ident, {sport} || {dport} AS ports, {seq} || {ack} AS nums FROM ({PACKETS_SQL})),
+    return f"""g AS MATERIALIZED (SELECT *, idx % 11 <> 0 AS is_ip, idx % 2 = 0 AS tcp, {body} AS body, {mac[0]} || {mac[1]} AS macs, {src} AS sip, {dst} AS dip, {ident} AS ident, {sport} || {dport} AS ports, {seq} || {ack} AS nums FROM ({PACKETS_SQL})),
 b AS (SELECT *, length(body) // 2 AS n, '4500' || {_h('CASE WHEN tcp THEN 40 ELSE 28 END + length(body) // 2', 2)} || ident || '0000' || '40' || CASE WHEN tcp THEN '06' ELSE '11' END AS ip1, sip || dip AS ip2,
  ports || CASE WHEN tcp THEN nums || '50182000' ELSE {_h('8 + length(body) // 2', 2)} END AS l1, CASE WHEN tcp THEN '0000' ELSE '' END AS l2 FROM g),
 c AS (SELECT *, {_sum("(ip1 || ip2)")} AS s1, {_sum("(ip2 || l1 || l2 || body)")} + CASE WHEN tcp THEN 6 + 20 ELSE 17 + 8 END + n AS s2 FROM b),
@@ -286,10 +286,12 @@ k AS (SELECT *, {_fold('s1')} AS ip_sum, CASE WHEN NOT tcp AND {_fold('s2')} = 0
 w AS MATERIALIZED (SELECT *, CASE WHEN is_ip THEN macs || '0800' || ip1 || {_h('ip_sum', 2)} || ip2 || l1 || {_h('l4_sum', 2)} || l2 ELSE macs || '0806' || repeat('00', 28) END AS head, CASE WHEN is_ip THEN body ELSE '' END AS load FROM k)"""
 
 
+_NULLS = ("'000000000000'", "'000000000000'"), "'00000000'", "'00000000'", "'0000'", "'0000'", "'0000'", "'00000000'", "'00000000'"
 _PLAIN = _framed((_h("idx % 65536 + 2199023255552", 6), _h("flow % 65536 + 2199023255552", 6)), _h("167772160 + flow", 4), _h("3232235520 + idx % 65536", 4), "'0000'", _h("1024 + flow % 5000", 2), "'01bb'", "'00000000'", "'00000000'")
-_ZERO = _framed((f"'{'00' * 6}'", f"'{'00' * 6}'"), "'00000000'", "'00000000'", "'0000'", "'0000'", "'0000'", "'00000000'", "'00000000'")
+_ZERO = _framed(*_NULLS)
 _D = lambda f, n: f"substr(md5('{f}42|' || flow || '|' || idx), 1, {2 * n})"
-_RANDOM = _framed((f"('0200' || {_D('mac_dst', 4)})", f"('0200' || {_D('mac_src', 4)})"), _D("src", 4), _D("dst", 4), _D("ip_id", 2), _D("sport", 2), _D("dport", 2), _D("seq", 4), _D("ack", 4))
+_DRAWN = (f"('0200' || {_D('mac_dst', 4)})", f"('0200' || {_D('mac_src', 4)})"), _D("src", 4), _D("dst", 4), _D("ip_id", 2), _D("sport", 2), _D("dport", 2), _D("seq", 4), _D("ack", 4)
+_RANDOM = _framed(*_DRAWN)
 _FREQ = f"f AS MATERIALIZED (SELECT * FROM ({FEATURES_SQL}) UNPIVOT (value FOR feature IN ({', '.join(CATEGORICAL)})))"
 SQL = {
     "packet_checksums": f"WITH {_PLAIN} SELECT ts_us, md5(unhex(head || load)) AS frame_md5, CASE WHEN is_ip THEN ip_sum END AS ip_sum, CASE WHEN is_ip THEN l4_sum END AS l4_sum FROM w",

@@ -12,10 +12,11 @@ import re
 import struct
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..functions.addresses import ipv4_key, ipv6_text
 from ..functions.binary import flag_names, ipv4_text, unsigned
 
 SCHEMA = "path string, idx long, ts_us long, link int, orig_len long, data binary"
@@ -245,8 +246,40 @@ def write_captures(packets: DataFrame, path: str, link: int = RAW, roll_bytes: i
     (out.option("rollBytes", roll_bytes) if roll_bytes else out).mode("append").save(path)
 
 
+#: IPv6 headers that stand between the fixed header and the packet's protocol (RFC 8200 and its registry).
+HOP_BY_HOP, ROUTING, FRAGMENT, AUTHENTICATION = 0, 43, 44, 51
+EXTENSIONS = (HOP_BY_HOP, ROUTING, FRAGMENT, AUTHENTICATION, 60, 135, 139, 140)
+
+
+def extension_chain(data: Column, l3_at: Column) -> Column:
+    """A struct (proto, at, whole, rerouted) of an IPv6 packet: its protocol and where that header is, behind however many
+    extension headers; not ``whole`` if it is one of several fragments (only the first has a header there), ``rerouted``
+    if it has still to pass a router that its routing header names. A chain that the packet cuts short ends there."""
+
+    def walked(x):
+        d, first = x["d"], x["l3"] + 40
+        u = lambda at, size: unsigned(d, at, size)
+        start = F.struct(u(x["l3"] + 6, 1).alias("proto"), first.cast("long").alias("at"), F.lit(True).alias("whole"), F.lit(False).alias("rerouted"), F.lit(True).alias("there"))
+
+        def step(s, _):
+            kind, at = s["proto"], s["at"]
+            size = F.when(kind == FRAGMENT, 8).when(kind == AUTHENTICATION, (u(at + 1, 1) + 2) * 4).otherwise((u(at + 1, 1) + 1) * 8)
+            more = kind.isin(*EXTENSIONS) & size.isNotNull() & (at + size <= F.octet_length(d)) & s["there"]
+            offset = u(at + 2, 2)
+            return F.when(more, F.struct(
+                u(at, 1).alias("proto"), (at + size).cast("long").alias("at"), (s["whole"] & ~((kind == FRAGMENT) & (offset.bitwiseAND(0xFFF9) != 0))).alias("whole"),
+                (s["rerouted"] | ((kind == ROUTING) & (u(at + 3, 1) > 0))).alias("rerouted"), (~((kind == FRAGMENT) & (offset >= 8))).alias("there"),
+            )).otherwise(s)
+
+        steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor((F.octet_length(d) - first) / 8)).cast("int"))  # a header has 8 bytes or more
+        return F.when(start["proto"].isin(*EXTENSIONS), F.aggregate(steps, start, step)).otherwise(start)
+
+    return F.transform(F.array(F.struct(data.alias("d"), l3_at.alias("l3"))), walked)[0]
+
+
 def layers(packets: DataFrame) -> DataFrame:
-    """Header fields of packets (link, data) as expressions: null where a layer isn't there. VLAN tags are skipped."""
+    """Header fields of packets (link, data) as expressions: null where a layer isn't there. VLAN tags are skipped, and so
+    are IPv6 extension headers; src and dst are text of either kind, src_key and dst_key keys of 16 bytes."""
     d = F.col("data")
     tag = F.when((F.col("link") == ETHERNET) & (unsigned(d, 12, 2) == 0x8100), 4).otherwise(0)
     start = F.when(F.col("link") == RAW, 0).when(F.col("link") == ETHERNET, 14 + tag)
@@ -255,11 +288,14 @@ def layers(packets: DataFrame) -> DataFrame:
     x = x.withColumn("ip_version", F.when(first.isNotNull(), F.shiftright(first, 4)))
     v4, v6 = F.col("ip_version") == 4, F.col("ip_version") == 6
     x = x.withColumn("ip_ihl", F.when(v4, first.bitwiseAND(15)))
-    x = x.withColumn("proto", F.when(v4, unsigned(d, F.col("l3_at") + 9, 1)).when(v6, unsigned(d, F.col("l3_at") + 6, 1)))
+    x = x.withColumn("chain", F.when(v6, extension_chain(d, F.col("l3_at"))))
+    x = x.withColumn("proto", F.when(v4, unsigned(d, F.col("l3_at") + 9, 1)).when(v6, F.col("chain.proto")))
     x = x.withColumn("l3_len", F.when(v4, unsigned(d, F.col("l3_at") + 2, 2)).when(v6, unsigned(d, F.col("l3_at") + 4, 2) + 40).otherwise(F.lit(0)))
     x = x.withColumn("ip_ttl", F.when(v4, unsigned(d, F.col("l3_at") + 8, 1)).when(v6, unsigned(d, F.col("l3_at") + 7, 1)))
     x = x.withColumn("src_ip", F.when(v4, unsigned(d, F.col("l3_at") + 12, 4))).withColumn("dst_ip", F.when(v4, unsigned(d, F.col("l3_at") + 16, 4)))
-    x = x.withColumn("l4_at", F.when(v4, F.col("l3_at") + F.col("ip_ihl") * 4).when(v6, F.col("l3_at") + 40))
+    six = lambda at: F.when(v6, F.substring(d, (F.col("l3_at") + at + 1).cast("int"), F.lit(16)))
+    x = x.withColumn("src_key", F.coalesce(ipv4_key(F.col("src_ip")), six(8))).withColumn("dst_key", F.coalesce(ipv4_key(F.col("dst_ip")), six(24)))
+    x = x.withColumn("l4_at", F.when(v4, F.col("l3_at") + F.col("ip_ihl") * 4).when(v6 & F.col("chain.there"), F.col("chain.at")))
     tcp, udp = F.col("proto") == 6, F.col("proto") == 17
     at = F.col("l4_at")
     x = x.withColumn("sport", F.when(tcp | udp, unsigned(d, at, 2))).withColumn("dport", F.when(tcp | udp, unsigned(d, at + 2, 2)))
@@ -268,7 +304,8 @@ def layers(packets: DataFrame) -> DataFrame:
     x = x.withColumn("udp_len", F.when(udp, unsigned(d, at + 4, 2)))
     x = x.withColumn("payload_at", F.when(tcp, at + F.shiftright(unsigned(d, at + 12, 1), 4) * 4).when(udp, at + 8))
     x = x.withColumn("payload", F.when(F.col("payload_at").isNotNull(), F.substring(d, (F.col("payload_at") + 1).cast("int"), F.lit(2147483647))))
-    return x.withColumn("src", ipv4_text(F.col("src_ip"))).withColumn("dst", ipv4_text(F.col("dst_ip"))).withColumn("flag_names", flag_names(F.col("flags")))
+    text = lambda end: F.when(v6, ipv6_text(F.col(f"{end}_key"))).otherwise(ipv4_text(F.col(f"{end}_ip")))
+    return x.withColumn("src", text("src")).withColumn("dst", text("dst")).withColumn("flag_names", flag_names(F.col("flags")))
 
 
 def build_packet(src: str, dst: str, sport: str, dport: str, payload: str, proto: str = "proto", flags: int = 0x18):
@@ -282,3 +319,17 @@ def build_packet(src: str, dst: str, sport: str, dport: str, payload: str, proto
     total = 20 + F.when(udp, 8).otherwise(20) + body
     ip = F.concat(n(F.lit(0x4500), 2), n(total, 2), n(F.lit(0), 4), n(F.lit(64), 1), n(F.when(udp, 17).otherwise(6), 1), n(F.lit(0), 2), n(F.col(src), 4), n(F.col(dst), 4))
     return F.concat(ip, l4, F.col(payload))
+
+
+def build_packet6(src: str, dst: str, sport: str, dport: str, payload: str, proto: str = "proto", extensions: Column | None = None, first: Column | None = None):
+    """A raw IPv6 packet column from 16-byte addresses, ports and payload; ``extensions`` are the bytes of its extension
+    headers, the last of which names the protocol, and ``first`` is the kind of the first one (checksums are left zero)."""
+    n = lambda c, size: F.unhex(F.lpad(F.hex(c.cast("long")), size * 2, "0"))
+    udp, body = F.col(proto) == 17, F.octet_length(payload)
+    l4 = F.when(udp, F.concat(n(F.col(sport), 2), n(F.col(dport), 2), n(body + 8, 2), n(F.lit(0), 2))).otherwise(
+        F.concat(n(F.col(sport), 2), n(F.col(dport), 2), n(F.lit(0), 8), n(F.lit(0x5018), 2), n(F.lit(8192), 2), n(F.lit(0), 4))
+    )
+    extra = F.coalesce(extensions, F.lit(b"")) if extensions is not None else F.lit(b"")
+    kind = F.coalesce(first, F.col(proto)) if first is not None else F.col(proto)
+    size = F.octet_length(extra) + F.octet_length(l4) + body
+    return F.concat(F.lit(b"\x60\0\0\0"), n(size, 2), n(kind, 1), F.lit(b"\x40"), F.col(src), F.col(dst), extra, l4, F.col(payload))

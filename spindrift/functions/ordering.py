@@ -49,3 +49,24 @@ def hash_order(df: DataFrame, by: list[str], seed: object, key: list[str], value
     if value:
         out = out.withColumn("before", F.col("__s0") + F.coalesce(F.sum("__v").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     return out.select(*df.columns, "rank", "n", *(["before"] if value else []))
+
+
+def global_rank(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
+    """``df`` with the rank of each row by the columns ``order`` over the whole table, from ``start``; equal rows in any order.
+
+    Rows are range-sorted and written once; a rank is the rows of the partitions before (of which the driver sees one
+    count each) and the place within the partition. No task sees more than a partition.
+    """
+    from .paths import work_path
+
+    spark = df.sparkSession
+    path = work_path(spark, "ranked")
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    rows = spark.read.schema(placed.schema).parquet(path).withColumn("__part", F.shiftright("__at", 33)).withColumn("__in", F.col("__at").bitwiseAND((1 << 33) - 1))
+    ahead, at = [], start
+    for r in sorted(rows.groupBy("__part").agg(F.count("*").alias("n")).collect()):
+        ahead.append((r["__part"], at))
+        at += r["n"]
+    offsets = F.broadcast(spark.createDataFrame(ahead, "__part long, __ahead long"))  # one row a partition
+    return rows.join(offsets, "__part").withColumn(name, F.col("__ahead") + F.col("__in")).select(*df.columns, name)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import itertools
 import os
 import re
-import tempfile
 import uuid
 import zlib
 
@@ -13,12 +12,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, modest_batches, small_parts, table, text_bytes, word_spans
+from ..sources.pcap import store
+from .common import materialize, modest_batches, new_path, small_parts, table, text_bytes, word_spans
 
 LENGTH, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 K1, B = 1.2, 0.75
 #: Bytes of text in a shard, and words of documents that a task counts before it hands them on.
 SHARD_BYTES, COUNTED_TERMS = 4 << 20, 4_000_000
+#: Terms in a file of document frequencies; a task sorts so many.
+TERMS_A_FILE = 1 << 22
 
 #: Ranges of related documents at most, and documents sampled for each to find its bounds: what the driver gathers.
 MOST_RANGES, SAMPLED = 20_000, 64
@@ -204,30 +206,41 @@ def _weights(df, tf, sizes, n, mean):
 
 
 class Corpus:
-    """Number, mean length and document frequencies of all documents. The frequencies above 1 lie in two files,
-    sorted by hash, that Spark brings to each executor once; its workers map them, so they share the memory."""
+    """Number, mean length and document frequencies of all documents. The frequencies above 1 lie in files sorted by hash, one
+    for each range of hashes, which executors fetch once from the shared folder; their workers map them, so they share
+    the memory. ``files`` are (name, first hash, terms) in order; 12 bytes a term on each executor's disk."""
 
-    def __init__(self, n: int, words: int, chars: int, names: tuple[str, str], terms: int):
-        self.n, self.mean, self.names, self.terms, self.chars = n, words / max(n, 1), names, terms, chars
+    def __init__(self, n: int, words: int, chars: int, files: list[tuple[str, int, int]]):
+        self.n, self.mean, self.files, self.chars = n, words / max(n, 1), files, chars
         self.shard_docs = max(2, n * SHARD_BYTES // max(chars, 1))
 
     def frequencies(self, hashes: np.ndarray) -> np.ndarray:
         """In how many documents each word occurs, 1 for words that are not in the files."""
-        from pyspark import SparkFiles
-
-        out = np.ones(len(hashes), np.int64)
-        if self.terms and len(hashes):
-            if self.names not in _MAPPED:
-                _MAPPED.clear()
-                _MAPPED[self.names] = [np.memmap(SparkFiles.get(x), kind, "r") for x, kind in zip(self.names, (np.int64, np.uint32), strict=True)]
-            keys, counts = _MAPPED[self.names]
-            some, back = np.unique(hashes.view(np.int64), return_inverse=True)  # ascending: neighbours in the file too
-            at = np.searchsorted(keys, some).clip(0, self.terms - 1)
-            out = np.where(keys[at] == some, counts[at], 1).astype(np.int64)[back]
-        return out
+        some, back = np.unique(hashes.view(np.int64), return_inverse=True)  # ascending: neighbours in the file too
+        out = np.ones(len(some), np.int64)
+        cuts = np.searchsorted(some, [first for _, first, _ in self.files])
+        for (name, _, terms), a, b in zip(self.files, cuts, np.append(cuts[1:], len(some)), strict=True):
+            if a < b:
+                keys, counts = _mapped(name, terms)
+                at = np.searchsorted(keys, some[a:b]).clip(0, terms - 1)
+                out[a:b] = np.where(keys[at] == some[a:b], counts[at], 1)
+        return out[back] if len(hashes) else out
+
+
+_MAPPED: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
 
+def _mapped(name: str, terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes and counts of one file."""
+    from pyspark import SparkFiles
 
-_MAPPED: dict[tuple[str, str], list[np.ndarray]] = {}
+    if name not in _MAPPED:
+        prefix = name.rpartition("-")[0]
+        for k in [k for k in _MAPPED if k.rpartition("-")[0] != prefix]:  # of an earlier corpus
+            del _MAPPED[k]
+        path = SparkFiles.get(name)
+        _MAPPED[name] = np.memmap(path, "<i8", "r", 0, (terms,)), np.memmap(path, "<u4", "r", 8 * terms, (terms,))
+    return _MAPPED[name]
 
 
 def corpus_of(docs: DataFrame) -> Corpus:
@@ -256,26 +269,42 @@ def corpus_of(docs: DataFrame) -> Corpus:
             yield merged()
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.array([int(x)]) for x in total)], names=["h", "df", "words", "chars"])
 
-    def as_bytes(batches):
-        for b in batches:
-            h, df = (np.asarray(b.column(k)) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array([h.astype("<i8").tobytes()]), pa.array([df.astype("<u4").tobytes()])], names=["h", "df"])
-
     spark = docs.sparkSession
     found = docs.select("text").mapInArrow(count, "h long, df long, words long, chars long").groupBy("h").agg(*(F.sum(c).alias(c) for c in ("df", "words", "chars")))
     found = materialize(found.where("h IS NULL OR df > 1"), "frequencies")
     n, words, chars = next((tuple(x or 0 for x in r) for r in found.where("h IS NULL").select("df", "words", "chars").collect()), (0, 0, 0))
-    folder, tag, terms = tempfile.mkdtemp(prefix="spindrift-"), uuid.uuid4().hex[:12], 0
-    names = (f"hashes-{tag}", f"counts-{tag}")
-    with open(f"{folder}/{names[0]}", "wb") as keys, open(f"{folder}/{names[1]}", "wb") as counts:
-        for r in found.where("h IS NOT NULL").select("h", "df").orderBy("h").mapInArrow(as_bytes, "h binary, df binary").toLocalIterator():
-            keys.write(r["h"])
-            counts.write(r["df"])
-            terms += len(r["h"]) // 8
-    if terms:
-        for x in names:
-            spark.sparkContext.addFile(f"{folder}/{x}")
-    return Corpus(n, words, chars, names, terms)
+    return Corpus(n, words, chars, _frequency_files(spark, found.where("h IS NOT NULL").select("h", "df")))
+
+
+def _frequency_files(spark: SparkSession, terms: DataFrame) -> list[tuple[str, int, int]]:
+    """Sort (h, df) rows into files of the shared folder, one a task, and have executors fetch them; (name, first, terms).
+
+    Tasks write the files, the driver sees their names alone. A repeated task writes under another name, and only what the
+    committed one wrote is named.
+    """
+    import pyarrow as pa
+
+    tag, folder = uuid.uuid4().hex[:12], new_path(spark, "frequency-files")
+    pieces = max(1, -(-terms.count() // TERMS_A_FILE))
+
+    def write(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            h, df = (np.concatenate([np.asarray(b.column(k)) for b in held]) for k in (0, 1))
+            order = np.argsort(h)
+            files, root = store(folder)
+            files.create_dir(root, recursive=True)
+            name = f"terms-{tag}-{uuid.uuid4().hex[:12]}"
+            with files.open_output_stream(f"{root}/{name}") as f:
+                f.write(h[order].astype("<i8").tobytes())
+                f.write(np.minimum(df[order], 2**32 - 1).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([int(h.min())]), pa.array([len(h)])], names=["name", "first", "terms"])
+
+    made = materialize(terms.repartitionByRange(pieces, "h").mapInArrow(write, "name string, first long, terms long"), "frequency_names")
+    found = sorted(((r["name"], r["first"], r["terms"]) for r in made.collect()), key=lambda x: x[1])
+    for name, _, _ in found:
+        spark.sparkContext.addFile(f"{folder}/{name}")
+    return found
 
 
 def shelf_marks(column, corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
@@ -405,7 +434,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, cache_words: int = 300
 
     Null and empty texts are the end id alone; repeated rows and null ids are packed like others; an empty table
     gives no pieces. Document frequencies and mean length are those of all documents. Rows are dealt by ranges of two
-    of their heavy words (``shelf_marks``) and a hash, with bounds from a sample, so related documents lie together and
+    of their heavy words (``shelf_marks``), a hash and a row number, with bounds from a sample, so related documents lie together and
     a large group of copies spreads over tasks; shards are runs of SHARD_BYTES of text in that order (a longer text is a
     shard of its own), within which all terms are scored. Neighbours on other shards are not found: README.md says how
     many. A worker remembers the ids of ``cache_words`` words (about 250 bytes each), which only saves time. Sequence
@@ -436,7 +465,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, cache_words: int = 300
 
     def marks(batches, bounds):
         for part in small_parts(batches, "text", SHARD_BYTES):
-            own = [*shelf_marks(part.column(1), corpus), np.asarray(part.column(2), np.int64)]
+            own = [*shelf_marks(part.column(1), corpus), *(np.asarray(part.column(k), np.int64) for k in (2, 3))]
             columns = part.columns[:2] if bounds else []
             at = [ranges_of(tuple(own), bounds)] if bounds else []
             arrays = [*columns, *map(pa.array, own), *(pa.array(x.astype(np.int32)) for x in at)]
@@ -445,8 +474,8 @@ def packed(docs: DataFrame, tokenizer: str | None = None, cache_words: int = 300
     modest_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     corpus = corpus_of(rows)
-    order, longs = ["shelf", "mark", "salt"], "shelf long, mark long, salt long"
-    rows = rows.withColumn("salt", F.xxhash64("doc_id", "text"))
+    order, longs = ["shelf", "mark", "salt", "row"], "shelf long, mark long, salt long, row long"
+    rows = rows.withColumn("salt", F.xxhash64("doc_id", "text")).withColumn("row", F.monotonically_increasing_id())  # parts rows that are equal in both
     # ranges of about two shards, between quantiles of a sample of marks
     parallel = min(docs.sparkSession.sparkContext.defaultParallelism, -(-corpus.chars // SHARD_BYTES))
     parts = min(MOST_RANGES, max(1, parallel, corpus.chars // (2 * SHARD_BYTES)))

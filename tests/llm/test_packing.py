@@ -166,3 +166,34 @@ def test_ranges_against_a_plain_count():
     got = ranges_of(keys, tuple(np.array(c) for c in zip(*bounds, strict=True)))
     assert got.tolist() == [sum(b <= k for b in bounds) for k in zip(*(x.tolist() for x in keys), strict=True)]
     assert ranges_of(keys, (np.zeros(0, np.int64),) * 3).tolist() == [0] * 200
+
+
+def test_equal_rows_spread_over_tasks(spark, monkeypatch):
+    """Rows equal in id and text fill shards of several tasks, not of one."""
+    from spindrift.llm import packing
+
+    monkeypatch.setattr(packing, "SHARD_BYTES", 20_000)
+    df = spark.createDataFrame([(None, "the same words in every one of these rows")] * 4000, "doc_id long, text string").repartition(4)
+    rows = packed(df).select("sequence_id", "length", "doc_tokens").collect()
+    parts = {}
+    for r in rows:
+        parts[r["sequence_id"] >> 36] = parts.get(r["sequence_id"] >> 36, 0) + r["length"]
+    assert sum(parts.values()) == 4000 * rows[0]["doc_tokens"] and len(parts) >= 4 and max(parts.values()) < 0.5 * sum(parts.values())
+
+
+def test_frequencies_in_several_files(spark, monkeypatch):
+    from spindrift.llm import packing
+
+    monkeypatch.setattr(packing, "TERMS_A_FILE", 50)
+    df = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i, i + 30))) for i in range(300)], "doc_id long, text string")
+    corpus = corpus_of(df)
+    assert len(corpus.files) > 3 and [f for _, f, _ in corpus.files] == sorted(f for _, f, _ in corpus.files)
+    words = [f"w{k}" for k in range(340)]
+    want = [max(1, min(k, 29, 328 - k) + 1) if k < 329 else 1 for k in range(340)]
+    hashes = packing.word_spans(*packing.text_bytes(pa.array([" ".join(words)])), lower=False)[0]
+
+    def run(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": corpus.frequencies(hashes)})
+
+    assert [r["n"] for r in spark.range(1).coalesce(1).mapInArrow(run, "n long").collect()] == want

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ DIMS = ("source", "lang", "topic")
 #: Without stated targets a marginal's target is its token share to this power: below 1 evens categories out.
 TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.8}
 SWEEPS, KEEP = 20, 0.75
+#: Where a tolerance is asked for, raking goes on after its sweeps, MOST_SWEEPS at most. WARN: an error that is told anyway.
+TOLERANCE, MOST_SWEEPS, WARN = 1e-6, 200, 0.01
 #: Cells up to this number are raked in one task, without a shuffle, and broadcast to the documents.
 SMALL_CELLS = 50_000
 #: Bands of weights an octave that many cells are summed by.
@@ -59,23 +63,47 @@ def _targets(cells: DataFrame, targets: dict[str, dict[str, float]] | None, one_
     return cells
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS, one_task: bool = True) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS, one_task: bool = True, tolerance: float | None = None) -> DataFrame:
     """Weights w of cells (source, lang, topic, tokens) whose three marginals meet their targets.
 
-    Each sweep scales the cells to one marginal after the other. A small table is raked in a single task; a
-    larger one (very many sources; ``one_task`` false) is shuffled by the marginal's key, its rows being sums.
+    Each sweep scales the cells to one marginal after the other. A small table is raked in a single task; in a larger
+    one (very many sources; ``one_task`` false) marginals are sums with partial sums in each task, joined back by their
+    key, so a language or topic of any number of cells is no one's task. There are ``sweeps`` sweeps; with a ``tolerance``
+    more follow until all marginals are within that share of their targets, or come no nearer. What is missed by more
+    than WARN (or the tolerance) is told by a warning: targets that no weights meet, as cells are missing, are so.
     """
     pack = (lambda d: d.coalesce(1)) if one_task else (lambda d: d)
     now = _targets(pack(cells), targets, one_task).withColumn("w", F.col("tokens"))
-    for i in range(sweeps):
+    i, before = 0, float("inf")
+    while True:
         for d in DIMS:
-            s = F.sum("w").over(W.partitionBy(d))
-            now = now.withColumn("w", F.when(s > 0, F.col("w") * F.col(f"g_{d}") / s).otherwise(0.0))
-        if i % 5 == 4:
+            if one_task:
+                now = now.withColumn("s", F.sum("w").over(W.partitionBy(d)))
+            else:
+                now = now.join(now.groupBy(d).agg(F.sum("w").alias("s")), d)
+            now = now.withColumn("w", F.when(F.col("s") > 0, F.col("w") * F.col(f"g_{d}") / F.col("s")).otherwise(0.0)).drop("s")
+        i += 1
+        if i % 5 == 0 or i == sweeps or not one_task:
             now = pack(materialize(now, "raked"))
+        if i < sweeps or (i % 5 and i != sweeps):
+            continue
+        off = marginal_error(now)
+        if tolerance is None or off <= tolerance or off > 0.99 * before or i >= MOST_SWEEPS:
+            break
+        before = off
+    if off > (WARN if tolerance is None else tolerance):
+        warnings.warn(f"marginals are off by up to {off:.2g} of their targets after {i} sweeps", stacklevel=2)
     return now
 
 
+def marginal_error(raked: DataFrame) -> float:
+    """The largest distance of a marginal from its target, as a share of the target; 0 for an empty table."""
+    sets = [[d] for d in DIMS]
+    each = raked.groupingSets(sets, *DIMS).agg(F.sum("w").alias("s"), *[F.max(f"g_{d}").alias(f"g_{d}") for d in DIMS])
+    goal = F.coalesce(*[F.when(F.col(d).isNotNull(), F.col(f"g_{d}")) for d in DIMS])
+    return each.agg(F.max(F.when(goal > 0, F.abs(F.col("s") - goal) / goal))).first()[0] or 0.0
+
+
 def calibrate(raked: DataFrame, keep: float = KEEP, one_task: bool = True) -> DataFrame:
     """Cells with weight (w per token) and probability: min(1, c * weight), c such that a share ``keep`` of all
     tokens is expected. Cells are taken by falling weight until the rest needs no more than certainty.
@@ -106,25 +134,34 @@ def calibrate(raked: DataFrame, keep: float = KEEP, one_task: bool = True) -> Da
     return x.select(*DIMS, "tokens", "weight", p.alias("probability"))
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, sweeps: int = SWEEPS) -> DataFrame:
-    """``docs`` (doc_id, text, lang, source) with __source, __lang, __topic, __tokens, __weight, __probability, __sampled.
+def mixed_rows(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, sweeps: int = SWEEPS) -> DataFrame:
+    """(row, source, lang, topic, tokens, weight, probability, sampled); ``row`` has all columns of ``docs`` (doc_id, text, lang,
+    source and others) as they were, so none of their names can clash.
 
     Null source or lang is the category 'unknown'; null and empty texts have no tokens and the plain probability
-    ``keep`` if their cell has none; equal ids are sampled alike; an empty table gives an empty result. Documents
+    ``keep`` if their cell has none; equal ids are sampled alike, so repeated rows are kept or left out together; ties of
+    cells go by source, language and topic; texts of any length count whole; an empty table gives an empty result. Documents
     join their cell's weight: the cells are broadcast when there are few, else joined by key with skew handling.
     """
-    tokens = F.size(words(F.col("text"))).cast("long")
-    keyed = docs.withColumn("__tokens", tokens)
-    keyed = keyed.withColumn("__source", F.coalesce(F.col("source").cast("string"), F.lit("unknown"))).withColumn("__lang", F.coalesce(F.col("lang").cast("string"), F.lit("unknown")))
-    keyed = keyed.withColumn("__topic", topic(F.col("text"), F.col("__tokens")))
-    counted = keyed.groupBy(*(F.col(f"__{d}").alias(d) for d in DIMS)).agg(F.sum("__tokens").cast("double").alias("tokens"))
-    counted = materialize(counted, "cells")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    known = lambda c: F.coalesce(F.col(f"row.{c}").cast("string"), F.lit("unknown")).alias(c)
+    keyed = docs.select(row).select("row", known("source"), known("lang"), F.size(words(F.col("row.text"))).cast("long").alias("tokens"))
+    keyed = keyed.withColumn("topic", topic(F.col("row.text"), F.col("tokens")))
+    counted = materialize(keyed.groupBy(*DIMS).agg(F.sum("tokens").cast("double").alias("tokens")), "cells")
     few = counted.count() <= SMALL_CELLS
     rates = materialize(calibrate(rake(counted, targets, sweeps, few), keep, few), "rates")
-    rates = rates.select(*(F.col(d).alias(f"r_{d}") for d in DIMS), F.col("weight").alias("__weight"), F.col("probability").alias("__probability"))
-    on = [F.col(f"__{d}") == F.col(f"r_{d}") for d in DIMS]
+    rates = rates.select(*(F.col(d).alias(f"r_{d}") for d in DIMS), "weight", "probability")
+    on = [F.col(d) == F.col(f"r_{d}") for d in DIMS]
     out = keyed.join(F.broadcast(rates) if few else rates, on, "left").drop(*(f"r_{d}" for d in DIMS))
-    return out.withColumn("__sampled", uniform("doc_id") < F.col("__probability"))
+    return out.withColumn("sampled", uniform("row.doc_id") < F.col("probability"))
+
+
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, sweeps: int = SWEEPS) -> DataFrame:
+    """``docs`` with __source, __lang, __topic, __tokens, __weight, __probability, __sampled (which replace columns of these
+    names; ``mixed_rows`` takes any)."""
+    made = (*DIMS, "tokens", "weight", "probability", "sampled")
+    own = [c for c in docs.columns if c not in {f"__{m}" for m in made}]
+    return mixed_rows(docs, targets, keep, sweeps).select(*[F.col("row")[c].alias(c) for c in own], *[F.col(m).alias(f"__{m}") for m in made])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,8 +173,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the sampled documents, with the columns they came with."""
-    return mixed(docs).where("__sampled").select(*docs.columns)
+    """Pipeline stage: the sampled documents, with the columns they came with, whatever their names."""
+    return mixed_rows(docs).where("sampled").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _oracle() -> str:

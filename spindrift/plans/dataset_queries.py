@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.paths import work_path
@@ -11,7 +12,7 @@ from ..operators import frames as R
 from ..operators import metrics as M
 from ..operators import sampling as S
 from ..operators.encode import byte_matrix
-from ..sources import containers, files, pcap
+from ..sources import containers, files, jsonlists, manifest, pcap
 from .lenses import CATEGORICAL, FEATURES_SQL, FLOWS_SQL, PACKETS_SQL, features, flows, load, packets
 from .sampling_queries import _F, _split
 from .score_queries import _CHK
@@ -173,21 +174,56 @@ def tsv_roundtrip(spark, sf):
 
 
 def jsonl_roundtrip(spark, sf):
-    """Records as JSON lines and back."""
+    """Whole records as JSON lines and back."""
     path = work_path(spark, "jsonl")
-    d = load(spark, sf, "documents").select("doc_id", "lang", F.substring("text", 1, 50).alias("head"))
+    d = load(spark, sf, "documents").select("doc_id", "lang", "text")
     files.write_jsonl(d, path)
-    return files.read_jsonl(spark, path, d.schema).select("doc_id", "lang", F.md5("head").alias("head_md5"))
+    return files.read_jsonl(spark, path, d.schema).select("doc_id", "lang", F.md5("text").alias("text_md5"))
 
 
 def json_lists(spark, sf):
-    """Files with an object of lists each, one a conversation: items by file and key."""
+    """All conversations as files of a thousand, each an object of lists, among files that are cut short or no object: every
+    item by key and position, and the files that were passed over."""
     path = work_path(spark, "lists")
-    c = load(spark, sf, "conversations").where("turn < 6").groupBy("conv_id", "role").agg(F.array_sort(F.collect_list(F.struct("turn", F.md5("text").alias("m")))).alias("x"))
-    c = c.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("role", F.transform("x", lambda v: v["m"]).alias("v")))).alias("o")).where("conv_id % 20 = 0")
-    c.select(F.to_json("o").alias("value"), "conv_id").write.partitionBy("conv_id").text(path)
-    x = files.read_json_lists(spark, path)
-    return x.groupBy("key").agg(F.count("*").alias("files"), F.sum(F.size("items")).alias("items"))
+    c = load(spark, sf, "conversations").groupBy("conv_id", "role").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
+    c = c.select(F.floor(F.col("conv_id") / 1000).alias("file"), F.concat_ws("-", "conv_id", "role").alias("key"), F.transform("x", lambda v: v["text"]).alias("v"))
+    whole = c.groupBy("file").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "v")))).alias("value"))
+    r = load(spark, sf, "region")
+    bad = r.select((-1 - F.col("r_regionkey")).alias("file"), F.when(F.col("r_regionkey") % 2 == 0, F.concat(F.lit('{"cut": ["'), "r_name", F.lit('", "'))).otherwise(F.concat(F.lit('["'), "r_name", F.lit('"]'))).alias("value"))
+    day = F.concat(F.lit("day"), F.pmod("file", F.lit(7)).cast("string")).alias("day")
+    whole.unionByName(bad).select("value", day).write.partitionBy("day").option("maxRecordsPerFile", 1).text(path)
+    items, errors = jsonlists.scan_json_lists(spark, path, "*.txt")
+    text = F.get(F.from_json(F.concat(F.lit("["), "item", F.lit("]")), "array<string>"), F.lit(0))
+    items = jsonlists.merged_items(items).select("key", F.col("pos").cast("long").alias("pos"), F.md5(text).alias("item_md5"))
+    kind = F.when(F.contains("error", F.lit("too early")) | F.contains("error", F.lit("no JSON")), "cut short").otherwise("no object").alias("key")
+    return items.unionByName(errors.groupBy(kind).agg(F.count("*").alias("pos")).withColumn("item_md5", F.lit(None).cast("string")))
+
+
+def zip_report(spark, sf):
+    """Turns of conversations as headers and payloads: pairs attempted, and produced where the header is an object."""
+    c = load(spark, sf, "conversations")
+    kind = F.when(F.col("turn") % 5 == 0, F.to_json(F.struct("text"))).when(F.col("turn") % 5 == 1, F.to_json(F.array("text"))).when(F.col("turn") % 5 == 2, F.concat(F.lit('"{\'turn\': \''), F.col("turn").cast("string"), F.lit('\'}"')))
+    place = (F.row_number().over(W.partitionBy("folder", "key").orderBy("turn")) - 1).cast("long").alias("pos")
+    x = c.withColumn("folder", F.concat(F.lit("f"), (F.col("conv_id") % 5).cast("string"))).withColumn("key", F.col("conv_id").cast("string"))
+    side = lambda role, item: x.where(F.col("role") == role).select("folder", "key", place, item.alias("item"))
+    return jsonlists.pair_counts(jsonlists.zip_items(side("user", F.coalesce(kind, F.lit("7"))), side("assistant", F.to_json(F.array("text")))))
+
+
+def dataset_manifest(spark, sf):
+    """Flows with their split written as one committed dataset: what its manifest, its records and its lists say of each class."""
+    path = work_path(spark, "dataset")
+    manifest.write_split(S.stratified_split(flows(spark, sf)), path)
+    stats = [(s, c, n) for s, d in manifest.read_manifest(path)["stats"]["label_dist"].items() for c, n in d.items()]
+    told = spark.createDataFrame(stats, "split string, class string, told long")
+    records = manifest.read_split(spark, path, "flow_id long, class string, split string, path string")
+    n = records.groupBy("split", "class").agg(F.count("*").alias("records"), F.sum("flow_id").alias("ids"))
+    lists = None
+    for s in manifest.SPLITS:
+        one = manifest.read_list(spark, path, s).groupBy(F.lit(s).alias("split"), F.substring_index("path", "/", 1).alias("class")).agg(F.count("*").alias("listed"))
+        lists = one if lists is None else lists.unionByName(one)
+    good = manifest.checked(spark, path).agg(F.min("ok").alias("good"))
+    x = told.join(n, ["split", "class"], "left").join(lists, ["split", "class"], "left").crossJoin(good)  # one row
+    return x.select("split", "class", "told", "records", "ids", "listed", "good")
 
 
 def index_join_by_row(spark, sf):
@@ -317,8 +353,13 @@ SELECT session, row_number() OVER (PARTITION BY session ORDER BY idx) - 1 AS pac
     "raw_packet_counts": f"SELECT class AS name, count(*) AS packets FROM ({PACKETS_SQL}) GROUP BY class UNION ALL SELECT 'broken', 0",
     "class_listing": f"SELECT 'split' || flow % 2 AS split, class, count(DISTINCT flow % 3 = 0) AS captures FROM ({PACKETS_SQL}) GROUP BY 1, 2",
     "tsv_roundtrip": "SELECT coalesce(lang, '') AS lang, count(*) AS rows, sum(length(text))::BIGINT AS labels FROM documents GROUP BY 1",
-    "jsonl_roundtrip": "SELECT doc_id, lang, md5(substring(text, 1, 50)) AS head_md5 FROM documents",
-    "json_lists": "SELECT role AS key, count(DISTINCT conv_id) AS files, count(*) AS items FROM conversations WHERE turn < 6 AND conv_id % 20 = 0 GROUP BY role",
+    "jsonl_roundtrip": "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents",
+    "json_lists": """SELECT conv_id || '-' || role AS key, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) - 1 AS pos, md5(text) AS item_md5 FROM conversations
+UNION ALL SELECT CASE WHEN r_regionkey % 2 = 0 THEN 'cut short' ELSE 'no object' END, count(*), NULL FROM region GROUP BY 1""",
+    "zip_report": """WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS pos FROM conversations)
+SELECT 'f' || h.conv_id % 5 AS folder, count(*) AS attempted, count(*) FILTER (h.turn % 5 IN (0, 2)) AS produced FROM c h JOIN c p ON h.conv_id = p.conv_id AND h.pos = p.pos WHERE h.role = 'user' AND p.role = 'assistant' GROUP BY 1""",
+    "dataset_manifest": f"""WITH {_F}, {_split('s', 'f')}, n AS (SELECT split, class, count(*) AS n, sum(flow_id)::BIGINT AS ids FROM s GROUP BY split, class)
+SELECT split, class, n AS told, n AS records, ids, n AS listed, true AS good FROM n UNION ALL SELECT 'class_total', class, sum(n)::BIGINT, NULL, NULL, NULL, true FROM n GROUP BY class""",
     "index_join_by_row": "SELECT row, o_orderkey, c_custkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row FROM orders) JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS row FROM customer) USING (row)",
     "index_join_by_name": "SELECT n_nationkey AS name, n_name, c_custkey, c_mktsegment FROM nation JOIN (SELECT c_nationkey, max(c_custkey) AS c_custkey, arg_max(c_mktsegment, c_custkey) AS c_mktsegment FROM customer GROUP BY 1) ON n_nationkey = c_nationkey",
     "png_index_join": "SELECT doc_id, doc_id * 2 AS record FROM documents WHERE doc_id % 5 <> 0",
@@ -338,7 +379,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         packet_checksums, zeroize_fields, randomize_fields, frame_matrix, ip_frames, png_roundtrip, pixel_integrity, flow_materialize, packet_materialize, subset_write_roundtrip,
-        capture_merge_cap, capture_ranges, session_containers, captures_if_any, raw_packet_counts, class_listing, tsv_roundtrip, jsonl_roundtrip, json_lists, index_join_by_row, index_join_by_name, png_index_join,
+        capture_merge_cap, capture_ranges, session_containers, captures_if_any, raw_packet_counts, class_listing, tsv_roundtrip, jsonl_roundtrip, json_lists, zip_report, dataset_manifest, index_join_by_row, index_join_by_name, png_index_join,
         png_source_lookup, random_packets, random_ids, dataset_roots, column_intersection, diversity_means, outcome_report, percent_strings,
     )
 }

@@ -103,28 +103,93 @@ def _renumbered(x: DataFrame, columns: list[str], *order: str) -> DataFrame:
     return _with_outcome(x.withColumn("idx", F.when(F.col("bad").isNull(), place).otherwise(F.col("idx"))), columns)
 
 
+#: Consecutive places of a flow whose swaps one row of ``reorder`` holds.
+BLOCK = 4096
+
+
+def swapped(swaps: list[tuple[int, int]], last: int, ahead: int) -> tuple[dict[int, int], list[int]]:
+    """What swaps (r, j), in order, do to a block that ends before place ``last``: where the packet at each place that they
+    touched comes from, and the same for the ``ahead`` places from ``last`` on. Places are those at the block's entry."""
+    at: dict[int, int] = {}
+    for r, j in swaps:
+        at[r], at[j] = at.get(j, j), at.get(r, r)
+    return {k: v for k, v in at.items() if k < last}, [at.get(last + i, last + i) for i in range(ahead)]
+
+
+def entries(blocks: list[tuple[int, list[int]]], size: int, ahead: int) -> list[tuple[int, list[int]]]:
+    """(block, what lies at its first ``ahead`` places when it is entered) of a flow's blocks (number, what they leave ahead of
+    them), each composed with those before; blocks that were left out change nothing."""
+    out, before, now = [], None, []
+    for k, left in sorted(blocks):
+        first = k * size
+        if before is None or before + 1 < k:
+            now = list(range(first, first + ahead))
+        out.append((k, now))
+        now = [now[p - first] if first <= p < first + ahead else p for p in left]
+        before = k
+    return out
+
+
 def reorder(packets: DataFrame, window: int, p: float, ratio: float, seed: int = 42) -> DataFrame:
     """Packets swap places with one up to ``window`` - 1 later, with probability ``p`` and at most ratio * n times.
 
-    ``idx`` is the place; times travel with their packets. The swaps are known from draws alone; a flow is cut where no
-    swap reaches across, and each stretch's swaps are applied in order. Stretches are short for p < 1, whatever the
-    flow's length, so a flow spreads over many rows.
+    ``idx`` is the place; times travel with their packets. A swap at place r reaches ``window`` - 1 places ahead, so a block
+    of BLOCK places hands on no more than what lies at the next window - 1. Each block's swaps are worked out by
+    themselves; then a flow's blocks are composed by these few places (a flow is one row of window - 1 numbers a block),
+    and each block's packets get their places. The work is linear at any probability; packets are only joined.
     """
-    x = _ranked(packets)
-    seen = W.partitionBy("flow").orderBy("r").rowsBetween(W.unboundedPreceding, 0)
-    x = x.withColumn("hit", (uniform(f"swap{seed}", "flow", "r") < p) & F.col("bad").isNull())
-    x = x.withColumn("hit", F.col("hit") & (F.sum(F.col("hit").cast("long")).over(seen) <= F.floor(F.col("n") * ratio)))
-    far = F.col("r") + 1 + F.floor(uniform(f"far{seed}", "flow", "r") * (window - 1)).cast("long")
-    x = x.withColumn("j", F.when(F.col("hit"), F.least(F.col("n") - 1, far)))
-    reach = F.max("j").over(W.partitionBy("flow").orderBy("r").rowsBetween(W.unboundedPreceding, -1))
-    x = x.withColumn("fresh", F.coalesce(reach < F.col("r"), F.lit(True)).cast("long")).withColumn("stretch", F.sum("fresh").over(seen))
-    one = F.struct("r", "j", F.struct(*packets.columns, "bad").alias("row"))
-    x = x.groupBy("flow", "stretch").agg(F.array_sort(F.collect_list(one)).alias("s"))
-    swapped = """aggregate(s, sequence(0, size(s) - 1), (acc, it) -> CASE WHEN it.j IS NULL THEN acc ELSE
-      transform(acc, (v, t) -> CASE WHEN t = it.r - s[0].r THEN acc[int(it.j - s[0].r)] WHEN t = it.j - s[0].r THEN acc[int(it.r - s[0].r)] ELSE v END) END)"""
-    x = x.select("s", F.posexplode(F.expr(swapped)).alias("at", "source"))
-    x = x.select(F.expr("s[source].row").alias("row"), F.expr("s[at].row.idx").alias("place")).select("row.*", "place").withColumn("idx", F.col("place"))
-    return _with_outcome(x, packets.columns)
+    import pyarrow as pa
+
+    ahead, longs = window - 1, pa.list_(pa.int64())
+    x = _ranked(packets).withColumn("block", F.floor(F.col("r") / BLOCK))
+    far = F.least(F.col("n") - 1, F.col("r") + 1 + F.floor(uniform(f"far{seed}", "flow", "r") * (window - 1)).cast("long"))
+    wish = x.where((uniform(f"swap{seed}", "flow", "r") < p) & F.col("bad").isNull()).select("flow", "block", "n", "r", far.alias("j"))
+    hits = wish.groupBy("flow", "block").agg(F.max("n").alias("n"), F.count("*").alias("hits"), F.array_sort(F.collect_list(F.struct("r", "j"))).alias("swaps"))
+    before = F.coalesce(F.sum("hits").over(W.partitionBy("flow").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    left = F.floor(F.col("n") * ratio) - before
+    hits = hits.withColumn("swaps", F.slice("swaps", 1, F.greatest(left, F.lit(0)).cast("int"))).where(F.size("swaps") > 0).select("flow", "block", "swaps")
+    flow = packets.schema["flow"].dataType.simpleString()
+    pairs = lambda column: [[(v["r"], v["j"]) for v in row] for row in column.to_pylist()]
+
+    def leave(batches):
+        for b in batches:
+            found = [swapped(s, (k + 1) * BLOCK, ahead)[1] for k, s in zip(b.column(1).to_pylist(), pairs(b.column(2)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, longs)], names=["flow", "block", "left"])
+
+    def enter(batches):
+        for b in batches:
+            for i, blocks in enumerate(b.column(1).to_pylist()):
+                found = entries([(v["block"], v["left"]) for v in blocks], BLOCK, ahead)
+                arrays = [b.column(0).take(pa.array([i] * len(found))), pa.array([k for k, _ in found], pa.int64()), pa.array([e for _, e in found], longs)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["flow", "block", "entry"])
+
+    def place(batches):
+        for b in batches:
+            rows: list[tuple[int, int, int]] = []
+            for i, (k, swaps, entry) in enumerate(zip(b.column(1).to_pylist(), pairs(b.column(2)), b.column(3).to_pylist(), strict=True)):
+                first = k * BLOCK
+                at, over = swapped(swaps or [], first + BLOCK, ahead)
+                lies = lambda q, first=first, entry=entry: entry[q - first] if q < first + ahead else q
+                touched = dict.fromkeys([*at, *(range(first, first + ahead) if entry != list(range(first, first + ahead)) else ())])
+                rows += [(i, lies(at.get(t, t)), t) for t in touched]
+            which, source, target = (pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ([], [], [])))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(which), source, target], names=["flow", "source", "place"])
+
+    passed = hits.mapInArrow(leave, f"flow {flow}, block long, left array<long>")
+    # the block after one with swaps is entered with what they left there, whether it has swaps or not
+    following = passed.select("flow", (F.col("block") + 1).alias("block"))
+    empty = following.join(passed.select(F.col("flow").alias("f2"), F.col("block").alias("b2")), F.col("flow").eqNullSafe(F.col("f2")) & (F.col("block") == F.col("b2")), "left_anti")
+    empty = empty.withColumn("left", F.transform(F.sequence(F.lit(0), F.lit(ahead - 1)), lambda i: (F.col("block") + 1) * BLOCK + i))
+    chains = passed.unionByName(empty).groupBy("flow").agg(F.array_sort(F.collect_list(F.struct("block", "left"))).alias("blocks"))
+    entered = chains.mapInArrow(enter, f"flow {flow}, block long, entry array<long>")
+    h = hits.select(F.col("flow").alias("f2"), F.col("block").alias("b2"), "swaps")
+    whole = entered.join(h, F.col("flow").eqNullSafe(F.col("f2")) & (F.col("block") == F.col("b2")), "left").select("flow", "block", "swaps", "entry")
+    whole = whole.withColumn("swaps", F.coalesce("swaps", F.array().cast("array<struct<r: long, j: long>>")))
+    moved = whole.mapInArrow(place, f"flow {flow}, source long, place long").where("source <> place")
+    names = x.select(F.col("flow").alias("n_flow"), F.col("r").alias("n_r"), F.col("idx").alias("n_idx"))
+    moved = moved.join(names, F.col("flow").eqNullSafe(F.col("n_flow")) & (F.col("place") == F.col("n_r"))).select(F.col("flow").alias("m_flow"), F.col("source").alias("m_r"), "n_idx")
+    out = x.join(moved, F.col("flow").eqNullSafe(F.col("m_flow")) & (F.col("r") == F.col("m_r")), "left").withColumn("idx", F.coalesce("n_idx", "idx"))
+    return _with_outcome(out, packets.columns)
 
 
 def retransmit(packets: DataFrame, ratio: float, span: int, seed: int = 42) -> DataFrame:

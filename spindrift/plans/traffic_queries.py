@@ -117,6 +117,16 @@ def reorder(spark, sf):
     return P.reorder(_packets(spark, sf), 8, 0.35, 0.20)
 
 
+def reorder_light(spark, sf):
+    """The same at the lightest level."""
+    return P.reorder(_packets(spark, sf), 4, 0.15, 0.10)
+
+
+def reorder_heavy(spark, sf):
+    """The same at the heaviest level, at which swaps follow on each other over long stretches."""
+    return P.reorder(_packets(spark, sf), 16, 0.70, 0.40)
+
+
 def retransmit(spark, sf):
     """Packets sent again a few places off."""
     return P.retransmit(_packets(spark, sf), 0.06, 5)
@@ -189,6 +199,16 @@ def _sql_ranked(name, src):
     return f"{name}r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY ts_us, idx) - 1 AS r, count(*) OVER (PARTITION BY flow) AS n FROM {src})"
 
 
+def _sql_reorder(window, p, ratio):
+    return f"""WITH s AS ({PACKETS_SQL}), {_sql_ranked('x', 's')},
+h AS (SELECT *, {_u('swap42', 'flow', 'r')} < {p} AS wish FROM xr), g AS (SELECT *, wish AND sum(wish::INT) OVER (PARTITION BY flow ORDER BY r) <= floor(n * {ratio}::DOUBLE) AS hit FROM h),
+j AS (SELECT *, least(n, r + 2 + floor({_u('far42', 'flow', 'r')} * {window - 1})::BIGINT) AS j FROM g),
+f AS (SELECT flow, any_value(n) AS n, list([r + 1, j] ORDER BY r) FILTER (hit) AS swaps FROM j GROUP BY flow),
+p AS (SELECT flow, CASE WHEN swaps IS NULL THEN range(1, n + 1) ELSE list_reduce(swaps, lambda acc, x: list_transform(acc, lambda v, t: CASE WHEN t = x[1] THEN acc[x[2]] WHEN t = x[2] THEN acc[x[1]] ELSE v END), range(1, n + 1)) END AS perm FROM f)
+SELECT c.flow, o.idx, c.class, c.len, c.tuple, c.ts_us, true AS ok, NULL::VARCHAR AS error FROM (SELECT flow, unnest(perm) AS src, generate_subscripts(perm, 1) AS pos FROM p) q
+JOIN xr c ON c.flow = q.flow AND c.r = q.src - 1 JOIN xr o ON o.flow = q.flow AND o.r = q.pos - 1"""
+
+
 def _sql_retransmit(name, src, ratio, span, seed):
     return f"""{_sql_ranked(name, src)},
 {name}t AS (SELECT flow, r, ts_us, CASE WHEN r = 0 THEN ts_us - 1 ELSE (ts_us + lag(ts_us) OVER (PARTITION BY flow ORDER BY r)) // 2 END AS mid FROM {name}r),
@@ -264,13 +284,9 @@ SELECT r.flow, idx, round(ts_us + new_last + greatest(1.0, tail - old_last) - ta
 x AS (SELECT f.*, i, k, row_number() OVER (PARTITION BY f.class ORDER BY md5('noise42|' || flow_id), flow_id) AS r, count(*) OVER (PARTITION BY f.class) AS n FROM f JOIN l ON f.class = l.class),
 m AS (SELECT *, CASE WHEN k > 1 AND r <= round_even(n * 0.05::DOUBLE, 0) THEN (i + 1 + ('0x' || substr(md5('move42|' || flow_id), 1, 8))::BIGINT % greatest(1, k - 1)) % k END AS t FROM x)
 SELECT flow_id, m.class, coalesce(l.class, m.class) AS new_class FROM m LEFT JOIN l ON l.i = m.t""",
-    "reorder": f"""WITH s AS ({PACKETS_SQL}), {_sql_ranked('x', 's')},
-h AS (SELECT *, {_u('swap42', 'flow', 'r')} < 0.35 AS wish FROM xr), g AS (SELECT *, wish AND sum(wish::INT) OVER (PARTITION BY flow ORDER BY r) <= floor(n * 0.20::DOUBLE) AS hit FROM h),
-j AS (SELECT *, least(n, r + 2 + floor({_u('far42', 'flow', 'r')} * 7)::BIGINT) AS j FROM g),
-f AS (SELECT flow, any_value(n) AS n, list([r + 1, j] ORDER BY r) FILTER (hit) AS swaps FROM j GROUP BY flow),
-p AS (SELECT flow, CASE WHEN swaps IS NULL THEN range(1, n + 1) ELSE list_reduce(swaps, lambda acc, x: list_transform(acc, lambda v, t: CASE WHEN t = x[1] THEN acc[x[2]] WHEN t = x[2] THEN acc[x[1]] ELSE v END), range(1, n + 1)) END AS perm FROM f)
-SELECT c.flow, o.idx, c.class, c.len, c.tuple, c.ts_us, true AS ok, NULL::VARCHAR AS error FROM (SELECT flow, unnest(perm) AS src, generate_subscripts(perm, 1) AS pos FROM p) q
-JOIN xr c ON c.flow = q.flow AND c.r = q.src - 1 JOIN xr o ON o.flow = q.flow AND o.r = q.pos - 1""",
+    "reorder": _sql_reorder(8, 0.35, 0.20),
+    "reorder_light": _sql_reorder(4, 0.15, 0.10),
+    "reorder_heavy": _sql_reorder(16, 0.70, 0.40),
     "retransmit": f"WITH s AS ({PACKETS_SQL}), {_sql_retransmit('x', 's', 0.06, 5, 42)} SELECT *, true AS ok, NULL::VARCHAR AS error FROM x",
     "frag_merge": f"""WITH s AS (SELECT *, idx * 1000003 % 4294967296 AS seq, substring(repeat(md5(idx::VARCHAR), 46), 1, len) AS payload FROM ({PACKETS_SQL})), {_sql_ranked('x', 's')},
 l AS (SELECT *, lead(ts_us) OVER w AS ts2, lead(len) OVER w AS len2, lead(payload) OVER w AS payload2, coalesce({_u('merge42', 'flow', 'r')} < 0.20 AND tuple = lead(tuple) OVER w AND len + lead(len) OVER w <= 600, false) AS wish FROM xr WINDOW w AS (PARTITION BY flow ORDER BY r)),
@@ -295,6 +311,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         packet_features, tcp_flag_strings, five_tuple_sessions, inter_arrival, protocol_violations, compliance_rate, compliance_rollup, violation_numbering, ip_filter_literal,
-        ip_filter_pairs, ip_filter_cidr_join, match_rate, time_scale, jitter_drop_hash, tail_shift, label_noise, reorder, retransmit, frag_merge, perturb_chain, perturb_first_n, scope_split, pair_spec, events_sorted_gaps,
+        ip_filter_pairs, ip_filter_cidr_join, match_rate, time_scale, jitter_drop_hash, tail_shift, label_noise, reorder, reorder_light, reorder_heavy, retransmit, frag_merge, perturb_chain, perturb_first_n, scope_split, pair_spec, events_sorted_gaps,
     )
 }

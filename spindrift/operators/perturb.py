@@ -7,7 +7,7 @@ and place, so runs repeat whatever the partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -293,6 +293,13 @@ def run_id(codes: list[int], level: str, target: str = "all", n: int = 0) -> str
     return f"{names}_{level}_{target}{n or ''}"
 
 
+def run_name(codes: Column, level: Column, target: Column, n: Column) -> Column:
+    """``run_id`` as an expression: ``codes`` is an array, each perturbation of which counts once; unknown ones have no name."""
+    known = F.create_map(*[F.lit(v) for k, name in ({k: name for k, (name, _) in CHAIN.items()} | {6: "label_noise"}).items() for v in (k, name)])
+    names = F.array_join(F.transform(F.array_distinct(codes), lambda c: F.try_element_at(known, c)), "+")
+    return F.concat(names, F.lit("_"), level, F.lit("_"), target, F.coalesce(n.cast("string"), F.lit("")))
+
+
 def run_counts(result: DataFrame) -> DataFrame:
     """How many rows of a per-flow perturbation went well and how many kept their input because of an error."""
     return result.agg(F.sum(F.expr("if(ok, 1, 0)")).alias("ok"), F.sum(F.expr("if(ok, 0, 1)")).alias("failed"))

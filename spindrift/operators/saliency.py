@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantile
+
 
 def token_offsets(packets: DataFrame, first: int = 0) -> DataFrame:
     """``offset``: tokens of the flow ahead of the packet (flow, idx, token_count), plus ``first``."""
@@ -55,3 +57,11 @@ def grid(scores: DataFrame, packets: int, width: int) -> DataFrame:
 def colour_cap(cells: DataFrame, q: float = 0.99) -> DataFrame:
     """(sample, vmax): the exact quantile over all cells of a sample's grid, null without a positive cell."""
     return cells.groupBy("sample").agg(F.when(F.max("score") > 0, F.percentile("score", F.lit(q))).alias("vmax"))
+
+
+def colour_caps(cells: DataFrame, q: float = 0.99) -> DataFrame:
+    """(class or ALL, vmax): the exact quantile over all cells of a class, and of all classes, null without a positive
+    cell. Classes of any size are counted in many tasks; a class named ALL is counted with the whole."""
+    x = cells.select(F.explode(F.array(F.col("class"), F.lit("ALL"))).alias("class"), "score")
+    caps = exact_quantile(x, ["class"], "score", q, "vmax").join(x.groupBy(F.col("class").alias("c")).agg(F.max("score").alias("top")), F.col("class").eqNullSafe(F.col("c")))
+    return caps.select("class", F.when(F.col("top") > 0, F.col("vmax")).alias("vmax"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,10 @@ class LinearScorer:
     weights: np.ndarray  # features x classes
     bias: np.ndarray
 
+    @property
+    def width(self) -> int:
+        return len(self.weights)
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         return x @ self.weights + self.bias
 
@@ -47,26 +51,79 @@ class LinearScorer:
         return np.abs(self.weights.T[target] * np.ones_like(x))
 
 
+def matrix_of(rows: list, width: int | None) -> np.ndarray:
+    """Feature arrays as a matrix, cut or zero-padded to ``width``; null arrays and null values are zeros."""
+    width = max((len(r) for r in rows if r), default=0) if width is None else width
+    out = np.zeros((len(rows), width))
+    for i, r in enumerate(rows):
+        if r:
+            values = np.array(r[:width], np.float64)
+            out[i, : len(values)] = np.where(np.isnan(values), 0.0, values)
+    return out
+
+
 def apply_scorer(df: DataFrame, scorer, features: str, key: str, target: str = "pred") -> DataFrame:
-    """(key, scores, pred, saliency) of every row; ``target`` is 'pred' or a column with the class to explain."""
+    """(key, scores, pred, saliency) of every row; ``target`` is 'pred' or a column with the class to explain. Rows are cut
+    or zero-padded to the scorer's ``width``, where it has one."""
+    out, _ = _scored(df, scorer, features, key, target, False)
+    return out
+
+
+def observed_scores(df: DataFrame, scorer, features: str, key: str, target: str = "pred"):
+    """``apply_scorer`` and an Observation of the pass that evaluates it: flows, and read_s and score_s, the seconds that
+    tasks waited for their rows and scored them. The times travel with the rows, so tasks that are repeated count once."""
+    return _scored(df, scorer, features, key, target, True)
+
+
+def _scored(df: DataFrame, scorer, features: str, key: str, target: str, timed: bool):
     import pyarrow as pa
 
     shared = df.sparkSession.sparkContext.broadcast(scorer)
     kind = df.schema[key].dataType.simpleString()
+    names = [key, "scores", "pred", "saliency", *(["read_us", "score_us"] if timed else [])]
 
     def run(batches):
+        width, read, began = getattr(shared.value, "width", None), 0.0, time.perf_counter()
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), np.float64)
-            if not len(x):
-                continue
-            s = shared.value.scores(x)
-            pred = s.argmax(1)
-            goal = pred if target == "pred" else np.asarray(b.column(2), np.int64)
-            sal = shared.value.saliency(x, goal)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.tolist(), pa.list_(pa.float64())), pa.array(pred, pa.int64()), pa.array(sal.tolist(), pa.list_(pa.float64()))], names=[key, "scores", "pred", "saliency"])
+            got = time.perf_counter()
+            read += got - began
+            n = b.num_rows
+            if n:
+                x = matrix_of(b.column(1).to_pylist(), width)
+                s = shared.value.scores(x)
+                pred = s.argmax(1)
+                goal = pred if target == "pred" else np.asarray(b.column(2), np.int64)
+                sal = shared.value.saliency(x, goal)
+                arrays = [b.column(0), pa.array(s.tolist(), pa.list_(pa.float64())), pa.array(pred, pa.int64()), pa.array(sal.tolist(), pa.list_(pa.float64()))]
+                if timed:  # the batch's first row carries its times
+                    arrays += [pa.array([v, *[0.0] * (n - 1)]) for v in (read * 1e6, (time.perf_counter() - got) * 1e6)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                read = 0.0
+            began = time.perf_counter()
 
     cols = [key, features, *([] if target == "pred" else [target])]
-    return df.select(*cols).mapInArrow(run, f"`{key}` {kind}, scores array<double>, pred long, saliency array<double>")
+    fields = f"`{key}` {kind}, scores array<double>, pred long, saliency array<double>" + (", read_us double, score_us double" if timed else "")
+    out = df.select(*cols).mapInArrow(run, fields)
+    if not timed:
+        return out, None
+    seen = Observation()
+    seconds = lambda c: F.coalesce(F.sum(c) / 1e6, F.lit(0.0))
+    return out.observe(seen, F.count("*").alias("flows"), seconds("read_us").alias("read_s"), seconds("score_us").alias("score_s")).drop("read_us", "score_us"), seen
+
+
+def observed_benchmark(df: DataFrame, scorer, features: str, key: str, config: BenchConfig) -> DataFrame:
+    """One row a run, each of ``repeat`` passes that read and score at once: flows, wall seconds (total_s), and what tasks
+    took for their rows (prep_s) and for scoring them (infer_s), after warm-up passes."""
+    out = []
+    for run in range(-config.warmup_passes, config.runs):
+        began, told = time.perf_counter(), []
+        for _ in range(config.repeat if run >= 0 else 1):
+            scored, seen = observed_scores(df, scorer, features, key)
+            scored.write.format("noop").mode("overwrite").save()
+            told.append(seen.get)
+        if run >= 0:
+            out.append((run, sum(t["flows"] for t in told), time.perf_counter() - began, sum(t["read_s"] for t in told), sum(t["score_s"] for t in told)))
+    return df.sparkSession.createDataFrame(out, "run int, flows long, total_s double, prep_s double, infer_s double")
 
 
 def accuracy(df: DataFrame, gold: str, pred: str) -> DataFrame:

@@ -37,9 +37,12 @@ def literal_values(spark, sf):
 
 
 def run_ids(spark, sf):
-    """Names of runs by their perturbations, level and scope."""
-    asked = [([1, 5, 1], "heavy", "first", 3), ([2], "light", "all", 0), ([3, 4], "medium", "first", 10)]
-    return spark.createDataFrame([(P.run_id(*a),) for a in asked], "run string")
+    """Names of runs, one a document: its perturbations, level and scope follow from its number."""
+    d = load(spark, sf, "documents").select("doc_id")
+    codes = F.transform(F.sequence(F.lit(0), F.col("doc_id") % 4), lambda i: (1 + (F.col("doc_id") + 3 * i) % 6).cast("int"))
+    level = F.element_at(F.array(*map(F.lit, ("light", "medium", "heavy"))), (1 + F.col("doc_id") % 3).cast("int"))
+    first = F.col("doc_id") % 2 == 0
+    return d.select("doc_id", P.run_name(codes, level, F.when(first, "first").otherwise("all"), F.when(first, 1 + F.col("doc_id") % 10)).alias("run"))
 
 
 def perturb_outcomes(spark, sf):
@@ -53,7 +56,7 @@ def gold_saliency(spark, sf):
     import numpy as np
 
     w = np.cos(np.arange(640, dtype=np.float64)).reshape(64, 10)
-    x = load(spark, sf, "embeddings").where("size(embedding) = 64 AND label IS NOT NULL").withColumn("gold", F.pmod(F.col("label").cast("long"), F.lit(10)))
+    x = load(spark, sf, "embeddings").where("label IS NOT NULL").withColumn("gold", F.pmod(F.col("label").cast("long"), F.lit(10)))
     out = R.apply_scorer(x, R.LinearScorer(w, np.zeros(10)), "embedding", "vec_id", "gold")
     return out.select("vec_id", F.round(F.aggregate("saliency", F.lit(0.0), lambda a, b: a + b), 6).alias("saliency"))
 
@@ -78,22 +81,24 @@ def ordered_distinct(spark, sf):
 
 
 def task_listing(spark, sf):
-    """Tasks of the stream group as the catalogue lists and shows them."""
-    from .catalogue import registry
+    """Parts as a catalogue of tasks (name, type as group, brand as summary): those that a prefix, a keyword and a group leave."""
+    from .registry import chosen
 
-    r = registry()
-    rows = [(t.name, t.group, r.show(t.name)["sql"], r.doctor()[t.name], t.name in [x.name for x in r.search("stream")]) for t in r.list(group="stream")]
-    return spark.createDataFrame(rows, "name string, grp string, sql string, healthy boolean, found boolean")
+    x = load(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("grp"), F.col("p_brand").alias("summary"), "p_partkey")
+    return chosen(x, prefix="", keyword="BRAND#1", group="PROMO").select("name", "grp", "summary", "p_partkey")
 
 
 SQL = {
     "directional_tuples": f"SELECT {_ip('src_ip')} AS src, {_ip('dst_ip')} AS dst, sport, dport, CASE proto WHEN 6 THEN 'TCP' ELSE 'UDP' END AS l4, count(*) AS packets FROM ({HEADERS_SQL}) WHERE proto IN (6, 17) GROUP BY ALL",
     "path_parts": f"""SELECT flow_id, class || '/' || source_tag AS parent, flow_id || '.v1.pcap' AS name, flow_id || '.v1' AS stem, '.pcap' AS suffix, sha1(path || '.v1.pcap') AS sha1, sha256(path || '.v1.pcap') AS sha256, md5(path || '.v1.pcap') AS md5 FROM ({FLOWS_SQL})""",
     "literal_values": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 < 2 THEN 'x' || s_suppkey END AS a FROM supplier",
-    "run_ids": "SELECT unnest(['reorder+time_scale_heavy_first3', 'retransmit_light_all', 'jitter_drop+frag_merge_medium_first10']) AS run",
+    "run_ids": """WITH n AS (SELECT doc_id, list_distinct_in_order AS codes FROM (SELECT doc_id, list_transform(range(0, doc_id % 4 + 1), lambda i: 1 + (doc_id + 3 * i) % 6) AS c,
+ list_filter(list_transform(range(0, doc_id % 4 + 1), lambda i: 1 + (doc_id + 3 * i) % 6), lambda x, i: list_position(c, x) = i) AS list_distinct_in_order FROM documents))
+SELECT doc_id, array_to_string(list_transform(codes, lambda k: ['reorder', 'retransmit', 'jitter_drop', 'frag_merge', 'time_scale', 'label_noise'][k]), '+') || '_' || ['light', 'medium', 'heavy'][1 + doc_id % 3] || '_' ||
+ CASE WHEN doc_id % 2 = 0 THEN 'first' || (1 + doc_id % 10) ELSE 'all' END AS run FROM n""",
     "perturb_outcomes": f"""WITH p AS ({PACKETS_SQL}), s AS (SELECT * FROM p WHERE flow % 10 <> 3), {_sql_retransmit('again', 's', 0.06, 5, 42)}
 SELECT (SELECT count(*) FROM again) AS ok, (SELECT count(*) FROM p WHERE flow % 10 = 3) AS failed""",
-    "gold_saliency": """SELECT vec_id, round(sum(abs(cos(10 * f + ((label::BIGINT % 10) + 10) % 10))), 6) AS saliency FROM embeddings, range(64) u(f) WHERE len(embedding) = 64 AND label IS NOT NULL GROUP BY vec_id, label""",
+    "gold_saliency": """SELECT vec_id, round(sum(abs(cos(10 * f + ((label::BIGINT % 10) + 10) % 10))), 6) AS saliency FROM embeddings, range(64) u(f) WHERE label IS NOT NULL GROUP BY vec_id, label""",
     "packet_target_overflow": f"""WITH {_P}, {_TARGET}, t AS (SELECT class, CASE WHEN least(train, valid, test) <= 0 OR can < 100 THEN 0 ELSE least(can, 300) END AS target FROM g),
 h AS (SELECT class, split, count(*) AS have, round_even(target * CASE split WHEN 'train' THEN 0.8::DOUBLE ELSE 0.1::DOUBLE END, 0) AS want FROM p JOIN t USING (class) WHERE target > 0 GROUP BY class, split, target),
 ok AS (SELECT class FROM h GROUP BY class HAVING bool_and(have >= want) AND count(*) = 3)
@@ -104,7 +109,7 @@ c AS (SELECT class, count(*) AS total, count(*) FILTER (split = 'train') AS trai
 g AS (SELECT (SELECT bool_and(total = {CAP}) FROM c) AS ok, (SELECT min(pool) FROM o) AS m)
 SELECT flow_id, class, split FROM s UNION ALL SELECT o.flow_id, o.class, 'test' FROM o JOIN c USING (class), g WHERE ok AND rk <= greatest(0, least(m, 10 * train - test, pool))""",
     "ordered_distinct": f"SELECT flow, string_agg(class, ',' ORDER BY first_idx) AS classes FROM (SELECT flow, class, min(idx) AS first_idx FROM ({PACKETS_SQL}) GROUP BY flow, class) GROUP BY flow",
-    "task_listing": "SELECT unnest(['stream_class_windows', 'stream_sessions']) AS name, 'stream' AS grp, 'yes' AS sql, true AS healthy, true AS found",
+    "task_listing": "SELECT p_name AS name, p_type AS grp, p_brand AS summary, p_partkey FROM part WHERE contains(p_type, 'PROMO') AND (contains(lower(p_name), 'brand#1') OR contains(lower(p_brand), 'brand#1') OR contains(lower(p_type), 'brand#1'))",
 }
 QUERIES = {
     f.__name__: f

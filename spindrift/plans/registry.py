@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -54,3 +55,11 @@ class Registry:
     def doctor(self) -> dict[str, bool]:
         """Whether each task has a callable and a summary."""
         return {t.name: callable(t.run) and bool(t.summary) for t in self.tasks.values()}
+
+
+def chosen(tasks: DataFrame, prefix: str = "", keyword: str = "", group: str = "") -> DataFrame:
+    """Rows of a table of tasks (name, grp, summary) whose name starts with ``prefix``, that mention ``keyword`` in either case
+    and whose group contains ``group``: what ``Registry.list`` does for a table of any size."""
+    k = F.lit(keyword.lower())
+    mentioned = F.contains(F.lower("name"), k) | F.contains(F.lower("summary"), k) | F.contains(F.lower("grp"), k)
+    return tasks.where(F.startswith("name", F.lit(prefix)) & F.contains("grp", F.lit(group)) & mentioned)

@@ -48,18 +48,18 @@ def pixel_saliency(spark, sf):
 def token_score_join(spark, sf):
     """Index rows joined to score arrays by position."""
     s = load(spark, sf, "embeddings").select(F.col("vec_id").alias("sample"), F.col("embedding").alias("scores"))
-    index = s.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(9)))).select("sample", F.col("g").cast("long").alias("g"))
+    index = s.where("size(scores) > 0").withColumn("g", F.explode(F.sequence(F.lit(0), F.size("scores") - 1))).select("sample", F.col("g").cast("long").alias("g"))
     return A.token_scores(index, s).select("sample", "g", F.round(F.col("score").cast("double"), 6).alias("score"))
 
 
 def softmax_argmax(spark, sf):
-    """The class with the largest of a vector's first ten values."""
-    return load(spark, sf, "embeddings").select("vec_id", argmax(F.slice("embedding", 1, 10)).alias("pred"))
+    """The class with the largest of a vector's values."""
+    return load(spark, sf, "embeddings").select("vec_id", argmax(F.col("embedding")).alias("pred"))
 
 
 def accuracy(spark, sf):
     """Accuracy of that prediction against the label."""
-    x = load(spark, sf, "embeddings").select(F.col("label").cast("long").alias("gold"), argmax(F.slice("embedding", 1, 10)).alias("pred"))
+    x = load(spark, sf, "embeddings").select(F.col("label").cast("long").alias("gold"), argmax(F.col("embedding")).alias("pred"))
     return R.accuracy(x, "gold", "pred").withColumn("accuracy", F.round("accuracy", 8))
 
 
@@ -68,11 +68,28 @@ def linear_scores(spark, sf):
     import numpy as np
 
     w = np.cos(np.arange(640, dtype=np.float64)).reshape(64, 10)
-    x = load(spark, sf, "embeddings").where(F.size("embedding") == 64)
+    x = load(spark, sf, "embeddings")
     out = R.apply_scorer(x, R.LinearScorer(w, np.zeros(10)), "embedding", "vec_id")
     return out.select("vec_id", "pred", F.round(F.aggregate("saliency", F.lit(0.0), lambda a, b: a + b), 6).alias("saliency"))
 
 
+def timed_scoring(spark, sf):
+    """The same scorer in timed passes that read and score at once: rows a run, and whether the times add up."""
+    import numpy as np
+
+    x = load(spark, sf, "embeddings")
+    scorer = R.LinearScorer(np.cos(np.arange(640, dtype=np.float64)).reshape(64, 10), np.zeros(10))
+    t = R.observed_benchmark(x, scorer, "embedding", "vec_id", R.BenchConfig(warmup_passes=1, runs=2))
+    tasks = spark.sparkContext.defaultParallelism
+    return t.select(F.col("run").cast("long").alias("run"), "flows", ((F.col("prep_s") + F.col("infer_s")) <= F.col("total_s") * tasks).alias("adds_up"))
+
+
+def class_colour_caps(spark, sf):
+    """The exact 0.99 quantile of all byte scores of each class, and of all."""
+    x = A.colour_caps(A.byte_scores(scores(spark, sf)))
+    return x.withColumn("vmax", F.round("vmax", 6))
+
+
 def timing_summary(spark, sf):
     """Means over timed runs (an order a run: its price stands for seconds)."""
     x = load(spark, sf, "orders").select(F.col("o_totalprice").alias("total_s"), (F.col("o_totalprice") / 4).alias("prep_s"), (F.col("o_totalprice") * 0.75).alias("infer_s"), F.lit(1000).cast("long").alias("flows"))
@@ -193,7 +210,7 @@ k AS MATERIALIZED (SELECT idx, flow, {_clean('src')} AS c_src, {_clean('dst')} A
  CASE WHEN regexp_full_match(trim(sport), '[0-9]+') AND trim(sport)::BIGINT <= 65535 THEN trim(sport)::BIGINT END AS c_sport, CASE WHEN regexp_full_match(trim(dport), '[0-9]+') AND trim(dport)::BIGINT <= 65535 THEN trim(dport)::BIGINT END AS c_dport,
  CASE WHEN regexp_full_match(proto, '[0-9]+') THEN proto::BIGINT ELSE 6 END AS c_proto FROM d),
 e AS (SELECT *, CASE WHEN c_proto = 17 THEN 'udp' ELSE 'tcp' END AS l4, CASE WHEN c_src IS NULL OR c_dst IS NULL THEN 'INVALID_IP' WHEN c_sport IS NULL OR c_dport IS NULL THEN 'INVALID_PORT' END AS error FROM k)"""
-_PRED = "list_position(embedding[1:10], list_max(embedding[1:10])) - 1"
+_PRED = "list_position(embedding, list_max(embedding)) - 1"
 SQL = {
     "byte_saliency": f"WITH {_B} SELECT sample, class, packet, byte, round(score, 6) AS score FROM b",
     "byte_saliency_max": f"WITH {_B} SELECT sample, class, packet, byte, round(top, 6) AS score FROM b",
@@ -202,12 +219,14 @@ SELECT class, byte, round(sum(score) / any_value(n.n), 6) AS mean FROM b JOIN n
     "saliency_grid": f"{_GRID} SELECT sample, packet, byte, round(score, 6) AS score FROM g",
     "grid_vmax_p99": f"{_GRID} SELECT sample, round(CASE WHEN max(score) > 0 THEN quantile_cont(score, 0.99) END, 6) AS vmax FROM g GROUP BY sample",
     "pixel_saliency": "SELECT vec_id AS sample, label::VARCHAR AS class, (g - 1) * 25 // 320 AS packet, (g - 1) * 25 % 320 AS byte, round(sum(abs(x::DOUBLE)), 6) AS score FROM (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS g FROM embeddings) GROUP BY ALL",
-    "token_score_join": "SELECT vec_id AS sample, g, round(embedding[g + 2]::DOUBLE, 6) AS score FROM embeddings, range(10) u(g) WHERE g + 2 <= len(embedding)",
+    "token_score_join": "SELECT vec_id AS sample, g, round(embedding[g + 2]::DOUBLE, 6) AS score FROM embeddings, unnest(range(0, len(embedding))) u(g) WHERE g + 2 <= len(embedding)",
     "softmax_argmax": f"SELECT vec_id, {_PRED} AS pred FROM embeddings",
     "accuracy": f"SELECT count(*) AS rows, count(*) FILTER ({_PRED} = label) AS correct, round(count(*) FILTER ({_PRED} = label) / count(*), 8) AS accuracy FROM embeddings",
-    "linear_scores": """WITH w AS MATERIALIZED (SELECT f, c, cos(10 * f + c) AS w FROM range(64) a(f), range(10) b(c)), e AS MATERIALIZED (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64),
-s AS (SELECT vec_id, c, sum(embedding[f + 1]::DOUBLE * w) AS score FROM e, w GROUP BY vec_id, c), p AS (SELECT vec_id, arg_max(c, score) AS pred FROM s GROUP BY vec_id)
+    "linear_scores": """WITH w AS MATERIALIZED (SELECT f, c, cos(10 * f + c) AS w FROM range(64) a(f), range(10) b(c)), e AS MATERIALIZED (SELECT vec_id, embedding FROM embeddings),
+s AS (SELECT vec_id, c, sum(coalesce(embedding[f + 1], 0)::DOUBLE * w) AS score FROM e, w GROUP BY vec_id, c), p AS (SELECT vec_id, arg_max(c, score) AS pred FROM s GROUP BY vec_id)
 SELECT vec_id, pred, round(t, 6) AS saliency FROM p JOIN (SELECT c, sum(abs(w)) AS t FROM w GROUP BY c) ON c = pred""",
+    "timed_scoring": "SELECT run, count(*) AS flows, true AS adds_up FROM embeddings, range(2) u(run) GROUP BY run",
+    "class_colour_caps": f"""WITH {_B}, x AS (SELECT class, score FROM b UNION ALL SELECT 'ALL', score FROM b) SELECT class, round(CASE WHEN max(score) > 0 THEN quantile_cont(score, 0.99) END, 6) AS vmax FROM x GROUP BY class""",
     "timing_summary": "SELECT round(avg(o_totalprice), 4) AS total_s, round(avg(o_totalprice / 4), 4) AS prep_s, round(avg(o_totalprice * 0.75::DOUBLE), 4) AS infer_s, 1000 AS flows, round(avg(o_totalprice) / 1000 * 1000, 4) AS ms_per_flow, round(1000 / avg(o_totalprice), 4) AS flows_per_sec FROM orders",
     "distinct_labels": "SELECT count(DISTINCT label) AS labels FROM embeddings",
     "zip_header_payload": """WITH c AS (SELECT conv_id AS key, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS pos FROM conversations)
@@ -227,7 +246,7 @@ WHEN 3 THEN CASE WHEN regexp_full_match(b, '[0-9a-fA-F]*') AND length(b) % 2 = 0
 QUERIES = {
     f.__name__: f
     for f in (
-        byte_saliency, byte_saliency_max, class_mean_saliency, saliency_grid, grid_vmax_p99, pixel_saliency, token_score_join, softmax_argmax, accuracy, linear_scores, timing_summary,
+        byte_saliency, byte_saliency_max, class_mean_saliency, saliency_grid, grid_vmax_p99, pixel_saliency, token_score_join, softmax_argmax, accuracy, linear_scores, timed_scoring, class_colour_caps, timing_summary,
         distinct_labels, zip_header_payload, clean_ip_port, error_classes, synthetic_clock, payload_coercion, merged_lists, class_intersection, class_difference, tagged_union,
         packets_per_capture, top_sources,
     )

@@ -20,7 +20,7 @@ K1, B = 1.2, 0.75
 #: Bytes of text in a shard, and words of documents that a task counts before it hands them on.
 SHARD_BYTES, COUNTED_TERMS = 4 << 20, 4_000_000
 #: Terms in a file of document frequencies; a task sorts so many.
-TERMS_A_FILE = 1 << 22
+TERMS_A_FILE = 1 << 18
 
 #: Ranges of related documents at most, and documents sampled for each to find its bounds: what the driver gathers.
 MOST_RANGES, SAMPLED = 20_000, 64

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import modest_batches, small_parts, table
+from .lexing import Lexer
 
 #: Base patterns, fixed by the contract. Letters of the names may have either case (ASCII only).
 _NAME = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
@@ -26,17 +27,18 @@ SENSITIVE = {
     "signing": 0.4, "client": 0.1, "jwt": 0.7, "conn": 0.2, "dsn": 0.5,
 }
 
-#: One assignment: a dotted or dashed name, an operator, then terms joined by + (quoted literals, names, bare words).
-_QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
-_TERM = rf"{_QUOTED}|[A-Za-z0-9_/.=-]+"
-_LEX = re.compile(rf"(?<![\w$.-])([A-Za-z_$][\w$.-]*)[\"']?[ \t]*(\+=|:=|=>|=(?!=)|:(?!:))[ \t]*(\+*(?:{_TERM})(?:[ \t]*\++[ \t]*(?:{_TERM}))*\+*)", re.A)
-_RUN = re.compile(rf"{_QUOTED}|[A-Za-z0-9_+/.=-]+", re.A)
-#: A bare run that is one base64 literal, whose + are its own digits.
-_BASE64 = re.compile(r"(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])(?=.{16})[A-Za-z0-9+/]+={0,2}\Z")
-_IDENT = re.compile(r"[A-Za-z_$][\w$.-]*\Z", re.A)
-#: Names as code writes them: an unbound one is a reference to something else, no literal.
-_NAME_ONLY = re.compile(r"[A-Za-z_$][A-Za-z_$]*(?:\.[A-Za-z_$][A-Za-z_$]*)*\Z")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+#: A sensitive target (0.5 at least) has a part of 0.4 or more: a text without one, or without an operator or an element, has none.
+_STRONG = sorted((k for k, v in SENSITIVE.items() if v >= 0.4), key=len)
+HINTS = [k for i, k in enumerate(_STRONG) if not any(x in k for x in _STRONG[:i])]
+
+
+def may_assign(text: str) -> bool:
+    """Whether a text could have a sensitive target: those without are not lexed, which loses nothing."""
+    if not ("=" in text or ":" in text or "</" in text):
+        return False
+    low = text.lower()
+    return any(h in low for h in HINTS)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -67,76 +69,25 @@ def counted_score(counts: Counter) -> float:
     return min(1.0, 0.15 * classes + 0.15 * entropy)
 
 
-def _terms(body: str, bound: dict) -> list[tuple[str, int, int]]:
-    """(term, start, end) of the joined terms: + joins, but within a base64 literal it is a digit. A run of bare
-    words is such a literal if it looks like one and holds no bound name of three characters (or only bound names)."""
-    out = []
-    for t in _RUN.finditer(body):
-        run, at = t[0], t.start()
-        if run[0] in "\"'":
-            out.append((run, at, t.end()))
-            continue
-        if at:
-            run = run.lstrip("+")
-            at = t.end() - len(run)
-        if t.end() < len(body):
-            run = run.rstrip("+")
-        parts = run.split("+")
-        names = [x in bound for x in parts]
-        if _BASE64.match(run) and not all(names) and not any(k and len(x) > 2 for k, x in zip(names, parts, strict=True)):
-            out.append((run, at, at + len(run)))
-            continue
-        for x in parts:
-            if x:
-                out.append((x, at, at + len(x)))
-            at += len(x) + 1
-    return out
-
-
 def flow_spans(text: str, threshold: float = 0.75) -> list[tuple[int, int]]:
-    """Spans of literals that reach a sensitive target, directly or through names assigned before.
-
-    Assignments are read in order: ``name op terms``. A quoted term is a literal; a name term stands for the literals
-    last bound to it (constants are propagated, also through + joins), ``+=`` adds to what its target is bound to. Other
-    bare terms are literals (of env, ini and yaml files) only if they stand alone, aren't called or indexed and aren't
-    mere names. A literal is reported when the product of its target's name score and its own score reaches ``threshold`` squared,
-    with a name score of 0.5 at least. A binding refers to those that it is made of and counts its characters, so
-    all spans and whole values are carried, and names doubled again and again cost no more than others.
+    """Spans of literals that reach a sensitive target, directly or through names assigned before (see ``lexing``).
+
+    Targets are names with or without a type, quoted keys, subscripts with a quoted key and XML elements; values are strings
+    (of any quotes, over any lines), bare words of env, ini and YAML files, and YAML blocks, and what + . .. or mere
+    neighbourhood joins, also on the next line. A name, $NAME, ${NAME} or a name in a formatted string stands for
+    the literals last bound to it in its function or outside of it; a parameter stands for nothing. A literal is reported when the
+    product of its target's name score and its own score reaches ``threshold`` squared, with a name score of 0.5 at least.
     """
-    bound: dict[str, tuple[Counter, tuple]] = {}
     out: set[tuple[int, int]] = set()
+    if not may_assign(text):
+        return []
     told: set[int] = set()
-    every = []  # keeps bindings alive, for told
-    for m in _LEX.finditer(text):
-        parts, counts = [], Counter()
-        terms = _terms(m[3], bound)
-        if m[2] == "+=" and m[1] in bound:
-            terms.insert(0, (m[1], 0, 0))
-        for term, a, b in terms:
-            if term[0] in "\"'":
-                counts.update(term[1:-1])
-                parts.append((m.start(3) + a + 1, m.start(3) + b - 1))
-            elif _IDENT.match(term) and term in bound:
-                for c, n in bound[term][0].items():
-                    counts[c] += n
-                parts.append(bound[term][1])
-            elif len(terms) == 1 and text[m.end() : m.end() + 1] not in ("(", "[") and not _NAME_ONLY.match(term):
-                counts.update(term)
-                parts.append((m.start(3) + a, m.start(3) + b))
-        made = ("made of", parts)
-        every.append(made)
-        bound[m[1]] = counts, made
-        score = name_score(m[1])
-        if score >= 0.5 and score * counted_score(counts) >= threshold * threshold:
-            todo = [made]
-            while todo:
-                x = todo.pop()
-                if x[0] != "made of":
-                    if x[1] > x[0]:
-                        out.add(x)
-                elif id(x) not in told:
-                    told.add(id(x))
-                    todo.extend(x[1])
+    every = []  # keeps literals alive, for told
+    for name, value in Lexer(text).assignments():
+        every.append(value)
+        score = name_score(name)
+        if score >= 0.5 and score * counted_score(value.counts) >= threshold * threshold:
+            out.update(value.spans(told))
     return sorted(out)
 
 
@@ -144,7 +95,7 @@ def scan(text: str | None) -> tuple[int, int, int, str, str]:
     text = text or ""
     base = base_spans(text)
     joined = [f"{KINDS[k]}:{a}:{b}" for a, k, b in base]
-    extra = [(a, 3, b) for a, b in flow_spans(text)] if "=" in text or ":" in text else []
+    extra = [(a, 3, b) for a, b in flow_spans(text)]
     every = joined if not extra else [f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted([*base, *extra])]
     n = Counter(k for _, k, _ in base)
     return n[0], n[1], n[2], hashlib.sha256(",".join(joined).encode()).hexdigest(), ",".join(every)

@@ -99,12 +99,28 @@ def pixel_index(matrices: DataFrame) -> DataFrame:
     region = F.when(inner < HEADER, "header").otherwise("payload")
     return x.select(
         "flow", g.cast("long").alias("global_offset"), F.floor(g / SIDE).cast("long").alias("row"), (g % SIDE).cast("long").alias("col"),
-        F.floor(g / (HEADER + PAYLOAD)).cast("long").alias("packet_index"), F.floor(inner / SIDE).cast("long").alias("row_in_packet"), region.alias("region"),
+        F.floor(g / (HEADER + PAYLOAD)).cast("long").alias("packet_index"), F.floor(inner / SIDE).cast("long").alias("row_in_packet"),
+        (g % SIDE).cast("long").alias("col_in_row"), region.alias("region"), F.when(inner < HEADER, f"Header 0\u2013{HEADER}").otherwise(f"Payload 0\u2013{PAYLOAD}").alias("region_label"),
         F.when(inner < HEADER, inner).otherwise(inner - HEADER).cast("long").alias("region_offset"),
         F.conv(F.hex(F.substring("matrix", g + 1, F.lit(1))), 16, 10).cast("long").alias("value"),
     )
 
 
+def record_envelope(images: DataFrame, labels: DataFrame) -> DataFrame:
+    """Records of images (rel_pcap, rel_png): file, rel_pcap, rel_png, label, class_name, total_pixels, meta. The class is the first part
+    of the path, the label that of ``labels`` (class, label) or -1, the file that of the capture or else of the image."""
+    path = F.coalesce(F.nullif("rel_pcap", F.lit("")), "rel_png")
+    x = images.withColumn("file", F.substring_index(path, "/", -1)).withColumn("class_name", F.substring_index(path, "/", 1))
+    x = with_labels(x, labels.select(F.col("class").alias("class_name"), "label"), "class_name", inner=False)
+    region = lambda name, size: F.struct(F.lit(f"{name} 0\u2013{size}").alias("label"), F.array(F.lit(0), F.lit(size)).alias("bytes"))
+    meta = F.struct(
+        F.lit(PACKETS).alias("packets"), F.lit(HEADER).alias("header_bytes"), F.lit(PAYLOAD).alias("payload_bytes"), F.lit(SIDE).alias("matrix_rows"), F.lit(SIDE).alias("matrix_cols"),
+        F.struct(region("Header", HEADER).alias("header"), region("Payload", PAYLOAD).alias("payload")).alias("region_def"),
+    )
+    rest = [c for c in images.columns if c not in ("rel_pcap", "rel_png")]
+    return x.select("file", "rel_pcap", "rel_png", "label", "class_name", F.lit(SIDE * SIDE).alias("total_pixels"), meta.alias("meta"), *rest)
+
+
 def normalized(value: Column) -> Column:
     """A pixel as the image models take it: (x / 255 - 0.5) / 0.5."""
     return (value / 255.0 - 0.5) / 0.5

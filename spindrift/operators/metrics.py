@@ -51,19 +51,27 @@ def frequencies(long: DataFrame) -> DataFrame:
     return long.groupBy("feature", "value").agg(r.alias("real"), g.alias("gen"))
 
 
-def divergence(counts: DataFrame) -> DataFrame:
-    """(feature, jsd, tvd) of (feature, ..., real, gen) counts: Jensen-Shannon (nats) and total variation."""
-    total = counts.groupBy("feature").agg(F.sum("real").alias("r"), F.sum("gen").alias("g"))
-    x = counts.join(F.broadcast(total), "feature").withColumn("p", F.col("real") / F.col("r")).withColumn("q", F.col("gen") / F.col("g"))
+def divergence(counts: DataFrame, cells: int | None = None) -> DataFrame:
+    """(feature, jsd, tvd) of (feature, ..., real, gen) counts: Jensen-Shannon (nats) and total variation.
+
+    A side without any count is uniform over all ``cells`` of the feature (as many as have rows, where not given); cells
+    without a row count for that.
+    """
+    total = counts.groupBy("feature").agg(F.sum("real").alias("r"), F.sum("gen").alias("g"), F.count("*").alias("rows"))
+    total = total.withColumn("cells", F.greatest("rows", F.lit(cells)) if cells else F.col("rows"))
+    share = lambda n, t: F.when(F.col(t) == 0, 1.0 / F.col("cells")).otherwise(F.try_divide(n, F.col(t).cast("double")))
+    x = counts.join(F.broadcast(total), "feature").withColumn("p", share(F.col("real"), "r")).withColumn("q", share(F.col("gen"), "g"))
     m = (F.col("p") + F.col("q")) / 2
     kl = lambda a: F.sum(F.when(F.col(a) > 0, F.col(a) * F.log(F.col(a) / m)).otherwise(0.0))
-    return x.groupBy("feature").agg((0.5 * kl("p") + 0.5 * kl("q")).alias("jsd"), (0.5 * F.sum(F.abs(F.col("p") - F.col("q")))).alias("tvd"))
+    # what lies in cells without rows: all of it on the uniform side, if just one side is
+    away = F.max(F.when((F.col("r") == 0) != (F.col("g") == 0), (F.col("cells") - F.col("rows")) / F.col("cells")).otherwise(0.0))
+    return x.groupBy("feature").agg((0.5 * kl("p") + 0.5 * kl("q") + 0.5 * away * F.log(F.lit(2.0))).alias("jsd"), (0.5 * F.sum(F.abs(F.col("p") - F.col("q"))) + 0.5 * away).alias("tvd"))
 
 
 def numeric_fidelity(df: DataFrame, side: str, features: list[str]) -> DataFrame:
     long = long_form(df, side, features, "double")
     ok = eligible(long, LEAST_SIMILARITY, LEAST_SIMILARITY)
-    return divergence(histogram(long.join(F.broadcast(ok.select("feature")), "feature", "left_semi")))
+    return divergence(histogram(long.join(F.broadcast(ok.select("feature")), "feature", "left_semi")), BINS)
 
 
 def categorical_fidelity(df: DataFrame, side: str, features: list[str]) -> DataFrame:

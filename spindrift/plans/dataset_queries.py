@@ -71,6 +71,16 @@ def png_roundtrip(spark, sf):
     return back.select("flow", F.md5("matrix").alias("matrix_md5"), F.col("error").isNull().alias("good"))
 
 
+def png_files(spark, sf):
+    """Matrices of pages written as PNG files in folders by number, and read back from there."""
+    path = work_path(spark, "pngs")
+    p = load(spark, sf, "pages").select(F.floor(F.col("page_id") / 10).cast("long").alias("flow"), F.col("page_id").alias("idx"), F.encode("url", "UTF-8").alias("header"), F.encode("html", "UTF-8").alias("payload"))
+    images = files.to_png(byte_matrix(p))
+    files.write_pngs(images.select(F.concat_ws("/", (F.col("flow") % 7).cast("string"), F.concat(F.col("flow").cast("string"), F.lit(".png"))).alias("name"), "png"), path)
+    back = files.from_png(files.read_pngs(spark, path))
+    return back.select(F.col("flow").alias("name"), F.md5("matrix").alias("matrix_md5"), F.col("error").isNull().alias("good"))
+
+
 def pixel_integrity(spark, sf):
     """Matrices that are whole, of some that are cut short or too long."""
     d = load(spark, sf, "documents").select(F.col("doc_id").alias("flow"), F.encode("text", "UTF-8").alias("t"))
@@ -337,6 +347,8 @@ SQL = {
 SELECT flow, md5(unhex(rpad(string_agg(rpad(substring(head, 1, 160), 160, '0') || rpad(substring(load, 1, 480), 480, '0'), '' ORDER BY r), 3200, '0'))) AS matrix_md5 FROM r WHERE r <= 5 GROUP BY flow""",
     "ip_frames": f"SELECT class, count(*) AS frames FROM ({PACKETS_SQL}) WHERE idx % 11 <> 0 GROUP BY class",
     "png_roundtrip": """SELECT flow, md5(unhex(rpad(string_agg(rpad(substring(lower(hex(encode(url))), 1, 160), 160, '0') || rpad(substring(lower(hex(encode(html))), 1, 480), 480, '0'), '' ORDER BY page_id), 3200, '0'))) AS matrix_md5, true AS good
+FROM (SELECT *, page_id // 10 AS flow, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id) AS r FROM pages) WHERE r <= 5 GROUP BY flow""",
+    "png_files": """SELECT (flow % 7) || '/' || flow || '.png' AS name, md5(unhex(rpad(string_agg(rpad(substring(lower(hex(encode(url))), 1, 160), 160, '0') || rpad(substring(lower(hex(encode(html))), 1, 480), 480, '0'), '' ORDER BY page_id), 3200, '0'))) AS matrix_md5, true AS good
 FROM (SELECT *, page_id // 10 AS flow, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id) AS r FROM pages) WHERE r <= 5 GROUP BY flow""",
     "pixel_integrity": "SELECT doc_id AS flow FROM documents WHERE CASE WHEN doc_id % 3 = 0 THEN strlen(text) >= 1600 ELSE doc_id % 2 = 0 END",
     "flow_materialize": f"""WITH {_F}, {_split('s', 'f')} SELECT flow_id, split, class, CASE WHEN row_number() OVER (PARTITION BY split, class, flow_id % 50 ORDER BY path) > 1 THEN 'f' || flow_id % 50 || '_h' || substr(sha1(path), 1, 8) || '.pcap' ELSE 'f' || flow_id % 50 || '.pcap' END AS out_name FROM s""",
@@ -378,7 +390,7 @@ SELECT * FROM n UNION ALL SELECT 'OTHER', 0 UNION ALL SELECT 'ATTEMPTED', count(
 QUERIES = {
     f.__name__: f
     for f in (
-        packet_checksums, zeroize_fields, randomize_fields, frame_matrix, ip_frames, png_roundtrip, pixel_integrity, flow_materialize, packet_materialize, subset_write_roundtrip,
+        packet_checksums, zeroize_fields, randomize_fields, frame_matrix, ip_frames, png_roundtrip, png_files, pixel_integrity, flow_materialize, packet_materialize, subset_write_roundtrip,
         capture_merge_cap, capture_ranges, session_containers, captures_if_any, raw_packet_counts, class_listing, tsv_roundtrip, jsonl_roundtrip, json_lists, zip_report, dataset_manifest, index_join_by_row, index_join_by_name, png_index_join,
         png_source_lookup, random_packets, random_ids, dataset_roots, column_intersection, diversity_means, outcome_report, percent_strings,
     )

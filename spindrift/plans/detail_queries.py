@@ -15,9 +15,11 @@ from .traffic_queries import _ip, _sql_retransmit
 
 
 def directional_tuples(spark, sf):
-    """Packets of each five-tuple as sent: source, destination, ports and protocol."""
-    h = headers(spark, sf).where("proto IN (6, 17)")
-    return h.groupBy(ipv4_text(F.col("src_ip")).alias("src"), ipv4_text(F.col("dst_ip")).alias("dst"), "sport", "dport", F.when(F.col("proto") == 6, "TCP").otherwise("UDP").alias("l4")).agg(F.count("*").alias("packets"))
+    """Packets of each five-tuple as sent: source, destination, ports and protocol; packets without ports are IP, with null ports."""
+    h = headers(spark, sf).where("src_ip IS NOT NULL AND dst_ip IS NOT NULL")
+    l4 = F.when(F.col("proto") == 6, "TCP").when(F.col("proto") == 17, "UDP").otherwise("IP")
+    port = lambda c: F.when(F.col("proto").isin(6, 17), F.col(c)).alias(c)
+    return h.groupBy(ipv4_text(F.col("src_ip")).alias("src"), ipv4_text(F.col("dst_ip")).alias("dst"), port("sport"), port("dport"), l4.alias("l4")).agg(F.count("*").alias("packets"))
 
 
 def path_parts(spark, sf):
@@ -89,7 +91,7 @@ def task_listing(spark, sf):
 
 
 SQL = {
-    "directional_tuples": f"SELECT {_ip('src_ip')} AS src, {_ip('dst_ip')} AS dst, sport, dport, CASE proto WHEN 6 THEN 'TCP' ELSE 'UDP' END AS l4, count(*) AS packets FROM ({HEADERS_SQL}) WHERE proto IN (6, 17) GROUP BY ALL",
+    "directional_tuples": f"SELECT {_ip('src_ip')} AS src, {_ip('dst_ip')} AS dst, CASE WHEN proto IN (6, 17) THEN sport END AS sport, CASE WHEN proto IN (6, 17) THEN dport END AS dport, CASE proto WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' ELSE 'IP' END AS l4, count(*) AS packets FROM ({HEADERS_SQL}) WHERE src_ip IS NOT NULL AND dst_ip IS NOT NULL GROUP BY ALL",
     "path_parts": f"""SELECT flow_id, class || '/' || source_tag AS parent, flow_id || '.v1.pcap' AS name, flow_id || '.v1' AS stem, '.pcap' AS suffix, sha1(path || '.v1.pcap') AS sha1, sha256(path || '.v1.pcap') AS sha256, md5(path || '.v1.pcap') AS md5 FROM ({FLOWS_SQL})""",
     "literal_values": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 < 2 THEN 'x' || s_suppkey END AS a FROM supplier",
     "run_ids": """WITH n AS (SELECT doc_id, list_distinct_in_order AS codes FROM (SELECT doc_id, list_transform(range(0, doc_id % 4 + 1), lambda i: 1 + (doc_id + 3 * i) % 6) AS c,

@@ -80,6 +80,15 @@ def labelled_documents(spark, sf):
     return E.with_labels(docs, E.label_map(docs.where("class <> 'es'")), inner=False)
 
 
+def image_records(spark, sf):
+    """The record of each document's image: names, class, label (one class has none) and what its regions are."""
+    d = load(spark, sf, "documents").select("doc_id", F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".pcap"))).alias("rel_pcap"), F.concat_ws("/", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".png"))).alias("rel_png"))
+    d = d.withColumn("rel_pcap", F.when(F.col("doc_id") % 4 > 0, F.col("rel_pcap")))
+    classes = E.label_map(load(spark, sf, "documents").select(F.col("lang").alias("class")).where("class <> 'fr'"))
+    x = E.record_envelope(d, classes)
+    return x.select("doc_id", "file", "rel_pcap", "rel_png", "label", "class_name", "total_pixels", F.to_json("meta").alias("meta"))
+
+
 def token_offsets(spark, sf):
     """Tokens of the flow ahead of each packet."""
     from ..operators.saliency import token_offsets as offsets
@@ -116,7 +125,7 @@ _PAGES = "SELECT page_id // 10 AS flow, page_id AS idx, lower(hex(encode(url)))
 _MATRIX = f"""m AS MATERIALIZED (SELECT flow, rpad(string_agg(rpad(substring(header, 1, 160), 160, '0') || rpad(substring(payload, 1, 480), 480, '0'), '' ORDER BY idx), 3200, '0') AS h
 FROM (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY idx) AS r FROM ({_PAGES})) WHERE r <= 5 GROUP BY flow)"""
 _PIX = f"""WITH {_MATRIX}, g AS (SELECT flow, h, g, g % 320 AS i FROM m, range(1600) u(g)),
-p AS (SELECT flow, g AS global_offset, g // 40 AS row, g % 40 AS col, g // 320 AS packet_index, i // 40 AS row_in_packet, CASE WHEN i < 80 THEN 'header' ELSE 'payload' END AS region, CASE WHEN i < 80 THEN i ELSE i - 80 END AS region_offset,
+p AS (SELECT flow, g AS global_offset, g // 40 AS row, g % 40 AS col, g // 320 AS packet_index, i // 40 AS row_in_packet, g % 40 AS col_in_row, CASE WHEN i < 80 THEN 'header' ELSE 'payload' END AS region, CASE WHEN i < 80 THEN 'Header 0–' || 80 ELSE 'Payload 0–' || 240 END AS region_label, CASE WHEN i < 80 THEN i ELSE i - 80 END AS region_offset,
  ('0x' || substring(h, g * 2 + 1, 2))::BIGINT AS value FROM g)"""
 SQL = {
     "hex_tokens": f"SELECT packet_id, len(t)::BIGINT AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT packet_id, {_win('h')} AS t FROM (SELECT packet_id, {_HEX} AS h FROM ({_DOCS})))",
@@ -133,8 +142,11 @@ FROM (SELECT packet_id, {_HEX} AS h FROM ({_DOCS})), unnest(range(0, length(h) /
     "padded_ids": f"""SELECT packet_id, array_to_string(list_slice(list_concat([2], list_transform(t, lambda x: CASE x WHEN '6174' THEN 10 WHEN '6865' THEN 11 WHEN '6520' THEN 12 WHEN '2074' THEN 13 ELSE 1 END), list_transform(range(16), lambda i: 0)), 1, 16), ' ') AS ids
 FROM (SELECT packet_id, {_win('h')} AS t FROM (SELECT packet_id, substring({_HEX}, 1, 24) AS h FROM ({_DOCS})))""",
     "labelled_documents": "SELECT doc_id AS packet_id, lang AS class, CASE WHEN lang = 'es' THEN -1 ELSE dense_rank() OVER (ORDER BY CASE WHEN lang = 'es' THEN NULL ELSE lang END NULLS LAST) - 1 END AS label FROM documents",
+    "image_records": """WITH c AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS label FROM (SELECT DISTINCT lang FROM documents WHERE lang <> 'fr'))
+SELECT doc_id, doc_id || CASE WHEN doc_id % 4 > 0 THEN '.pcap' ELSE '.png' END AS file, CASE WHEN doc_id % 4 > 0 THEN lang || '/' || source || '/' || doc_id || '.pcap' END AS rel_pcap, lang || '/' || doc_id || '.png' AS rel_png, coalesce(label, -1) AS label, lang AS class_name, 1600 AS total_pixels,
+'{"packets":5,"header_bytes":80,"payload_bytes":240,"matrix_rows":40,"matrix_cols":40,"region_def":{"header":{"label":"Header 0–' || 80 || '","bytes":[0,80]},"payload":{"label":"Payload 0–' || 240 || '","bytes":[0,240]}}}' AS meta FROM documents LEFT JOIN c USING (lang)""",
     "token_offsets": f"SELECT flow, idx, len % 37 AS token_count, (1 + coalesce(sum(len % 37) OVER (PARTITION BY flow ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS offset FROM ({PACKETS_SQL})",
     "capture_roundtrip": f"""SELECT ts_us, '10.' || (flow >> 16) % 256 || '.' || (flow >> 8) % 256 || '.' || flow % 256 AS src, '192.168.' || (idx % 65536) // 256 || '.' || idx % 256 AS dst, CASE WHEN idx % 2 = 0 THEN 6 ELSE 17 END AS proto,
 1024 + flow % 5000 AS sport, 443 AS dport, length(class) + CASE WHEN idx % 2 = 0 THEN 40 ELSE 28 END AS l3_len, class AS payload FROM ({PACKETS_SQL})""",
 }
-QUERIES = {f.__name__: f for f in (hex_tokens, token_byte_index, flow_token_concat, byte_matrix, pixel_index, pixel_normalized, zeroize_bytes, byte_slices, padded_ids, labelled_documents, token_offsets, capture_roundtrip)}
+QUERIES = {f.__name__: f for f in (hex_tokens, token_byte_index, flow_token_concat, byte_matrix, pixel_index, pixel_normalized, zeroize_bytes, byte_slices, padded_ids, labelled_documents, image_records, token_offsets, capture_roundtrip)}

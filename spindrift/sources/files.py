@@ -133,3 +133,30 @@ def from_png(images: DataFrame, width: int = 40, height: int = 40) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.string())], names=["flow", "matrix", "error"])
 
     return images.select("flow", "png").mapInArrow(run, f"flow {kind}, matrix binary, error string")
+
+
+def write_pngs(images: DataFrame, path: str) -> None:
+    """Images (name, png) as files under ``path``; names may hold folders. A file is written beside its place and then moved
+    there, so a repeated task writes the same file again; path/_index names what the committed tasks wrote."""
+    import pyarrow as pa
+
+    from .pcap import store
+
+    def run(batches):
+        files, root = store(path)
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                target = f"{root}/{name}"
+                files.create_dir(target.rpartition("/")[0], recursive=True)
+                with files.open_output_stream(f"{target}.part") as f:
+                    f.write(content)
+                files.move(f"{target}.part", target)
+            yield pa.RecordBatch.from_arrays([b.column(0)], names=["name"])
+
+    images.where("name IS NOT NULL AND png IS NOT NULL").select("name", "png").mapInArrow(run, "name string").write.parquet(f"{path}/_index")
+
+
+def read_pngs(spark: SparkSession, path: str) -> DataFrame:
+    """(flow, png) of the files under ``path``, flow being the name below it."""
+    x = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", "true").load(path)
+    return x.select(F.element_at(F.split("path", F.lit("/" + path.rstrip("/").rpartition("/")[2] + "/"), 2), 2).alias("flow"), F.col("content").alias("png"))

@@ -50,3 +50,26 @@ def test_bounds(spark, counts):
     df = spark.createDataFrame([("f", i, a, b) for i, (a, b) in enumerate(counts)], "feature string, bin int, real long, gen long")
     r = M.divergence(df).first()
     assert -1e-12 <= r["jsd"] <= math.log(2) + 1e-12 and -1e-12 <= r["tvd"] <= 1 + 1e-12
+
+
+def test_a_side_without_counts_is_uniform(spark):
+    """As if its counts were one in each cell, cells without a row among them."""
+    import numpy as np
+    from spindrift.operators import metrics as M
+
+    rows = [("a", b, n, 0) for b, n in ((1, 4), (2, 6), (7, 10))] + [("b", 1, 0, 3), ("b", 2, 0, 1), ("c", 1, 5, 1), ("c", 3, 0, 4)]
+    df = spark.createDataFrame(rows, "feature string, bin long, real long, gen long")
+
+    def want(p, q):
+        m = (p + q) / 2
+        kl = lambda x: float(np.sum(np.where(x > 0, x * np.log(np.where(x > 0, x, 1) / m), 0.0)))
+        return 0.5 * kl(p) + 0.5 * kl(q), 0.5 * float(np.abs(p - q).sum())
+
+    uniform = np.full(10, 0.1)
+    a = np.zeros(10)
+    a[[0, 1, 6]] = 0.2, 0.3, 0.5
+    b = np.zeros(10)
+    b[:2] = 0.75, 0.25
+    expected = {"a": want(a, uniform), "b": want(uniform, b), "c": want(np.array([1.0, 0.0]), np.array([0.2, 0.8]))}
+    got = {r["feature"]: (r["jsd"], r["tvd"]) for r in M.divergence(df, 10).collect()}
+    assert {k: tuple(round(x, 12) for x in v) for k, v in got.items()} == {k: tuple(round(x, 12) for x in v) for k, v in expected.items()}

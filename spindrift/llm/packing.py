@@ -116,16 +116,15 @@ class Tokens:
         self.hashes = np.zeros(0, np.uint64)
         self.word_ids, self.piece_ids = _Table(), _Table()
 
-    def _cut(self, word: str) -> list[str]:
-        low = word.lower()
-        if low.isalpha():
-            return [low]
+    def _cut(self, low: str) -> list[str]:
+        """The pieces of a lower-case word that isn't letters alone."""
         if low[-1] in ".,;:!?" and low[:-1].isalpha():
             return [low[:-1], low[-1]]
         return self.split(low)
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        parts = [self._cut(w) for w in words]
+        cut = self._cut
+        parts = [(w,) if w.isalpha() else cut(w) for w in words]
         flat = list(itertools.chain.from_iterable(parts))
         new = [p for p in dict.fromkeys(flat) if p not in self.pieces]
         if new:
@@ -157,7 +156,8 @@ class Tokens:
                 self.numbers = _Numbers(max(self.capacity, len(fresh)))
             body = data.tobytes()
             spans = zip(start[missing[first]].tolist(), end[missing[first]].tolist(), strict=True)
-            self._learn(fresh, [body[a:b].decode("utf-8", "replace") for a, b in spans])
+            # decoded and lower-cased all at once: no word holds a line break
+            self._learn(fresh, b"\n".join([body[a:b] for a, b in spans]).decode("utf-8", "replace").lower().split("\n"))
             word[missing] = self.numbers.find(h[missing])
         ids, bounds = self.word_ids.get(word)
         first = np.concatenate(([0], np.cumsum(counts)))

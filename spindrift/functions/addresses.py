@@ -1,4 +1,4 @@
-"""IPv4 and IPv6 addresses as 16-byte keys, prefixes of keys, and their text; all JVM-side.
+"""IPv4 and IPv6 addresses as 16-byte keys, prefixes of keys, and their text.
 
 An IPv4 address has the key of its mapped IPv6 address (::ffff:a.b.c.d), so one kind of key and of prefix serves both:
 a.b.c.d/n is a prefix of 96 + n bits.
@@ -6,10 +6,13 @@ a.b.c.d/n is a prefix of 96 + n bits.
 
 from __future__ import annotations
 
+import socket
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .binary import ipv4_number, ipv4_text, unsigned
+from .binary import ipv4_number, unsigned
 
 MAPPED = bytes(10) + b"\xff\xff"
 _GROUP = "[0-9a-fA-F]{1,4}"
@@ -25,24 +28,26 @@ def ipv4_key(ip: Column) -> Column:
     return F.when(ip.isNotNull(), F.concat(F.lit(MAPPED), F.unhex(F.lpad(F.hex(ip.cast("long")), 8, "0"))))
 
 
-def ipv6_text(data: Column) -> Column:
-    """16 bytes as RFC 5952 wants them: lower case, no leading zeros, the first of the longest runs of two or more zero
-    groups as ::. A mapped IPv4 address is written as such; null unless there are 16 bytes."""
+@F.arrow_udf(T.StringType())
+def _text6(keys):
+    import pyarrow as pa
 
-    def text(d):
-        groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lower(F.hex(unsigned(d, i * 2, 2))))
-        return F.when(F.startswith(d, F.lit(MAPPED)), F.concat(F.lit("::ffff:"), ipv4_text(unsigned(d, 12, 4)))).otherwise(bound(F.array_join(groups, ":"), shortened))
+    return pa.array([text6(k) for k in keys.to_pylist()], pa.string())
 
-    return bound(F.when(F.octet_length(data) == 16, data), lambda d: F.when(d.isNotNull(), text(d)))
 
+def text6(key: bytes | None) -> str | None:
+    if key is None or len(key) != 16:
+        return None
+    if key.startswith(MAPPED):
+        return f"::ffff:{socket.inet_ntoa(key[12:])}"
+    text = socket.inet_ntop(socket.AF_INET6, key)
+    return f"::{key[12:14].hex().lstrip('0') or '0'}:{key[14:].hex().lstrip('0') or '0'}" if "." in text else text
 
-def shortened(text: Column) -> Column:
-    """Eight groups joined by colons, with the first of the longest zero runs cut out."""
-    out = text
-    for n in range(2, 9):  # the longest run is tried first, so it comes last here
-        pattern = rf"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?::|$)(.*)$"
-        out = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, "$1::$2")).otherwise(out)
-    return out
+
+def ipv6_text(data: Column) -> Column:
+    """16 bytes as RFC 5952 wants them: lower case, no leading zeros, the first of the longest runs of two or more zero
+    groups as ::. A mapped IPv4 address is written as such; null unless there are 16 bytes."""
+    return _text6(data)
 
 
 def ipv6_bytes(text: Column) -> Column:

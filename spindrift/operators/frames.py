@@ -1,12 +1,14 @@
-"""Bytes of whole frames: checksums, sensitive fields, matrices. Expressions only; fields are located by their layers."""
+"""Bytes of whole frames: checksums, sensitive fields, matrices; fields are located by their layers, batch by batch."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.binary import slice_bytes, unsigned
+from ..functions import packed
+from ..functions.binary import slice_bytes
 from ..functions.ordering import hash_key
 from ..sources.pcap import ETHERNET, layers
 from .encode import HEADER, PACKETS, PAYLOAD, packet_bytes
@@ -18,105 +20,77 @@ def number(value: Column | int, size: int) -> Column:
     return F.unhex(F.lpad(F.hex(value.cast("long")), size * 2, "0"))
 
 
-def splice(data: Column, at: Column | int, piece: Column) -> Column:
-    """``data`` with ``piece`` over the bytes from ``at`` on; unchanged where ``at`` is null or the piece doesn't fit.
+@F.arrow_udf(T.BinaryType())
+def _checksummed(data, link):
+    def work(data, link):
+        p = packed.Packed(data)
+        packed.write_checksums(p, packed.numbers(link))
+        return p.array()
 
-    All three are bound once, so that splices of splices stay small expressions.
-    """
-    at = (F.lit(at) if isinstance(at, int) else at).cast("int")
-
-    def cut(x):
-        d, a, p = x["d"], x["a"], x["p"]
-        fits = a.isNotNull() & p.isNotNull() & (a + F.octet_length(p) <= F.octet_length(d))
-        return F.when(fits, F.concat(F.substring(d, F.lit(1), a), p, F.substring(d, a + F.octet_length(p) + 1, F.lit(2147483647)))).otherwise(d)
-
-    return F.transform(F.array(F.struct(data.alias("d"), at.alias("a"), piece.alias("p"))), cut)[0]
-
-
-def word_sum(data: Column) -> Column:
-    """Sum of the 16-bit words of binary ``data``; an odd last byte is followed by a zero."""
-    even = F.concat(data, F.lit(bytes(1)))
-    words = F.sequence(F.lit(0), F.floor((F.octet_length(data) - 1) / 2).cast("int"))
-    total = F.aggregate(words, F.lit(0).cast("long"), lambda a, i: a + unsigned(even, i * 2, 2))
-    return F.when(F.octet_length(data) > 0, total).otherwise(F.lit(0).cast("long"))
-
-
-def internet_checksum(total: Column) -> Column:
-    """The complement of the words' sum with carries added back."""
-    folded = total % 65536 + F.floor(total / 65536)
-    return (65535 - (folded % 65536 + F.floor(folded / 65536))).cast("long")
+    return packed.sliced(work, data, link)
 
 
 def with_checksums(packets: DataFrame) -> DataFrame:
     """``packets`` (link, data) with IPv4, TCP, UDP and (over IPv6) ICMPv6 checksums worked out anew; other packets stay as
     they are. Over IPv6, so do fragments and packets that a routing header still sends elsewhere: what their checksum
     covers isn't in the packet."""
-    x = layers(packets.withColumn("before", F.struct(*packets.columns)))
-    v4 = F.col("ip_version") == 4
-    v6 = (F.col("ip_version") == 6) & F.col("chain.whole") & ~F.col("chain.rerouted") & F.col("proto").isin(6, 17, 58)
-    zeros = F.lit(bytes(2))
-    l4 = F.col("l4_at") + F.when(F.col("proto") == 6, 16).when(F.col("proto") == 17, 6).when(v6, 2)
-    l3 = F.when(v4, F.col("l3_at") + 10)
-    x = x.withColumn("data", F.when(v4 | v6, splice(splice(F.col("data"), l3, zeros), l4, zeros)).otherwise(F.col("data")))
-    part = lambda at, size: F.substring(F.col("data"), (at + 1).cast("int"), size.cast("int"))
-    head = internet_checksum(word_sum(part(F.col("l3_at"), F.col("ip_ihl") * 4)))
-    size = F.col("l3_at") + F.col("l3_len") - F.col("l4_at")
-    ends = F.when(v4, part(F.col("l3_at") + 12, F.lit(8))).otherwise(part(F.col("l3_at") + 8, F.lit(32)))
-    body = word_sum(part(F.col("l4_at"), size)) + word_sum(ends) + F.col("proto") + size
-    whole = internet_checksum(body)
-    whole = F.when((F.col("proto") == 17) & (whole == 0), 65535).otherwise(whole)  # 0 would mean none
-    x = x.withColumn("ip_sum", F.when(v4, head)).withColumn("l4_sum", F.when(v4 | v6, whole))
-    data = F.when(v4 | v6, splice(splice(F.col("data"), l3, number(F.col("ip_sum"), 2)), l4, number(F.col("l4_sum"), 2))).otherwise(F.col("data"))
-    return x.select(*[data.alias(c) if c == "data" else F.col("before")[c].alias(c) for c in packets.columns])
+    return packets.withColumn("data", _checksummed(F.col("data"), F.col("link")))
+
+
+@F.arrow_udf(T.StructType([T.StructField("at", T.LongType()), T.StructField("size", T.LongType())]))
+def _server_name(data, payload_at):
+    import pyarrow as pa
+
+    def work(data, payload_at):
+        at, size = packed.server_names(packed.Packed(data), packed.numbers(payload_at))
+        return pa.StructArray.from_arrays([packed.column(at), packed.column(size)], ["at", "size"], mask=pa.array(at < 0))
+
+    return packed.sliced(work, data, payload_at)
 
 
 def server_name(data: Column, payload_at: Column) -> Column:
     """A struct (at, size) of the server name in a TLS client hello, null elsewhere; all extensions are looked through."""
+    return _server_name(data, payload_at)
+
+
+#: Sensitive fields and their bytes, in the order in which they are written.
+_SIZES = {"mac_dst": 6, "mac_src": 6, "ip_id": 2, "src": 4, "dst": 4, "src6": 16, "dst6": 16, "sport": 2, "dport": 2, "seq": 4, "ack": 4}
 
-    def look(x):
-        u = lambda at, size: unsigned(x["d"], at, size)
-        end = x["at"] + x["size"]
-        start = F.struct(x["at"].alias("at"), F.lit(None).cast("long").alias("found"))
 
-        def step(s, _):
-            here = (u(s["at"], 2) == 0) & s["found"].isNull() & (s["at"] + 9 <= end)
-            return F.struct((s["at"] + 4 + u(s["at"] + 2, 2)).cast("long").alias("at"), F.when(here, s["at"]).otherwise(s["found"]).cast("long").alias("found"))
+@F.arrow_udf(T.BinaryType())
+def _overwritten(data, link, fields, name):
+    import numpy as np
 
-        each = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(x["size"] / 4)).cast("int"))  # an extension has 4 bytes or more
-        found = F.aggregate(each, start, step, lambda s: s["found"])
-        return F.transform(F.array(found), lambda f: F.when(f.isNotNull(), F.struct((f + 9).alias("at"), u(f + 7, 2).alias("size"))))[0]
+    def work(data, link, fields, name):
+        p, link = packed.Packed(data), packed.numbers(link)
+        f, _ = packed.headers(p, link)
+        tcp = f["proto"] == 6
+        at, size = packed.server_names(p, np.where(tcp, f["payload_at"], -1))
+        p.write_repeated(at, size, packed.Packed(name), 30)
+        ether, l4 = np.where(link == ETHERNET, 0, -1), np.where(tcp | (f["proto"] == 17), f["l4_at"], -1)
+        v4, v6, tcp = np.where(f["ip_version"] == 4, f["l3_at"], -1), np.where(f["ip_version"] == 6, f["l3_at"], -1), np.where(tcp, f["l4_at"], -1)
+        starts = ((ether, 0), (ether, 6), (v4, 4), (v4, 12), (v4, 16), (v6, 8), (v6, 24), (l4, 0), (l4, 2), (tcp, 4), (tcp, 8))
+        total, done = sum(_SIZES.values()), 0
+        values = packed.Packed(fields).flat[: len(link) * total].reshape(-1, total)
+        for (layer, n), width in zip(starts, _SIZES.values(), strict=True):
+            p.write(packed.after(layer, n), values[:, done : done + width])
+            done += width
+        packed.write_checksums(p, link)
+        return p.array()
 
-    u = lambda at, size: unsigned(data, at, size)
-    hello = (u(payload_at, 1) == 0x16) & (u(payload_at + 5, 1) == 1)
-    after = payload_at + 44 + u(payload_at + 43, 1)
-    after = after + 2 + u(after, 2)
-    after = after + 3 + u(after, 1)
-    place = F.when(hello, F.struct(data.alias("d"), after.cast("long").alias("at"), u(after - 2, 2).alias("size")))
-    return F.transform(F.array(place), lambda x: F.when(x["size"].isNotNull(), look(x)))[0]
+    return packed.sliced(work, data, link, fields, name)
 
 
 def _over_fields(packets: DataFrame, fill, name: Column) -> DataFrame:
-    """Sensitive fields replaced by ``fill(field, size)``: MAC addresses, addresses, IPv4 id, ports, TCP seq and ack, and
-    a server name by ``name``, repeated or cut to its length so that no length changes; then checksums."""
-    x = layers(packets.withColumn("before", F.struct(*packets.columns)))
-    d = F.col("data")
-    ether = F.when(F.col("link") == ETHERNET, F.lit(0))
-    v4, v6 = F.when(F.col("ip_version") == 4, F.col("l3_at")), F.when(F.col("ip_version") == 6, F.col("l3_at"))
-    tcp, udp = F.when(F.col("proto") == 6, F.col("l4_at")), F.when(F.col("proto") == 17, F.col("l4_at"))
-    sni = server_name(F.col("data"), F.when(F.col("proto") == 6, F.col("payload_at")))
-    x = x.withColumn("sni", sni)
-    d = splice(d, F.col("sni.at"), F.substring(F.repeat(name, 30).cast("binary"), F.lit(1), F.col("sni.size").cast("int")))
-    for at, field, size in (
-        (ether, "mac_dst", 6), (ether + 6, "mac_src", 6), (v4 + 4, "ip_id", 2), (v4 + 12, "src", 4), (v4 + 16, "dst", 4), (v6 + 8, "src6", 16), (v6 + 24, "dst6", 16),
-        (F.coalesce(tcp, udp), "sport", 2), (F.coalesce(tcp, udp) + 2, "dport", 2), (tcp + 4, "seq", 4), (tcp + 8, "ack", 4),
-    ):
-        d = splice(d, at, fill(field, size))
-    return with_checksums(x.select(*[d.alias(c) if c == "data" else F.col("before")[c].alias(c) for c in packets.columns]))
+    """Sensitive fields replaced by ``fill(field, size)``, hex digits: MAC addresses, addresses, IPv4 id, ports, TCP seq and ack,
+    and a server name by ``name``, repeated or cut to its length so that no length changes; then checksums."""
+    fields = F.unhex(F.concat(*[fill(field, size) for field, size in _SIZES.items()]))
+    return packets.withColumn("data", _overwritten(F.col("data"), F.col("link"), fields, name.cast("binary")))
 
 
 def zeroize_fields(packets: DataFrame) -> DataFrame:
     """Packets (link, data) with sensitive fields zero and server names 'zeroed'."""
-    return _over_fields(packets, lambda _, size: F.lit(bytes(size)), F.lit("zeroed"))
+    return _over_fields(packets, lambda _, size: F.lit("00" * size), F.lit("zeroed"))
 
 
 def randomize_fields(packets: DataFrame, key: list[str], seed: int = 42) -> DataFrame:
@@ -124,8 +98,8 @@ def randomize_fields(packets: DataFrame, key: list[str], seed: int = 42) -> Data
     02:00, server names become www.<100 to 999>.com."""
 
     def fill(field: str, size: int) -> Column:
-        drawn = F.unhex(F.substring(hash_key(f"{field}{seed}", *key), 1, 2 * size))
-        return F.concat(F.lit(b"\x02\x00"), F.substring(drawn, 1, 4)) if field.startswith("mac") else drawn
+        drawn = hash_key(f"{field}{seed}", *key)
+        return F.concat(F.lit("0200"), F.substring(drawn, 1, 8)) if field.startswith("mac") else F.substring(drawn, 1, 2 * size)
 
     three = 100 + F.conv(F.substring(hash_key(f"name{seed}", *key), 1, 6), 16, 10).cast("long") % 900
     return _over_fields(packets, fill, F.concat(F.lit("www."), three.cast("string"), F.lit(".com")))

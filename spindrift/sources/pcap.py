@@ -14,13 +14,15 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..functions import packed
 from ..functions.addresses import ipv4_key, ipv6_text
-from ..functions.binary import flag_names, ipv4_text, unsigned
+from ..functions.binary import flag_names, ipv4_text
+from ..functions.packed import ETHERNET, RAW
 
 SCHEMA = "path string, idx long, ts_us long, link int, orig_len long, data binary"
-RAW, ETHERNET = 101, 1
 #: Packets that a reader hands on at a time.
 BATCH = 4096
 
@@ -246,65 +248,38 @@ def write_captures(packets: DataFrame, path: str, link: int = RAW, roll_bytes: i
     (out.option("rollBytes", roll_bytes) if roll_bytes else out).mode("append").save(path)
 
 
-#: IPv6 headers that stand between the fixed header and the packet's protocol (RFC 8200 and its registry).
-HOP_BY_HOP, ROUTING, FRAGMENT, AUTHENTICATION = 0, 43, 44, 51
-EXTENSIONS = (HOP_BY_HOP, ROUTING, FRAGMENT, AUTHENTICATION, 60, 135, 139, 140)
+_CHAIN = T.StructType([T.StructField(c, T.LongType() if c in ("proto", "at") else T.BooleanType()) for c in ("proto", "at", "whole", "rerouted", "there")])
 
 
-def extension_chain(data: Column, l3_at: Column) -> Column:
-    """A struct (proto, at, whole, rerouted) of an IPv6 packet: its protocol and where that header is, behind however many
-    extension headers; not ``whole`` if it is one of several fragments (only the first has a header there), ``rerouted``
-    if it has still to pass a router that its routing header names. A chain that the packet cuts short ends there."""
-
-    def walked(x):
-        d, first = x["d"], x["l3"] + 40
-        u = lambda at, size: unsigned(d, at, size)
-        start = F.struct(u(x["l3"] + 6, 1).alias("proto"), first.cast("long").alias("at"), F.lit(True).alias("whole"), F.lit(False).alias("rerouted"), F.lit(True).alias("there"))
-
-        def step(s, _):
-            kind, at = s["proto"], s["at"]
-            size = F.when(kind == FRAGMENT, 8).when(kind == AUTHENTICATION, (u(at + 1, 1) + 2) * 4).otherwise((u(at + 1, 1) + 1) * 8)
-            more = kind.isin(*EXTENSIONS) & size.isNotNull() & (at + size <= F.octet_length(d)) & s["there"]
-            offset = u(at + 2, 2)
-            return F.when(more, F.struct(
-                u(at, 1).alias("proto"), (at + size).cast("long").alias("at"), (s["whole"] & ~((kind == FRAGMENT) & (offset.bitwiseAND(0xFFF9) != 0))).alias("whole"),
-                (s["rerouted"] | ((kind == ROUTING) & (u(at + 3, 1) > 0))).alias("rerouted"), (~((kind == FRAGMENT) & (offset >= 8))).alias("there"),
-            )).otherwise(s)
+@F.arrow_udf(T.StructType([*(T.StructField(c, T.LongType()) for c in packed.FIELDS), T.StructField("chain", _CHAIN)]))
+def _headers(data, link):
+    import pyarrow as pa
 
-        steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor((F.octet_length(d) - first) / 8)).cast("int"))  # a header has 8 bytes or more
-        return F.when(start["proto"].isin(*EXTENSIONS), F.aggregate(steps, start, step)).otherwise(start)
+    def found(data, link):
+        fields, chain = packed.headers(packed.Packed(data), packed.numbers(link))
+        six = pa.array(fields["ip_version"] != 6)
+        parts = [packed.column(v) if v.dtype != bool else pa.array(v) for v in chain.values()]
+        links = pa.StructArray.from_arrays(parts, list(chain), mask=six)
+        return pa.StructArray.from_arrays([*(packed.column(v) for v in fields.values()), links], [*fields, "chain"])
 
-    return F.transform(F.array(F.struct(data.alias("d"), l3_at.alias("l3"))), walked)[0]
+    return packed.sliced(found, data, link)
 
 
 def layers(packets: DataFrame) -> DataFrame:
-    """Header fields of packets (link, data) as expressions: null where a layer isn't there. VLAN tags are skipped, and so
-    are IPv6 extension headers; src and dst are text of either kind, src_key and dst_key keys of 16 bytes."""
+    """Header fields of packets (link, data), read batch by batch: null where a layer isn't there. VLAN tags are skipped, and so
+    are IPv6 extension headers, whose ``chain`` says more, see ``packed``; src and dst are text of either kind, src_key and
+    dst_key keys of 16 bytes."""
     d = F.col("data")
-    tag = F.when((F.col("link") == ETHERNET) & (unsigned(d, 12, 2) == 0x8100), 4).otherwise(0)
-    start = F.when(F.col("link") == RAW, 0).when(F.col("link") == ETHERNET, 14 + tag)
-    x = packets.withColumn("l3_at", start)
-    first = unsigned(d, F.col("l3_at"), 1)
-    x = x.withColumn("ip_version", F.when(first.isNotNull(), F.shiftright(first, 4)))
-    v4, v6 = F.col("ip_version") == 4, F.col("ip_version") == 6
-    x = x.withColumn("ip_ihl", F.when(v4, first.bitwiseAND(15)))
-    x = x.withColumn("chain", F.when(v6, extension_chain(d, F.col("l3_at"))))
-    x = x.withColumn("proto", F.when(v4, unsigned(d, F.col("l3_at") + 9, 1)).when(v6, F.col("chain.proto")))
-    x = x.withColumn("l3_len", F.when(v4, unsigned(d, F.col("l3_at") + 2, 2)).when(v6, unsigned(d, F.col("l3_at") + 4, 2) + 40).otherwise(F.lit(0)))
-    x = x.withColumn("ip_ttl", F.when(v4, unsigned(d, F.col("l3_at") + 8, 1)).when(v6, unsigned(d, F.col("l3_at") + 7, 1)))
-    x = x.withColumn("src_ip", F.when(v4, unsigned(d, F.col("l3_at") + 12, 4))).withColumn("dst_ip", F.when(v4, unsigned(d, F.col("l3_at") + 16, 4)))
-    six = lambda at: F.when(v6, F.substring(d, (F.col("l3_at") + at + 1).cast("int"), F.lit(16)))
+    x = packets.withColumn("__h", _headers(d, F.col("link")))
+    h = lambda c: F.col(f"__h.{c}").alias(c)
+    first = ("l3_at", "ip_version", "ip_ihl", "chain", "proto", "l3_len", "ip_ttl", "src_ip", "dst_ip")
+    x = x.withColumns({c: h(c).cast("int") if c == "l3_at" else h(c) for c in first})
+    six = lambda at: F.when(F.col("ip_version") == 6, F.substring(d, (F.col("l3_at") + at + 1).cast("int"), F.lit(16)))
     x = x.withColumn("src_key", F.coalesce(ipv4_key(F.col("src_ip")), six(8))).withColumn("dst_key", F.coalesce(ipv4_key(F.col("dst_ip")), six(24)))
-    x = x.withColumn("l4_at", F.when(v4, F.col("l3_at") + F.col("ip_ihl") * 4).when(v6 & F.col("chain.there"), F.col("chain.at")))
-    tcp, udp = F.col("proto") == 6, F.col("proto") == 17
-    at = F.col("l4_at")
-    x = x.withColumn("sport", F.when(tcp | udp, unsigned(d, at, 2))).withColumn("dport", F.when(tcp | udp, unsigned(d, at + 2, 2)))
-    x = x.withColumn("tcp_seq", F.when(tcp, unsigned(d, at + 4, 4))).withColumn("tcp_ack", F.when(tcp, unsigned(d, at + 8, 4)))
-    x = x.withColumn("flags", F.when(tcp, unsigned(d, at + 13, 1))).withColumn("tcp_window", F.when(tcp, unsigned(d, at + 14, 2)))
-    x = x.withColumn("udp_len", F.when(udp, unsigned(d, at + 4, 2)))
-    x = x.withColumn("payload_at", F.when(tcp, at + F.shiftright(unsigned(d, at + 12, 1), 4) * 4).when(udp, at + 8))
+    x = x.withColumns({c: h(c) for c in ("l4_at", "sport", "dport", "tcp_seq", "tcp_ack", "flags", "tcp_window", "udp_len", "payload_at")}).drop("__h")
     x = x.withColumn("payload", F.when(F.col("payload_at").isNotNull(), F.substring(d, (F.col("payload_at") + 1).cast("int"), F.lit(2147483647))))
-    text = lambda end: F.when(v6, ipv6_text(F.col(f"{end}_key"))).otherwise(ipv4_text(F.col(f"{end}_ip")))
+    v6 = F.col("ip_version") == 6
+    text = lambda end: F.when(v6, ipv6_text(F.when(v6, F.col(f"{end}_key")))).otherwise(ipv4_text(F.col(f"{end}_ip")))
     return x.withColumn("src", text("src")).withColumn("dst", text("dst")).withColumn("flag_names", flag_names(F.col("flags")))
 
 

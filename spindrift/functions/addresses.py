@@ -6,6 +6,8 @@ a.b.c.d/n is a prefix of 96 + n bits.
 
 from __future__ import annotations
 
+import ipaddress
+import re
 import socket
 
 from pyspark.sql import Column
@@ -85,12 +87,31 @@ def masked(key: Column, bits: Column) -> Column:
     return F.rpad(F.concat(F.substring(key, F.lit(1), whole), middle), 16, F.lit(bytes(1)))
 
 
+def cidr(text: str | None) -> tuple[bytes, int] | None:
+    """(net, bits) of an address or of address/length of either kind, host bits dropped; None if it is none."""
+    head, slash, tail = (text or "").partition("/")
+    tail = tail.rpartition("/")[2]
+    try:
+        address = ipaddress.ip_address(head)
+    except ValueError:
+        return None
+    if "%" in head or (slash and not re.fullmatch("[0-9]{1,3}", tail)):
+        return None
+    size = int(tail) if slash else address.max_prefixlen
+    if size > address.max_prefixlen:
+        return None
+    key, bits = (address.packed, size) if address.version == 6 else (MAPPED + address.packed, size + 96)
+    return (int.from_bytes(key, "big") >> (128 - bits) << (128 - bits)).to_bytes(16, "big"), bits
+
+
+@F.arrow_udf(T.StructType([T.StructField("net", T.BinaryType()), T.StructField("bits", T.IntegerType())]))
+def _cidrs(texts):
+    import pyarrow as pa
+
+    found = [c and {"net": c[0], "bits": c[1]} for c in map(cidr, texts.to_pylist())]
+    return pa.array(found, pa.struct([("net", pa.binary()), ("bits", pa.int32())]))
+
+
 def cidr_key(text: Column) -> Column:
     """A struct (net, bits) of an address or of address/length of either kind, host bits dropped; null if it is none."""
-    head, tail = F.substring_index(text, "/", 1), F.substring_index(text, "/", -1)
-    v4 = ipv4_number(head)
-    most = F.when(v4.isNotNull(), 32).otherwise(128)
-    size = F.when(~F.contains(text, F.lit("/")), most).when(tail.rlike(r"^\d{1,3}$"), tail.cast("int"))
-    bits = size + F.when(v4.isNotNull(), 96).otherwise(0)
-    given = F.struct(address_key(head).alias("key"), F.when(size <= most, bits).alias("bits"))
-    return bound(given, lambda x: F.when(x["key"].isNotNull() & x["bits"].isNotNull(), F.struct(masked(x["key"], x["bits"]).alias("net"), x["bits"].alias("bits"))))
+    return _cidrs(text)

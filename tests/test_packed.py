@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import addresses as A
 from spindrift.functions import packed
 from spindrift.operators import frames as R
+from spindrift.operators import prefixes as X
 from spindrift.sources import pcap
 
 
@@ -67,3 +68,16 @@ def test_no_fold_a_packet(spark):
     df = spark.createDataFrame([(1, 1, pcap.RAW, b"\x45")], "flow int, idx int, link int, data binary")
     for x in (pcap.layers(df), R.with_checksums(df), R.zeroize_fields(df), R.randomize_fields(df, ["flow", "idx"]), df.select(A.ipv6_text(F.col("data")))):
         assert "lambda" not in plan(x)
+
+
+def test_ranges_are_read_once(spark):
+    """Literal ranges become constants, tables of ranges are read batch by batch, and packets are compared by numbers."""
+    keys = [bytes(16), bytes(10) + b"\xff\xff\x0a\x40\0\0", bytes(10) + b"\xff\xff\x0a\x80\0\0", bytes(15) + b"\1", b"\xff" * 16, b"\x80" + bytes(15), None]
+    df = spark.createDataFrame(list(enumerate(keys)), "idx int, src binary").withColumn("dst", F.col("src"))
+    near = df.where(X.within_any(F.col("src"), ["10.64.0.0/10", "::1", "8000::/1", "none", "1.2.3.4/33"]))
+    assert sorted(r["idx"] for r in near.collect()) == [1, 3, 4, 5] and df.where(X.within_any(F.col("src"), [])).count() == 0
+    t = spark.createDataFrame([(1, "::/0", "::/0"), (2, "8000::/1", "ffff::/16"), (3, "::/64", "::1"), (4, "10.0.0.0/x/9", "10.0.0.0/9"), (5, "fe80::1%eth0", "::/0")], "id int, src_cidr string, dst_cidr string")
+    pairs = X.pair_join(df, t, "src", "dst")
+    assert sorted((r["idx"], r["src_bits"], r["dst_bits"], r["pair_id"]) for r in pairs.collect()) == [(0, 0, 0, 1), (1, 105, 105, 4), (2, 0, 0, 1), (3, 64, 128, 3), (4, 1, 16, 2), (5, 0, 0, 1)]
+    for x in (near, pairs, X.prefix_join(df, t.withColumnRenamed("src_cidr", "cidr"), "src")):
+        assert "lambda" not in plan(x)

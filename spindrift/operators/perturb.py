@@ -215,17 +215,18 @@ def frag_merge(packets: DataFrame, frag: float, merge: float, merge_max: int, mi
 
     ``len`` is the payload's length; a ``payload`` (binary) is joined or cut along, and the second part's ``seq`` is
     shifted by the first part's length, modulo 2 ** 32. Which packets merge is decided pair by pair from left to right:
-    in a run of packets that would merge with their next, every second one does.
+    in a run of packets that would merge with their next, every second one does. All windows share one order, so payloads
+    are sorted once for them and once for the new places.
     """
-    names, x = packets.columns, _ranked(packets, ("len",))
-    by = W.partitionBy("flow").orderBy("r")
+    names, by, flow = packets.columns, W.partitionBy("flow").orderBy("ts_us", "idx"), W.partitionBy("flow")
+    x = packets.withColumn("r", (F.row_number().over(by) - 1).cast("long"))
+    x = x.withColumn("bad", F.coalesce(*[F.when(F.max(F.col(c).isNull()).over(flow), F.lit(f"null {c}")) for c in ("ts_us", "len")]))
     after = {c: F.lead(c).over(by) for c in ("tuple", "len", "ts_us", *[c for c in ("payload",) if c in names])}
     x = x.withColumns({f"next_{c}": e for c, e in after.items()})
     wish = (uniform(f"merge{seed}", "flow", "r") < merge) & (F.col("tuple") == F.col("next_tuple")) & (F.col("len") + F.col("next_len") <= merge_max) & F.col("bad").isNull()
     x = x.withColumn("wish", F.coalesce(wish, F.lit(False)))
-    ahead = F.sum(F.when(F.col("wish"), 0).otherwise(1)).over(by.rowsBetween(W.unboundedPreceding, -1))
-    x = x.withColumn("run", F.coalesce(ahead, F.lit(0)))
-    x = x.withColumn("nth", F.row_number().over(W.partitionBy("flow", "run").orderBy("r"))).withColumn("leads", F.col("wish") & (F.col("nth") % 2 == 1))
+    ended = F.max(F.when(~F.col("wish"), F.col("r"))).over(by.rowsBetween(W.unboundedPreceding, -1))
+    x = x.withColumn("nth", F.col("r") - F.coalesce(ended, F.lit(-1))).withColumn("leads", F.col("wish") & (F.col("nth") % 2 == 1))
     x = x.withColumn("taken", F.coalesce(F.lag("leads").over(by), F.lit(False))).where("NOT taken")
     cuts = ~F.col("leads") & (F.col("len") >= 2 * min_frag) & (uniform(f"frag{seed}", "flow", "r") < frag) & F.col("bad").isNull()
     cut = min_frag + F.floor(uniform(f"cut{seed}", "flow", "r") * (F.col("len") - 2 * min_frag + 1)).cast("long")

@@ -221,3 +221,15 @@ def test_merges_go_pair_by_pair_from_the_first_packet(spark):
     x = packets(spark, [10, 20, 30, 40, 50])
     f = P.frag_merge(x, 0.0, 1.1, 400, 20).orderBy("idx").collect()
     assert [(r["ts_us"], r["len"]) for r in f] == [(15, 200), (35, 200), (50, 100)]
+
+
+def test_merges_sort_payloads_twice_at_most(spark):
+    """All windows before the new places share one order; null flows and flows with holes are handed on as they were."""
+    rows = [(1, i, 10 * i, 100, 5, bytes([i]) * 100) for i in range(40)] + [(None, i, 10 * i, 100, 5, b"n" * 100) for i in range(4)] + [(2, i, None if i else 5, 100, 5, b"x" * 100) for i in range(3)]
+    f = P.frag_merge(spark.createDataFrame(rows, "flow int, idx long, ts_us long, len long, tuple long, payload binary"), 0.3, 0.5, 400, 20)
+    got = f.collect()
+    assert all(r["len"] == len(r["payload"]) for r in got) and sum(r["flow"] == 1 for r in got) < 60
+    assert sorted(b"".join(bytes(r["payload"]) for r in got)) == sorted(b"".join(r[5] for r in rows))
+    assert sorted((r["idx"], r["ok"], r["error"]) for r in got if r["flow"] == 2) == [(i, False, "null ts_us") for i in range(3)]
+    plan = f._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert sum(" Sort [" in f" {line.lstrip('+-: *()0123456789')}" for line in plan.split("\n")) <= 2 and "Join" not in plan

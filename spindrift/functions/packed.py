@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of packets that are worked on together.
 SLICE = 4 << 20
@@ -18,17 +19,31 @@ HOP_BY_HOP, ROUTING, FRAGMENT, AUTHENTICATION = 0, 43, 44, 51
 EXTENSIONS = (HOP_BY_HOP, ROUTING, FRAGMENT, AUTHENTICATION, 60, 135, 139, 140)
 
 
-def sliced(work, data: pa.Array, *others: pa.Array) -> pa.Array:
-    """``work(data, *others)`` slice by slice."""
-    ends = np.frombuffer(data.cast(pa.large_binary()).buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
-    out, first = [], 0
+def slices(data: pa.Array, *others: pa.Array):
+    """(data, *others) in slices of SLICE bytes of data, or of one packet that is longer."""
+    ends = np.frombuffer(data.cast(pa.large_binary()).buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1] if len(data) else ()
+    first = 0
     while first < len(data):
         last = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICE, "right")) - 1)
-        out.append(work(*(c.slice(first, last - first) for c in (data, *others))))
+        yield tuple(c.slice(first, last - first) for c in (data, *others))
         first = last
+
+
+def sliced(work, data: pa.Array, *others: pa.Array) -> pa.Array:
+    """``work(data, *others)`` slice by slice."""
+    out = [work(*some) for some in slices(data, *others)]
     return pa.concat_arrays(out) if out else work(data, *others)
 
 
+def runs(keys: pa.Array) -> list[tuple[int, int]]:
+    """(first, end) of the stretches of equal neighbours; a null is unlike any other."""
+    if not len(keys):
+        return []
+    same = pc.fill_null(pc.equal(keys[1:], keys[:-1]), False).to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), len(keys)]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
 def numbers(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
 
@@ -191,3 +206,19 @@ def write_checksums(p: Packed, link: np.ndarray) -> None:
     whole = np.where((proto == 17) & (whole == 0), 65535, whole)  # 0 would mean none
     p.write(l3, two(head))
     p.write(np.where(known, l4, -1), two(whole))
+
+
+def records(ts_us: pa.Array, data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The records of a little-endian microsecond capture one after another, and where each begins (and the last ends)."""
+    if ts_us.null_count or data.null_count:
+        raise ValueError("a packet without a time or without data can't be written")
+    p, ts = Packed(data), ts_us.cast(pa.int64()).to_numpy(zero_copy_only=False)
+    if len(ts) and not 0 <= ts.min() <= ts.max() < 10**6 << 32:
+        raise ValueError("a capture holds times from 1970 to 2106 only")
+    bounds = p.ends - p.ends[:1].sum() + 16 * np.arange(len(p.ends))
+    head = np.stack([ts // 10**6, ts % 10**6, p.size, p.size], 1).astype("<u4").view(np.uint8)
+    out, body = np.empty(bounds[-1], np.uint8), np.ones(bounds[-1], bool)
+    places = bounds[:-1, None] + np.arange(16)
+    out[places], body[places] = head, False
+    out[body] = p.flat[:-8]
+    return out, bounds

@@ -24,13 +24,19 @@ ROLL = 64 << 20
 
 def _frames(spark, sf, hosts=65536, payload=None):
     """Packets as Ethernet frames: IPv4 with TCP or UDP, every eleventh an ARP frame of 28 zero bytes."""
-    x = packets(spark, sf).withColumn("src", F.lit(167772160) + F.col("flow")).withColumn("dst", F.lit(3232235520) + F.col("idx") % hosts)
+    return _framed_rows(packets(spark, sf), hosts, payload).drop("file")
+
+
+def _framed_rows(x, hosts=65536, payload=None):
+    """Packets (flow, idx, ts_us, class) as such frames; ``file`` stays, null where there is none."""
+    file = F.col("file") if "file" in x.columns else F.lit(None).cast("string").alias("file")
+    x = x.withColumn("src", F.lit(167772160) + F.col("flow")).withColumn("dst", F.lit(3232235520) + F.col("idx") % hosts)
     x = x.withColumn("sport", 1024 + F.col("flow") % 5000).withColumn("dport", F.lit(443)).withColumn("proto", F.when(F.col("idx") % 2 == 0, 6).otherwise(17))
     x = x.withColumn("payload", F.encode(F.concat("class", F.lit("-"), F.col("idx").cast("string")), "UTF-8") if payload is None else payload)
     macs = F.concat(R.number(F.col("idx") % 65536 + 0x020000000000, 6), R.number(F.col("flow") % 65536 + 0x020000000000, 6))
     ip = F.concat(macs, R.number(0x0800, 2), pcap.build_packet("src", "dst", "sport", "dport", "payload"))
     data = F.when(F.col("idx") % 11 == 0, F.concat(macs, R.number(0x0806, 2), F.lit(bytes(28)))).otherwise(ip)
-    return x.select("flow", "idx", "ts_us", "class", F.lit(pcap.ETHERNET).alias("link"), data.alias("data"))
+    return x.select("flow", "idx", "ts_us", "class", F.lit(pcap.ETHERNET).alias("link"), data.alias("data"), file)
 
 
 def packet_checksums(spark, sf):
@@ -127,8 +133,8 @@ def capture_merge_cap(spark, sf):
 def capture_ranges(spark, sf):
     """Frames of each class, in rolled captures that are read back by ranges of 100,000 bytes: every packet."""
     path = work_path(spark, "ranges")
-    x = R.with_checksums(_frames(spark, sf)).withColumn("file", F.concat("class", F.lit("/all.pcap")))
-    pcap.write_captures(x, path, pcap.ETHERNET, ROLL)
+    x = packets(spark, sf).select("flow", "idx", "ts_us", "class", F.concat("class", F.lit("/all.pcap")).alias("file"))
+    pcap.write_captures(x, path, pcap.ETHERNET, ROLL, finish=lambda rows: R.with_checksums(_framed_rows(rows)))
     y = pcap.read_captures(spark, path, range_bytes=100_000)
     return y.select(_class_folder(), "ts_us", "orig_len", F.md5("data").alias("frame_md5"))
 

@@ -10,12 +10,12 @@ from __future__ import annotations
 import itertools
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..functions import packed
 from ..functions.addresses import ipv4_key, ipv6_text
@@ -86,9 +86,13 @@ def _decode_ng(content: bytes):
         at += size
 
 
+def file_header(link: int = RAW, snaplen: int = 262144) -> bytes:
+    return struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, snaplen, link)
+
+
 def encode(packets, link: int = RAW, snaplen: int = 262144) -> Iterator[bytes]:
     """A classic little-endian microsecond capture, piece by piece, of (ts_us, data) rows."""
-    yield struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, snaplen, link)
+    yield file_header(link, snaplen)
     for ts, data in packets:
         yield struct.pack("<IIII", ts // 10**6, ts % 10**6, len(data), len(data)) + data
 
@@ -174,8 +178,8 @@ class CaptureReader(DataSourceReader):
                     yield (partition.value, idx, *p)
 
 
-class CaptureWriter(DataSourceWriter):
-    """One capture per value of ``file`` (rows come sorted by file and idx); a task writes whole files, packet by packet.
+class CaptureWriter(DataSourceArrowWriter):
+    """One capture per value of ``file`` (rows come sorted by file and idx); a task writes whole files, batch by batch.
 
     With ``rollBytes``, a file's packets may come to several tasks, and each writes pieces of about so many bytes, named
     by its number and theirs: x.pcap gives x-00003-0000.pcap and so on, in order of the packets.
@@ -185,36 +189,41 @@ class CaptureWriter(DataSourceWriter):
         self.names, self.root, self.link = schema.names, options["path"].rstrip("/"), int(options.get("link", RAW))
         self.roll = int(options.get("rollBytes", 0))
 
-    def write(self, rows):
+    def write(self, batches):
+        import numpy as np
         from pyspark import TaskContext
 
-        at = {n: i for i, n in enumerate(self.names)}
         files, root = store(self.root)
-        part = TaskContext.get().partitionId()
-        for name, group in itertools.groupby(rows, key=lambda r: r[at["file"]]):
-            packets = ((r[at["ts_us"]], bytes(r[at["data"]])) for r in group)
-            stem, dot, ending = name.rpartition(".")
-            for k in itertools.count():
-                first = next(packets, None)
-                if first is None:
-                    break
-                target = f"{root}/{f'{stem}-{part:05d}-{k:04d}{dot}{ending}' if self.roll else name}"
-                files.create_dir(target.rpartition("/")[0], recursive=True)
-                with files.open_output_stream(target + ".part") as f:
-                    written = 0
-                    for piece in encode(itertools.chain([first], self._until(packets, lambda: written)), self.link):  # noqa: B023
-                        f.write(piece)
-                        written += len(piece)
+        part, name, k, out, target, written = TaskContext.get().partitionId(), None, 0, None, "", 0
+
+        def close():
+            if out is not None:
+                out.close()
                 files.move(target + ".part", target)  # a retried task writes the same file again
-        return WriterCommitMessage()
 
-    def _until(self, packets, written):
-        """Packets until the piece that is being written is full."""
-        while not self.roll or written() < self.roll:
-            p = next(packets, None)
-            if p is None:
-                return
-            yield p
+        for b in batches:
+            columns = [b.column(self.names.index(c)) for c in ("data", "file", "ts_us")]
+            for data, own, ts in packed.slices(*columns):
+                body, bounds = packed.records(ts, data)
+                for a, end in packed.runs(own):
+                    if out is None or own[a].as_py() != name:
+                        close()
+                        name, k, out = own[a].as_py(), 0, None
+                    while a < end:
+                        if out is None or (self.roll and written >= self.roll):
+                            close()
+                            stem, dot, ending = name.rpartition(".")
+                            target = f"{root}/{f'{stem}-{part:05d}-{k:04d}{dot}{ending}' if self.roll else name}"
+                            files.create_dir(target.rpartition("/")[0], recursive=True)
+                            out, k = files.open_output_stream(target + ".part"), k + 1
+                            out.write(first := file_header(self.link))
+                            written = len(first)
+                        # a piece is closed with the packet that fills it
+                        stop = min(end, max(a + 1, int(np.searchsorted(bounds, bounds[a] + self.roll - written)))) if self.roll else end
+                        out.write(body[bounds[a] : bounds[stop]])
+                        written, a = written + int(bounds[stop] - bounds[a]), stop
+        close()
+        return WriterCommitMessage()
 
 
 class CaptureSource(DataSource):
@@ -238,13 +247,17 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(CaptureSource)
 
 
-def write_captures(packets: DataFrame, path: str, link: int = RAW, roll_bytes: int | None = None) -> None:
+def write_captures(packets: DataFrame, path: str, link: int = RAW, roll_bytes: int | None = None, finish: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Rows (file, idx, ts_us, data) as captures under ``path``: each file whole in one task, in packet order; or, with
-    ``roll_bytes``, in pieces of about that size that many tasks write, however many packets one file has."""
+    ``roll_bytes``, in pieces of about that size that many tasks write, however many packets one file has.
+
+    ``finish``, which works row by row, gives rows (file, idx, ...) their data once they are dealt out: Spark works whatever
+    comes before out twice, as it takes a sample to find the ranges."""
     register(packets.sparkSession)
-    rows = packets.select("file", "idx", "ts_us", "data")
+    rows = packets if finish else packets.select("file", "idx", "ts_us", "data")
     rows = rows.repartitionByRange("file", "idx") if roll_bytes else rows.repartition("file")
-    out = rows.sortWithinPartitions("file", "idx").write.format("pcap").option("link", link)
+    rows = rows.sortWithinPartitions("file", "idx")
+    out = (finish(rows).select("file", "idx", "ts_us", "data") if finish else rows).write.format("pcap").option("link", link)
     (out.option("rollBytes", roll_bytes) if roll_bytes else out).mode("append").save(path)
 
 

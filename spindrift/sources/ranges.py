@@ -33,14 +33,19 @@ INDEX = "path string, range int, lo long, hi long, start long, stop long, packet
 class Window:
     """A file seen through a window that follows the reader; skipped bytes are not read."""
 
-    def __init__(self, file, size: int):
-        self.file, self.size, self.at, self.body = file, size, 0, b""
+    def __init__(self, file, size: int, least: int | None = None):
+        self.file, self.size, self.at, self.body, self.least = file, size, 0, b"", least
+
+    def head(self) -> Header:
+        """What the file's first bytes say, read without a window."""
+        self.file.seek(0)
+        return Header(self.file.read(24))
 
     def take(self, at: int, n: int) -> bytes:
         """Bytes [at, at + n), fewer at the end of the file."""
         if not (self.at <= at and at + n <= self.at + len(self.body)) and at < self.size:
             self.file.seek(at)
-            self.at, self.body = at, self.file.read(max(n, WINDOW))
+            self.at, self.body = at, self.file.read(max(n, WINDOW if self.least is None else self.least))
         return self.body[at - self.at : at - self.at + n]
 
 
@@ -102,28 +107,34 @@ def chained(file, size: int, head: Header, at: int) -> bool:
 def walk(w: Window, head: Header, start: int, hi: int) -> tuple[int, int]:
     """(records that start in [start, hi), where the last of them ends); payloads are passed over. A record that the file
     cuts short isn't counted and ends the capture: whatever follows lies within it."""
-    at, n = start, 0
+    at, n, size_at = start, 0, struct.Struct(head.order + "8xI").unpack_from
     while at < hi and at + 16 <= w.size:
-        size = head.record.unpack(w.take(at, 16))[2]
-        if at + 16 + size > w.size:
-            return n, max(at + 16 + size, w.size)
-        at, n = at + 16 + size, n + 1
+        body = w.take(at, max(16, min(WINDOW, hi - at + 15)))
+        p, last = 0, min(len(body) - 16, hi - at - 1)
+        while p <= last:
+            size = size_at(body, p)[0]
+            if at + p + 16 + size > w.size:
+                return n, max(at + p + 16 + size, w.size)
+            p, n = p + 16 + size, n + 1
+        at += p
     return n, at if at >= hi or at + 16 <= w.size else w.size
 
 
-def opened(path: str) -> Window:
+def opened(path: str, need: int | None = None) -> Window:
+    """A file's window; it reads ahead no further than the ``need`` bytes that are of use."""
     files, root = store(path)
     file = files.open_input_file(root)
-    return Window(file, file.size())
+    return Window(file, file.size(), None if need is None else min(need, WINDOW))
 
 
 def _scan(rows) -> Iterator[tuple]:
     """(path, range, lo, hi, start, stop, packets) of ranges; a start of None is looked for."""
     for path, k, lo, hi, start in rows:
-        w = opened(path)
+        w = opened(path, hi - lo + 15)
         with w.file:
-            head = Header(w.take(0, 24))
+            head = w.head()
             if not head.good:
+                w.least = None
                 n = count_blocks(w) if k == 0 and w.take(0, 4) == NG else 0
                 yield path, k, lo, hi, None, None, n
                 continue
@@ -214,6 +225,43 @@ def packets_of(w: Window, head: Header, start: int = 24) -> Iterator[tuple[int,
         at += 16 + size
 
 
+def records_of(w: Window, head: Header, start: int, most: int):
+    """``packets_of``, at most so many, a window at a time: Arrow arrays (ts_us, orig_len, data)."""
+    at, size_at = start, struct.Struct(head.order + "8xI").unpack_from
+    while most > 0 and at + 16 <= w.size:
+        body = w.take(at, w.least or WINDOW)
+        places, p, last = [], 0, len(body) - 16
+        while p <= last:
+            end = p + 16 + size_at(body, p)[0]
+            if end > len(body):
+                break
+            places.append(p)
+            p = end
+        if not places:  # the record is longer than the window, or cut short by the file
+            p = 16 + size_at(w.take(at, 16))[0]
+            if at + p > w.size:
+                return
+            places, body = [0], w.take(at, p)
+        if len(places) > most:
+            p, places = places[most], places[:most]
+        yield _columns(body[:p], np.array(places), head)
+        at, most = at + p, most - len(places)
+
+
+def _columns(body: bytes, places: np.ndarray, head: Header):
+    """Arrow arrays (ts_us, orig_len, data) of the records that begin at ``places`` and fill ``body``."""
+    import pyarrow as pa
+
+    flat = np.frombuffer(body, np.uint8)
+    at = places[:, None] + np.arange(16)
+    sec, sub, size, orig = flat[at].view(head.order + "u4").astype(np.int64).T
+    kept = np.ones(len(flat), bool)
+    kept[at] = False
+    ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    data = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(flat[kept])])
+    return pa.array(sec * 10**6 + sub * 10**6 // head.units), pa.array(orig), data
+
+
 def blocks(w: Window) -> Iterator[tuple[int, int, int, bytes]]:
     """(ts_us, link, orig_len, data) of a pcapng capture, block by block through the window."""
     at, order, faces = 0, "<", []
@@ -260,9 +308,9 @@ def read_ranges(index: DataFrame, max_packets: int | None = None) -> DataFrame:
     ranges beyond a capture's first so many packets aren't opened and the last one is left early."""
     import pyarrow as pa
 
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    names, kinds = [x.split(" ")[0] for x in SCHEMA.split(", ")], (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
     left = F.col("packets") if max_packets is None else F.least("packets", F.greatest(F.lit(max_packets) - F.col("first_idx"), F.lit(0)))
-    wanted = index.select("path", "start", left.cast("long").alias("n"), "first_idx").where("n > 0")
+    wanted = index.select("path", "start", "stop", left.cast("long").alias("n"), "first_idx").where("n > 0")
 
     def some(path, found, first):
         idx = first
@@ -276,16 +324,20 @@ def read_ranges(index: DataFrame, max_packets: int | None = None) -> DataFrame:
             if not rows:
                 return
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), *columns], names=["path", "idx", "ts_us", "link", "orig_len", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), *columns], names=names)
 
     def run(batches):
         for b in batches:
-            for path, start, n, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                w = opened(path)
+            for path, start, stop, n, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                w = opened(path, None if start is None else stop - start)
                 with w.file:
                     if start is None:
                         yield from some(path, itertools.islice(blocks(w), n), first)
-                    else:
-                        yield from some(path, itertools.islice(packets_of(w, Header(w.take(0, 24)), start), n), first)
+                        continue
+                    head = w.head()
+                    for ts, orig, data in records_of(w, head, start, n):
+                        idx, link = pa.array(np.arange(first, first + len(data))), pa.repeat(pa.scalar(head.link, pa.int32()), len(data))
+                        yield pa.RecordBatch.from_arrays([pa.repeat(path, len(data)), idx, ts, link, orig, data], names=names)
+                        first += len(data)
 
     return wanted.repartition(index.sparkSession.sparkContext.defaultParallelism * 4, "path", "start").mapInArrow(run, SCHEMA)

@@ -5,8 +5,11 @@ import os
 import random
 import struct
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from spindrift.functions import packed
 from spindrift.sources import containers, pcap, ranges
 
 MAGICS = {("<", 10**6): b"\xd4\xc3\xb2\xa1", (">", 10**6): b"\xa1\xb2\xc3\xd4", ("<", 10**9): b"\x4d\x3c\xb2\xa1", (">", 10**9): b"\xa1\xb2\x3c\x4d"}
@@ -118,6 +121,48 @@ def test_counting_passes_over_payloads(monkeypatch, tmp_path):
     assert ranges.walk(w, ranges.Header(w.take(0, 24)), 24, w.size) == (100, len(content)) and sum(read) < len(content) / 100
 
 
+def counted(monkeypatch):
+    """The sizes of all reads of captures from now on."""
+    read, store = [], ranges.store
+
+    class File:
+        def __init__(self, file):
+            self.file, self.seek, self.size = file, file.seek, file.size
+
+        def read(self, n):
+            read.append(len(got := self.file.read(n)))
+            return got
+
+        __enter__, __exit__ = lambda self: self, lambda self, *_: self.file.close()
+
+    class Files:
+        def __init__(self, path):
+            self.files, self.root = store(path)
+
+        def open_input_file(self, root):
+            return File(self.files.open_input_file(root))
+
+    monkeypatch.setattr(ranges, "store", lambda path: (Files(path), store(path)[1]))
+    return read
+
+
+def test_a_range_reads_its_own_bytes(monkeypatch, tmp_path):
+    content, read = capture(random_packets(3000)), counted(monkeypatch)
+    (tmp_path / "x.pcap").write_bytes(content)
+    (*_, start, stop, n) = next(ranges._scan([(f"{tmp_path}/x.pcap", 5, 50_000, 60_000, None)]))
+    assert 50_000 <= start < stop < 62_000 and n > 10 and sum(read) < 30_000
+
+
+def test_records_of_a_batch():
+    for some in (random_packets(50), [(0, b""), ((1 << 32) * 10**6 - 1, b"x")], []):
+        body, bounds = packed.records(pa.array([t for t, _ in some], pa.int64()), pa.array([d for _, d in some], pa.binary()))
+        assert pcap.file_header() + body.tobytes() == b"".join(pcap.encode(some)) and np.diff(bounds).tolist() == [16 + len(d) for _, d in some]
+    with pytest.raises(ValueError, match="1970"):
+        packed.records(pa.array([-1]), pa.array([b""]))
+    with pytest.raises(ValueError, match="without"):
+        packed.records(pa.array([1]), pa.array([None], pa.binary()))
+
+
 def test_pcapng_through_a_window(spark, tmp_path, monkeypatch):
     head = struct.pack("<IIIHHqI", 0x0A0D0D0A, 28, 0x1A2B3C4D, 1, 0, -1, 28)
     face = struct.pack("<IIHHIHHB3xI", 1, 28, 101, 0, 0, 9, 1, 9, 28)
@@ -146,6 +191,15 @@ def test_rolled_captures(spark, tmp_path):
     assert pcap.read_captures(spark, str(tmp_path / "a")).select("ts_us", F.md5("data")).exceptAll(x.select("ts_us", F.md5("data"))).isEmpty()
 
 
+def test_data_worked_out_by_the_writing_tasks(spark, tmp_path):
+    x = packets(spark).withColumn("file", F.concat("session", F.lit("/x.pcap")))
+    pcap.write_captures(x, str(tmp_path / "a"), roll_bytes=20_000)
+    made = lambda rows: rows.withColumn("data", F.encode(F.repeat(F.md5(F.col("idx").cast("string")), 3), "UTF-8"))
+    pcap.write_captures(x.drop("data"), str(tmp_path / "b"), roll_bytes=20_000, finish=made)
+    a, b = (sorted(open(p, "rb").read() for p in glob.glob(f"{tmp_path}/{d}/**/*.pcap", recursive=True)) for d in "ab")
+    assert a == b
+
+
 def test_session_containers(spark, tmp_path):
     path, x = f"{tmp_path}/c", packets(spark)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so little comes to one task

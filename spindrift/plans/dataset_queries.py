@@ -142,7 +142,7 @@ def capture_ranges(spark, sf):
 def session_containers(spark, sf):
     """Sessions written into containers; those of every twentieth packet are looked up by their key: their packets."""
     path = work_path(spark, "containers")
-    x = C.header_features(pcap.layers(R.ip_only(_frames(spark, sf, 7)))).select("session", "idx", "ts_us", "data")
+    x = C.header_features(pcap.layers(_frames(spark, sf, 7)).where("ip_version IN (4, 6)")).select("session", "idx", "ts_us", "data")
     containers.write_sessions(x, path, pcap.ETHERNET)
     keys = x.where("idx % 20 = 0").select("session")
     return containers.read_sessions(spark, path, keys).select("session", "packet", "ts_us", F.md5(F.substring("data", 35, 4)).alias("ports_md5"))

@@ -244,11 +244,11 @@ def records_of(w: Window, head: Header, start: int, most: int):
             places, body = [0], w.take(at, p)
         if len(places) > most:
             p, places = places[most], places[:most]
-        yield _columns(body[:p], np.array(places), head)
+        yield columns_of(body[:p], np.array(places), head)
         at, most = at + p, most - len(places)
 
 
-def _columns(body: bytes, places: np.ndarray, head: Header):
+def columns_of(body: bytes, places: np.ndarray, head: Header):
     """Arrow arrays (ts_us, orig_len, data) of the records that begin at ``places`` and fill ``body``."""
     import pyarrow as pa
 

@@ -221,6 +221,24 @@ def test_session_containers(spark, tmp_path):
         assert len(list(pcap.decode(f.read(r["length"])))) == r["packets"]
 
 
+def test_long_and_short_segments(spark, tmp_path, monkeypatch):
+    """Segments of several windows, and many in one, give the same packets."""
+    path, x = f"{tmp_path}/c", packets(spark, 3000, 700)
+    containers.write_sessions(x, path)
+    number = (F.expr("row_number() OVER (PARTITION BY session ORDER BY idx)") - 1).cast("long").alias("packet")
+    want = sorted(map(tuple, x.select("session", number, "ts_us", F.md5("data")).collect()))
+    for window in (containers.WINDOW, 3000):
+        monkeypatch.setattr(containers, "WINDOW", window)
+        assert sorted(map(tuple, containers.read_sessions(spark, path).select("session", "packet", "ts_us", F.md5("data")).collect())) == want
+
+
+def test_a_stretch_of_a_container_is_read_by_one_task(spark, tmp_path):
+    path = f"{tmp_path}/c"
+    containers.write_sessions(packets(spark, 3000, 700), path)
+    files = containers.session_index(spark, path).select("file").distinct().count()
+    assert containers.read_sessions(spark, path).select(F.spark_partition_id()).distinct().count() <= files
+
+
 def test_what_lost_tasks_leave(spark, tmp_path):
     path = f"{tmp_path}/c"
     containers.write_sessions(packets(spark, 300), path)

@@ -197,3 +197,12 @@ def test_frequencies_in_several_files(spark, monkeypatch):
             yield pa.RecordBatch.from_pydict({"n": corpus.frequencies(hashes)})
 
     assert [r["n"] for r in spark.range(1).coalesce(1).mapInArrow(run, "n long").collect()] == want
+
+
+def test_neighbours_that_are_wanted():
+    """Documents without a rest are left out before they are put in order, and the others keep theirs."""
+    rnd = np.random.default_rng(3)
+    s = Shard([rnd.integers(0, 60, 40) for _ in range(200)])
+    wanted = rnd.random(200) < 0.4
+    for d in range(0, 200, 7):
+        assert list(s.neighbours(d, wanted=wanted)) == [x for x in s.neighbours(d) if wanted[x]]
